@@ -22,7 +22,7 @@ from ._words import blocks, mix
 
 ORDER = 4
 #: Labelled texts that the contexts are counted on, for each language (about: texts are chosen by hash).
-SAMPLE_PER_LANGUAGE = 1000
+SAMPLE_PER_LANGUAGE = 400
 UNDETERMINED = "und"
 
 
@@ -106,10 +106,10 @@ class PPM:
     escapes: list[_Table]
 
     @classmethod
-    def fit(cls, lang: np.ndarray, depth: np.ndarray, key: np.ndarray, n: np.ndarray, order: int = ORDER) -> PPM:
-        languages = sorted(set(lang))
-        code = {x: i for i, x in enumerate(languages)}
-        who = np.array([code[x] for x in lang], np.int64)
+    def fit(cls, names: np.ndarray, lang: np.ndarray, depth: np.ndarray, key: np.ndarray, n: np.ndarray, order: int = ORDER) -> PPM:
+        """From counts: ``lang`` holds places in ``names``."""
+        languages = sorted(names)
+        who = np.array([languages.index(x) for x in names], np.int64)[lang]
         count = len(languages)
         byte_tables: list[_Table] = []
         escape_tables: list[_Table] = []
@@ -188,10 +188,12 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, order: i
         return None
     draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(""))), F.lit(1_000_000)) / 1_000_000
     sample = labelled.join(F.broadcast(size), "lang").where(draw * F.col("size") < per_language)  # one row per language
-    rows = context_counts(sample, order).toPandas()
-    if not len(rows):
+    rows = context_counts(sample, order).toArrow()  # bounded by the sample
+    if not rows.num_rows:
         return None
-    return PPM.fit(rows["lang"].to_numpy(), rows["depth"].to_numpy(), rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(float), order)
+    lang = rows["lang"].combine_chunks().dictionary_encode()
+    names = np.array(lang.dictionary.to_pylist(), dtype=object)
+    return PPM.fit(names, lang.indices.to_numpy(), rows["depth"].to_numpy(), rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(float), order)
 
 
 def identify(docs: DataFrame, model: PPM | None) -> DataFrame:
