@@ -58,10 +58,10 @@ def bit_sieve(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     bit = F.pmod(F.col(column), F.lit(bits))
     found = (
         hashes.select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     )
     table = np.zeros(bits // 64, np.int64)
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
     return table.view(np.uint64)
 
 
