@@ -21,7 +21,7 @@ from ._words import SPACES, blocks, row_of, sequence_hashes, words
 #: A run has at least two sentences with RUN_WORDS words, or LONG_WORDS words.
 RUN_WORDS = 25
 LONG_WORDS = 50
-SIEVE_BITS = 1 << 26
+SIEVE_BITS = 1 << 24
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 
@@ -114,7 +114,8 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, long_words: int =
     seen = table.select("doc_id", "text_hash", "runs").mapInArrow(keep, "doc_id bigint, text_hash bigint, h bigint, first int, past int").withColumn("doc", order)
     met = materialize(seen.join(repeated, "h"), "met")
     # where in its first document a run stands first
-    origin = met.where("doc = first_doc").groupBy("h").agg(F.min(F.struct("text_hash", "first")).alias("origin"))
+    # a table of its own, so that the join below can split a run that very many texts share
+    origin = materialize(met.where("doc = first_doc").groupBy("h").agg(F.min(F.struct("text_hash", "first")).alias("origin")), "origins")
     later = met.join(origin, "h").where((F.col("doc") != F.col("first_doc")) | (F.struct("text_hash", "first") != F.col("origin")))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "past")).alias("spans"))
 
