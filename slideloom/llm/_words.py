@@ -7,8 +7,9 @@ Word and shingle identity is 64-bit hash identity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,30 @@ import pyarrow as pa
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NON_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` that gives free memory back to the system when a partition ends: Python workers live on through all stages of a job."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            trim = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):  # another C library
+            trim = None
+        for out in run(batches):
+            yield out
+            del out
+        pa.default_memory_pool().release_unused()
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> np.uint64(30))
@@ -59,7 +79,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         down = np.full(size, _BASE_INVERSE, dtype=np.uint64)
         up[0] = down[0] = 1
         up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > 8 * BLOCK_BYTES:  # one giant text: do not keep its tables
+        if size > 16 * BLOCK_BYTES:  # one giant text: do not keep its tables
             return up, down
         _powers_cache["up"], _powers_cache["down"] = up, down
     return _powers_cache["up"], _powers_cache["down"]
@@ -91,7 +111,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         start = end
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 * BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 16 * BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller record batches, about ``limit`` bytes of text each: bounds what a task holds at once."""
     for batch in batches:
         for start, end, _, _ in blocks(batch.column(column), limit):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import bit_sieve, materialize, require, sieve_has
-from ._words import NON_ALNUM, blocks, grams, row_of, word_hashes
+from ._words import NON_ALNUM, blocks, frugal, grams, row_of, word_hashes
 
 SPAN = 10
 GRAM = 4
@@ -99,7 +99,7 @@ def benchmark_fingerprints(items: DataFrame, span: int = SPAN, k: int = GRAM) ->
                 ], ["item_id", "h", "kind", "around"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"item_id {kind}, h bigint, kind int, around array<bigint>")
+    return items.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), f"item_id {kind}, h bigint, kind int, around array<bigint>")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -141,7 +141,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: i
 
     scanned = materialize(
         docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(scan, "row bigint, doc_id bigint, n_words bigint, seeds array<struct<at:bigint,kind:int,h:bigint,around:array<bigint>>>"),
+        .mapInArrow(frugal(scan), "row bigint, doc_id bigint, n_words bigint, seeds array<struct<at:bigint,kind:int,h:bigint,around:array<bigint>>>"),
         "seeds",
     )
     seeds = scanned.where(F.size("seeds") > 0).select("row", F.explode("seeds").alias("s")).select("row", "s.*")
@@ -175,7 +175,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: i
                 ["row", "item_id", "first", "past"],
             )
 
-    spans = met.select("row", "at", "kind", "around", "item_id", "item_around").mapInArrow(extend, f"row bigint, item_id {item_type}, first bigint, past bigint")
+    spans = met.select("row", "at", "kind", "around", "item_id", "item_around").mapInArrow(frugal(extend), f"row bigint, item_id {item_type}, first bigint, past bigint")
     hits = (
         spans.groupBy("row")
         .agg(F.collect_set(F.struct("first", "past")).alias("spans"), F.collect_set("item_id").alias("items"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import require
-from ._words import slices
+from ._words import frugal, slices
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)"
@@ -255,4 +255,4 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
             kept = [batch.column(f.name) for f in rest]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], schema.fieldNames())
 
-    return pages.select(*[F.col(f"`{f.name}`") for f in rest], F.col(column).cast("string").alias(column)).mapInArrow(run, schema)
+    return pages.select(*[F.col(f"`{f.name}`") for f in rest], F.col(column).cast("string").alias(column)).mapInArrow(frugal(run), schema)

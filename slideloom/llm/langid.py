@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import require
-from ._words import blocks, mix
+from ._words import blocks, frugal, mix
 
 ORDER = 4
 #: Labelled texts that the contexts are counted on, for each language (about: texts are chosen by hash).
@@ -52,7 +52,7 @@ def context_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                             ["lang", "depth", "key", "n"],
                         )
 
-    counted = labelled.select("lang", "text").mapInArrow(run, "lang string, depth int, key bigint, n bigint")
+    counted = labelled.select("lang", "text").mapInArrow(frugal(run), "lang string, depth int, key bigint, n bigint")
     return counted.groupBy("lang", "depth", "key").agg(F.sum("n").alias("n"))
 
 
@@ -60,7 +60,7 @@ class _Table:
     """Open addressing from 64-bit keys to rows of numbers."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(8, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        self.bits = max(8, int(np.ceil(np.log2(2 * len(keys) + 1))))
         self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
         self.values = np.zeros((1 << self.bits, values.shape[1]), np.float32)
         self.probes = 0
@@ -225,7 +225,7 @@ def identify(docs: DataFrame, model: PPM | None) -> DataFrame:
                     names = [ppm.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letter, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def _has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import require
-from ._words import slices
+from ._words import frugal, slices
 
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.'-][A-Za-z0-9]+)*")
 
@@ -194,4 +194,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
             ]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], pa.array(found, kind)], schema.fieldNames())
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), schema)

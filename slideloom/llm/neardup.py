@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize, require
-from ._words import SPACES, blocks, distinct_shingles, mix, word_hashes
+from ._words import SPACES, blocks, distinct_shingles, frugal, mix, word_hashes
 from .components import connected_components
 
-UNIVERSE_BITS = 22
+UNIVERSE_BITS = 20
 BANDS = 32
 ROWS = 4  # a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32, below 1e-7
 BLOCK = 256
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, shingle: int = 2, bands: int = BANDS, rows: int
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64))),
             ], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    return docs.mapInArrow(frugal(run), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 2) -> DataFrame:
@@ -103,7 +103,7 @@ def shingle_sets(docs: DataFrame, shingle: int = 2) -> DataFrame:
                 [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))], ["doc_id", "items"]
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, items array<bigint>")
+    return docs.mapInArrow(frugal(run), "doc_id bigint, items array<bigint>")
 
 
 def _block_links(percent: int):

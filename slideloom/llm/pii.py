@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import require
-from ._words import slices
+from ._words import frugal, slices
 
 #: Base kinds, in the order of digests, then the kinds that the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -180,7 +180,7 @@ def vote_counts(docs: DataFrame) -> DataFrame:
             pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()),
         ], ["kind", "votes", "features", "n"])
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, votes array<int>, features int, n bigint")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "kind string, votes array<int>, features int, n bigint")
     return counted.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n"))
 
 
@@ -280,7 +280,7 @@ def detect_pii(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
                 pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([_joined(b + e) for b, e in found], pa.string()),
             ], schema.fieldNames())
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), schema)
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -307,5 +307,5 @@ def redact_pii(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(frugal(run), schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else out

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import bit_sieve, materialize, require, sieve_has
-from ._words import SPACES, blocks, row_of, sequence_hashes, words
+from ._words import SPACES, blocks, frugal, row_of, sequence_hashes, words
 
 #: A run has at least two sentences with RUN_WORDS words, or LONG_WORDS words.
 RUN_WORDS = 25
@@ -83,7 +83,7 @@ def sentence_runs(docs: DataFrame, run_words: int = RUN_WORDS, long_words: int =
                     [part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(rows).astype(np.int64)), lists], ["doc_id", "text_hash", "n_sentences", "runs"]
                 )
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id bigint, text_hash bigint, n_sentences bigint, runs array<struct<h:bigint,first:int,past:int>>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(frugal(run), "doc_id bigint, text_hash bigint, n_sentences bigint, runs array<struct<h:bigint,first:int,past:int>>")
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
@@ -111,7 +111,7 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, long_words: int =
                 ["doc_id", "text_hash", "h", "first", "past"],
             )
 
-    seen = table.select("doc_id", "text_hash", "runs").mapInArrow(keep, "doc_id bigint, text_hash bigint, h bigint, first int, past int").withColumn("doc", order)
+    seen = table.select("doc_id", "text_hash", "runs").mapInArrow(frugal(keep), "doc_id bigint, text_hash bigint, h bigint, first int, past int").withColumn("doc", order)
     met = materialize(seen.join(repeated, "h"), "met")
     # where in its first document a run stands first
     # a table of its own, so that the join below can split a run that very many texts share
@@ -169,4 +169,4 @@ def drop_repeats(docs: DataFrame, run_words: int = RUN_WORDS, long_words: int =
                 columns = [texts if i == text_at else part.column(i) for i in range(len(fields))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(rows)), pa.array(removed), pa.array(removed_words)], schema.fieldNames())
 
-    return joined.mapInArrow(cut_out, schema)
+    return joined.mapInArrow(frugal(cut_out), schema)

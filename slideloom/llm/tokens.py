@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize, require
-from ._words import mix, slices, utf8
+from ._words import frugal, mix, slices, utf8
 
 #: The word-begin mark of the vocabulary; in a text it reads like a space.
 MARK = "▁"
@@ -125,7 +125,7 @@ def _piece_counter(vocabulary: str):
 
 def pre_token_table(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """(h, n, seen): hash of each distinct pre-token, its number of pieces, its occurrences in the corpus."""
-    parts = docs.select("text").mapInArrow(_local_tokens, "part int, tokens array<string>, counts array<bigint>")
+    parts = docs.select("text").mapInArrow(frugal(_local_tokens), "part int, tokens array<string>, counts array<bigint>")
 
     def count(table: pa.Table) -> pa.Table:
         merged = pa.table({
@@ -189,7 +189,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit
             yield pa.RecordBatch.from_arrays([row_keys.take(pa.array(row)), none, none, none, pa.array(hashes[token]), pa.array(times.astype(np.int64))], names)
 
     postings = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        frequencies, "row bigint, doc_id bigint, n_bytes bigint, n bigint, h bigint, times bigint"
+        frugal(frequencies), "row bigint, doc_id bigint, n_bytes bigint, n bigint, h bigint, times bigint"
     )
     # rows with no rare pre-token take part in the join under keys of their own, spread over all partitions
     spread = F.coalesce("h", F.xxhash64("row"))
