@@ -1,11 +1,123 @@
-"""All queries of the library proper with their SQL."""
+"""All queries of the library proper with their SQL, over the views of :mod:`slideloom.fixtures`."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from slideloom.fixtures import view, with_views
+from slideloom.functions import scalars as S
+from slideloom.operators import search, tables
+
+_EXT = "lower(regexp_extract(path, '[.]([^./]+)$', 1))"
+_VERSION = "regexp_extract(regexp_replace(file_name, '(?i)[.]pptx$', ''), '(?i)[ _-]?v([0-9]+)$', 1)"
+_BASE = "regexp_replace(regexp_replace(file_name, '(?i)[.]pptx$', ''), '(?i)[ _-]?v[0-9]+$', '')"
+_PARENT = "CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END"
+_NORM = "trim(regexp_replace(lower(query), '\\s+', ' ', 'g'))"
+_NEWEST = (
+    "m AS (SELECT *, {by} AS k FROM mapping_fx), b AS (SELECT k, count(*) AS n FROM m GROUP BY k), "
+    "e AS (SELECT k, arg_max(path, (mtime, -input_order)) AS best FROM m WHERE file_exists GROUP BY k) "
+    "SELECT path, input_order FROM m JOIN b USING (k) LEFT JOIN e USING (k) WHERE n = 1 OR (file_exists AND path = best)"
+)
+
+
+def _t(s, d, name):
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _search(s, d):
+    hits = search.search_slides(view(s, d, "slides_fx"), view(s, d, "queries_fx"), 10, keys=("file_path", "slide_number", "vec_id"))
+    return search.dedupe_hits(hits).select("query_id", "file_path", "slide_number", F.round("score", 6).alias("score"))
+
+
+def _catalog(s, d):
+    return view(s, d, "catalog_fx")
+
+
+def _scores(s, d):
+    hits = search.dedupe_hits(view(s, d, "hits_fx"))
+    return hits, hits.where("slide_number % 2 = 0").withColumn("rerank_score", F.col("slide_number") * 1000.0 - F.length("file_path"))
+
+
+def _rerank(s, d):
+    out = search.rerank(*_scores(s, d), 10)
+    return out.select("query_id", "file_path", "slide_number", "rerank_rank", F.round("score", 4).alias("score"))
+
+
+def _logged(s, d):
+    return tables.first_accesses(view(s, d, "query_log_fx"))
+
+
+def _messages(s, d):
+    return _t(s, d, "conversations")
+
+
+def _queries():
+    """name -> (query, SQL)."""
+    c = F.col
+    return {
+        "search_slides": (_search, """WITH n AS (SELECT q.query_id, s.file_path, s.slide_number, s.vec_id, list_cosine_similarity(s.embedding::DOUBLE[], q.query_vec::DOUBLE[]) AS sc
+            FROM slides_fx s CROSS JOIN queries_fx q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, file_path, slide_number, vec_id) AS rk FROM n)
+            SELECT query_id, file_path, slide_number, round(max(sc), 6) AS score FROM r WHERE rk <= 10 GROUP BY ALL"""),
+        "dedupe_hits": (lambda s, d: search.dedupe_hits(view(s, d, "hits_fx")), "SELECT query_id, file_path, slide_number, max(score) AS score FROM hits_fx GROUP BY ALL"),
+        "top_hits": (lambda s, d: search.top_hits(search.dedupe_hits(view(s, d, "hits_fx")), 25), "SELECT query_id, file_path, slide_number, max(score) AS score FROM hits_fx GROUP BY ALL ORDER BY score DESC, 1, 2, 3 LIMIT 25"),
+        "rerank": (_rerank, """WITH h AS (SELECT query_id, file_path, slide_number, max(score) AS score FROM hits_fx GROUP BY ALL), r AS (SELECT *, slide_number * 1000.0 - length(file_path) AS rr FROM h WHERE slide_number % 2 = 0),
+            k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rr DESC, file_path, slide_number) AS rk FROM r) SELECT query_id, file_path, slide_number, rk AS rerank_rank, round(0.6 * rr + 0.4 * score, 4) AS score FROM k WHERE rk <= 10"""),
+        "shape_hits": (lambda s, d: S.shape_hits(view(s, d, "hits_fx").withColumn("score", c("score") / 1e6)).select("query_id", "file_path", "slide_number", "score_text"), "SELECT query_id, file_path, slide_number, printf('%.1f%%', score / 1e6 * 100) AS score_text FROM hits_fx"),
+        "group_presentations": (lambda s, d: search.group_presentations(search.search_slides(view(s, d, "slides_fx"), view(s, d, "queries_fx"), 25, keys=("file_path", "file_name", "slide_number", "vec_id"))), None),
+        "scan_images": (lambda s, d: tables.scan_images(_catalog(s, d)), f"SELECT path, length FROM catalog_fx WHERE {_EXT} IN ('jpg','jpeg','png','webp') AND length > 0"),
+        "list_entries": (lambda s, d: tables.list_entries(_catalog(s, d)), "SELECT path, false AS is_directory FROM catalog_fx UNION SELECT regexp_extract(path, '^([^/]*)/', 1), true FROM catalog_fx UNION SELECT regexp_extract(path, '^([^/]*/[^/]*)/', 1), true FROM catalog_fx"),
+        "link_parents": (lambda s, d: tables.link_parents(tables.list_entries(_catalog(s, d))), "WITH e AS (SELECT path, false AS is_directory FROM catalog_fx UNION SELECT regexp_extract(path, '^([^/]*)/', 1), true FROM catalog_fx UNION SELECT regexp_extract(path, '^([^/]*/[^/]*)/', 1), true FROM catalog_fx) SELECT path, is_directory, " + _PARENT + " AS parent FROM e"),
+        "path_parts": (lambda s, d: S.path_parts(_catalog(s, d)).drop("length"), f"SELECT path, {_PARENT} AS dir, split_part(path, '/', -1) AS name, {_EXT} AS ext, len(string_split(path, '/')) - 1 AS depth, split_part(path, '/', -1) AS display FROM catalog_fx"),
+        "clean_path": (lambda s, d: _t(s, d, "pages").select("page_id", S.clean_path(F.concat(F.lit(" '"), F.regexp_replace("url", "^https?:", ""), F.lit("/./' "))).alias("path")), "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?:', ''), '/+', '/', 'g'), '/$', '') AS path FROM pages"),
+        "is_supported_document": (lambda s, d: _catalog(s, d).where(S.is_supported_document(c("path"))), f"SELECT path, length FROM catalog_fx WHERE {_EXT} IN ('xlsx','xls','pptx','ppt','pdf','docx','doc')"),
+        "classify_document": (lambda s, d: _catalog(s, d).select("path", S.classify_document(c("path")).alias("kind")), f"SELECT path, CASE WHEN {_EXT} IN ('xlsx','xls') THEN 'excel' WHEN {_EXT} IN ('pptx','ppt') THEN 'powerpoint' WHEN {_EXT} = 'pdf' THEN 'pdf' WHEN {_EXT} IN ('docx','doc') THEN 'word' END AS kind FROM catalog_fx"),
+        "drop_ignored": (lambda s, d: S.drop_ignored(_catalog(s, d)), "SELECT path, length FROM catalog_fx WHERE NOT regexp_matches(path, 'node_modules|[.]git|[.]DS_Store|Thumbs[.]db|[.]tmp|[.]temp|~[$]|[.]swp|[.]cache|dist|build|coverage|[.]env|bin|obj')"),
+        "find_files": (lambda s, d: S.find_files(_catalog(s, d), "DOC1"), "SELECT path, length FROM catalog_fx WHERE lower(split_part(path, '/', -1)) LIKE '%.xlsx' AND lower(split_part(path, '/', -1)) LIKE '%doc1%'"),
+        "corpus_catalog": (lambda s, d: tables.corpus_catalog(_catalog(s, d).where(F.lower("path").endswith(".pptx")), tables.scan_images(_catalog(s, d))), f"SELECT path, length, 'deck' AS kind FROM catalog_fx WHERE lower(path) LIKE '%.pptx' UNION ALL SELECT path, length, 'image' FROM catalog_fx WHERE {_EXT} IN ('jpg','jpeg','png','webp') AND length > 0"),
+        "directory_breakdown": (lambda s, d: tables.directory_breakdown(_catalog(s, d)), f"WITH g AS (SELECT {_PARENT} AS dir, count(*) AS files FROM catalog_fx GROUP BY 1) SELECT dir, files, (SELECT greatest(count(*) - 10, 0) FROM g) AS left_out FROM g ORDER BY dir LIMIT 10"),
+        "storage_stats": (lambda s, d: tables.storage_stats(_catalog(s, d), 500), "SELECT sum(length)::BIGINT AS bytes, round(sum(length) / 1048576, 2) AS mb, count(*) AS files, round(sum(length) / 500, 2) AS bytes_per_vector FROM catalog_fx"),
+        "add_slide_identity": (lambda s, d: S.add_slide_identity(view(s, d, "slides_fx")).select("vec_id", "slide_id", "slide_text"), "SELECT vec_id, file_name || '_slide_' || slide_number AS slide_id, 'Slide ' || slide_number || ' from ' || file_name AS slide_text FROM slides_fx"),
+        "validate_vectors": (lambda s, d: S.validate_vectors(view(s, d, "slides_fx"), 64)[0].select("vec_id"), "SELECT vec_id FROM slides_fx WHERE len(embedding) = 64"),
+        "index_stats": (lambda s, d: tables.index_stats(view(s, d, "slides_fx")), "SELECT count(embedding) AS vectors, max(len(embedding)) AS dim, 'cosine' AS metric FROM slides_fx"),
+        "upsert_slides": (lambda s, d: tables.upsert(view(s, d, "slides_fx").where("vec_id % 3 = 0"), view(s, d, "slides_fx").where("vec_id % 2 = 0"), 64).select("vec_id", "file_path", "slide_number"), """WITH n AS (SELECT *, row_number() OVER (PARTITION BY file_path, slide_number ORDER BY vec_id DESC) AS k FROM slides_fx WHERE vec_id % 2 = 0), l AS (SELECT * FROM n WHERE k = 1)
+            SELECT vec_id, file_path, slide_number FROM l UNION ALL SELECT vec_id, file_path, slide_number FROM slides_fx s WHERE vec_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM l WHERE l.file_path = s.file_path AND l.slide_number = s.slide_number)"""),
+        "delete_by_file": (lambda s, d: tables.delete_by_file(view(s, d, "slides_fx"), view(s, d, "slides_fx").where("vec_id % 7 = 0")).select("vec_id"), "SELECT vec_id FROM slides_fx WHERE file_path NOT IN (SELECT file_path FROM slides_fx WHERE vec_id % 7 = 0)"),
+        "delete_by_folder": (lambda s, d: tables.delete_by_folder(view(s, d, "slides_fx"), view(s, d, "slides_fx").where("vec_id < 3").select(F.regexp_extract("file_path", "^([^/]*)", 1).alias("folder"))).select("vec_id"), "SELECT vec_id FROM slides_fx WHERE split_part(file_path, '/', 1) NOT IN (SELECT split_part(file_path, '/', 1) FROM slides_fx WHERE vec_id < 3)"),
+        "folder_stats": (lambda s, d: tables.folder_stats(view(s, d, "slides_fx")), f"SELECT split_part(file_path, '/', 1) AS folder, file_name, CASE WHEN {_VERSION} = '' THEN '1' ELSE {_VERSION} END AS version, count(*) AS slides, grouping(folder, file_name, version) AS level FROM slides_fx GROUP BY ROLLUP (folder, file_name, version)"),
+        "name_version": (lambda s, d: view(s, d, "slides_fx").select("vec_id", S.name_base(c("file_name")).alias("base"), S.name_version(c("file_name")).alias("version")), f"SELECT vec_id, {_BASE} AS base, nullif({_VERSION}, '') AS version FROM slides_fx"),
+        "name_similarity": (lambda s, d: _t(s, d, "part").select("p_partkey", F.round(S.name_similarity(c("p_name"), c("p_type")), 6).alias("similarity")), "SELECT p_partkey, round((greatest(length(p_name), length(p_type)) - levenshtein(p_name, p_type)) / greatest(length(p_name), length(p_type)), 6) AS similarity FROM part"),
+        "keep_newest_per_name": (lambda s, d: tables.keep_newest(view(s, d, "mapping_fx").withColumn("name", S.base_name(c("path"))), "name")[0].select("path", "input_order"), "WITH " + _NEWEST.format(by="split_part(path, '/', -1)")),
+        "keep_newest_per_dir": (lambda s, d: tables.keep_newest(view(s, d, "mapping_fx").withColumn("dir", S.parent(c("path"))), "dir")[0].select("path", "input_order"), "WITH " + _NEWEST.format(by="split_part(path, '/', 1)")),
+        "drop_deleted": (lambda s, d: tables.drop_deleted(view(s, d, "mapping_fx"), view(s, d, "mapping_fx").where("file_exists"))[1].select("input_order"), "SELECT input_order FROM mapping_fx WHERE path NOT IN (SELECT path FROM mapping_fx WHERE file_exists)"),
+        "diff_snapshots": (lambda s, d: tables.diff_snapshots(*[_catalog(s, d).where(f"length(path) % 5 <> {k}").withColumn("length", c("length") + k * (F.length("path") % 2)).withColumn("mtime", F.lit(0)) for k in (1, 2)]), """WITH a AS (SELECT path, length + 1 * (length(path) % 2) AS l FROM catalog_fx WHERE length(path) % 5 <> 1), b AS (SELECT path, length + 2 * (length(path) % 2) AS l FROM catalog_fx WHERE length(path) % 5 <> 2)
+            SELECT path, CASE WHEN a.l IS NULL THEN 'add' WHEN b.l IS NULL THEN 'unlink' ELSE 'change' END AS type FROM a FULL JOIN b USING (path) WHERE a.l IS NULL OR b.l IS NULL OR a.l <> b.l"""),
+        "register_folders": (lambda s, d: tables.register_folders(_catalog(s, d).select(S.parent(c("path")).alias("path")), view(s, d, "mapping_fx").select(S.parent(c("path")).alias("path"))), f"SELECT {_PARENT} AS path FROM catalog_fx UNION SELECT {_PARENT} FROM mapping_fx"),
+        "query_hash": (lambda s, d: view(s, d, "query_log_fx").select("event_id", S.query_hash(c("query")).alias("query_hash")), f"SELECT event_id, sha256({_NORM}) AS query_hash FROM query_log_fx"),
+        "replay_unbounded": (lambda s, d: _logged(s, d).select("event_id", "hit"), f"SELECT event_id, row_number() OVER (PARTITION BY tenant, {_NORM} ORDER BY ts, event_id) > 1 AS hit FROM query_log_fx"),
+        "cache_stats": (lambda s, d: tables.cache_stats(_logged(s, d)), f"WITH h AS (SELECT row_number() OVER (PARTITION BY tenant, {_NORM} ORDER BY ts, event_id) > 1 AS hit FROM query_log_fx) SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) AS total, round(count(*) FILTER (hit) * 100.0 / count(*), 1) AS hit_rate FROM h"),
+        "lookup_cached_misses": (lambda s, d: tables.lookup_cached(_logged(s, d).where("event_id % 2 = 0").select("event_id", "tenant", "query_hash"), _logged(s, d).where("event_id < 3").select("query_hash").distinct())[1].select("event_id"), f"SELECT event_id FROM query_log_fx WHERE event_id % 2 = 0 AND {_NORM} NOT IN (SELECT {_NORM} FROM query_log_fx WHERE user_id_is_small)".replace("user_id_is_small", "event_id < 3")),
+        "evict_lru": (lambda s, d: tables.evict_lru(view(s, d, "query_log_fx").select("event_id", c("ts").alias("last_access")), 100, "event_id")[1].select("event_id"), "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS n FROM query_log_fx) WHERE n > 100"),
+        "chunk_rows": (lambda s, d: tables.chunk_rows(view(s, d, "cells_fx")), "SELECT workbook, sheet, (row_no - 1) // 10 AS chunk, min(row_no) AS first_row, max(row_no) AS last_row, count(*) AS cells FROM cells_fx WHERE col_no <= 50 GROUP BY ALL"),
+        "sheet_totals": (lambda s, d: tables.sheet_totals(view(s, d, "cells_fx")), "SELECT workbook, count(DISTINCT sheet) AS sheets, count(*) AS cells FROM cells_fx GROUP BY ALL"),
+        "chunk_stats": (lambda s, d: tables.chunk_stats(_t(s, d, "documents")), "SELECT count(*) AS chunks, sum(length(text))::BIGINT AS characters, round_even(avg(length(text)), 0)::BIGINT AS average FROM documents"),
+        "compress_chunks": (lambda s, d: tables.compress_chunks(view(s, d, "cells_fx"), ("workbook", "sheet"), ("row_no", "col_no", "v"), "v", 50), "WITH r AS (SELECT *, row_number() OVER (PARTITION BY workbook, sheet ORDER BY row_no, col_no, v) AS n FROM cells_fx) SELECT workbook, sheet, string_agg(v::VARCHAR, ' | ' ORDER BY n) AS text, count(*) AS cells FROM r WHERE n <= 50 GROUP BY ALL"),
+        "assign_batches": (lambda s, d: tables.assign_batches(view(s, d, "cells_fx").select("workbook", "row_no", "col_no", "v", "sheet").distinct().withColumn("k", F.concat_ws(":", "sheet", "row_no", "col_no", "v")), "k", 75, "workbook").select("workbook", "k", "batch"), "WITH x AS (SELECT DISTINCT workbook, sheet || ':' || row_no || ':' || col_no || ':' || v AS k FROM cells_fx) SELECT workbook, k, (row_number() OVER (PARTITION BY workbook ORDER BY k) - 1) // 75 AS batch FROM x"),
+        "coalesce_turns": (lambda s, d: tables.coalesce_turns(_messages(s, d)), """WITH f AS (SELECT * FROM conversations WHERE role <> 'assistant' OR coalesce(text, '') <> ''), g AS (SELECT *, CASE WHEN role <> 'assistant' OR coalesce(lag(role) OVER w, '') <> 'assistant' THEN 1 ELSE 0 END AS b FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+            r AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM g) SELECT conv_id, min(turn) AS turn, min(role) AS role, string_agg(text, '' ORDER BY turn) AS text FROM r GROUP BY conv_id, run"""),
+        "close_custom_events": (lambda s, d: tables.close_custom_events(_messages(s, d).withColumn("role", F.when(c("turn") % 4 == 2, "custom_event").otherwise(c("role")))).select("conv_id", "turn", "done"), "WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN 'custom_event' ELSE role END AS role FROM conversations) SELECT conv_id, turn, role = 'custom_event' AND coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn) IN ('assistant', 'custom_event'), false) AS done FROM m"),
+        "non_ascii_report": (lambda s, d: S.non_ascii_report(_t(s, d, "documents"), "doc_id", "text").drop("line"), """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), c AS (SELECT doc_id, line_no, unnest(string_split(line, '')) AS char, generate_subscripts(string_split(line, ''), 1) AS column_no FROM l)
+            SELECT doc_id, line_no, column_no, char, 'U+' || lpad(lower(hex(unicode(char)::BIGINT)), 4, '0') AS code FROM c WHERE unicode(char) > 127"""),
+        "event_to_update": (lambda s, d: S.event_to_update(view(s, d, "file_events_fx")).select("event_id", "action", "name", "is_dir"), "SELECT event_id, CASE WHEN type IN ('add','addDir') THEN 'add' WHEN type IN ('unlink','unlinkDir') THEN 'remove' ELSE 'change' END AS action, split_part(path, '/', -1) AS name, type IN ('addDir','unlinkDir') AS is_dir FROM file_events_fx"),
+        "should_auto_process": (lambda s, d: S.should_auto_process(view(s, d, "file_events_fx")).select("event_id"), f"SELECT event_id FROM file_events_fx WHERE type IN ('add','change') AND {_EXT} IN ('xlsx','xls','pptx','ppt','pdf','docx','doc')"),
+        "debounce_events": (lambda s, d: tables.debounce_batch(view(s, d, "file_events_fx"), "6 hours").select("event_id"), "WITH n AS (SELECT event_id, ts, lead(ts) OVER (PARTITION BY path ORDER BY ts, event_id) AS nx FROM file_events_fx) SELECT event_id FROM n WHERE nx IS NULL OR nx > ts + INTERVAL 6 HOURS"),
+        "event_windows": (lambda s, d: tables.event_windows(view(s, d, "file_events_fx"), "1 day"), "SELECT date_trunc('day', ts) AS start, type, count(*) AS n FROM file_events_fx GROUP BY ALL"),
+        "process_queue": (lambda s, d: tables.queue_batch(view(s, d, "file_events_fx")).select("path", "event_id", "type"), f"WITH l AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS k FROM file_events_fx WHERE {_EXT} IN ('xlsx','xls','pptx','ppt','pdf','docx','doc')) SELECT path, event_id, type FROM l WHERE k = 1 AND type IN ('add','change')"),
+    }
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: with_views(sql) for name, (_, sql) in _queries().items() if sql}
