@@ -23,21 +23,24 @@ _BASE = np.uint64(0x9E3779B97F4A7C13)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` that gives free memory back to the system when a partition ends: Python workers live on through all stages of a job."""
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            trim = ctypes.CDLL("libc.so.6").malloc_trim
-        except (OSError, AttributeError):  # another C library
-            trim = None
         for out in run(batches):
             yield out
             del out
-        pa.default_memory_pool().release_unused()
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return wrapped
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import require
-from ._words import blocks, frugal, mix
+from ._words import blocks, frugal, give_back, mix
 
 ORDER = 4
 #: Labelled texts that the contexts are counted on, for each language (about: texts are chosen by hash).
@@ -116,7 +116,7 @@ class PPM:
         for d in range(order + 1):
             at = depth == d
             keys, inverse = np.unique(key[at], return_inverse=True)
-            seen = np.zeros((len(keys), count))
+            seen = np.zeros((len(keys), count), np.float32)
             seen[inverse, who[at]] = n[at]
             context, group = np.unique(keys >> np.uint64(8), return_inverse=True)
             total, kinds = np.zeros((len(context), count)), np.zeros((len(context), count))
@@ -193,7 +193,12 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, order: i
         return None
     lang = rows["lang"].combine_chunks().dictionary_encode()
     names = np.array(lang.dictionary.to_pylist(), dtype=object)
-    return PPM.fit(names, lang.indices.to_numpy(), rows["depth"].to_numpy(), rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(float), order)
+    columns = [rows[c].combine_chunks().to_numpy() for c in ("depth", "key", "n")]
+    del rows
+    model = PPM.fit(names, lang.indices.to_numpy(), columns[0], columns[1].view(np.uint64), columns[2].astype(np.float32), order)
+    del lang, columns
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: PPM | None) -> DataFrame:

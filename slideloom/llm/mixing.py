@@ -51,17 +51,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """
     dims = list(targets)
 
-    def parts(table: DataFrame) -> dict[str, DataFrame]:
-        return {d: table.where(F.col("dim") == d).select(F.col("value").alias(d), F.col("factor").alias(f"f_{d}"), F.col("target").alias(f"t_{d}")) for d in dims}
-
-    def whole(factors: dict[str, DataFrame]) -> DataFrame:
-        out = None
-        for d in dims:
-            one = factors[d].select(F.lit(d).alias("dim"), F.col(d).alias("value"), F.col(f"f_{d}").alias("factor"), F.col(f"t_{d}").alias("target"))
-            out = one if out is None else out.union(one)
-        return materialize(out, "factors")
-
-    factors = parts(whole({d: targets[d].select(d, F.lit(1.0).alias(f"f_{d}"), F.col("target").alias(f"t_{d}")) for d in dims}))
+    factors = {d: targets[d].select(d, F.lit(1.0).alias(f"f_{d}"), F.col("target").alias(f"t_{d}")) for d in dims}
+    for d in dims:
+        factors[d] = materialize(factors[d], "factors")
     for _ in range(rounds):
         for d in dims:
             weighted, weight = cells, F.col("tokens").cast("double")
@@ -72,8 +64,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
             sums = weighted.groupBy(d).agg(F.sum(weight).alias("reached"))
             # a value that weighs nothing keeps its factor
             factor = F.when(F.col("reached") > 0, F.col(f"t_{d}") / F.col("reached")).otherwise(F.col(f"f_{d}"))
-            factors[d] = factors[d].join(sums, d).select(d, factor.alias(f"f_{d}"), f"t_{d}")
-        factors = parts(whole(factors))
+            factors[d] = materialize(factors[d].join(sums, d).select(d, factor.alias(f"f_{d}"), f"t_{d}"), "factors")
     weight, out = F.col("tokens").cast("double"), cells
     for d in dims:
         out = out.join(factors[d].select(d, f"f_{d}"), d)
