@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, license_scan, mixing, neardup, pii, quality, substring, tokens
+from . import decontaminate, html_text, langid, license_scan, mixing, neardup, pii, quality, sql, substring, tokens
 from ._shared import read_table
 
 
@@ -80,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix_sources": sql.mix_sources(), "op5_quality_rules": sql.quality_rules(), "op10_decontaminate": sql.decontaminate()}
