@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from slideloom.fixtures import view, with_views
 from slideloom.functions import scalars as S
-from slideloom.operators import search, tables
+from slideloom.operators import chunks, embed, search, tables, texts
+from slideloom.sources import files
+from slideloom.sources.shared import scratch_path
 
 _EXT = "lower(regexp_extract(path, '[.]([^./]+)$', 1))"
 _VERSION = "regexp_extract(regexp_replace(file_name, '(?i)[.]pptx$', ''), '(?i)[ _-]?v([0-9]+)$', 1)"
@@ -115,9 +117,125 @@ def _queries():
     }
 
 
+def _pages(s, d):
+    return _t(s, d, "pages").select("page_id", F.col("url").alias("path"), F.encode("html", "utf-8").alias("content"))
+
+
+def _lines(s, d):
+    return _t(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "chunk"))
+
+
+def _cell_lines(s, d):
+    c = F.col
+    cell = F.concat(F.char(c("col_no") + 64), c("row_no").cast("string"))
+    line = F.concat(F.lit('worksheet name="'), "sheet", F.lit('" | cell="'), cell, F.lit('" | v='), c("v").cast("string"), F.lit(' | bold="'), F.when(c("v") > 25, "yes").otherwise("no"), F.lit('"'))
+    return view(s, d, "cells_fx").select("workbook", F.when(c("v") == 7, "no cell here").otherwise(line).alias("text"))
+
+
+def _answers(s, d):
+    c = F.col
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.concat(F.lit("data: "), F.to_json(F.struct(x["text"].alias("chunk")))))
+    raw = F.concat(F.array_join(lines, "\n\n"), F.lit('\ndata: {bad\nevent: x\ndata: [DONE]\ndata: {"chunk": "late"}'))
+    return _messages(s, d).groupBy("conv_id").agg(raw.alias("raw")).select("conv_id", texts.decode_sse(c("raw"))["answer"].alias("answer"))
+
+
+def _tools(s, d):
+    c = F.col
+    request = F.concat_ws("-", c("conv_id").cast("string"), F.floor(c("turn") / 4).cast("string"))
+    m = _messages(s, d).select("conv_id", "turn", F.when(c("role") == "user", "tool_call").otherwise(c("role")).alias("role"), c("text").alias("content"), request.alias("request_id"))
+    return texts.match_tool_results(m, m.where("role = 'assistant'").select("conv_id", "request_id", c("content").alias("result"), c("turn").alias("at")))
+
+
+def _timeline(s, d):
+    at = F.unix_millis(F.col("ts").cast("timestamp"))  # as UTC
+    events = _t(s, d, "events")
+    return texts.merge_timeline(
+        events.where("event_id % 2 = 0").select(at.alias("at_ms"), F.col("event_type").alias("text")),
+        events.where("event_id % 2 = 1").select(F.concat_ws("-", F.lit("event"), at.cast("string"), "event_type").alias("id"), F.col("event_type").alias("text")),
+    )
+
+
+def _store(s, d):
+    return view(s, d, "cells_fx").selectExpr("workbook", "col_no AS version", "sheet", "row_no")
+
+
+def _versions(s, d, create):
+    return chunks.store_versions(_store(s, d).where("row_no <= 50 AND version = 1"), _store(s, d).where("workbook <> 'wb1.xlsx'"), create)
+
+
+def _edits(s, d):
+    edits = _t(s, d, "orders").select(F.col("o_orderkey").alias("edit_id"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("accepted").alias("status"))
+    return chunks.apply_edits(edits, _t(s, d, "lineitem").where("l_linenumber = 1 AND l_quantity < 25").select((F.col("l_orderkey") + F.col("l_suppkey") % 2 * 100000000).alias("edit_id")), "reject")
+
+
+def _stored(s, d):
+    store, slides = scratch_path(s, "slides"), view(s, d, "slides_fx")
+    files.write_slides(slides.where("vec_id % 3 = 0"), store, 0)
+    files.write_slides(slides.where("vec_id % 2 = 0"), store, 1)
+    return files.read_slides(s, store).select("vec_id", "file_path", "slide_number")
+
+
+def _asked(s, d):
+    c = F.col
+    slides, _ = embed.embed_slides(view(s, d, "catalog_fx").select(c("path").alias("file_path"), S.base_name(c("path")).alias("file_name"), F.lit(1).alias("slide_number")), text="file_path")
+    asked = _t(s, d, "nation").select(c("n_nationkey").alias("query_id"), c("n_name").alias("query"))
+    cache = s.createDataFrame([], "query_hash string, embedding array<float>")
+    return embed.search_pipeline(slides, asked, cache)[0].withColumn("score", F.round("score", 6))
+
+
+def _more():
+    c = F.col
+    return {
+        "scan_decks": (lambda s, d: files.scan_decks(s, d, "*.parquet").select(S.base_name(c("path")).alias("name"), "length"), None),
+        "load_image_records": (lambda s, d: files.load_image_records(_pages(s, d)).select("page_id", "image_base64", "source_type"), "SELECT page_id, base64(encode(html)) AS image_base64, 'image_file' AS source_type FROM pages"),
+        "file_manifest": (lambda s, d: files.file_manifest(_pages(s, d), 256).select("page_id", "sha", "bytes"), "SELECT page_id, sha256(html) AS sha, octet_length(encode(html)) AS bytes FROM pages"),
+        "read_slides": (_stored, "WITH a AS (SELECT *, vec_id % 2 = 0 AS late FROM slides_fx WHERE vec_id % 3 = 0 OR vec_id % 2 = 0), l AS (SELECT DISTINCT file_path, slide_number FROM a WHERE late) SELECT vec_id, file_path, slide_number FROM a WHERE late UNION ALL SELECT vec_id, file_path, slide_number FROM a WHERE NOT late AND (file_path, slide_number) NOT IN (SELECT (file_path, slide_number) FROM l)"),
+        "relative_age": (lambda s, d: _t(s, d, "events").select("event_id", S.relative_age(c("ts"), c("ts") + F.expr("make_dt_interval(0, 0, CAST(user_id * 97 AS INT), 0)")).alias("age")), """WITH m AS (SELECT event_id, ts, user_id * 97 AS m FROM events)
+            SELECT event_id, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' WHEN m < 10080 THEN (m // 1440) || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS age FROM m"""),
+        "parse_cell_specs": (lambda s, d: texts.parse_cell_specs(_cell_lines(s, d))[0].select("workbook", "sheet", "cell", c("attrs")["v"].alias("v"), c("attrs")["bold"].alias("bold")), "SELECT workbook, sheet, chr(64 + col_no) || row_no AS cell, v::VARCHAR AS v, CASE WHEN v > 25 THEN 'yes' ELSE 'no' END AS bold FROM cells_fx WHERE v <> 7"),
+        "parse_cell_specs_rejected": (lambda s, d: texts.parse_cell_specs(_cell_lines(s, d))[1], "SELECT workbook, 1 AS line_no, 'no cell here' AS line FROM cells_fx WHERE v = 7"),
+        "decode_sse": (_answers, "SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS answer FROM conversations GROUP BY conv_id"),
+        "attach_images": (lambda s, d: search.attach_images(search.dedupe_hits(view(s, d, "hits_fx")).withColumn("image_path", c("file_path")), view(s, d, "hits_fx").where("slide_number = 1").select(c("file_path").alias("image_path"), F.md5("file_path").alias("image_base64")).distinct()).select("query_id", "file_path", "slide_number", "image_base64"),
+            "SELECT DISTINCT query_id, file_path, slide_number, CASE WHEN file_path IN (SELECT file_path FROM hits_fx WHERE slide_number = 1) THEN md5(file_path) ELSE '' END AS image_base64 FROM hits_fx"),
+        "zip_chunks": (lambda s, d: chunks.zip_chunks(_lines(s, d), _lines(s, d).where("idx % 2 = 0").select("doc_id", "idx", F.concat("chunk", F.lit("!")).alias("text"))).select("doc_id", "idx", F.length("text").alias("n")), """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx, unnest(string_split(text, chr(10))) AS chunk FROM documents)
+            SELECT doc_id, idx, CASE WHEN idx % 2 = 0 THEN length(chunk) + 1 ELSE 0 END AS n FROM l"""),
+        "match_tool_results": (_tools, """WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'tool_call' ELSE role END AS role, text AS content, conv_id || '-' || (turn // 4) AS request_id FROM conversations), f AS (SELECT conv_id, request_id, min(turn) AS turn FROM m WHERE role = 'tool_call' GROUP BY ALL),
+            r AS (SELECT conv_id, request_id, arg_max(content, turn) AS result FROM m WHERE role = 'assistant' GROUP BY ALL), x AS (SELECT conv_id, turn, result FROM f JOIN r USING (conv_id, request_id))
+            SELECT m.conv_id, m.turn, role, CASE WHEN x.turn IS NULL THEN content ELSE 'Completed: ' || content END AS content, request_id, result, CASE WHEN x.turn IS NOT NULL THEN 'completed' END AS status FROM m LEFT JOIN x ON m.conv_id = x.conv_id AND m.turn = x.turn"""),
+        "merge_timeline": (_timeline, "SELECT epoch_ms(ts) AS at_ms, event_type AS text, CASE WHEN event_id % 2 = 0 THEN 'message' ELSE 'event' END AS kind FROM events"),
+        "search_chunks": (lambda s, d: chunks.search_chunks(_t(s, d, "embeddings").select(c("vec_id").alias("chunk_id"), F.concat(F.lit("wb"), (c("vec_id") % 5).cast("string")).alias("workbook"), c("vec_id").cast("string").alias("text"), "embedding"), view(s, d, "queries_fx"), "wb3", 5, "text").select("query_id", "chunk_id", "workbook", "text", F.round("score", 6).alias("score")),
+            "WITH n AS (SELECT q.query_id, e.vec_id AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.query_vec::DOUBLE[]) AS sc FROM embeddings e CROSS JOIN queries_fx q WHERE e.vec_id % 5 = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, chunk_id) AS k FROM n) SELECT query_id, chunk_id, 'wb3' AS workbook, chunk_id::VARCHAR AS text, round(sc, 6) AS score FROM r WHERE k <= 5"),
+        "run_summary": (lambda s, d: chunks.run_summary(_t(s, d, "documents").select(c("doc_id").alias("file"), (F.length("text") > 500).alias("ok"), F.lit(3).alias("slides")))[0], "SELECT true AS success, count(*) FILTER (length(text) > 500) AS files, 3 * count(*) FILTER (length(text) > 500) AS slides, count(*) FILTER (NOT coalesce(length(text) > 500, false)) AS failed FROM documents"),
+        "chunk_token_summary": (lambda s, d: chunks.chunk_token_summary(_t(s, d, "documents").select("text", c("n_chars").alias("token_count"), c("source").alias("sheet"))), """WITH b AS (SELECT * FROM documents WHERE regexp_matches(text, '[^ \t\n\x0B\f\r]'))
+            SELECT count(*) AS chunks, sum(n_chars)::BIGINT AS tokens, round(sum(n_chars) / count(*))::BIGINT AS average, count(DISTINCT source) AS sheets, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines, round(sum(length(text)) / 1024)::BIGINT AS kb FROM b"""),
+        "chunk_sources": (lambda s, d: chunks.chunk_sources(view(s, d, "cells_fx").select(c("row_no").alias("question"), F.when(c("v") > 1, c("workbook")).alias("workbook"), F.when(c("v") % 5 > 0, c("sheet")).alias("sheet"))), "SELECT row_no AS question, CASE WHEN v > 1 THEN workbook ELSE 'Unknown' END AS workbook, CASE WHEN v % 5 > 0 THEN sheet ELSE 'Unknown' END AS sheet, count(*) AS chunks FROM cells_fx GROUP BY ALL"),
+        "list_workbooks": (lambda s, d: chunks.list_workbooks(_store(s, d)), "SELECT workbook, count(DISTINCT col_no) AS versions, count(*) AS chunks FROM cells_fx GROUP BY ALL"),
+        "throughput_report": (lambda s, d: chunks.throughput_report(_t(s, d, "lineitem").selectExpr("l_linenumber * 10 AS batch_size", "CAST(l_quantity AS INT) AS items", "CAST(l_quantity - l_linenumber % 3 * 2 AS INT) AS ok_items", "l_suppkey AS seconds")), """WITH s AS (SELECT l_linenumber * 10 AS batch_size, sum(l_quantity::INT)::BIGINT AS items, sum((l_quantity - l_linenumber % 3 * 2)::INT) AS ok, sum(l_suppkey)::BIGINT AS seconds, sum(ceil(l_quantity::INT / (l_linenumber * 10)))::BIGINT AS calls FROM lineitem GROUP BY 1),
+            r AS (SELECT batch_size, items, seconds, calls, round(items / seconds, 4) AS items_per_s, round(100.0 * ok / items, 2)::DOUBLE AS success_pct FROM s) SELECT *, success_pct < 90 AS failed, coalesce(batch_size = (SELECT batch_size FROM r WHERE success_pct >= 90 ORDER BY items_per_s DESC, batch_size LIMIT 1), false) AS best FROM r"""),
+        "store_versions": (lambda s, d: _versions(s, d, True), """WITH s AS (SELECT workbook, col_no AS version, sheet, row_no FROM cells_fx), o AS (SELECT * FROM s WHERE workbook <> 'wb1.xlsx'), l AS (SELECT workbook, max(version) AS v FROM o GROUP BY 1)
+            SELECT * FROM o UNION ALL SELECT s.workbook, coalesce(v + 1, 1), sheet, row_no FROM s LEFT JOIN l USING (workbook) WHERE row_no <= 50 AND version = 1"""),
+        "replace_versions": (lambda s, d: _versions(s, d, False), """WITH s AS (SELECT workbook, col_no AS version, sheet, row_no FROM cells_fx), o AS (SELECT * FROM s WHERE workbook <> 'wb1.xlsx'), l AS (SELECT workbook, max(version) AS v FROM o GROUP BY 1), n AS (SELECT s.workbook, coalesce(v, 1) AS version, sheet, row_no FROM s LEFT JOIN l USING (workbook) WHERE row_no <= 50 AND version = 1)
+            SELECT * FROM o WHERE (workbook, version) NOT IN (SELECT (workbook, version) FROM n) UNION ALL SELECT * FROM n"""),
+        "file_versions": (lambda s, d: chunks.file_versions(_t(s, d, "lineitem").selectExpr("CONCAT('f', l_suppkey, '.xlsx') AS path", "l_orderkey * 10 + l_linenumber AS version_number", "l_quantity AS content"), "f3.xlsx"), "SELECT 'f3.xlsx' AS path, l_orderkey * 10 + l_linenumber AS version_number FROM lineitem WHERE l_suppkey = 3"),
+        "limit_chunks": (lambda s, d: chunks.limit_chunks(view(s, d, "hits_fx").selectExpr("file_path AS question", "slide_number + 7 AS chunk_index", "CASE WHEN slide_number > 2 THEN score END AS score"), 3), "SELECT file_path AS question, row_number() OVER w - 1 AS chunk_index, CASE WHEN slide_number > 2 THEN score ELSE 1.0 END AS score FROM hits_fx WINDOW w AS (PARTITION BY file_path ORDER BY slide_number) QUALIFY row_number() OVER w <= 3"),
+        "apply_edits": (lambda s, d: _edits(s, d)[0], "SELECT o_orderkey AS edit_id, CASE WHEN o_orderstatus <> 'P' THEN 'accepted' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 25 AND l_suppkey % 2 = 0) THEN 'rejected' ELSE 'pending' END AS status FROM orders"),
+        "apply_edits_failed": (lambda s, d: _edits(s, d)[1], "SELECT DISTINCT l_orderkey + l_suppkey % 2 * 100000000 AS edit_id FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 25 AND l_orderkey + l_suppkey % 2 * 100000000 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')"),
+        "pack_by_tokens": (lambda s, d: texts.pack_by_tokens(_t(s, d, "documents"), "doc_id", max_tokens=200), """WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, (length(unnest(string_split(text, chr(10)))) + 3) // 4 AS tokens FROM documents),
+            p AS (SELECT doc_id, line_no, 0::BIGINT AS chunk, tokens, tokens AS used FROM l WHERE line_no = 1 UNION ALL SELECT l.doc_id, l.line_no, CASE WHEN p.used + l.tokens > 200 THEN p.chunk + 1 ELSE p.chunk END, l.tokens, CASE WHEN p.used + l.tokens > 200 THEN l.tokens ELSE p.used + l.tokens END FROM p JOIN l ON l.doc_id = p.doc_id AND l.line_no = p.line_no + 1)
+            SELECT doc_id, line_no, chunk, tokens FROM p"""),
+        "replay_lru": (lambda s, d: chunks.replay_lru(view(s, d, "query_log_fx"), 2, 100).select("event_id", "outcome"), f"""WITH a AS (SELECT event_id, tenant, {_NORM} AS q, row_number() OVER (PARTITION BY tenant ORDER BY ts, event_id) AS n FROM query_log_fx), b AS (SELECT *, lag(n) OVER (PARTITION BY tenant, q ORDER BY n) AS prev FROM a),
+            c AS (SELECT b.event_id, any_value(b.prev) AS prev, count(DISTINCT x.q) AS between_them FROM b LEFT JOIN a x ON x.tenant = b.tenant AND x.n > b.prev AND x.n < b.n GROUP BY b.event_id) SELECT event_id, CASE WHEN prev IS NULL THEN 'miss' WHEN between_them < 2 THEN 'memory' ELSE 'disk' END AS outcome FROM c"""),
+        "live_tree": (lambda s, d: chunks.live_paths(view(s, d, "file_events_fx").withColumn("type", F.when((c("type") == "addDir") & (c("event_id") % 400 < 9), "unlinkDir").otherwise(c("type")))), """WITH e AS (SELECT path, ts, event_id, CASE WHEN type = 'addDir' AND event_id % 400 < 9 THEN 'unlinkDir' ELSE type END AS type FROM file_events_fx), l AS (SELECT path, max(ts) AS ts, arg_max(type, ts) AS type FROM e GROUP BY path)
+            SELECT path FROM l WHERE type NOT IN ('unlink', 'unlinkDir') AND NOT EXISTS (SELECT 1 FROM e WHERE e.type = 'unlinkDir' AND e.ts > l.ts AND starts_with(l.path, e.path || '/'))"""),
+        "embed_chunks": (lambda s, d: embed.embed_chunks(_t(s, d, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length")), "SELECT doc_id, 64 AS dim, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS length FROM documents"),
+        "normalize_vectors": (lambda s, d: embed.normalize_vectors(_t(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * 3).alias("embedding"))).select("vec_id", F.round(F.get("embedding", F.lit(0)), 6).alias("first")), "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first FROM embeddings"),
+        "search_pipeline": (_asked, None),
+    }
+
+
 def queries() -> dict:
-    return {name: query for name, (query, _) in _queries().items()}
+    return {name: query for name, (query, _) in (_queries() | _more()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, (_, sql) in _queries().items() if sql}
+    return {name: with_views(sql) for name, (_, sql) in (_queries() | _more()).items() if sql}

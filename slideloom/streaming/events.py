@@ -1,12 +1,19 @@
-"""Change streams: reading, debouncing and windowed counts."""
+"""Change streams: reading, debouncing, settling, queueing, windowed counts and indexing."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from slideloom.functions import scalars
-from slideloom.operators import tables
+from slideloom.operators import embed, tables
+from slideloom.sources import files
 
 SCHEMA = "event_id bigint, ts timestamp, type string, path string"
 
@@ -25,3 +32,54 @@ def debounce_events(events: DataFrame, gap: str = "500 milliseconds", late: str
 
 def window_counts(events: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     return tables.event_windows(events.withWatermark("ts", late), size, slide)
+
+
+def process_queue(events: DataFrame, delay: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
+    """The work that is released: the last add or change of a supported path, once nothing has followed for ``delay``; an unlink takes it back."""
+    supported = events.where(scalars.is_supported_document(F.col("path")))
+    return debounce_events(supported, delay, late).where("type IN ('add', 'change')")
+
+
+def cache_stats_stream(log: DataFrame) -> DataFrame:
+    """Hits, misses, total and hit rate so far of a log with ``hit``; for the update or complete mode."""
+    return tables.cache_stats(log)
+
+
+def settle_writes(polls: DataFrame, stable: str = "100 milliseconds", late: str = "10 minutes") -> DataFrame:
+    """(path, size, ts): a file once its size (path, size, ts) has stayed the same for ``stable``; again only after it has changed.
+
+    Polls of a path are taken in order of event time; the state of a path is its last size and since when.
+    """
+    gap = pd.Timedelta(stable)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        size, since, told = state.get if state.exists else (None, None, False)
+        out = []
+        for row in pd.concat(list(frames)).sort_values("ts").itertuples():
+            ts = pd.Timestamp(row.ts)
+            if size is None or row.size_ != size:
+                size, since, told = int(row.size_), ts, False
+            elif not told and ts - pd.Timestamp(since) >= gap:
+                told = True
+                out.append((key[0], size, ts))
+        state.update((size, since, told))
+        yield pd.DataFrame(out, columns=["path", "size", "ts"])
+
+    rows = polls.withWatermark("ts", late).select("path", F.col("size").cast("long").alias("size_"), "ts")
+    return rows.groupBy("path").applyInPandasWithState(run, "path string, size long, ts timestamp", "size long, since timestamp, told boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def index_stream(slides: DataFrame, store: str, checkpoint: str, embedder: embed.Embedder = embed.hashed_ngrams, text: str = "slide_text") -> StreamingQuery:
+    """Embeds a stream of slides and adds each micro-batch to ``store``; slides that fail go to ``store``-failures.
+
+    A batch is written under its own number, so that a replay replaces it; :func:`slideloom.sources.files.read_slides` takes the latest row of a key.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        w = Window.partitionBy("file_path", "slide_number").orderBy(F.desc(text))
+        once = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        good, failed = embed.embed_slides(once, embedder, text=text)
+        files.write_slides(good, store, number)
+        files.write_slides(failed, f"{store.rstrip('/')}-failures", number)
+
+    return slides.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
