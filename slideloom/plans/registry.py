@@ -202,7 +202,7 @@ def _more():
         "match_tool_results": (_tools, """WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'tool_call' ELSE role END AS role, text AS content, conv_id || '-' || (turn // 4) AS request_id FROM conversations), f AS (SELECT conv_id, request_id, min(turn) AS turn FROM m WHERE role = 'tool_call' GROUP BY ALL),
             r AS (SELECT conv_id, request_id, arg_max(content, turn) AS result FROM m WHERE role = 'assistant' GROUP BY ALL), x AS (SELECT conv_id, turn, result FROM f JOIN r USING (conv_id, request_id))
             SELECT m.conv_id, m.turn, role, CASE WHEN x.turn IS NULL THEN content ELSE 'Completed: ' || content END AS content, request_id, result, CASE WHEN x.turn IS NOT NULL THEN 'completed' END AS status FROM m LEFT JOIN x ON m.conv_id = x.conv_id AND m.turn = x.turn"""),
-        "merge_timeline": (_timeline, "SELECT epoch_ms(ts) AS at_ms, event_type AS text, CASE WHEN event_id % 2 = 0 THEN 'message' ELSE 'event' END AS kind FROM events"),
+        "merge_timeline": (_timeline, "SELECT epoch_us(ts) // 1000 AS at_ms, event_type AS text, CASE WHEN event_id % 2 = 0 THEN 'message' ELSE 'event' END AS kind FROM events"),
         "search_chunks": (lambda s, d: chunks.search_chunks(_t(s, d, "embeddings").select(c("vec_id").alias("chunk_id"), F.concat(F.lit("wb"), (c("vec_id") % 5).cast("string")).alias("workbook"), c("vec_id").cast("string").alias("text"), "embedding"), view(s, d, "queries_fx"), "wb3", 5, "text").select("query_id", "chunk_id", "workbook", "text", F.round("score", 6).alias("score")),
             "WITH n AS (SELECT q.query_id, e.vec_id AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.query_vec::DOUBLE[]) AS sc FROM embeddings e CROSS JOIN queries_fx q WHERE e.vec_id % 5 = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, chunk_id) AS k FROM n) SELECT query_id, chunk_id, 'wb3' AS workbook, chunk_id::VARCHAR AS text, round(sc, 6) AS score FROM r WHERE k <= 5"),
         "run_summary": (lambda s, d: chunks.run_summary(_t(s, d, "documents").select(c("doc_id").alias("file"), (F.length("text") > 500).alias("ok"), F.lit(3).alias("slides")))[0], "SELECT true AS success, count(*) FILTER (length(text) > 500) AS files, 3 * count(*) FILTER (length(text) > 500) AS slides, count(*) FILTER (NOT coalesce(length(text) > 500, false)) AS failed FROM documents"),
@@ -217,7 +217,7 @@ def _more():
         "replace_versions": (lambda s, d: _versions(s, d, False), """WITH s AS (SELECT workbook, col_no AS version, sheet, row_no FROM cells_fx), o AS (SELECT * FROM s WHERE workbook <> 'wb1.xlsx'), l AS (SELECT workbook, max(version) AS v FROM o GROUP BY 1), n AS (SELECT s.workbook, coalesce(v, 1) AS version, sheet, row_no FROM s LEFT JOIN l USING (workbook) WHERE row_no <= 50 AND version = 1)
             SELECT * FROM o WHERE (workbook, version) NOT IN (SELECT (workbook, version) FROM n) UNION ALL SELECT * FROM n"""),
         "file_versions": (lambda s, d: chunks.file_versions(_t(s, d, "lineitem").selectExpr("CONCAT('f', l_suppkey, '.xlsx') AS path", "l_orderkey * 10 + l_linenumber AS version_number", "l_quantity AS content"), "f3.xlsx"), "SELECT 'f3.xlsx' AS path, l_orderkey * 10 + l_linenumber AS version_number FROM lineitem WHERE l_suppkey = 3"),
-        "limit_chunks": (lambda s, d: chunks.limit_chunks(view(s, d, "hits_fx").selectExpr("file_path AS question", "slide_number + 7 AS chunk_index", "CASE WHEN slide_number > 2 THEN score END AS score"), 3), "SELECT file_path AS question, row_number() OVER w - 1 AS chunk_index, CASE WHEN slide_number > 2 THEN score ELSE 1.0 END AS score FROM hits_fx WINDOW w AS (PARTITION BY file_path ORDER BY slide_number) QUALIFY row_number() OVER w <= 3"),
+        "limit_chunks": (lambda s, d: chunks.limit_chunks(search.dedupe_hits(view(s, d, "hits_fx")).selectExpr("file_path AS question", "slide_number + 7 AS chunk_index", "CASE WHEN slide_number > 2 THEN score END AS score"), 3), "SELECT file_path AS question, row_number() OVER w - 1 AS chunk_index, CASE WHEN slide_number > 2 THEN score ELSE 1.0 END AS score FROM (SELECT file_path, slide_number, max(score) AS score FROM hits_fx GROUP BY ALL) WINDOW w AS (PARTITION BY file_path ORDER BY slide_number) QUALIFY row_number() OVER w <= 3"),
         "apply_edits": (lambda s, d: _edits(s, d)[0], "SELECT o_orderkey AS edit_id, CASE WHEN o_orderstatus <> 'P' THEN 'accepted' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 25 AND l_suppkey % 2 = 0) THEN 'rejected' ELSE 'pending' END AS status FROM orders"),
         "apply_edits_failed": (lambda s, d: _edits(s, d)[1], "SELECT DISTINCT l_orderkey + l_suppkey % 2 * 100000000 AS edit_id FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 25 AND l_orderkey + l_suppkey % 2 * 100000000 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')"),
         "pack_by_tokens": (lambda s, d: texts.pack_by_tokens(_t(s, d, "documents"), "doc_id", max_tokens=200), """WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, (length(unnest(string_split(text, chr(10)))) + 3) // 4 AS tokens FROM documents),
