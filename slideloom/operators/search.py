@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from slideloom.functions import scalars
+from slideloom.sources.shared import written
 
-#: Query vectors scored in one pass over the slides; more queries take more passes.
+#: About as many query vectors are scored in one pass over the slides; more queries take more passes.
 QUERY_BLOCK = 2048
 
 
@@ -23,8 +25,9 @@ def search_slides(
 ) -> DataFrame:
     """Top ``top_k`` slides by cosine for each of (query_id, query_vec): query_id, ``keys``, score, rank.
 
-    The query matrix is sent to all tasks in blocks of bounded size; every task keeps its own top rows, so
-    only top_k rows per query and task are shuffled.  Vectors of another length than the query's are not
+    Queries are taken in blocks of about QUERY_BLOCK, each block in a pass of its own over the slides whose hits
+    are written before the next begins: the driver and the tasks hold one block, however many queries there are.
+    Every task keeps its own top rows, so only top_k rows per query and batch are shuffled.  Vectors of another length than the query's are not
     scored; zero vectors score 0.  Ties go by ``keys``.
     """
     spark = slides.sparkSession
@@ -55,17 +58,30 @@ def search_slides(
 
         return run
 
-    out = spark.createDataFrame([], schema)
-    table = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec")).where("query_vec IS NOT NULL").toArrow()
-    sizes = np.asarray(table["query_vec"].combine_chunks().value_lengths()) if table.num_rows else np.zeros(0)
-    for size in sorted(set(sizes.tolist())):
-        own = table.filter(pa.array(sizes == size)).combine_chunks()
-        for start in range(0, own.num_rows, QUERY_BLOCK):
-            block = own.slice(start, QUERY_BLOCK).combine_chunks()
+    asked = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec")).where("query_vec IS NOT NULL")
+
+    def scored(table: pa.Table) -> DataFrame:
+        """The hits of one bounded table of queries."""
+        out = spark.createDataFrame([], schema)
+        sizes = np.asarray(table["query_vec"].combine_chunks().value_lengths()) if table.num_rows else np.zeros(0)
+        for size in sorted(set(sizes.tolist())):
+            block = table.filter(pa.array(sizes == size)).combine_chunks()
             matrix = block["query_vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, -1)
             norm = np.linalg.norm(matrix, axis=1, keepdims=True)
             matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
             out = out.unionByName(slides.mapInArrow(kernel(block["query_id"].combine_chunks(), matrix), schema))
+        return out
+
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        return _best(scored(asked.toArrow()), top_k, keys)
+    asked = written(asked, "queries")  # each pass reads its own block
+    passes = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow() for b in range(blocks))
+    return functools.reduce(DataFrame.unionByName, (written(_best(scored(p), top_k, keys), "hits") for p in passes))
+
+
+def _best(out: DataFrame, top_k: int, keys: tuple[str, ...]) -> DataFrame:
+    """The first ``top_k`` hits of each query, with their rank."""
     out = out.withColumn("_order", F.round("score", 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("_order"), *keys)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).drop("_order")

@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from slideloom.functions import scalars as S
-from slideloom.operators import search, tables
+from slideloom.operators import names, search, tables
 
 
 def test_names_and_versions(spark):
@@ -34,3 +36,29 @@ def test_search_skips_other_dimensions(spark):
     queries = spark.createDataFrame([(7, [2.0, 0.0])], "query_id long, query_vec array<double>")
     out = search.search_slides(slides, queries, 5).orderBy("rank").collect()
     assert [(r.file_path, r.slide_number, r.score) for r in out] == [("f", 1, 1.0), ("f", 2, 0.0)]
+
+
+def test_many_queries_take_several_passes(spark, monkeypatch):
+    slides = spark.createDataFrame([(f"f{i}", 1, [float(i % 7), 1.0]) for i in range(40)], "file_path string, slide_number int, embedding array<double>")
+    queries = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(9)], "query_id long, query_vec array<double>")
+    whole = sorted(map(tuple, search.search_slides(slides, queries, 5).collect()))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    assert sorted(map(tuple, search.search_slides(slides, queries, 5).collect())) == whole and len(whole) == 45
+
+
+def test_similar_names_match_brute_force(spark):
+    rng = random.Random(5)
+    base = ["quarterly budget review", "plan", "roadmap for the team", "a", "ab"]
+    listed = []
+    for _ in range(250):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = rng.choice(["x", "", "yz"])
+        listed.append("".join(w) + rng.choice(["", " v2"]) + ".pptx")
+    df = spark.createDataFrame([(x,) for x in [*listed, None]], "file_name string")
+    got = {(r.base_a, r.base_b) for r in names.similar_name_pairs(df).collect()}
+    b = df.select("file_name", F.lower(S.name_base(F.col("file_name"))).alias("base")).distinct()
+    every = b.toDF("n1", "b1").join(b.toDF("n2", "b2"), F.col("b1") < F.col("b2")).where(S.same_presentation(F.col("n1"), F.col("n2"))).where("b1 <> ''")
+    want = {(r.b1, r.b2) for r in every.select("b1", "b2").distinct().collect()}
+    assert got == want and len(want) > 50
