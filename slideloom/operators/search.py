@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +28,8 @@ def search_slides(
 
     Queries are taken in blocks of about QUERY_BLOCK, each block in a pass of its own over the slides whose hits
     are written before the next begins: the driver and the tasks hold one block, however many queries there are.
-    Every task keeps its own top rows, so only top_k rows per query and batch are shuffled.  Vectors of another length than the query's are not
-    scored; zero vectors score 0.  Ties go by ``keys``.
+    Every task keeps its own top rows, ties by ``keys`` included, so only top_k rows per query and batch are shuffled.  Vectors of another
+    length than the query's are not scored; zero vectors score 0.
     """
     spark = slides.sparkSession
     if file_filter is not None:
@@ -46,14 +47,11 @@ def search_slides(
                 part = batch.filter(pa.array(ok))
                 if not part.num_rows:
                     continue
+                part = _in_order(part, keys)
                 v = part.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
                 scores = matrix @ np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).T
-                if part.num_rows > 2 * top_k:
-                    floor = np.partition(scores, -top_k, axis=1)[:, -top_k]
-                    q, s = np.nonzero(scores >= floor[:, None] - 1e-9)  # ties at the border all stay
-                else:
-                    q, s = np.nonzero(np.ones_like(scores, bool))
+                q, s = _top(scores, top_k)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), *[part.column(k).take(pa.array(s)) for k in keys], pa.array(scores[q, s])], schema.fieldNames())
 
         return run
@@ -80,6 +78,21 @@ def search_slides(
     return functools.reduce(DataFrame.unionByName, (written(_best(scored(p), top_k, keys), "hits") for p in passes))
 
 
+def _in_order(part: pa.RecordBatch | pa.Table, keys: tuple[str, ...]) -> pa.RecordBatch | pa.Table:
+    """The rows by ``keys``, nulls first as Spark sorts them."""
+    return part.take(pc.sort_indices(part.select(list(keys)), sort_keys=[(k, "ascending") for k in keys], null_placement="at_start"))
+
+
+def _top(scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``top_k`` best of each line; of equal scores at the border the first ones, so that copies of a vector cannot pile up."""
+    if scores.shape[1] <= top_k:
+        return np.nonzero(np.ones_like(scores, bool))
+    rounded = np.round(scores, 9)
+    floor = np.partition(rounded, -top_k, axis=1)[:, -top_k, None]
+    above, tied = rounded > floor, rounded == floor
+    return np.nonzero(above | tied & (np.cumsum(tied, axis=1) <= top_k - above.sum(axis=1, keepdims=True)))
+
+
 def _best(out: DataFrame, top_k: int, keys: tuple[str, ...]) -> DataFrame:
     """The first ``top_k`` hits of each query, with their rank."""
     out = out.withColumn("_order", F.round("score", 9))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -132,12 +132,23 @@ def evict_lru(cache: DataFrame, max_entries: int = 1000, key: str = "query_hash"
 
 # -- chunks ---------------------------------------------------------------------------------------------------
 
-def chunk_rows(cells: DataFrame, rows_per_chunk: int = 10, max_cols: int = 50) -> DataFrame:
-    """(workbook, sheet, chunk, first_row, last_row, cells) of row ranges; columns beyond ``max_cols`` are cut."""
+def chunk_rows(cells: DataFrame, rows_per_chunk: int = 10, max_cols: int = 50, include_empty: bool = False) -> DataFrame:
+    """(workbook, sheet, chunk, first_row, last_row, cells) of row ranges; columns beyond ``max_cols`` are cut.
+
+    ``include_empty`` keeps the ranges without cells up to the sheet's last row; their rows are those of the whole range.
+    """
     chunk = F.floor((F.col("row_no") - 1) / rows_per_chunk)
-    return cells.where(F.col("col_no") <= max_cols).groupBy("workbook", "sheet", chunk.alias("chunk")).agg(
-        F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.count("*").alias("cells")
-    )
+    inside = F.when(F.col("col_no") <= max_cols, F.col("row_no"))
+    found = cells.groupBy("workbook", "sheet", chunk.alias("chunk")).agg(F.min(inside).alias("first_row"), F.max(inside).alias("last_row"), F.count(inside).alias("cells"))
+    if not include_empty:
+        return found.where("cells > 0")
+    kind = cells.schema["row_no"].dataType
+    ranges = found.groupBy("workbook", "sheet").agg(F.max("chunk").alias("_last")).select("workbook", "sheet", F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("chunk"))
+    first = F.coalesce("first_row", (F.col("r.chunk") * rows_per_chunk + 1).cast(kind))
+    last = F.coalesce("last_row", ((F.col("r.chunk") + 1) * rows_per_chunk).cast(kind))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("workbook", "sheet", "chunk")]
+    filled = ranges.alias("r").join(found.alias("f"), same, "left")
+    return filled.select("r.workbook", "r.sheet", "r.chunk", first.alias("first_row"), last.alias("last_row"), F.coalesce("cells", F.lit(0)).cast("long").alias("cells"))
 
 
 def sheet_totals(cells: DataFrame) -> DataFrame:
@@ -148,12 +159,31 @@ def chunk_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks"), F.sum(F.length(text)).alias("characters"), F.bround(F.avg(F.length(text)), 0).cast("long").alias("average"))
 
 
-def compress_chunks(cells: DataFrame, by: tuple[str, ...], order: tuple[str, ...], value: str, max_cells: int = 1000, max_length: int = 200) -> DataFrame:
-    """The first ``max_cells`` cells of each chunk, each cut to ``max_length`` characters, as one text."""
+def compress_chunks(
+    cells: DataFrame, by: tuple[str, ...], order: tuple[str, ...], value: str, max_cells: int = 1000, max_length: int = 200, markdown: tuple[str, ...] = ()
+) -> DataFrame:
+    """The first ``max_cells`` cells of each chunk, each cut to ``max_length`` characters, as one text.
+
+    With ``markdown``, the columns that place a cell, there is also a markdown table of one line a cell: these columns and
+    the value, with bars escaped and line breaks as spaces.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
     first = cells.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_cells)
-    parts = F.array_sort(F.collect_list(F.struct("_n", F.substring(F.col(value).cast("string"), 1, max_length).alias("t"))))
-    return first.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " | ").alias("text"), F.count("*").alias("cells"))
+    short = F.substring(F.col(value).cast("string"), 1, max_length)
+    line = F.concat_ws(" | ", *[_markdown_cell(F.col(c).cast("string")) for c in markdown], _markdown_cell(short))
+    parts = F.array_sort(F.collect_list(F.struct("_n", short.alias("t"), line.alias("line"))))
+    packed = first.groupBy(*by).agg(parts.alias("_parts"), F.count("*").alias("cells"))
+    text = F.array_join(F.transform("_parts", lambda x: x["t"]), " | ").alias("text")
+    if not markdown:
+        return packed.select(*by, text, "cells")
+    names = [*markdown, value]
+    head = f"| {' | '.join(names)} |\n| {' | '.join('-' for _ in names)} |\n"
+    table = F.concat(F.lit(head), F.array_join(F.transform("_parts", lambda x: F.concat(F.lit("| "), x["line"], F.lit(" |"))), "\n"))
+    return packed.select(*by, text, table.alias("markdown"), "cells")
+
+
+def _markdown_cell(text: Column) -> Column:
+    return F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*[\r\n]+\s*", " "), F.lit("|"), F.lit("\\|"))
 
 
 def assign_batches(df: DataFrame, order: str, size: int = 75, by: str | None = None) -> DataFrame:

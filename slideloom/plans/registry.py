@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slideloom.fixtures import view, with_views
 from slideloom.functions import scalars as S
-from slideloom.operators import chunks, embed, names, search, tables, texts
+from slideloom.operators import ann, chunks, embed, names, search, tables, texts
 from slideloom.sources import files
 from slideloom.sources.shared import scratch_path
 
@@ -230,6 +230,11 @@ def _more():
         "embed_chunks": (lambda s, d: embed.embed_chunks(_t(s, d, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length")), "SELECT doc_id, 64 AS dim, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS length FROM documents"),
         "normalize_vectors": (lambda s, d: embed.normalize_vectors(_t(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * 3).alias("embedding"))).select("vec_id", F.round(F.get("embedding", F.lit(0)), 6).alias("first")), "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first FROM embeddings"),
         "search_pipeline": (_asked, None),
+        "search_ann": (lambda s, d: ann.search_ann(_t(s, d, "embeddings"), _t(s, d, "embeddings").where("vec_id % 100 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("query_vec")), 10, keys=("vec_id",)).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank"), None),
+        "chunk_rows_with_empty": (lambda s, d: tables.chunk_rows(view(s, d, "cells_fx").where("row_no % 40 < 20"), 10, 3, include_empty=True), """WITH k AS (SELECT *, (row_no - 1) // 10 AS chunk FROM cells_fx WHERE row_no % 40 < 20), m AS (SELECT workbook, sheet, max(chunk) AS last FROM k GROUP BY ALL), r AS (SELECT workbook, sheet, unnest(range(last + 1)) AS chunk FROM m),
+            f AS (SELECT workbook, sheet, chunk, min(row_no) AS a, max(row_no) AS b, count(*) AS n FROM k WHERE col_no <= 3 GROUP BY ALL) SELECT workbook, sheet, chunk, coalesce(a, chunk * 10 + 1)::INT AS first_row, coalesce(b, chunk * 10 + 10)::INT AS last_row, coalesce(n, 0) AS cells FROM r LEFT JOIN f USING (workbook, sheet, chunk)"""),
+        "compress_chunks_markdown": (lambda s, d: tables.compress_chunks(view(s, d, "cells_fx"), ("workbook", "sheet"), ("row_no", "col_no", "v"), "v", 50, markdown=("row_no", "col_no")).select("workbook", "sheet", "markdown"), """WITH r AS (SELECT *, row_number() OVER (PARTITION BY workbook, sheet ORDER BY row_no, col_no, v) AS n FROM cells_fx)
+            SELECT workbook, sheet, '| row_no | col_no | v |' || chr(10) || '| - | - | - |' || chr(10) || string_agg('| ' || row_no || ' | ' || col_no || ' | ' || v || ' |', chr(10) ORDER BY n) AS markdown FROM r WHERE n <= 50 GROUP BY ALL"""),
         "similar_name_pairs": (lambda s, d: names.similar_name_pairs(_t(s, d, "part").select(F.concat("p_name", F.when(c("p_partkey") % 3 > 0, F.concat(F.lit(" v"), (c("p_partkey") % 3).cast("string"))).otherwise(""), F.lit(".pptx")).alias("file_name"))).withColumn("similarity", F.round("similarity", 6)),
             """WITH b AS (SELECT lower(p_name) AS base, bool_or(p_partkey % 3 > 0) AS v, bool_or(p_partkey % 3 = 0) AS p FROM part GROUP BY 1), s AS (SELECT a.base AS base_a, b.base AS base_b, a.v AS va, a.p AS pa, b.v AS vb, b.p AS pb,
             (greatest(length(a.base), length(b.base)) - levenshtein(a.base, b.base)) / greatest(length(a.base), length(b.base)) AS x FROM b a JOIN b ON a.base < b.base AND length(a.base) BETWEEN 0.8 * length(b.base) AND 1.25 * length(b.base))

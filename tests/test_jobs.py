@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from slideloom.functions import scalars as S
-from slideloom.operators import names, search, tables
+from slideloom.operators import ann, names, search, tables
 
 
 def test_names_and_versions(spark):
@@ -62,3 +63,33 @@ def test_similar_names_match_brute_force(spark):
     every = b.toDF("n1", "b1").join(b.toDF("n2", "b2"), F.col("b1") < F.col("b2")).where(S.same_presentation(F.col("n1"), F.col("n2"))).where("b1 <> ''")
     want = {(r.b1, r.b2) for r in every.select("b1", "b2").distinct().collect()}
     assert got == want and len(want) > 50
+
+
+def test_approximate_search_finds_most_and_takes_copies(spark):
+    rng = random.Random(9)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 0.4) for x in rng.choice(centres)]) for i in range(600)] + [(600 + i, centres[0]) for i in range(300)] + [(900, None), (901, [1.0]), (902, [0.0] * 16)]
+    slides = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = slides.where("vec_id % 20 = 0 AND size(embedding) = 16").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    exact = {(r.query_id, r.rank): r for r in search.search_slides(slides, queries, 10, keys=("vec_id",)).collect()}
+    got = ann.search_ann(slides, queries, 10, keys=("vec_id",)).collect()
+    want = {(r.query_id, r.vec_id) for r in exact.values()}
+    assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
+    # the copies tie: the first keys win
+    assert sorted(r.vec_id for r in got if r.query_id == 600) == list(range(600, 610))
+    assert ann.search_ann(slides.where("false"), queries, 10, keys=("vec_id",)).count() == ann.search_ann(slides, queries.where("false"), 10, keys=("vec_id",)).count() == 0
+
+
+def test_copies_at_the_border_do_not_pile_up():
+    scores = np.array([[0.5] * 50 + [0.9, 0.5]])
+    q, s = search._top(scores, 3)
+    assert q.tolist() == [0, 0, 0] and s.tolist() == [0, 1, 50]
+
+
+def test_empty_chunks_and_markdown(spark):
+    cells = spark.createDataFrame([("w", "s", 1, 1, "a|b"), ("w", "s", 2, 2, "c\nd"), ("w", "s", 25, 99, "far"), ("w", None, 11, 1, None)], "workbook string, sheet string, row_no int, col_no int, v string")
+    got = {(r.sheet, r.chunk): (r.first_row, r.last_row, r.cells) for r in tables.chunk_rows(cells, include_empty=True).collect()}
+    assert got == {("s", 0): (1, 2, 2), ("s", 1): (11, 20, 0), ("s", 2): (21, 30, 0), (None, 0): (1, 10, 0), (None, 1): (11, 11, 1)}
+    assert tables.chunk_rows(cells).count() == 2
+    out = tables.compress_chunks(cells.where("row_no < 3"), ("workbook", "sheet"), ("row_no", "col_no"), "v", markdown=("row_no",)).first()
+    assert out.markdown == "| row_no | v |\n| - | - |\n| 1 | a\\|b |\n| 2 | c d |" and out.text == "a|b | c\nd"
