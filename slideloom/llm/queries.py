@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from . import decontaminate, html_text, langid, license_scan, mixing, neardup, pii, quality, sql, substring, tokens
 from ._shared import read_table
 
+#: Floors of a run, in words: two or more sentences, and one sentence.  A passage pasted behind an unfinished sentence
+#: loses its first sentence and its last may be short, so they lie well below the 50 words of a passage.
+OP1_RUN_WORDS = 12
+OP1_LONG_WORDS = 25
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring.drop_repeats(docs).select("doc_id", "n_sentences", "n_removed", "n_removed_words", "text")
+    return substring.drop_repeats(docs, OP1_RUN_WORDS, OP1_LONG_WORDS).select("doc_id", "n_sentences", "n_removed", "n_removed_words", "text")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
