@@ -8,7 +8,7 @@ of the template's words that are aligned is its coverage.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -108,17 +108,69 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def _windows(words: list[str], template: list[str], rare: set[str]) -> list[tuple[int, int]]:
-    """Stretches of a text that can hold the template: around the template's distinguishing words, merged when they touch."""
-    reach = 2 * len(template)
-    out: list[list[int]] = []
-    for i, w in enumerate(words):
+def _around(words: list[str], template: list[str], i: int, p: int, low: int, high: int, need: float) -> list[tuple[int, int]]:
+    """The best alignment within words[low:high] in which word ``i`` is the template's word ``p``; empty if none has ``need`` words.
+
+    Narrow stretches come first: a copy of the template beside this one makes its words ambiguous.
+    """
+    size = len(template)
+    best: list[tuple[int, int]] = []
+    for slack in dict.fromkeys((0, size // 4 + 1, size, 2 * size)):
+        a, b = max(low, i - min(p + slack, 2 * size)), min(high, i + 1 + min(size - 1 - p + slack, 2 * size))
+        near = set(words[a:b])
+        if sum(w in near for w in template) < need:
+            continue
+        left = patience(words[a:i], template[:p])
+        right = patience(words[i + 1 : b], template[p + 1 :])
+        aligned = [(a + x, y) for x, y in left] + [(i, p)] + [(i + 1 + x, p + 1 + y) for x, y in right]
+        aligned = _dense(aligned, 2 * size)  # aligned words far from the rest are chance
+        if len(aligned) >= need and len(aligned) > len(best):
+            best = aligned
+            if len(best) == size:
+                break
+    return best
+
+
+def _copies(words: list[str], template: list[str], rare: set[str], min_coverage: float) -> list[tuple[int, int, int]]:
+    """(first word, last word, aligned words) of all separate occurrences of a template.
+
+    Any occurrence has one of the rare words aligned, so it is looked for around each place of these.  Of finds that
+    overlap the best covered stays, then the shortest, and the words on both sides of it are searched again.
+    """
+    places: dict[str, list[int]] = {}
+    for p, w in enumerate(template):
         if w in rare:
-            if out and i - reach <= out[-1][1]:
-                out[-1][1] = i + reach
+            places.setdefault(w, []).append(p)
+    hits = [i for i, w in enumerate(words) if w in places]
+    need = min_coverage * len(template) - 1e-9
+    out = []
+    parts = [(0, len(words))]
+    while parts:
+        low, high = parts.pop()
+        found = set()
+        for i in hits[bisect_left(hits, low) : bisect_left(hits, high)]:
+            for p in places[words[i]]:
+                aligned = _around(words, template, i, p, low, high, need)
+                if aligned:
+                    found.add((-len(aligned), aligned[-1][0] - aligned[0][0], aligned[0][0]))
+        taken: list[tuple[int, int]] = []
+        again = False
+        for size, length, first in sorted(found):
+            if _free(taken, first, first + length + 1):
+                insort(taken, (first, first + length + 1))
+                out.append((first, first + length, -size))
             else:
-                out.append([i - reach, i + reach])
-    return [(max(0, a), min(len(words), b + 1)) for a, b in out]
+                again = True
+        if again:  # what overlapped may hold a copy of its own
+            edges = [low, *[x for t in taken for x in t], high]
+            parts += [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= need]
+    return out
+
+
+def _free(taken: list[tuple[int, int]], first: int, past: int) -> bool:
+    """Whether a stretch touches none of ``taken``, which are in order and apart."""
+    at = bisect_left(taken, (first, past))
+    return (not at or taken[at - 1][1] <= first) and (at == len(taken) or taken[at][0] >= past)
 
 
 def scan_text(text: str, templates: dict[str, list[str]], rare: dict[str, set[str]], every: set[str], min_coverage: float) -> list[tuple[str, float, int, int]]:
@@ -131,24 +183,15 @@ def scan_text(text: str, templates: dict[str, list[str]], rare: dict[str, set[st
     present = every.intersection(plain)
     found = []
     for name, template in templates.items() if present else ():
-        if not rare[name] & present:
-            continue
-        for a, b in _windows(plain, template, rare[name]):
-            while a < b:  # a window may hold the template again
-                aligned = patience(plain[a:b], template)
-                # aligned words far from the rest are chance
-                aligned = _dense(aligned, 2 * len(template))
-                coverage = len(aligned) / len(template)
-                if coverage < min_coverage:
-                    break
-                first, last = a + aligned[0][0], a + aligned[-1][0]
-                found.append((name, coverage, words[first][1], words[last][2]))
-                a = last + 1
+        if rare[name] & present:
+            found += [(name, n / len(template), words[first][1], words[last][2]) for first, last, n in _copies(plain, template, rare[name], min_coverage)]
     # of overlapping finds the one with more characters stays, then the better covered
     found.sort(key=lambda x: (-(x[3] - x[2]), -x[1], x[2], x[0]))
     kept: list[tuple[str, float, int, int]] = []
+    taken: list[tuple[int, int]] = []
     for x in found:
-        if all(x[3] <= k[2] or x[2] >= k[3] for k in kept):
+        if _free(taken, x[2], x[3]):
+            insort(taken, (x[2], x[3]))
             kept.append(x)
     return sorted(kept, key=lambda x: x[2])
 

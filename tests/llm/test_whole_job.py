@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than the whole job."""
 
-from slideloom.llm import queries
+import pytest
+
+from slideloom.llm import license_scan, queries
 
 
 def words_from(prefix, n):
@@ -16,3 +18,21 @@ def test_passage_after_an_unfinished_sentence_is_removed(spark, tmp_path):
     got = {r.doc_id: r for r in queries.op1_substring_dedup(spark, str(tmp_path)).collect()}
     assert [got[i].n_removed_words for i in range(6)] == [0, 22, 0, 27, 0, 0]
     assert "b3" not in got[1].text and "c3" not in got[1].text and "Own end." in got[1].text and "e3" not in got[3].text
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3, 4])
+def test_adjacent_copies_of_a_notice_are_all_found(spark, copies):
+    # a word set in the middle of the last copy: it is aligned but not equal; one notice further on stands alone
+    names = [n for n in license_scan.TEMPLATES if n != "all-rights-reserved"]
+    texts, want = [], []
+    for name in names:
+        notice = license_scan.TEMPLATES[name]
+        at = notice.index(" ", len(notice) // 2)
+        parts = [notice] * copies + [f"{notice[:at]} so{notice[at:]}", "word " * 300 + notice]
+        texts.append("Our license. " + " ".join(parts) + " Under a license.")
+        want.append([name] * (copies + 2))
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, name in enumerate(names):
+        assert [x.license for x in got[i]] == want[i], name
+        assert all(x.coverage == 1 and a.past <= x.first for a, x in zip(got[i], got[i][1:], strict=False)), name
+        assert texts[i][got[i][0].first : got[i][0].past] == license_scan.TEMPLATES[name].rstrip("."), name
