@@ -3,7 +3,8 @@
 A page is read into a small tree of block elements.  The density of a block is its characters per tag,
 adjusted by the share of link characters and link tags; the density sum of a block adds up its children.
 The block with the largest density sum is the content; the smallest density on its path up to the body is
-the threshold at which further subtrees are searched in the same way.
+the threshold at which further subtrees are searched in the same way.  The structure of the page completes
+this: headings, quotes, lists and short paragraphs that belong to the blocks found stay too.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "option", "summary"}
 _ITEM = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that belong to the content directly behind them, alone or in a wrapper of such.
+_LEADING = _HEADINGS | frozenset("p blockquote ul ol dl pre figure figcaption".split())
 _HOLDER = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
 
@@ -171,8 +175,8 @@ def _highest(block: _Block) -> _Block:
     return best
 
 
-def content_blocks(root: _Block) -> list[_Block]:
-    """The content subtrees in page order."""
+def _marked(root: _Block) -> list[_Block]:
+    """The subtrees that their density marks as content, in page order."""
     densities(root)
     if not root.chars:
         return []
@@ -210,6 +214,99 @@ def content_blocks(root: _Block) -> list[_Block]:
     return out
 
 
+def _container(block: _Block) -> _Block | None:
+    """The outermost article around a block or, without an article, the outermost main."""
+    found: dict[str, _Block] = {}
+    up: _Block | None = block
+    while up is not None:
+        found[up.name] = up
+        up = up.parent
+    return found.get("article") or found.get("main")
+
+
+def _linked(block: _Block) -> bool:
+    """Whether most characters of a block are in links; those of headings do not count as such."""
+    links, queue = block.link_chars, [block]
+    for b in queue:
+        if b.name in _HEADINGS:
+            links -= b.link_chars
+        else:
+            queue.extend(b.children)
+    return 2 * links > block.chars
+
+
+def _leads(block: _Block) -> bool:
+    """Whether a block directly before the content belongs to it."""
+    queue = [block]
+    for b in queue:
+        if b.name not in _LEADING:
+            if any(isinstance(p, str) and p.strip() for p in b.parts):
+                return False
+            queue.extend(c for c in b.children if c.chars)
+    return not _linked(block)
+
+
+def content_blocks(root: _Block) -> list[_Block | str]:
+    """The content in page order: subtrees, and texts that stand beside them.
+
+    An article or main with a marked subtree stays, and so does what lies between the first and the last marked
+    subtree outside of these, both without blocks that are mostly links (paragraphs, headings and quotes are no such
+    blocks).  Of what is before the first one, the headings, quotes, lists and paragraphs directly before it stay.
+    """
+    marked = _marked(root)
+    if not marked or marked[0] is root:
+        return list(marked)
+    ids, whole, loose, path = {id(b) for b in marked}, set(), set(), set()
+    for block in marked:
+        holder = _container(block)
+        if holder is None:
+            loose.add(id(block))
+        else:
+            whole.add(id(holder))
+        up = block.parent
+        while up is not None and id(up) not in path:
+            path.add(id(up))
+            up = up.parent
+    # the page as subtrees and texts in order, each with whether it is in an article or main that stays
+    items: list[tuple[_Block | str, bool]] = []
+    stack = [(iter(root.parts), False)]
+    held: list[str] = []
+    while stack:
+        parts, inside = stack[-1]
+        part = next(parts, None)
+        if isinstance(part, str):
+            held.append(part)
+            continue
+        if held:
+            items.append(("".join(held), inside))
+            held = []
+        if part is None:
+            stack.pop()
+        elif part.dropped:
+            continue
+        elif id(part) in path and id(part) not in ids:
+            stack.append((iter(part.parts), inside or id(part) in whole))
+        else:
+            items.append((part, inside or id(part) in whole))
+    places = [i for i, (x, _) in enumerate(items) if id(x) in loose]
+    first, last = (places[0], places[-1]) if places else (len(items), -1)
+    keep = set()
+    for i, (x, inside) in enumerate(items):
+        stays = inside or first <= i <= last
+        if id(x) in ids or stays and (isinstance(x, str) or x.name in ("p", "blockquote", "pre", "figcaption") or not _linked(x)):
+            keep.add(i)
+    for i in range(first - 1, -1, -1) if places else ():
+        x = items[i][0]
+        if isinstance(x, str):
+            if x.strip():
+                break
+        elif x.chars:
+            if not _leads(x):
+                break
+            keep.add(i)
+    return [items[i][0] for i in sorted(keep)]
+
+
 def _texts(block: _Block) -> Iterator[str]:
     """Texts of blocks in page order; text around an inner block is a block of its own."""
     stack: list[tuple[Iterator, list[str]]] = [(iter(block.parts), [])]
@@ -235,7 +332,7 @@ def main_text(page: str | None) -> str:
     """Main text of one page, its blocks joined by empty lines; '' if there is none."""
     if not page:
         return ""
-    blocks = (_SPACE.sub(" ", t).strip() for b in content_blocks(parse(page)) for t in _texts(b))
+    blocks = (_SPACE.sub(" ", t).strip() for b in content_blocks(parse(page)) for t in ([b] if isinstance(b, str) else _texts(b)))
     return "\n\n".join(t for t in blocks if t)
 
 

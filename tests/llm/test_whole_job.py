@@ -2,7 +2,7 @@
 
 import pytest
 
-from slideloom.llm import license_scan, queries
+from slideloom.llm import html_text, license_scan, queries
 
 
 def words_from(prefix, n):
@@ -36,3 +36,28 @@ def test_adjacent_copies_of_a_notice_are_all_found(spark, copies):
         assert [x.license for x in got[i]] == want[i], name
         assert all(x.coverage == 1 and a.past <= x.first for a, x in zip(got[i], got[i][1:], strict=False)), name
         assert texts[i][got[i][0].first : got[i][0].past] == license_scan.TEMPLATES[name].rstrip("."), name
+
+
+LONG = "Plain words of a long paragraph that says a good deal about its subject. " * 4
+BODY = f"<p>{LONG}</p>" * 5
+LINKS = "<ul>" + "<li><a href=x>Elsewhere on this site</a></li>" * 6 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "stays", "goes"),
+    [
+        (f"<article><h1>A headline</h1><div>{BODY}</div></article>", ["A headline"], []),
+        (f"<div><h1><a href=x>A headline</a></h1><blockquote>Said so.</blockquote><div><div>{BODY}</div></div></div>{LINKS}", ["A headline", "Said so."], ["Elsewhere"]),
+        (
+            f"<nav>Menu</nav><main><header><h1>A headline</h1></header><p>Short lead.</p><div>{BODY}</div><h2>Subhead</h2><blockquote>Said so.</blockquote><div>{BODY}</div><p>Short end.</p>{LINKS}</main>",
+            ["A headline", "Short lead.", "Subhead", "Said so.", "Short end."], ["Menu", "Elsewhere"],
+        ),
+        (f"{LINKS}<div>{BODY}</div><h2>Subhead</h2>Bare text.<blockquote>Said so.</blockquote>{LINKS}<ul><li>One thing</ul><div>{BODY}</div>{LINKS}", ["Subhead", "Bare text.", "Said so.", "One thing"], ["Elsewhere"]),
+    ],
+)
+def test_parts_beside_the_main_block_stay(page, stays, goes):
+    text = html_text.main_text(f"<html><body>{page}</body></html>")
+    blocks = text.split("\n\n")
+    at = [blocks.index(x) for x in stays]
+    assert at == sorted(at) and text.count(LONG.strip()) == page.count(LONG)
+    assert not any(x in text for x in goes)
