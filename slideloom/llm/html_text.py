@@ -31,12 +31,18 @@ _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that are never main text.
 DROPPED = frozenset("nav footer aside form button select option dialog menu head object canvas audio video map".split())
-#: Words in class, id or role that mark such parts.
+#: Names in class, id or role that mark such parts, whole or as the end of a longer name (left-sidebar).
 DROPPED_NAMES = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "aside footer header masthead cookie cookies consent notice popup modal newsletter subscribe share sharing social comment comments "
     "disqus reply replies related recommended widget toolbar search login complementary contentinfo".split()
 )
+#: Parts of longer names that say a page has, or does not have, such a part (has-sidebar, no-comments).
+_ABOUT = frozenset("has have with without no not hide hidden show is".split())
+#: Last words of names that only say where or in which form such a part is (sidebar-left, share-buttons).
+_FORMS = frozenset("left right top bottom bar box area list links link items item buttons button icons icon slot unit block widget widgets".split())
+#: Dropped by their element alone, wherever the text is.
+_NEVER = frozenset("head button select option canvas audio video map object".split())
 BLOCKS = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th pre blockquote figure "
     "figcaption address center fieldset hr details summary header hgroup caption".split()
@@ -54,7 +60,7 @@ class _Block:
     __slots__ = ("chars", "children", "density", "dropped", "link_chars", "link_tags", "name", "parent", "parts", "sum", "tags")
 
     def __init__(self, name: str, parent: _Block | None, dropped: bool):
-        self.name, self.parent, self.dropped = name, parent, dropped
+        self.name, self.parent, self.dropped = name, parent, dropped  # dropped: by its own element or names, until _settle
         self.parts: list[str | _Block] = []  # text and blocks in page order
         self.children: list[_Block] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -68,13 +74,12 @@ def parse(page: str) -> _Block:
     for m in _TOKEN.finditer(page):
         text = m.group(5)
         if text is not None:
-            if not here.dropped:
-                text = html.unescape(text)
-                here.parts.append(text)
-                n = len(text) - text.count(" ")
-                here.chars += n
-                if links:
-                    here.link_chars += n
+            text = html.unescape(text)
+            here.parts.append(text)
+            n = len(text) - text.count(" ")
+            here.chars += n
+            if links:
+                here.link_chars += n
             continue
         name = m.group(3)
         if name is None:
@@ -116,16 +121,52 @@ def parse(page: str) -> _Block:
             if up.name == other and up is not root:
                 here, links = up.parent, 0
                 break
-        dropped = here.dropped or name in DROPPED or _is_dropped(name, m.group(4), here)
-        block = _Block(name, here, dropped)
+        block = _Block(name, here, name in DROPPED or _is_dropped(name, m.group(4), here))
         here.parts.append(block)
-        if not dropped:
-            here.children.append(block)
         if name not in _VOID and not m.group(4).endswith("/"):
             here = block
+    _settle(root)
     return root
 
 
+def _settle(root: _Block) -> None:
+    """Drop what is inside dropped blocks, but no block around an article or main, or with most of the page's text outside links.
+
+    The second exception is for forms and names, as these are put around whole pages too.
+    """
+    order = [root]
+    for block in order:
+        order.extend(p for p in block.parts if not isinstance(p, str))
+    plain = {id(b): 0 if b.name in _NEVER else b.chars - b.link_chars for b in order}
+    around = set()
+    for block in reversed(order[1:]):
+        up = block.parent
+        if block.name not in _NEVER:
+            plain[id(up)] += plain[id(block)]
+        if block.name in ("article", "main") or id(block) in around:
+            around.add(id(up))
+    most = plain[id(root)] / 2
+    for block in order[1:]:
+        if block.dropped and block.name not in _NEVER:
+            by_name = block.name == "form" or block.name not in DROPPED
+            block.dropped = not (id(block) in around or by_name and plain[id(block)] > most)
+        block.dropped = block.dropped or block.parent.dropped
+        if not block.dropped:
+            block.parent.children.append(block)
+
+
+def _marks(name: str) -> bool:
+    """Whether a class, id or role name marks a part that is never main text."""
+    if name in DROPPED_NAMES:
+        return True
+    parts = [p for p in re.split("[_-]+", name) if p]
+    if any(p in _ABOUT for p in parts):
+        return False
+    while len(parts) > 1 and parts[-1] in _FORMS and parts[-1] not in DROPPED_NAMES:
+        parts.pop()
+    return bool(parts) and parts[-1] in DROPPED_NAMES
+
+
 def _is_dropped(name: str, attributes: str, parent: _Block) -> bool:
     if name == "header":  # a page header; inside an article it holds the title
         up = parent
@@ -136,8 +177,7 @@ def _is_dropped(name: str, attributes: str, parent: _Block) -> bool:
     if not attributes or name in ("article", "main"):
         return False
     for m in _NAMES.finditer(attributes):
-        words = set(re.split(r"[\s_-]+", (m.group(1) or m.group(2) or m.group(3) or "").lower()))
-        if words & DROPPED_NAMES:
+        if any(map(_marks, (m.group(1) or m.group(2) or m.group(3) or "").lower().split())):
             return True
     return False
 

@@ -61,3 +61,20 @@ def test_parts_beside_the_main_block_stay(page, stays, goes):
     at = [blocks.index(x) for x in stays]
     assert at == sorted(at) and text.count(LONG.strip()) == page.count(LONG)
     assert not any(x in text for x in goes)
+
+
+@pytest.mark.parametrize("around", [
+    "<div class='content-sidebar-wrap'>", "<div class=has-sidebar>", "<div class=no-comments>", "<div class=page-with-header>", "<div id=social-policy>",
+    "<form action=x>", "<div class=sidebar>", "<section role=search>", "<div class='wrap left-sidebar'>",
+])
+@pytest.mark.parametrize("inner", ["<article><h1>A headline</h1>{}</article>", "<div><h1>A headline</h1>{}</div>"])
+def test_wrappers_of_a_page_are_not_dropped(around, inner):
+    end = f"</{around[1:].split()[0]}>"
+    junk = "<nav>Menu</nav><div class=left-sidebar>Side</div><div class=comment-list>Said</div><form>Ask</form><div class='x share'>Send</div>"
+    page = f"<body>{around}{junk}{inner.format(BODY)}{end}<div class=sidebar>Side</div></body>"
+    assert html_text.main_text(page).split("\n\n") == ["A headline", *[LONG.strip()] * 5]
+
+
+def test_names_that_are_no_marks_keep_smaller_parts():
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-comments", "page-with-header", "social-policy"):
+        assert "Short lead." in html_text.main_text(f"<article><div class={name}><p>Short lead.</p></div>{BODY}</article>"), name
