@@ -26,11 +26,21 @@ def _t(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
-def _search(s, d):
-    hits = search.search_slides(view(s, d, "slides_fx"), view(s, d, "queries_fx"), 10, keys=("file_path", "slide_number", "vec_id"))
+def _search(s, d, asked="queries_fx"):
+    hits = search.search_slides(view(s, d, "slides_fx"), view(s, d, asked), 10, keys=("file_path", "slide_number", "vec_id"))
     return search.dedupe_hits(hits).select("query_id", "file_path", "slide_number", F.round("score", 6).alias("score"))
 
 
+def _grouped(s, d, asked="queries_fx"):
+    return search.group_presentations(search.search_slides(view(s, d, "slides_fx"), view(s, d, asked), 25, keys=("file_path", "file_name", "slide_number", "vec_id")))
+
+
+def _chunk_hits(s, d, asked="queries_fx"):
+    c = F.col
+    pool = _t(s, d, "embeddings").select(c("vec_id").alias("chunk_id"), F.concat(F.lit("wb"), (c("vec_id") % 5).cast("string")).alias("workbook"), c("vec_id").cast("string").alias("text"), "embedding")
+    return chunks.search_chunks(pool, view(s, d, asked), "wb3", 5, "text").select("query_id", "chunk_id", "workbook", "text", F.round("score", 6).alias("score"))
+
+
 def _catalog(s, d):
     return view(s, d, "catalog_fx")
 
@@ -65,7 +75,7 @@ def _queries():
         "rerank": (_rerank, """WITH h AS (SELECT query_id, file_path, slide_number, max(score) AS score FROM hits_fx GROUP BY ALL), r AS (SELECT *, slide_number * 1000.0 - length(file_path) AS rr FROM h WHERE slide_number % 2 = 0),
             k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rr DESC, file_path, slide_number) AS rk FROM r) SELECT query_id, file_path, slide_number, rk AS rerank_rank, round(0.6 * rr + 0.4 * score, 4) AS score FROM k WHERE rk <= 10"""),
         "shape_hits": (lambda s, d: S.shape_hits(view(s, d, "hits_fx").withColumn("score", c("score") / 1e6)).select("query_id", "file_path", "slide_number", "score_text"), "SELECT query_id, file_path, slide_number, printf('%.1f%%', score / 1e6 * 100) AS score_text FROM hits_fx"),
-        "group_presentations": (lambda s, d: search.group_presentations(search.search_slides(view(s, d, "slides_fx"), view(s, d, "queries_fx"), 25, keys=("file_path", "file_name", "slide_number", "vec_id"))), None),
+        "group_presentations": (_grouped, None),
         "scan_images": (lambda s, d: tables.scan_images(_catalog(s, d)), f"SELECT path, length FROM catalog_fx WHERE {_EXT} IN ('jpg','jpeg','png','webp') AND length > 0"),
         "list_entries": (lambda s, d: tables.list_entries(_catalog(s, d)), "SELECT path, false AS is_directory FROM catalog_fx UNION SELECT regexp_extract(path, '^([^/]*)/', 1), true FROM catalog_fx UNION SELECT regexp_extract(path, '^([^/]*/[^/]*)/', 1), true FROM catalog_fx"),
         "link_parents": (lambda s, d: tables.link_parents(tables.list_entries(_catalog(s, d))), "WITH e AS (SELECT path, false AS is_directory FROM catalog_fx UNION SELECT regexp_extract(path, '^([^/]*)/', 1), true FROM catalog_fx UNION SELECT regexp_extract(path, '^([^/]*/[^/]*)/', 1), true FROM catalog_fx) SELECT path, is_directory, " + _PARENT + " AS parent FROM e"),
@@ -203,7 +213,7 @@ def _more():
             r AS (SELECT conv_id, request_id, arg_max(content, turn) AS result FROM m WHERE role = 'assistant' GROUP BY ALL), x AS (SELECT conv_id, turn, result FROM f JOIN r USING (conv_id, request_id))
             SELECT m.conv_id, m.turn, role, CASE WHEN x.turn IS NULL THEN content ELSE 'Completed: ' || content END AS content, request_id, result, CASE WHEN x.turn IS NOT NULL THEN 'completed' END AS status FROM m LEFT JOIN x ON m.conv_id = x.conv_id AND m.turn = x.turn"""),
         "merge_timeline": (_timeline, "SELECT epoch_us(ts) // 1000 AS at_ms, event_type AS text, CASE WHEN event_id % 2 = 0 THEN 'message' ELSE 'event' END AS kind FROM events"),
-        "search_chunks": (lambda s, d: chunks.search_chunks(_t(s, d, "embeddings").select(c("vec_id").alias("chunk_id"), F.concat(F.lit("wb"), (c("vec_id") % 5).cast("string")).alias("workbook"), c("vec_id").cast("string").alias("text"), "embedding"), view(s, d, "queries_fx"), "wb3", 5, "text").select("query_id", "chunk_id", "workbook", "text", F.round("score", 6).alias("score")),
+        "search_chunks": (_chunk_hits,
             "WITH n AS (SELECT q.query_id, e.vec_id AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.query_vec::DOUBLE[]) AS sc FROM embeddings e CROSS JOIN queries_fx q WHERE e.vec_id % 5 = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, chunk_id) AS k FROM n) SELECT query_id, chunk_id, 'wb3' AS workbook, chunk_id::VARCHAR AS text, round(sc, 6) AS score FROM r WHERE k <= 5"),
         "run_summary": (lambda s, d: chunks.run_summary(_t(s, d, "documents").select(c("doc_id").alias("file"), (F.length("text") > 500).alias("ok"), F.lit(3).alias("slides")))[0], "SELECT true AS success, count(*) FILTER (length(text) > 500) AS files, 3 * count(*) FILTER (length(text) > 500) AS slides, count(*) FILTER (NOT coalesce(length(text) > 500, false)) AS failed FROM documents"),
         "chunk_token_summary": (lambda s, d: chunks.chunk_token_summary(_t(s, d, "documents").select("text", c("n_chars").alias("token_count"), c("source").alias("sheet"))), """WITH b AS (SELECT * FROM documents WHERE regexp_matches(text, '[^ \t\n\x0B\f\r]'))
@@ -242,9 +252,22 @@ def _more():
     }
 
 
+def _every_query():
+    """The searches with as many queries as the tables are large: every hundredth vector."""
+    known, asked = _queries() | _more(), "queries_all_fx"
+    return {
+        f"{name}_all": (lambda s, d, run=run: run(s, d, asked), sql and sql.replace("queries_fx", asked))
+        for name, (run, sql) in known.items() if name in ("search_slides", "group_presentations", "search_chunks")
+    }
+
+
+def _registered():
+    return _queries() | _more() | _every_query()
+
+
 def queries() -> dict:
-    return {name: query for name, (query, _) in (_queries() | _more()).items()}
+    return {name: query for name, (query, _) in _registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, (_, sql) in (_queries() | _more()).items() if sql}
+    return {name: with_views(sql) for name, (_, sql) in _registered().items() if sql}
