@@ -34,7 +34,7 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HIDDEN = re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,10}\b")
-_SECRET = re.compile(r"(?i)\b(token|secret|api[_-]?key|password|passwd|pwd|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{6,256})")
+_SECRET = re.compile(r"(?i)\b(token|secret|api[_-]?key|password|passwd|pwd|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{6,})")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -100,7 +100,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def extra_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Further candidates that do not touch a base span."""
+    """Further candidates that do not touch a base span; a secret may hold base spans but also something beside them."""
     found = []
     if " at " in text or "(at)" in text or "[at]" in text:
         found += [("hidden_email", *m.span()) for m in _HIDDEN.finditer(text)]
@@ -115,12 +115,22 @@ def extra_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[
     taken = sorted((s, e) for _, s, e in base)
     out = []
     for kind, s, e in sorted(found, key=lambda x: (KINDS.index(x[0]) != KINDS.index("secret"), x[1])):
-        if all(e <= a or s >= b for a, b in taken):
+        if all(e <= a or s >= b for a, b in taken) or kind == "secret" and any(_beside(s, e, base)):
             out.append((kind, s, e))
             taken.append((s, e))
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
+def _beside(start: int, end: int, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """The stretches of a span outside base spans."""
+    for s, e in sorted((s, e) for _, s, e in base if s < end and e > start):
+        if start < s:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     """Votes of the labelers on one span: 1 for, 0 against, -1 abstains."""
     span = text[start:end]
@@ -242,7 +252,7 @@ def train(docs: DataFrame) -> np.ndarray:
 
 
 def find_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, accepted further spans) of one text."""
+    """(base spans, accepted further spans) of one text; of an accepted secret the stretches outside base spans."""
     base = base_spans(text)
     extra = extra_candidates(text, base)
     if extra:
@@ -250,6 +260,7 @@ def find_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[str, int, int
             np.array([KINDS.index(k) for k, _, _ in extra]), np.array([votes(text, *c) for c in extra]), np.array([_features(text, s, e) for _, s, e in extra])
         )
         extra = [c for c, score in zip(extra, x @ weights, strict=True) if score > 0]
+        extra = [(k, *part) for k, s, e in extra for part in _beside(s, e, base)]
     return base, extra
 
 

@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
+import hashlib
+
 import pytest
 
-from slideloom.llm import html_text, license_scan, queries
+from slideloom.llm import html_text, license_scan, pii, queries
 
 
 def words_from(prefix, n):
@@ -78,3 +80,17 @@ def test_wrappers_of_a_page_are_not_dropped(around, inner):
 def test_names_that_are_no_marks_keep_smaller_parts():
     for name in ("content-sidebar-wrap", "has-sidebar", "no-comments", "page-with-header", "social-policy"):
         assert "Short lead." in html_text.main_text(f"<article><div class={name}><p>Short lead.</p></div>{BODY}</article>"), name
+
+
+def test_long_secrets_are_redacted_to_their_end(spark):
+    def token(seed, n):
+        return "".join(hashlib.sha256(f"{seed}:{i}".encode()).hexdigest() for i in range(n // 64 + 1))[:n]
+
+    plain = [f"The password: {token(i, 40)} opens it." for i in range(40)]
+    card = "ab" + token("x", 300) + "z4111111111111111z" + token("y", 300)
+    long = [f"The password: {token('a', 2000)} opens it.", f"The secret = '{token('b', 257)}' opens it.", f"The password: {card} opens it."]
+    docs = spark.createDataFrame(list(enumerate([*plain, *long])), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact_pii(docs).collect()}
+    assert got[0] == got[40] == "The password: [SECRET] opens it." and got[41] == "The secret = '[SECRET]' opens it."
+    assert token("x", 300)[:100] not in got[42] and token("y", 300)[-100:] not in got[42] and "[CARD]" in got[42]
+    assert got[42].startswith("The password: [SECRET]") and got[42].endswith("[SECRET] opens it.")
