@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,8 @@ def search_ann(
 ) -> DataFrame:
     """:func:`search.search_slides` with about ``recall`` of its hits: query_id, ``keys``, score, rank.
 
-    Vectors of ``dim`` numbers (by default as many as the shortest query has) are indexed and asked; others are left out.
+    Vectors of ``dim`` numbers are indexed and asked, others are left out; by default each length that queries have is
+    searched in turn, among the rows of that length.
     Centroids come from about FIT_ROWS rows, and each row goes into the list of its nearest centroid.  About
     TUNING_QUERIES queries are searched exactly, and as many nearest lists are read for every query as found ``recall``
     of these hits.  A list is scored in blocks of bounded size, so one that holds most rows is spread over many
@@ -65,7 +67,10 @@ def search_ann(
     spark = slides.sparkSession
     asked = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("_v")).where("size(_v) > 0")
     if dim is None:
-        dim = asked.agg(F.min(F.size("_v"))).first()[0] or 0
+        dims = sorted(r["_n"] for r in asked.select(F.size("_v").alias("_n")).distinct().collect())
+        if len(dims) > 1:
+            return functools.reduce(DataFrame.unionByName, (search_ann(slides, queries, top_k, recall, n, keys, vector) for n in dims))
+        dim = dims[0] if dims else 0
     asked = asked.where(F.size("_v") == dim)
     rows = slides.select(*keys, F.col(vector).cast("array<double>").alias("_v")).where(F.size("_v") == dim)
     fields, id_field = [slides.schema[k] for k in keys], queries.schema["query_id"]
