@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._words import give_back
@@ -49,6 +49,22 @@ def require(df: DataFrame, columns: Iterable[str]) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """For each of ``wanted`` a column name that ``df`` does not have: the name itself, or with more underscores."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, [^\\x20\\x09-\\x0D]+, in order."""
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,8 +1,8 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
-Each text is measured once.  Failures of the rules are aggregated by host, the hosts' failure rates are
-shrunk towards the corpus with a beta prior estimated from all hosts, and the verdict on a host is joined
-back to its documents.
+Each text is measured once.  Failures of each rule are aggregated by host, the hosts' failure rates are
+shrunk towards the corpus with a beta prior that is estimated for each rule from all hosts, and the verdict
+on a host is joined back to its documents.
 """
 
 from __future__ import annotations
@@ -10,61 +10,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, require
+from ._shared import free_names, materialize, require, words_of
 
-#: A host is refused when its shrunken failure rate is above this.
+#: A host is refused when its shrunken failure rate of any rule is above this.
 MAX_HOST_RATE = 0.5
-_SPACE = r"[\x20\x09-\x0D]+"
-_SPACES = " \t\n\x0b\x0c\r"
+WINDOW = 3
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _repeat_words(words: Column, window: int = 3) -> Column:
-    """Words that lie in a run of ``window`` words which occurs at least twice in the text, the first included."""
-    n = F.size(words)
-    grams = F.transform(
-        F.sequence(F.lit(0), n - window),
-        lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(window)]).alias("h"), i.alias("i")),
-    )
-    # equal runs stand side by side once sorted
-    ordered = F.sort_array(grams)
-    repeated = F.transform(
-        F.filter(
-            F.zip_with(
-                ordered, F.concat(F.slice(ordered, 2, F.size(ordered)), F.array(F.lit(None))),
-                lambda a, b: F.struct(a["i"].alias("i"), b["i"].alias("j"), (a["h"] == b["h"]).alias("same")),
-            ),
-            lambda x: x["same"],
-        ),
-        lambda x: F.array(x["i"], x["j"]),
-    )
-    places = F.sort_array(F.array_distinct(F.flatten(repeated)))
-    covered = F.aggregate(
+def _covered(places: Column) -> Column:
+    """Words in the runs of WINDOW words that begin at ``places`` (in order)."""
+    return F.aggregate(
         places,
-        F.struct(F.lit(0).alias("past"), F.lit(0).alias("n")),
-        lambda acc, p: F.struct((p + window).alias("past"), (acc["n"] + p + window - F.greatest(acc["past"], p)).alias("n")),
+        F.struct(F.lit(0).cast("long").alias("past"), F.lit(0).cast("long").alias("n")),
+        lambda acc, p: F.struct((p + WINDOW).alias("past"), (acc["n"] + p + WINDOW - F.greatest(acc["past"], p)).alias("n")),
         lambda acc: acc["n"],
     )
-    return F.when(n > window, covered).otherwise(F.lit(0)).cast("long")
+
+
+def _paired(grams: Column) -> Column:
+    """:func:`_covered` by pairs of (hash, place): right for all hashes, but slow."""
+    ordered = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    again = F.filter(ordered, lambda x, k: (x["h"] == F.get(ordered, k - 1)["h"]) | (x["h"] == F.get(ordered, k + 1)["h"]))
+    return _covered(F.sort_array(F.transform(again, lambda x: x["i"])))
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long)."""
+    """``docs`` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long).
+
+    A null text has no words; repeated rows are measured each; columns named like a measure are replaced; an
+    empty table gives an empty table.
+
+    Windows of three words are hashed to 64 bits.  Only texts in which a hash occurs twice go on: the places
+    replace the low bits of the hashes, so that one sort of plain numbers puts equal hashes side by side with
+    their places.  Where hashes differ in the replaced bits alone, pairs of hash and place are sorted instead.
+    """
     require(docs, ["text"])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    keep = [c for c in docs.columns if c not in ("text", *names)]
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
-    words = F.filter(F.split(text, _SPACE, -1), lambda x: x != "")
-    split = docs.select(*keep, text.alias("_text"), words.alias("_words"), lines.alias("_lines"))
-    bare = F.length(F.translate("_text", _SPACES, ""))
-    return split.select(
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", *MEASURES)]
+    text, words, lines, grams, low, packed, again = map(F.col, names := free_names(docs, "text_", "words_", "lines_", "grams_", "low_", "packed_", "again_"))
+    plain = [F.col(m) for m in MEASURES[:4]]
+    n = F.size(words)
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    out = docs.select(*keep, whole.alias(names[0]), words_of(whole).alias(names[1]), F.split(whole, "\n", -1).alias(names[2]))
+    filled = F.filter(lines, lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+    hashed = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
+    out = out.select(
         *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        bare.cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_words")).alias("n_repeat_words"),
+        n.cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.when(F.size(F.array_distinct(lines)) == F.size(lines), F.lit(0)).otherwise(F.size(filled) - F.size(F.array_distinct(filled))).cast("long").alias("n_dup_lines"),
+        F.when(n > WINDOW, hashed).otherwise(F.array().cast("array<bigint>")).alias(names[3]),
     )
+    # null where no hash occurs twice
+    bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(grams)))) - 1
+    out = out.select(*keep, *plain, grams, F.when(F.size(F.array_distinct(grams)) < F.size(grams), bits).alias(names[4]))
+    placed = F.transform(grams, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+    out = out.select(*keep, *plain, grams, low, F.when(low.isNotNull(), F.sort_array(placed)).alias(names[5]))
+    same = lambda a, b: a.bitwiseXOR(b).bitwiseAND(F.bitwise_not(low)) == 0
+    near = F.filter(packed, lambda x, k: same(x, F.get(packed, k - 1)) | same(x, F.get(packed, k + 1)))
+    out = out.select(*keep, *plain, grams, low, near.alias(names[6]))
+    at = lambda x: F.get(grams, x.bitwiseAND(low).cast("int"))
+    mixed = F.exists(F.transform(again, lambda x, k: F.coalesce(same(x, F.get(again, k - 1)) & (at(x) != at(F.get(again, k - 1))), F.lit(False))), lambda x: x)
+    places = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(low)))
+    repeated = F.when(low.isNull(), F.lit(0).cast("long")).when(mixed, _paired(grams)).otherwise(_covered(places))
+    return out.select(*keep, *plain, repeated.alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -83,39 +93,42 @@ def rule_failures() -> dict[str, Column]:
     }
 
 
-def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(host, host_docs, host_rate, host_ok): failure rates by host, shrunk by an empirical beta prior.
+def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE, key: str = "host") -> DataFrame:
+    """(``key``, host_docs, host_rate, host_ok): failure rates of the rules by host, shrunk by empirical beta priors.
 
-    The prior has the mean m and the strength s of the hosts' rates by the method of moments; a host with k
-    failures in n documents gets (k + m s) / (n + s).  Documents without a host form one host.
+    A rule's prior has the mean m and the strength s of the hosts' rates by the method of moments; a host with k
+    failures in n documents gets (k + m s) / (n + s).  host_rate is the largest of its rules' rates.  Documents
+    without a host form one host.
     """
-    failed = F.lit(False)
-    for rule in rule_failures().values():
-        failed = failed | rule
-    hosts = measured.groupBy(host).agg(F.count("*").alias("host_docs"), F.sum(F.when(failed, 1).otherwise(0)).alias("k"))
-    rate = F.col("k") / F.col("host_docs")
+    rules = rule_failures()
+    failures = [F.sum(F.when(failed, 1).otherwise(0)).alias(f"k_{rule}") for rule, failed in rules.items()]
+    hosts = measured.groupBy(F.col(f"`{host}`").alias(key)).agg(F.count("*").alias("host_docs"), *failures)
     # moments over hosts, weighted by their documents: one row
-    prior = hosts.agg(
-        F.coalesce(F.sum("k") / F.sum("host_docs"), F.lit(0.0)).alias("m"),
-        F.coalesce(F.sum(F.col("host_docs") * rate * rate) / F.sum("host_docs"), F.lit(0.0)).alias("m2"),
-        (F.sum("host_docs") / F.count("*")).alias("size"),
-    )
-    m = F.col("m")
-    between = F.greatest(F.col("m2") - m * m - m * (1 - m) / F.col("size"), F.lit(1e-6))
-    strength = F.least(F.greatest(m * (1 - m) / between - 1, F.lit(1.0)), F.lit(1000.0))
-    shrunk = (F.col("k") + m * strength) / (F.col("host_docs") + strength)
-    return hosts.join(F.broadcast(prior)).select(F.col(host).alias("_host"), "host_docs", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("host_ok"))  # one row
+    moments = [(F.sum("host_docs") / F.count("*")).alias("size")]
+    rates = []
+    for rule in rules:
+        k, m = F.col(f"k_{rule}"), F.col(f"m_{rule}")
+        moments.append(F.coalesce(F.sum(k) / F.sum("host_docs"), F.lit(0.0)).alias(f"m_{rule}"))
+        moments.append(F.coalesce(F.sum(k * k / F.col("host_docs")) / F.sum("host_docs"), F.lit(0.0)).alias(f"m2_{rule}"))
+        between = F.greatest(F.col(f"m2_{rule}") - m * m - m * (1 - m) / F.col("size"), F.lit(1e-6))
+        strength = F.least(F.greatest(m * (1 - m) / between - 1, F.lit(1.0)), F.lit(1000.0))
+        rates.append((k + m * strength) / (F.col("host_docs") + strength))
+    worst = F.greatest(*rates)
+    joined = hosts.join(F.broadcast(hosts.agg(*moments)))  # one row
+    return joined.select(F.col(key), "host_docs", worst.alias("host_rate"), (worst <= max_rate).alias("host_ok"))
 
 
 def apply_quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row for each row of ``docs``: its columns without text, the measures, base_failed, host_docs, host_rate and kept.
 
     kept is false for a base failure, else the verdict on the host.  A null text has no words and fails; a null
-    host is one host of its own; repeated rows are judged each; an empty table gives an empty table.
+    host is one host of its own; repeated rows are judged each; columns named like an added one are replaced; an
+    empty table gives an empty table.
     """
     require(docs, ["text", host])
-    drop = [c for c in ("base_failed", "kept", "host_docs", "host_rate", "host_ok", "_host") if c in docs.columns]
-    measured = materialize(measure(docs.drop(*drop)), "measures")
-    verdicts = host_verdicts(measured, host, max_rate)
-    joined = measured.join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("_host", "host_ok")
+    added = ("base_failed", "kept", "host_docs", "host_rate", "host_ok")
+    measured = materialize(measure(docs.drop(*[c for c in added if c != host])), "measures")
+    (key,) = free_names(measured, "host_")
+    verdicts = host_verdicts(measured, host, max_rate, key)
+    joined = measured.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col(key)), "left")
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop(key, "host_ok")

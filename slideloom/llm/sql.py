@@ -42,6 +42,18 @@ def mix_sources(rounds: int = mixing.ROUNDS, budget: float = mixing.BUDGET) -> s
 
 
 def quality_rules(max_rate: float = quality.MAX_HOST_RATE) -> str:
+    rules = {
+        "few": "n_words < 50",
+        "repeats": "100 * n_repeat_words > 50 * n_words",
+        "symbols": "n_symbols > 0.25 * n_words",
+        "lines": "n_dup_lines > 0.3 * per",
+        "length": "NOT word_chars / per BETWEEN 2 AND 20",
+    }
+    counts = ", ".join(f"count(*) FILTER ({failed}) AS k_{r}" for r, failed in rules.items())
+    moments = ", ".join(f"sum(k_{r}) / sum(n) AS m_{r}, sum(k_{r} * k_{r} / n) / sum(n) AS w_{r}" for r in rules)
+    strength = "least(greatest(m_{0} * (1 - m_{0}) / greatest(w_{0} - m_{0} * m_{0} - m_{0} * (1 - m_{0}) / size, 1e-6) - 1, 1.0), 1000.0)"
+    priors = ", ".join(f"m_{r}, {strength.format(r)} AS s_{r}" for r in rules)
+    verdict = " AND ".join(f"(k_{r} + m_{r} * s_{r}) / (n + s_{r}) <= {max_rate}" for r in rules)
     return f"""WITH t AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents), s AS (SELECT *, regexp_extract_all(text, {_WORD}) AS w FROM t),
         i AS (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM s), g AS (SELECT id, i, count(*) OVER (PARTITION BY id, w[i], w[i + 1], w[i + 2]) AS n FROM i),
         r AS (SELECT id, count(DISTINCT p) AS n_repeat_words FROM (SELECT id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY id),
@@ -49,10 +61,9 @@ def quality_rules(max_rate: float = quality.MAX_HOST_RATE) -> str:
             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS l FROM s),
         b AS (SELECT m.*, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN r USING (id)),
         j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS per FROM b),
-        h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR n_symbols > 0.25 * n_words OR n_dup_lines > 0.3 * per OR NOT word_chars / per BETWEEN 2 AND 20) AS k FROM j GROUP BY source),
-        q AS (SELECT sum(k) / sum(n) AS m, sum(k * k / n) / sum(n) AS m2, sum(n) / count(*) AS size FROM h),
-        v AS (SELECT m, least(greatest(m * (1 - m) / greatest(m2 - m * m - m * (1 - m) / size, 1e-6) - 1, 1.0), 1000.0) AS strength FROM q),
-        o AS (SELECT source, (k + m * strength) / (n + strength) <= {max_rate} AS ok FROM h CROSS JOIN v)
+        h AS (SELECT source, count(*) AS n, {counts} FROM j GROUP BY source),
+        q AS (SELECT sum(n) / count(*) AS size, {moments} FROM h), v AS (SELECT {priors} FROM q),
+        o AS (SELECT source, {verdict} AS ok FROM h CROSS JOIN v)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND ok AS kept
         FROM j JOIN o ON j.source IS NOT DISTINCT FROM o.source"""
 
