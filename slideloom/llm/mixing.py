@@ -1,34 +1,42 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
-Token counts are summed once into cells (source, language, topic).  The cells' weights are raked in turn to
-the target share of every source, language and topic until all margins agree.  Each document is then kept
-with the probability that its cell's weight asks for, by a hash of its id.
+Token counts are summed once into cells (source, language, topic).  Every source, language and topic has a goal:
+its target share of the sample's tokens or, where it has fewer, all it has, the rest going to the others.  The
+cells' probabilities are raked in turn to the goals of each dimension, none above 1: what a full cell cannot
+give is asked of the other cells of the same value.  Rounds end when all margins agree.  Each document is then
+kept with the probability of its cell, by a hash of its id.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, require
+from ._shared import free_names, materialize, require, words_of
 
 #: Targets soften the corpus shares: share ** power, normalised.
-POWERS = {"source": 0.7, "lang": 0.5, "topic": 0.7}
-ROUNDS = 8
+POWERS = {"source": 0.9, "lang": 0.8, "topic": 0.9}
+#: Raking stops when no margin is further from its goal than this share of the sample, or after so many rounds.
+TOLERANCE = 1e-4
+ROUNDS = 15
+#: Steps in which the level is raised that values without enough tokens leave to the others.
+LEVEL_STEPS = 8
 #: Share of all tokens that the sample should hold.
 BUDGET = 0.7
-_SPACE = r"[\x20\x09-\x0D]+"
+#: The factor of a value that gives all it has.
+FULL = 1e12
+_NONE = "\0"
 
 
 def topic_of(text: Column) -> Column:
     """A coarse content class of a text by fixed rules: empty, licensed, table, symbols, contact, short or prose."""
     size = F.length(text)
-    symbols = size - F.length(F.translate(text, "#*$%&<>", ""))
-    bars = size - F.length(F.translate(text, "|", ""))
     return (
         F.when(text.isNull() | (size == 0), "empty")
-        .when(bars * 40 > size, "table")
-        .when(symbols * 25 > size, "symbols")
+        .when(F.regexp_count(text, F.lit(r"\|")) * 40 > size, "table")
+        .when(F.regexp_count(text, F.lit("[#*$%&<>]")) * 25 > size, "symbols")
         .when(F.contains(text, F.lit("icensed under")) | F.contains(text, F.lit("ights reserved")), "licensed")
         .when(F.contains(text, F.lit("@")), "contact")
         .when(size < 600, "short")
@@ -36,40 +44,78 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def softened_targets(cells: DataFrame, by: str, power: float) -> DataFrame:
-    """(by, target): the shares of ``by`` in the cells' tokens, raised to ``power`` and normalised."""
-    shares = cells.groupBy(by).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("target"))
-    total = shares.agg(F.sum("target").alias("all_targets"))
-    return shares.join(F.broadcast(total)).select(by, (F.col("target") / F.col("all_targets")).alias("target"))  # one row
+def goals(cells: DataFrame, powers: dict[str, float], targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+    """(dim, value, have, target, goal): tokens, target share and tokens to reach of every value of every dimension.
 
+    ``targets`` (dimension -> its values, target) replaces the softened shares of the dimensions it names; values
+    that it leaves out get nothing.  goal is the target share of the budget, raised to one level for all values
+    that have enough tokens, as the others only give what they have.
+    """
+    parts = []
+    for d, power in powers.items():
+        have = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").cast("double").alias("have"))
+        if targets and d in targets:
+            own = targets[d].select(F.coalesce(F.col(d).cast("string"), F.lit(_NONE)).alias("value"), F.col("target").cast("double").alias("target"))
+            have = have.join(own, "value", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
+        else:
+            have = have.withColumn("target", F.pow("have", F.lit(power)))
+        parts.append(have.select(F.lit(d).alias("dim"), "value", "have", "target"))
+    values = materialize(functools.reduce(DataFrame.union, parts), "values")
+    sums = values.groupBy("dim").agg(
+        F.sum("target").alias("all_targets"), F.least(budget * F.sum("have"), F.sum(F.when(F.col("target") > 0, F.col("have")).otherwise(0.0))).alias("budget")
+    )
+    share = F.when(F.col("all_targets") > 0, F.col("target") / F.col("all_targets")).otherwise(0.0)
+    values = values.join(F.broadcast(sums), "dim").select("dim", "value", "have", share.alias("target"), "budget")  # one row a dimension
+    levels = sums.select("dim", F.col("budget").alias("level"))
+    full = F.col("have") <= F.col("level") * F.col("target")
+    for _ in range(LEVEL_STEPS):
+        level = values.join(F.broadcast(levels), "dim").groupBy("dim").agg(
+            F.max("level").alias("level"), F.max("budget").alias("budget"), F.sum(F.when(full, F.col("have")).otherwise(0.0)).alias("given"),
+            F.sum(F.when(full, 0.0).otherwise(F.col("target"))).alias("open"),
+        )
+        levels = level.select("dim", F.when(F.col("open") > 0, (F.col("budget") - F.col("given")) / F.col("open")).otherwise(F.col("level")).alias("level"))
+    return values.join(F.broadcast(levels), "dim").select("dim", "value", "have", "target", F.least("have", F.col("level") * F.col("target")).alias("goal"))
+
+
+def rake(cells: DataFrame, wanted: DataFrame, dims: list[str], budget: float = BUDGET, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (dims, tokens) with probability: the product of one factor for each dimension's value, at most 1, so
+    that the expected tokens of every value reach its goal in ``wanted`` (:func:`goals`).
+
+    A table of factors with one row for each value is all that changes from round to round.  A factor is raised for
+    the cells below 1 only.  Goals that cannot be met together (a value whose cells are all full) leave a gap,
+    which :func:`margin_report` shows.
+    """
+    tokens = F.col("tokens").cast("double")
+    # a value that gives all it has keeps its cells full, whatever the others do
+    start = F.when(F.col("goal") >= F.col("have"), F.lit(FULL)).when(F.col("dim") == dims[0], F.lit(float(budget))).otherwise(1.0)
+    factors = materialize(wanted.select("dim", "value", "goal", start.alias("f"), F.lit(0.0).alias("gap")), "factors")
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (dimensions, tokens) with weight: tokens times one factor for each dimension's value, so that
-    each dimension's weights sum to its target shares (the last one exactly).
+    def weighed(now: dict[str, DataFrame]) -> tuple[DataFrame, Column]:
+        rows, weight = cells, F.lit(1.0)
+        for d in dims:
+            rows = rows.join(now[d].select(F.col("value").alias(d), F.col("f").alias(f"f_{d}")), d)
+            weight = weight * F.col(f"f_{d}")
+        return rows, weight
 
-    The factors are small tables with one row for each value; only they change from round to round.
-    """
-    dims = list(targets)
+    def by_dim(table: DataFrame) -> dict[str, DataFrame]:
+        return {d: table.where(F.col("dim") == d) for d in dims}
 
-    factors = {d: targets[d].select(d, F.lit(1.0).alias(f"f_{d}"), F.col("target").alias(f"t_{d}")) for d in dims}
-    for d in dims:
-        factors[d] = materialize(factors[d], "factors")
     for _ in range(rounds):
+        now = by_dim(factors)
         for d in dims:
-            weighted, weight = cells, F.col("tokens").cast("double")
-            for other in dims:
-                if other != d:
-                    weighted = weighted.join(factors[other].select(other, f"f_{other}"), other)
-                    weight = weight * F.col(f"f_{other}")
-            sums = weighted.groupBy(d).agg(F.sum(weight).alias("reached"))
-            # a value that weighs nothing keeps its factor
-            factor = F.when(F.col("reached") > 0, F.col(f"t_{d}") / F.col("reached")).otherwise(F.col(f"f_{d}"))
-            factors[d] = materialize(factors[d].join(sums, d).select(d, factor.alias(f"f_{d}"), f"t_{d}"), "factors")
-    weight, out = F.col("tokens").cast("double"), cells
-    for d in dims:
-        out = out.join(factors[d].select(d, f"f_{d}"), d)
-        weight = weight * F.col(f"f_{d}")
-    return out.withColumn("weight", weight).drop(*[f"f_{d}" for d in dims])
+            rows, w = weighed(now)
+            sums = rows.groupBy(F.col(d).alias("value")).agg(
+                F.sum(tokens * F.least(w, F.lit(1.0))).alias("reached"), F.sum(F.when(w >= 1, tokens).otherwise(0.0)).alias("full"), F.sum(F.when(w < 1, tokens * w).otherwise(0.0)).alias("open")
+            )
+            goal, reached, opened = F.col("goal"), F.col("reached"), F.col("open")
+            step = F.when(goal < reached, goal / reached).when(opened > 0, (goal - F.col("full")) / opened).otherwise(1.0)
+            now[d] = now[d].join(sums, "value").select("dim", "value", "goal", (F.col("f") * step).alias("f"), F.abs(goal - reached).alias("gap"))
+        factors = materialize(functools.reduce(DataFrame.union, now.values()), "factors")
+        worst, whole = factors.agg(F.max("gap"), F.sum(F.when(F.col("dim") == dims[0], F.col("goal")))).first()  # one row
+        if worst is None or worst <= tolerance * whole:
+            break
+    rows, w = weighed(by_dim(factors))
+    return rows.select(*dims, "tokens", F.least(w, F.lit(1.0)).alias("probability"))
 
 
 def draw(key: Column, seed: str) -> Column:
@@ -77,58 +123,76 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic_of(F.col("text").cast("string"))
-    words = F.filter(F.split(F.col("text").cast("string"), _SPACE, -1), lambda w: w != "")
-    return docs.withColumns({"topic": topic, "tokens": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(words)).cast("long")})
+def _described(docs: DataFrame, topic: str, tokens: str) -> DataFrame:
+    """``docs`` with the words of the text and, under another name than topic, its topic."""
+    text = F.col("text").cast("string")
+    count = F.when(text.isNull(), F.lit(0)).otherwise(F.size(words_of(text))).cast("long")
+    return docs.withColumns({tokens: count} | ({} if topic == "topic" and "topic" in docs.columns else {topic: topic_of(text)}))
 
 
-def _cell(dims) -> dict[str, Column]:
-    return {d: F.coalesce(F.col(d).cast("string"), F.lit("\0")) for d in dims}
+def _values(dims: dict[str, str]) -> dict[str, Column]:
+    """The value of each dimension, from its column; a null is a value of its own."""
+    return {d: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(_NONE)) for d, c in dims.items()}
 
 
-def cell_weights(described: DataFrame, powers: dict[str, float], targets: dict[str, DataFrame] | None, rounds: int) -> DataFrame:
-    """(_source, _lang, _topic, weight): the ratio of each cell's raked share to its share in the corpus."""
-    cells = materialize(described.groupBy(*[c.alias(d) for d, c in _cell(powers).items()]).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets or {d: softened_targets(cells, d, power) for d, power in powers.items()}, rounds)
-    total = cells.agg(F.sum("tokens").alias("all_tokens"))
-    weight = F.when(F.col("tokens") > 0, F.col("weight") * F.col("all_tokens") / F.col("tokens")).otherwise(F.lit(0.0))
-    return materialize(raked.join(F.broadcast(total)).select(*[F.col(d).alias(f"_{d}") for d in powers], weight.alias("weight")), "weights")  # total is one row
+def _cells(described: DataFrame, dims: dict[str, str], tokens: str) -> DataFrame:
+    return materialize(described.groupBy(*[c.alias(d) for d, c in _values(dims).items()]).agg(F.sum(tokens).alias("tokens")), "cells")
 
 
-def _decide(rows: DataFrame, weights: DataFrame, powers: dict[str, float], budget: float, seed: str) -> DataFrame:
-    on = [c == F.col(f"_{d}") for d, c in _cell(powers).items()]
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    joined = rows.join(weights, on, "left").drop(*[f"_{d}" for d in powers])
-    return joined.withColumn("probability", F.least(F.lit(1.0), F.lit(budget) * F.col("weight"))).withColumn("kept", draw(key, seed) < F.col("probability"))
+def _probabilities(described: DataFrame, dims: dict[str, str], tokens: str, powers: dict[str, float], targets: dict[str, DataFrame] | None, budget: float) -> DataFrame:
+    cells = _cells(described, dims, tokens)
+    return materialize(rake(cells, goals(cells, powers, targets, budget), list(powers), budget), "weights")
+
+
+def _judged(rows: DataFrame, weights: DataFrame, dims: dict[str, str], probability: str) -> DataFrame:
+    """``rows`` with the probability of their cells; cells without tokens have 0."""
+    names = free_names(rows, *[f"{d}_" for d in dims])
+    weights = weights.select(*[F.col(d).alias(n) for d, n in zip(dims, names, strict=True)], F.when(F.col("tokens") > 0, F.col("probability")).otherwise(0.0).alias(probability))
+    on = [c == F.col(n) for c, n in zip(_values(dims).values(), names, strict=True)]
+    return rows.join(weights, on, "left").drop(*names)
 
 
-def mix_sources(
-    docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = "mix"
-) -> DataFrame:
+def mix_sources(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: str = "mix") -> DataFrame:
     """``docs`` without text, with tokens, topic, weight, probability and kept for every row.
 
-    weight is the ratio of the raked share of the row's cell to its share in the corpus.  probability is
-    budget * weight, at most 1; ``targets`` (dimension -> value, target) replaces the softened shares.
-    tokens are the words of the text.  A null text has no tokens; a cell without tokens has weight 0 and is not
+    probability is that of the row's cell; weight is its ratio to ``budget``, so the share of the cell in the sample
+    against its share in the corpus.  ``targets`` (dimension -> its values, target) replaces softened shares.
+    tokens are the words of the text.  A null text has no tokens; a cell without tokens has probability 0 and is not
     kept; null sources and languages are values of their own; repeated rows share their fate; existing columns
     of the added names are replaced, except topic, which is used if there is one; an empty table gives an empty table.
     """
     require(docs, ["doc_id", "text", "source", "lang"])
     powers = powers or POWERS
-    rows = materialize(_described(docs.drop("tokens", "weight", "probability", "kept")).drop("text"), "mixing")
-    return _decide(rows, cell_weights(rows, powers, targets, rounds), powers, budget, seed)
+    dims = {d: d for d in powers}
+    rows = materialize(_described(docs.drop("tokens", "weight", "probability", "kept"), "topic", "tokens").drop("text"), "mixing")
+    judged = _judged(rows, _probabilities(rows, dims, "tokens", powers, targets, budget), dims, "probability")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return judged.withColumn("weight", F.col("probability") / budget).withColumn("kept", draw(key, seed) < F.col("probability"))
+
+
+def margin_report(mixed: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+    """(dim, value, have, target, goal, expected, drawn) of the rows of :func:`mix_sources`: the target share, and the
+    tokens there are, asked for, expected by the probabilities and drawn."""
+    powers = powers or POWERS
+    cells = _cells(mixed, {d: d for d in powers}, "tokens")
+    parts = []
+    for d, value in _values({d: d for d in powers}).items():
+        drawn = F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0))
+        parts.append(mixed.groupBy(value.alias("value")).agg(F.sum(F.col("tokens") * F.col("probability")).alias("expected"), drawn.alias("drawn")).withColumn("dim", F.lit(d)))
+    return goals(cells, powers, targets, budget).join(functools.reduce(DataFrame.unionByName, parts), ["dim", "value"])
 
 
-def sample_mixture(
-    docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = "mix"
-) -> DataFrame:
-    """The kept rows of ``docs`` with all their columns; the texts themselves are not shuffled while the cells are few."""
+def sample_mixture(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: str = "mix") -> DataFrame:
+    """The kept rows of ``docs`` with all their columns, by the rules of :func:`mix_sources`.
+
+    Rows without a text, or with one without words, are not kept.  Columns of any name stay as they are.  Texts are
+    read twice, for the cells and for the sample, and not shuffled while the cells are few.
+    """
     require(docs, ["doc_id", "text", "source", "lang"])
-    powers, columns = powers or POWERS, docs.columns
-    described = _described(docs.drop("tokens", "weight", "probability", "kept"))
-    weights = cell_weights(described, powers, targets, rounds)
-    extra = [c for c in columns if c in ("tokens", "weight", "probability", "kept")]
-    if extra:
-        raise ValueError(f"rename these columns first: {extra}")
-    return _decide(described, weights, powers, budget, seed).where("kept").select(*columns)
+    powers = powers or POWERS
+    topic, tokens, probability = free_names(docs, "topic_", "tokens_", "probability_")
+    dims = {d: topic if d == "topic" and "topic" not in docs.columns else d for d in powers}
+    described = _described(docs, topic, tokens)
+    weights = _probabilities(described, dims, tokens, powers, targets, budget)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return _judged(described, weights, dims, probability).where(draw(key, seed) < F.col(probability)).select(*[F.col(f"`{c}`") for c in docs.columns])

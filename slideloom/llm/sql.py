@@ -9,8 +9,8 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
 _BENCH_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
-def mix_sources(rounds: int = mixing.ROUNDS, budget: float = mixing.BUDGET) -> str:
-    """Raking unrolled: one table of factors for each dimension and round."""
+def mix_sources(rounds: int = mixing.ROUNDS, budget: float = mixing.BUDGET, tolerance: float = mixing.TOLERANCE) -> str:
+    """Raking unrolled: one table of factors for each dimension and round; after a round within tolerance factors stay."""
     dims = list(mixing.POWERS)
     steps = [
         f"""d AS (SELECT doc_id, source, lang, CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN (length(text) - length(replace(text, '|', ''))) * 40 > length(text) THEN 'table'
@@ -20,23 +20,35 @@ def mix_sources(rounds: int = mixing.ROUNDS, budget: float = mixing.BUDGET) -> s
     ]
     for dim in dims:
         steps.append(
-            f"f_{dim}_0 AS MATERIALIZED (SELECT {dim}, 1.0::DOUBLE AS f, p / sum(p) OVER () AS t FROM (SELECT {dim}, pow(sum(tokens), {mixing.POWERS[dim]}) AS p FROM c GROUP BY 1))"
+            f"""t_{dim} AS MATERIALIZED (SELECT {dim}, h, p / sum(p) OVER () AS t, {budget} * sum(h) OVER () AS b
+            FROM (SELECT {dim}, sum(tokens) AS h, pow(sum(tokens), {mixing.POWERS[dim]}) AS p FROM c GROUP BY 1)), l_{dim}_0 AS (SELECT max(b) AS l FROM t_{dim})"""
         )
+        for k in range(1, mixing.LEVEL_STEPS + 1):
+            full = f"h <= (SELECT l FROM l_{dim}_{k - 1}) * t"
+            steps.append(
+                f"l_{dim}_{k} AS MATERIALIZED (SELECT CASE WHEN sum(t) FILTER (NOT {full}) > 0 THEN (max(b) - coalesce(sum(h) FILTER ({full}), 0)) / sum(t) FILTER (NOT {full}) ELSE (SELECT l FROM l_{dim}_{k - 1}) END AS l FROM t_{dim})"
+            )
+        first = budget if dim == dims[0] else 1.0
+        steps.append(f"f_{dim}_0 AS MATERIALIZED (SELECT {dim}, goal, CASE WHEN goal >= h THEN {mixing.FULL} ELSE {first} END::DOUBLE AS f, 1e300 AS gap FROM (SELECT *, least(h, (SELECT l FROM l_{dim}_{mixing.LEVEL_STEPS}) * t) AS goal FROM t_{dim}))")
+    steps.append(f"e_0 AS (SELECT false AS ok), s AS (SELECT sum(goal) AS s FROM f_{dims[0]}_0)")
     for k in range(1, rounds + 1):
         for at, dim in enumerate(dims):
-            others = [(o, f"f_{o}_{k if i < at else k - 1}") for i, o in enumerate(dims) if i != at]
-            joins = " ".join(f"JOIN {table} USING ({o})" for o, table in others)
-            product = " * ".join(["tokens", *(f"{table}.f" for _, table in others)])
+            tables = {o: f"f_{o}_{k if i < at else k - 1}" for i, o in enumerate(dims)}
+            joins = " ".join(f"JOIN {table} ON {table}.{o} = c.{o}" for o, table in tables.items())
+            product = " * ".join(f"{table}.f" for table in tables.values())
+            step = "CASE WHEN p.goal < r.reached THEN p.goal / r.reached WHEN r.open > 0 THEN (p.goal - r.full_) / r.open ELSE 1.0 END"
             steps.append(
-                f"f_{dim}_{k} AS MATERIALIZED (SELECT p.{dim}, CASE WHEN s.r > 0 THEN p.t / s.r ELSE p.f END AS f, p.t FROM f_{dim}_{k - 1} p "
-                f"JOIN (SELECT {dim}, sum({product}) AS r FROM c {joins} GROUP BY 1) s USING ({dim}))"
+                f"""f_{dim}_{k} AS MATERIALIZED (SELECT p.{dim}, p.goal, CASE WHEN (SELECT ok FROM e_{k - 1}) THEN p.f ELSE p.f * {step} END AS f, abs(p.goal - r.reached) AS gap FROM f_{dim}_{k - 1} p
+                JOIN (SELECT {dim}, sum(tokens * least(w, 1.0)) AS reached, coalesce(sum(tokens) FILTER (w >= 1), 0) AS full_, coalesce(sum(tokens * w) FILTER (w < 1), 0) AS open FROM (SELECT c.*, {product} AS w FROM c {joins}) GROUP BY 1) r USING ({dim}))"""
             )
+        gap = f"greatest({', '.join(f'(SELECT max(gap) FROM f_{dim}_{k})' for dim in dims)})"
+        steps.append(f"e_{k} AS MATERIALIZED (SELECT (SELECT ok FROM e_{k - 1}) OR {gap} <= {tolerance} * (SELECT s FROM s) AS ok)")
     joins = " ".join(f"JOIN f_{o}_{rounds} USING ({o})" for o in dims)
     product = " * ".join(f"f_{o}_{rounds}.f" for o in dims)
-    steps.append(f"w AS (SELECT {', '.join(dims)}, CASE WHEN tokens > 0 THEN {product} * (SELECT sum(tokens) FROM c) ELSE 0 END AS weight FROM c {joins})")
+    steps.append(f"w AS (SELECT {', '.join(dims)}, CASE WHEN tokens > 0 THEN least({product}, 1.0) ELSE 0 END AS probability FROM c {joins})")
     return (
-        f"WITH {', '.join(steps)}, p AS (SELECT d.*, w.weight, least(1.0, {budget} * w.weight) AS probability FROM d JOIN w ON coalesce(d.source, chr(0)) = w.source AND coalesce(d.lang, chr(0)) = w.lang AND d.topic = w.topic) "
-        "SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(weight, 6) AS weight, round(probability, 6) AS probability, "
+        f"WITH {', '.join(steps)}, p AS (SELECT d.*, w.probability FROM d JOIN w ON coalesce(d.source, chr(0)) = w.source AND coalesce(d.lang, chr(0)) = w.lang AND d.topic = w.topic) "
+        f"SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(probability / {budget}, 6) AS weight, round(probability, 6) AS probability, "
         "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 < probability AS kept FROM p"
     )
 

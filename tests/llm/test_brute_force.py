@@ -183,37 +183,79 @@ def near_groups(texts):
     return {i: root(i) for i in sets}
 
 
+def water_level(have, target, budget):
+    """The level at which values that have enough tokens make up for those that give all they have."""
+    level, full = budget, set()
+    while True:
+        now = {v for v in have if have[v] <= level * target[v]}
+        if now == full:
+            return {v: min(have[v], level * target[v]) for v in have}
+        full = now
+        rest = sum(target[v] for v in have if v not in full)
+        level = (budget - sum(have[v] for v in full)) / rest if rest > 0 else level
+
+
+def chances(cells, powers, budget):
+    """The probability of every cell by raking, in plain Python."""
+    goals, factor = [], []
+    for at, power in enumerate(powers.values()):
+        have = defaultdict(int)
+        for cell, n in cells.items():
+            have[cell[at]] += n
+        soft = {v: n**power for v, n in have.items()}
+        goal = water_level(have, {v: x / sum(soft.values()) for v, x in soft.items()}, budget * sum(have.values()))
+        goals.append(goal)
+        factor.append({v: mixing.FULL if goal[v] >= have[v] else 1.0 if at else budget for v in have})
+    weight = lambda cell: math.prod(f[v] for f, v in zip(factor, cell, strict=True))
+    for _ in range(mixing.ROUNDS):
+        gap = 0.0
+        for at in range(len(powers)):
+            step = {}
+            for v, goal in goals[at].items():
+                own = [(n, weight(cell)) for cell, n in cells.items() if cell[at] == v]
+                reached, full, opened = sum(n * min(1, w) for n, w in own), sum(n for n, w in own if w >= 1), sum(n * w for n, w in own if w < 1)
+                step[v] = goal / reached if goal < reached else (goal - full) / opened if opened > 0 else 1.0
+                gap = max(gap, abs(goal - reached))
+            factor[at] = {v: f * step[v] for v, f in factor[at].items()}
+        if gap <= mixing.TOLERANCE * sum(goals[0].values()):
+            break
+    return {cell: min(1.0, weight(cell)) if n else 0.0 for cell, n in cells.items()}
+
+
 def mixture(rows):
     """doc_ids that stay: raked cells, then a hash of doc_id against the cell's probability."""
-    dims = {"source": 0.7, "lang": 0.5, "topic": 0.7}
     cells = defaultdict(int)
     for r in rows:
-        cells[tuple(r[d] for d in dims)] += len(words(r["text"]))
-    total = sum(cells.values())
-    target, factor = [], []
-    for at, power in enumerate(dims.values()):
-        sums = defaultdict(int)
-        for cell, n in cells.items():
-            sums[cell[at]] += n
-        soft = {v: n**power for v, n in sums.items()}
-        target.append({v: x / sum(soft.values()) for v, x in soft.items()})
-        factor.append(dict.fromkeys(soft, 1.0))
-    for _ in range(mixing.ROUNDS):
-        for at in range(3):
-            reached = defaultdict(float)
-            for cell, n in cells.items():
-                reached[cell[at]] += n * math.prod(factor[o][cell[o]] for o in range(3) if o != at)
-            factor[at] = {v: target[at][v] / x if x else factor[at][v] for v, x in reached.items()}
+        cells[tuple(r[d] for d in mixing.POWERS)] += len(words(r["text"]))
+    chance = chances(cells, mixing.POWERS, mixing.BUDGET)
     keep = set()
     for r in rows:
-        cell = tuple(r[d] for d in dims)
-        chance = min(1.0, mixing.BUDGET * math.prod(factor[o][cell[o]] for o in range(3)) * total) if cells[cell] else 0.0
+        p = chance[tuple(r[d] for d in mixing.POWERS)]
         drawn = int(hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
-        assert abs(drawn - chance) > 1e-9
-        keep |= {r["doc_id"]} if drawn < chance else set()
+        assert abs(drawn - p) > 1e-9
+        keep |= {r["doc_id"]} if drawn < p else set()
     return keep
 
 
+def test_expected_and_drawn_margins_meet_the_targets(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randrange(20, 60), rng.choices(["a", "b", "c"], [60, 30, 10])[0], rng.choices(["en", "de"], [4, 1])[0], rng.choice(["x", "y"])) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    wanted = {"source": {"a": 0.45, "b": 0.37, "c": 0.18}, "lang": {"en": 0.72, "de": 0.28}}
+    targets = {d: spark.createDataFrame(list(t.items()), f"{d} string, target double") for d, t in wanted.items()}
+    got = mixing.margin_report(mixing.mix_sources(docs, targets=targets, budget=0.5), targets=targets, budget=0.5).collect()
+    total = 0.5 * sum(r.have for r in got if r.dim == "source")
+    for r in got:
+        goal = wanted[r.dim][r.value] * total if r.dim in wanted else r.target * total
+        assert math.isclose(r.goal, goal, rel_tol=1e-9) and math.isclose(r.expected, goal, rel_tol=1e-3) and math.isclose(r.drawn, goal, rel_tol=0.08), r
+    # c has too little for half of the sample: it gives all it has, the others make up for it in their proportions
+    short = {"source": spark.createDataFrame([("a", 0.3), ("b", 0.2), ("c", 0.5)], "source string, target double")}
+    got = {(r.dim, r.value): r for r in mixing.margin_report(mixing.mix_sources(docs, targets=short, budget=0.5), targets=short, budget=0.5).collect()}
+    a, b, c = (got["source", v] for v in "abc")
+    assert c.goal == c.have == c.drawn and math.isclose(a.goal / b.goal, 1.5) and math.isclose(a.goal + b.goal + c.goal, total)
+    assert all(math.isclose(r.expected, r.goal, rel_tol=1e-3) for r in got.values())
+
+
 def test_pipeline_matches_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}
