@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-A page is read into a small tree of block elements.  The density of a block is its characters per tag,
-adjusted by the share of link characters and link tags; the density sum of a block adds up its children.
+A page is read into a small tree of block elements with their inline elements.  The density of an element is its
+characters per tag, adjusted by the share of link characters and link tags; the density sum of a block adds up
+all its child elements, blocks and inline ones.
 The block with the largest density sum is the content; the smallest density on its path up to the body is
 the threshold at which further subtrees are searched in the same way.  The structure of the page completes
 this: headings, quotes, lists and short paragraphs that belong to the blocks found stay too.
@@ -22,15 +23,19 @@ from pyspark.sql import types as T
 from ._shared import require
 from ._words import frugal, slices
 
+#: Attributes up to the end of the tag: a quote only opens a value behind "=", and only if it is closed somewhere.
+_ATTRIBUTES = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)\b{_ATTRIBUTES}(?:>|\Z).*?(?:</\1\b[^>]*(?:>|\Z)|\Z)"
+    rf"|<(/?)([a-z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
 _SPACE = re.compile(r"\s+")
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that are never main text.
-DROPPED = frozenset("nav footer aside form button select option dialog menu head object canvas audio video map".split())
+DROPPED = frozenset("nav footer aside form button select option dialog menu head object canvas audio video map svg noscript template".split())
+#: Of these, the ones within lines of text, which they do not part.
+_WITHIN = frozenset("button select object canvas audio video map svg noscript template".split())
 #: Names in class, id or role that mark such parts, whole or as the end of a longer name (left-sidebar).
 DROPPED_NAMES = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar "
@@ -42,13 +47,13 @@ _ABOUT = frozenset("has have with without no not hide hidden show is".split())
 #: Last words of names that only say where or in which form such a part is (sidebar-left, share-buttons).
 _FORMS = frozenset("left right top bottom bar box area list links link items item buttons button icons icon slot unit block widget widgets".split())
 #: Dropped by their element alone, wherever the text is.
-_NEVER = frozenset("head button select option canvas audio video map object".split())
+_NEVER = _WITHIN | {"head", "option"}
 BLOCKS = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th pre blockquote figure "
     "figcaption address center fieldset hr details summary header hgroup caption".split()
 ) | DROPPED
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "option", "summary"}
+_CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "option", "summary"} - _WITHIN
 _ITEM = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that belong to the content directly behind them, alone or in a wrapper of such.
@@ -57,12 +62,13 @@ _HOLDER = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "
 
 
 class _Block:
-    __slots__ = ("chars", "children", "density", "dropped", "link_chars", "link_tags", "name", "parent", "parts", "sum", "tags")
+    __slots__ = ("chars", "children", "density", "dropped", "inline", "link_chars", "link_tags", "name", "parent", "parts", "sum", "tags")
 
     def __init__(self, name: str, parent: _Block | None, dropped: bool):
         self.name, self.parent, self.dropped = name, parent, dropped  # dropped: by its own element or names, until _settle
         self.parts: list[str | _Block] = []  # text and blocks in page order
         self.children: list[_Block] = []
+        self.inline: list[tuple[int, int, int, int]] = []  # characters, tags, link characters, link tags in each inline child
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -70,7 +76,16 @@ class _Block:
 def parse(page: str) -> _Block:
     """The tree of blocks; unclosed elements end where a browser would end them."""
     root = _Block("body", None, False)
-    here, links, quiet = root, 0, False
+    here, links = root, 0
+    # inline elements that are open in ``here``, with its counts where they began
+    opened: list[tuple[str, int, int, int, int]] = []
+
+    def close(to: int = 0) -> None:
+        if not to and opened:
+            _, c, t, lc, lt = opened[0]
+            here.inline.append((here.chars - c, here.tags - t, here.link_chars - lc, here.link_tags - lt))
+        del opened[to:]
+
     for m in _TOKEN.finditer(page):
         text = m.group(5)
         if text is not None:
@@ -88,28 +103,33 @@ def parse(page: str) -> _Block:
         if m.group(2):  # an end tag
             if name == "a":
                 links = max(0, links - 1)
-            elif name == "br":
+            if name == "br":
                 here.parts.append(" ")
-            elif name in BLOCKS and name not in ("html", "body"):
+            elif name not in BLOCKS:
+                at = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == name), None)
+                if at is not None:
+                    close(at)
+            elif name not in ("html", "body"):
                 up = here
                 while up is not root and up.name != name:
                     up = up.parent
                 if up is not root:
+                    close()
                     here, links = up.parent, 0
             continue
         if name in ("html", "body") or name == "head" and here is not root:
             continue
-        if name == "br" or name == "wbr":
-            here.tags += 1
-            if name == "br":
-                here.parts.append(" ")
-            continue
+        if name == "br":
+            here.parts.append(" ")
         if name not in BLOCKS:
             here.tags += 1
             if name == "a":
                 here.link_tags += 1
                 links += 1
+            if name not in _VOID:
+                opened.append((name, here.chars, here.tags, here.link_chars, here.link_tags))
             continue
+        close()
         if here.name == "head" and name not in ("head",):
             here = here.parent  # a body without a start tag
         if name in _CLOSES_P and here.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (here.name == "p" or name[0] == "h"):
@@ -125,6 +145,7 @@ def parse(page: str) -> _Block:
         here.parts.append(block)
         if name not in _VOID and not m.group(4).endswith("/"):
             here = block
+    close()
     _settle(root)
     return root
 
@@ -182,6 +203,16 @@ def _is_dropped(name: str, attributes: str, parent: _Block) -> bool:
     return False
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, body_share: float) -> float:
+    """Composite text density: characters per tag times the logarithm of (c / lc)(t / lt) to the base ln(c lc / (c - lc) + c * body_share + e)."""
+    if not chars:
+        return 0.0
+    per_tag = chars / max(1, tags)
+    ratio = chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + body_share * chars + math.e)
+    return per_tag * max(0.0, math.log(ratio) / math.log(base))
+
+
 def densities(root: _Block) -> list[_Block]:
     """Fill in density and density sum of every block; the blocks, parents before children."""
     order = [root]
@@ -193,16 +224,12 @@ def densities(root: _Block) -> list[_Block]:
             block.tags += child.tags + 1
             block.link_chars += child.link_chars
             block.link_tags += child.link_tags
-    body_chars, body_links = max(1, root.chars), root.link_chars
+    # a page without links counts as one with a single link character: the logarithm needs a base
+    share = max(1, root.link_chars) / max(1, root.chars)
     for block in order:
-        c, t = block.chars, max(1, block.tags)
-        lc, lt = block.link_chars, block.link_tags
-        if c:
-            ratio = c / max(1, lc) * t / max(1, lt)
-            base = math.log(c / max(1, c - lc) * lc + body_links / body_chars * c + math.e)
-            block.density = c / t * max(0.0, math.log(ratio) / base if ratio > 0 else 0.0)
+        block.density = density(block.chars, block.tags, block.link_chars, block.link_tags, share)
     for block in order:
-        block.sum = sum(child.density for child in block.children)
+        block.sum = sum(child.density for child in block.children) + sum(density(*counts, share) for counts in block.inline)
     return order
 
 
@@ -317,6 +344,8 @@ def content_blocks(root: _Block) -> list[_Block | str]:
         if isinstance(part, str):
             held.append(part)
             continue
+        if part is not None and part.dropped and part.name in _WITHIN:
+            continue
         if held:
             items.append(("".join(held), inside))
             held = []
@@ -356,6 +385,8 @@ def _texts(block: _Block) -> Iterator[str]:
             if isinstance(part, str):
                 held.append(part)
                 continue
+            if part.dropped and part.name in _WITHIN:
+                continue
             if held:
                 yield "".join(held)
                 held.clear()
