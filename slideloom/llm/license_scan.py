@@ -17,40 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import license_texts
 from ._shared import require
 from ._words import frugal, slices
 
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.'-][A-Za-z0-9]+)*")
 
-#: Notices of well-known licenses: short notes as texts carry them, and the opening paragraphs of full notices.
-TEMPLATES: dict[str, str] = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": (
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
-        "writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either "
-        "express or implied."
-    ),
-    "MIT": "Released under the MIT License.",
-    "MIT-notice": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal "
-        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software"
-    ),
-    "BSD-3-Clause-notice": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
-        "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
-    ),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "all-rights-reserved": "All rights reserved.",
-}
+TEMPLATES: dict[str, str] = license_texts.TEXTS | license_texts.NOTICES
 #: A template counts as present from this share of its words.
 MIN_COVERAGE = 0.8
 
@@ -108,6 +81,11 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _worth(aligned: list[tuple[int, int]]) -> int:
+    """How well an alignment fits, among those of one template: aligned words against the words of the text that it skips."""
+    return 3 * len(aligned) - (aligned[-1][0] - aligned[0][0])
+
+
 def _around(words: list[str], template: list[str], i: int, p: int, low: int, high: int, need: float) -> list[tuple[int, int]]:
     """The best alignment within words[low:high] in which word ``i`` is the template's word ``p``; empty if none has ``need`` words.
 
@@ -124,7 +102,7 @@ def _around(words: list[str], template: list[str], i: int, p: int, low: int, hig
         right = patience(words[i + 1 : b], template[p + 1 :])
         aligned = [(a + x, y) for x, y in left] + [(i, p)] + [(i + 1 + x, p + 1 + y) for x, y in right]
         aligned = _dense(aligned, 2 * size)  # aligned words far from the rest are chance
-        if len(aligned) >= need and len(aligned) > len(best):
+        if len(aligned) >= need and (not best or _worth(aligned) > _worth(best)):
             best = aligned
             if len(best) == size:
                 break
@@ -135,7 +113,7 @@ def _copies(words: list[str], template: list[str], rare: set[str], min_coverage:
     """(first word, last word, aligned words) of all separate occurrences of a template.
 
     Any occurrence has one of the rare words aligned, so it is looked for around each place of these.  Of finds that
-    overlap the best covered stays, then the shortest, and the words on both sides of it are searched again.
+    overlap the one that fits best stays, and the words on both sides of it are searched again.
     """
     places: dict[str, list[int]] = {}
     for p, w in enumerate(template):
@@ -152,13 +130,13 @@ def _copies(words: list[str], template: list[str], rare: set[str], min_coverage:
             for p in places[words[i]]:
                 aligned = _around(words, template, i, p, low, high, need)
                 if aligned:
-                    found.add((-len(aligned), aligned[-1][0] - aligned[0][0], aligned[0][0]))
+                    found.add((-_worth(aligned), aligned[0][0], aligned[-1][0], len(aligned)))
         taken: list[tuple[int, int]] = []
         again = False
-        for size, length, first in sorted(found):
-            if _free(taken, first, first + length + 1):
-                insort(taken, (first, first + length + 1))
-                out.append((first, first + length, -size))
+        for _, first, last, size in sorted(found):
+            if _free(taken, first, last + 1):
+                insort(taken, (first, last + 1))
+                out.append((first, last, size))
             else:
                 again = True
         if again:  # what overlapped may hold a copy of its own
@@ -184,15 +162,18 @@ def scan_text(text: str, templates: dict[str, list[str]], rare: dict[str, set[st
     found = []
     for name, template in templates.items() if present else ():
         if rare[name] & present:
-            found += [(name, n / len(template), words[first][1], words[last][2]) for first, last, n in _copies(plain, template, rare[name], min_coverage)]
-    # of overlapping finds the one with more characters stays, then the better covered
-    found.sort(key=lambda x: (-(x[3] - x[2]), -x[1], x[2], x[0]))
+            for first, last, n in _copies(plain, template, rare[name], min_coverage):
+                # aligned words against the template's words that are missing and the text's that are too many
+                worth = n - (len(template) - n) - (last + 1 - first - n)
+                found.append((name, n / len(template), words[first][1], words[last][2], worth))
+    # of overlapping finds the one that fits best stays
+    found.sort(key=lambda x: (-x[4], -x[1], x[2], x[0]))
     kept: list[tuple[str, float, int, int]] = []
     taken: list[tuple[int, int]] = []
     for x in found:
         if _free(taken, x[2], x[3]):
             insort(taken, (x[2], x[3]))
-            kept.append(x)
+            kept.append(x[:4])
     return sorted(kept, key=lambda x: x[2])
 
 
