@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +34,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HIDDEN = re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,10}\b")
+_AT = re.compile(r" ?(?:\(at\)|\[at\]| at ) ?")
+_BEHIND_AT = re.compile(r"[A-Za-z0-9-]+ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,}\b")
 _SECRET = re.compile(r"(?i)\b(token|secret|api[_-]?key|password|passwd|pwd|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{6,})")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -99,38 +101,68 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _hidden_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a written-out at and dot, from each at outwards."""
+    past = 0
+    for at in _AT.finditer(text):
+        start = at.start()
+        while start > past and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _BEHIND_AT.match(text, at.end()) if start < at.start() else None
+        if m:
+            past = m.end()
+            yield start, past
+
+
+def _merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _beside(start: int, end: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span outside ``covered`` (:func:`_merged`)."""
+    out = []
+    for i in range(max(0, bisect_right(covered, (start, start)) - 1), len(covered)):
+        s, e = covered[i]
+        if s >= end:
+            break
+        if e > start:
+            if start < s:
+                out.append((start, s))
+            start = e
+    if start < end:
+        out.append((start, end))
+    return out
+
+
 def extra_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Further candidates that do not touch a base span; a secret may hold base spans but also something beside them."""
-    found = []
-    if " at " in text or "(at)" in text or "[at]" in text:
-        found += [("hidden_email", *m.span()) for m in _HIDDEN.finditer(text)]
+    secrets, others = [], []
+    covered = _merged(base)
     if "=" in text or ":" in text:
-        found += [("secret", *m.span(2)) for m in _SECRET.finditer(text)]
+        secrets = [("secret", *m.span(2)) for m in _SECRET.finditer(text) if _beside(*m.span(2), covered)]
+    if " at " in text or "(at)" in text or "[at]" in text:
+        others += [("hidden_email", *span) for span in _hidden_emails(text)]
     if _DIGIT.search(text):
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13 and 13 <= sum(c.isdigit() for c in m.group()) <= 19:
-                found.append(("number", *m.span()))
-    if not found:
-        return found
-    taken = sorted((s, e) for _, s, e in base)
-    out = []
-    for kind, s, e in sorted(found, key=lambda x: (KINDS.index(x[0]) != KINDS.index("secret"), x[1])):
-        if all(e <= a or s >= b for a, b in taken) or kind == "secret" and any(_beside(s, e, base)):
+                others.append(("number", *m.span()))
+    if not secrets and not others:
+        return []
+    covered, past, out = _merged(base + secrets), 0, secrets
+    for kind, s, e in sorted(others, key=lambda x: x[1]):
+        if s >= past and _beside(s, e, covered) == [(s, e)]:
             out.append((kind, s, e))
-            taken.append((s, e))
+            past = e
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
-def _beside(start: int, end: int, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """The stretches of a span outside base spans."""
-    for s, e in sorted((s, e) for _, s, e in base if s < end and e > start):
-        if start < s:
-            yield start, s
-        start = max(start, e)
-    if start < end:
-        yield start, end
-
-
 def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     """Votes of the labelers on one span: 1 for, 0 against, -1 abstains."""
     span = text[start:end]
@@ -260,7 +292,8 @@ def find_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[str, int, int
             np.array([KINDS.index(k) for k, _, _ in extra]), np.array([votes(text, *c) for c in extra]), np.array([_features(text, s, e) for _, s, e in extra])
         )
         extra = [c for c, score in zip(extra, x @ weights, strict=True) if score > 0]
-        extra = [(k, *part) for k, s, e in extra for part in _beside(s, e, base)]
+        covered = _merged(base)
+        extra = [(k, *part) for k, s, e in extra for part in _beside(s, e, covered)]
     return base, extra
 
 
@@ -272,7 +305,8 @@ def detect_pii(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """``docs`` without text, with n_email, n_ip, n_card, n_phone, base_sha256 and spans, row by row.
 
     spans are kind:start:end in code points, the end exclusive, by kind and place.  Null and empty texts have no
-    spans; repeated rows are read each; existing columns of the added names are replaced.
+    spans; repeated rows are read each; existing columns of the added names are replaced; an empty table gives an
+    empty table.
     """
     require(docs, ["text"])
     if weights is None:
@@ -305,7 +339,11 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact_pii(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """``docs`` with personal data in text replaced, and n_chars, if it is a column, set to the new length.  Null texts stay null."""
+    """``docs`` with personal data in text replaced, and n_chars, if it is a column, set to the new length.
+
+    Null and empty texts stay as they are; repeated rows are redacted each; other columns, of any name, are not
+    touched; an empty table gives an empty table.
+    """
     require(docs, ["text"])
     if weights is None:
         weights = train(docs)
