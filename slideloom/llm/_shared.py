@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._words import give_back
-
-_LOCAL_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+from slideloom.sources.shared import written
 
-    Only where the session does not name one (tests on a local master) a temporary folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _LOCAL_DIRS[app]
+from ._words import give_back
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back; lineage ends there.
+    """``df`` written as Parquet into the shared folder and read back; lineage ends there.
 
     Unlike executor-local storage the files outlive any executor, and rows keep the generated keys they
     were written with.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = written(df, name)
     give_back()
-    return spark.read.schema(df.schema).parquet(path)
+    return out
 
 
 def require(df: DataFrame, columns: Iterable[str]) -> None:

@@ -19,6 +19,8 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NON_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 BLOCK_BYTES = 1 << 19
+#: Bytes of one text that are hashed at a time.
+STRETCH = 4 * BLOCK_BYTES
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -127,29 +129,48 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: bytes) -> tup
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`word_hashes`, and the first byte and the byte after the last of every word."""
-    rows = len(offsets) - 1
+    """:func:`word_hashes`, and the first byte and the byte after the last of every word.
+
+    A block that is one very long text is read in stretches that end between words, so that only what is kept for
+    each word grows with the text.
+    """
+    inside = _word_bytes(separators)
+    found = []
+    at = 0
+    while at < len(data) or not found:
+        end = min(len(data), at + STRETCH)
+        while end < len(data):  # on to the next byte that is in no word
+            gap = np.flatnonzero(~inside[data[end : end + STRETCH]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(len(data), end + STRETCH)
+        edges = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, side="right")] - at
+        found.append(tuple(part + shift for part, shift in zip(_stretch(data[at:end], edges, inside), (np.uint64(0), at, at), strict=True)))
+        at = max(end, at + 1)
+    hashes, starts, ends = (np.concatenate([f[i] for f in found]) if len(found) > 1 else found[0][i] for i in range(3))
+    return hashes, np.searchsorted(starts, offsets, side="left"), starts, ends
+
+
+def _stretch(data: np.ndarray, edges: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and bytes after the last of the words of some bytes, with row edges among them."""
     if not len(data):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), none, none
-    inside = _word_bytes(separators)[data]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = word_bytes[data]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
-    firsts = offsets[:-1]
-    before[firsts[firsts < len(data)]] = False  # words do not run on into the next row
+    before[edges[edges < len(data)]] = False  # words do not run on into the next row
     starts = np.flatnonzero(inside & ~before)
     after = np.empty_like(inside)
     after[:-1] = inside[1:]
     after[-1] = False
-    lasts = offsets[1:] - 1
-    after[lasts[lasts >= 0]] = False
+    after[edges[edges > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_byte_values()[data] * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, offsets, side="left"), starts, ends
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
 def sequence_hashes(hashes: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
