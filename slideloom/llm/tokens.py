@@ -24,8 +24,9 @@ from ._words import frugal, mix, slices, utf8
 MARK = "▁"
 _UNITS = re.compile(" +[^ ]*")
 #: Pre-tokens with a share of at least 1 / HEAD of all occurrences are broadcast; there are at most HEAD.
-HEAD = 1 << 22
-_PARTS = 1 << 10
+HEAD = 1 << 21
+#: Distinct pre-tokens that a task holds before it gives them out.
+HELD_TOKENS = 1_000_000
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -80,29 +81,18 @@ def _string_hashes(column: pa.Array) -> np.ndarray:
 
 
 def _local_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pre-tokens of a task with their counts, in _PARTS parts; flushed when they are many."""
+    """The distinct pre-tokens of a task with their counts; given out and begun anew when they are many."""
     held: pa.Table | None = None
 
     def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        tokens = table["token"].combine_chunks()
-        part = (_string_hashes(tokens) >> np.uint64(40)).astype(np.int64) % _PARTS
-        order = np.argsort(part, kind="stable")
-        tokens, counts = tokens.take(pa.array(order)), table["n"].combine_chunks().take(pa.array(order))
-        at = np.concatenate([np.searchsorted(part[order], np.arange(_PARTS)), [len(tokens)]])
-        full = np.flatnonzero(np.diff(at))
-        offsets = pa.array(np.concatenate([at[full], [len(tokens)]]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(full.astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, tokens.cast(pa.string())),
-            pa.ListArray.from_arrays(offsets, counts.cast(pa.int64())),
-        ], ["part", "tokens", "counts"])
+        yield from table.cast(pa.schema([("token", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=50_000)
 
     for batch in slices(batches):
         words, _ = _split(batch.column("text"))
         seen = pc.value_counts(words)
         now = pa.table({"token": seen.field("values"), "n": seen.field("counts")})
         held = now if held is None else pa.concat_tables([held, now]).group_by("token").aggregate([("n", "sum")]).rename_columns(["token", "n"])
-        if held.num_rows > 2_000_000:
+        if held.num_rows > HELD_TOKENS:
             yield from flush(held)
             held = None
     if held is not None and held.num_rows:
@@ -125,24 +115,16 @@ def _piece_counter(vocabulary: str):
 
 def pre_token_table(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """(h, n, seen): hash of each distinct pre-token, its number of pieces, its occurrences in the corpus."""
-    parts = docs.select("text").mapInArrow(frugal(_local_tokens), "part int, tokens array<string>, counts array<bigint>")
-
-    def count(table: pa.Table) -> pa.Table:
-        merged = pa.table({
-            "token": pc.list_flatten(table["tokens"].combine_chunks()).cast(pa.large_string()),
-            "n": pc.list_flatten(table["counts"].combine_chunks()),
-        }).group_by("token").aggregate([("n", "sum")])
-        tokens = merged["token"].combine_chunks()
-        counter, pieces = _piece_counter(vocabulary), []
-        for i in range(0, len(tokens), 10_000):
-            pieces.append(counter(tokens.slice(i, 10_000).to_pylist()))
-        return pa.table({
-            "h": _string_hashes(tokens).view(np.int64),
-            "n": np.concatenate(pieces) if pieces else np.zeros(0, np.int64),
-            "seen": merged["n_sum"].combine_chunks().cast(pa.int64()),
-        })
-
-    return parts.groupBy("part").applyInArrow(count, "h bigint, n bigint, seen bigint")
+    local = docs.select("text").mapInArrow(frugal(_local_tokens), "token string, n bigint")
+    distinct = local.groupBy("token").agg(F.sum("n").alias("seen"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _piece_counter(vocabulary)
+        for batch in batches:
+            tokens = batch.column("token")
+            yield pa.RecordBatch.from_arrays([pa.array(_string_hashes(tokens).view(np.int64)), pa.array(counter(tokens.to_pylist())), batch.column("seen")], ["h", "n", "seen"])
+
+    return distinct.mapInArrow(frugal(count), "h bigint, n bigint, seen bigint")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit: int = 4096, head: int = HEAD) -> DataFrame:
@@ -152,7 +134,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit
     An empty table gives an empty table.
     """
     require(docs, ["doc_id", "text"])
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     counts = materialize(pre_token_table(docs, vocabulary), "pre-tokens")
     total = counts.agg(F.sum("seen")).first()[0] or 0
     # at most ``head`` rows can have so large a share of the total
@@ -181,15 +164,15 @@ def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit
             pairs, times = np.unique(rows[rest] * np.int64(max(1, len(hashes))) + index[rest], return_counts=True)
             row, token = np.divmod(pairs, max(1, len(hashes)))
             row_keys = batch.column("row")
-            none = pa.nulls(len(row), pa.int64())
+            ids, none = batch.column("doc_id"), pa.nulls(len(row), pa.int64())
             yield pa.RecordBatch.from_arrays([
-                row_keys, batch.column("doc_id"), pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0).cast(pa.int64()),
+                row_keys, ids, pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0).cast(pa.int64()),
                 pa.array(sums), pa.nulls(n_rows, pa.int64()), pa.nulls(n_rows, pa.int64()),
             ], names)
-            yield pa.RecordBatch.from_arrays([row_keys.take(pa.array(row)), none, none, none, pa.array(hashes[token]), pa.array(times.astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([row_keys.take(pa.array(row)), pa.nulls(len(row), ids.type), none, none, pa.array(hashes[token]), pa.array(times.astype(np.int64))], names)
 
     postings = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        frugal(frequencies), "row bigint, doc_id bigint, n_bytes bigint, n bigint, h bigint, times bigint"
+        frugal(frequencies), f"row bigint, doc_id {kind}, n_bytes bigint, n bigint, h bigint, times bigint"
     )
     # rows with no rare pre-token take part in the join under keys of their own, spread over all partitions
     spread = F.coalesce("h", F.xxhash64("row"))
