@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bit_sieve, materialize, require, sieve_has
+from ._shared import bit_sieve, free_names, materialize, require, sieve_has
 from ._words import NON_ALNUM, blocks, frugal, grams, row_of, word_hashes
 
 SPAN = 10
@@ -111,10 +111,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: i
     leaves all texts clean.  Items with equal ids count once.
     """
     require(docs, ["doc_id", "text"])
+    return _judged(docs.select("doc_id", "text"), "doc_id", items, span, k, broadcast_rows)
+
+
+def _judged(docs: DataFrame, key: str, items: DataFrame, span: int = SPAN, k: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """:func:`find_contamination` of (key, text), with ``key`` in place of doc_id."""
     require(items, ["item_id", "text"])
     prints = materialize(benchmark_fingerprints(items, span, k), "fingerprints")
     short = tuple(sorted(r[0] - span for r in prints.where(F.col("kind") > span).select("kind").distinct().collect()))  # fewer than ``span`` lengths
-    n_prints = prints.count()
+    item_type = items.schema["item_id"].dataType.simpleString()
+    # items with the same words around a gram are extended together
+    theirs = materialize(prints.groupBy("h", "kind", F.col("around").alias("item_around")).agg(F.collect_set("item_id").alias("item_ids")), "contexts")
+    n_prints = theirs.count()
     sieve = docs.sparkSession.sparkContext.broadcast(bit_sieve(prints, "h", FILTER_BITS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,24 +143,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: i
                     ["at", "kind", "h", "around"],
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(start, n), batch.column("doc_id").slice(start, n), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(cut, seeds)],
-                    ["row", "doc_id", "n_words", "seeds"],
+                    [batch.column("row").slice(start, n), batch.column("key").slice(start, n), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(cut, seeds)],
+                    ["row", "key", "n_words", "seeds"],
                 )
 
     scanned = materialize(
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(frugal(scan), "row bigint, doc_id bigint, n_words bigint, seeds array<struct<at:bigint,kind:int,h:bigint,around:array<bigint>>>"),
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+        .mapInArrow(frugal(scan), f"row bigint, key {docs.schema[key].dataType.simpleString()}, n_words bigint, seeds array<struct<at:bigint,kind:int,h:bigint,around:array<bigint>>>"),
         "seeds",
     )
     seeds = scanned.where(F.size("seeds") > 0).select("row", F.explode("seeds").alias("s")).select("row", "s.*")
-    theirs = prints.select("h", "kind", "item_id", F.col("around").alias("item_around"))
     if n_prints <= broadcast_rows:
         met = seeds.join(F.broadcast(theirs), ["h", "kind"])
     else:  # texts that share one passage are many: spread each fingerprint over 16 keys
         salts = 16
         theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = seeds.withColumn("salt", F.pmod("row", F.lit(salts)).cast("int")).join(theirs, ["h", "kind", "salt"])
-    item_type = items.schema["item_id"].dataType.simpleString()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 * span - k
@@ -171,14 +177,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: i
             start = np.where(whole, at, at - left)
             keep = pa.array(good)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").filter(keep), batch.column("item_id").filter(keep), pa.array(start[good]), pa.array((start + length)[good])],
-                ["row", "item_id", "first", "past"],
+                [batch.column("row").filter(keep), batch.column("item_ids").filter(keep), pa.array(start[good]), pa.array((start + length)[good])],
+                ["row", "item_ids", "first", "past"],
             )
 
-    spans = met.select("row", "at", "kind", "around", "item_id", "item_around").mapInArrow(frugal(extend), f"row bigint, item_id {item_type}, first bigint, past bigint")
+    spans = met.select("row", "at", "kind", "around", "item_ids", "item_around").mapInArrow(frugal(extend), f"row bigint, item_ids array<{item_type}>, first bigint, past bigint")
     hits = (
         spans.groupBy("row")
-        .agg(F.collect_set(F.struct("first", "past")).alias("spans"), F.collect_set("item_id").alias("items"))
+        .agg(F.collect_set(F.struct("first", "past")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("items"))
         .select(
             F.col("row").alias("hit_row"), "items",
             F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["past"] - 1))))).cast("long").alias("hit"),
@@ -186,7 +192,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: i
     )
     out = scanned.drop("seeds").join(hits, F.col("row") == F.col("hit_row"), "left")
     return out.select(
-        "doc_id", "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.col("key").alias(key), "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"),
         F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.when(F.col("items").isNull(), F.array().cast(f"array<{item_type}>")).otherwise(F.array_sort("items")).alias("items"),
         F.col("hit").isNotNull().alias("contaminated"),
@@ -194,6 +200,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: i
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` that share no span with an item, with all their columns.  Rows with a null doc_id are kept."""
-    dirty = find_contamination(docs, items, **options).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"] == F.col("_dirty"), "left_anti")
+    """Rows of ``docs`` that share no span with an item, with all their columns, whatever their names.
+
+    Rows are judged by their texts, named by a 64-bit hash: repeated rows share their fate, a null doc_id makes no
+    difference, null and empty texts stay.  An empty benchmark keeps all; an empty table gives an empty table.
+    """
+    require(docs, ["text"])
+    key, dirty = free_names(docs, "text_key", "dirty_key")
+    own = F.xxhash64(F.col("text").cast("string"))
+    judged = _judged(docs.select(own.alias(key), "text"), key, items, **options)
+    # a table of its own: its size is known before the join, so that few of them are broadcast and no text is shuffled
+    gone = materialize(judged.where("contaminated").select(F.col(key).alias(dirty)).distinct(), "dirty")
+    return docs.join(gone, own == F.col(dirty), "left_anti")
