@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import require
-from ._words import blocks, frugal, give_back, mix
+from ._words import STRETCH, blocks, frugal, give_back, mix
 
 ORDER = 4
 #: Labelled texts that the contexts are counted on, for each language (about: texts are chosen by hash).
@@ -26,12 +26,18 @@ SAMPLE_PER_LANGUAGE = 400
 UNDETERMINED = "und"
 
 
-def _keys(data: np.ndarray, owner_start: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (context, byte) of every position and whether the row has so many bytes before it."""
-    key = data.astype(np.uint64)
-    for i in range(1, order + 1):
-        key[i:] |= data[:-i].astype(np.uint64) << np.uint64(8 * i)
-    return key, owner_start >= order
+def _pieces(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some bytes at a time: the first position and, of each position, its row, its place in the row and its packed (context, byte)."""
+    for low in range(0, len(data), STRETCH):
+        high = min(len(data), low + STRETCH)
+        before = min(low, order)
+        part = data[low - before : high]
+        key = part.astype(np.uint64)
+        for i in range(1, order + 1):
+            key[i:] |= part[:-i].astype(np.uint64) << np.uint64(8 * i)
+        place = np.arange(low, high)
+        row = np.searchsorted(offsets, place, side="right") - 1
+        yield low, row, place - offsets[row], key[before:]
 
 
 def context_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
@@ -43,10 +49,8 @@ def context_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
             for lang in sorted(set(langs)):
                 own = batch.filter(pa.array(langs == lang))
                 for _, _, data, offsets in blocks(own.column("text")):
-                    inside = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-                    for depth in range(order + 1):
-                        key, ok = _keys(data, inside, depth)
-                        found, n = np.unique(key[ok], return_counts=True)
+                    for depth, (_, _, inside, key) in ((d, p) for d in range(order + 1) for p in _pieces(data, offsets, d)):
+                        found, n = np.unique(key[inside >= depth], return_counts=True)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([lang] * len(found), pa.string()), pa.array(np.full(len(found), depth, np.int32)), pa.array(found.view(np.int64)), pa.array(n)],
                             ["lang", "depth", "key", "n"],
@@ -168,12 +172,11 @@ class PPM:
         if not len(data):
             return out
         depth = len(self.bytes_) - 1
-        inside = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-        key, full = _keys(data, inside, depth)
-        # the first bytes of a row have shorter contexts
-        cost = self._cost(key, self.bytes_, self.escapes, depth, count, None if full.all() else np.minimum(inside, depth))
-        filled = np.flatnonzero(np.diff(offsets))
-        out[filled] = np.add.reduceat(cost, offsets[filled], axis=0, dtype=np.float64)
+        for low, row, inside, key in _pieces(data, offsets, depth):
+            # the first bytes of a row have shorter contexts
+            cost = self._cost(key, self.bytes_, self.escapes, depth, count, None if (inside >= depth).all() else np.minimum(inside, depth))
+            own = np.unique(row)
+            out[own] += np.add.reduceat(cost, np.maximum(offsets[own] - low, 0), axis=0, dtype=np.float64)
         return out
 
 
@@ -205,7 +208,9 @@ def identify(docs: DataFrame, model: PPM | None) -> DataFrame:
     """``docs`` with lang_pred and score added, in one pass; the prediction sees the whole text and nothing else.
 
     score is the chance of the language when the mean code lengths per byte, ten times sharpened, are read as
-    log odds.  A null text or one without any letter gives ``und`` with score 0.  Existing columns of these names are replaced.
+    log odds.  A null text or one without any letter gives ``und`` with score 0, as does any text without a model (no
+    labelled text).  Repeated rows are read each; existing columns of these names are replaced; an empty table gives an
+    empty table.
     """
     require(docs, ["text"])
     docs = docs.drop("lang_pred", "score")
@@ -235,8 +240,9 @@ def identify(docs: DataFrame, model: PPM | None) -> DataFrame:
 
 def _has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ascii_letter = ((data | 0x20) >= ord("a")) & ((data | 0x20) <= ord("z"))
-    sums = np.concatenate([[0], np.cumsum(ascii_letter)])
-    out = sums[offsets[1:]] > sums[offsets[:-1]]
+    out, filled = np.zeros(len(offsets) - 1, bool), np.flatnonzero(np.diff(offsets))
+    if len(filled):
+        out[filled] = np.logical_or.reduceat(ascii_letter, offsets[filled])
     for i in np.flatnonzero(~out):
         text = column[int(i)].as_py()
         out[i] = bool(text) and any(c.isalpha() for c in text)

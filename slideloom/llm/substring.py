@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bit_sieve, materialize, require, sieve_has
+from ._shared import bit_sieve, free_names, materialize, require, sieve_has
 from ._words import SPACES, blocks, frugal, row_of, sequence_hashes, words
 
 #: A run has at least two sentences with RUN_WORDS words, or LONG_WORDS words.
@@ -83,7 +83,8 @@ def sentence_runs(docs: DataFrame, run_words: int = RUN_WORDS, long_words: int =
                     [part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(rows).astype(np.int64)), lists], ["doc_id", "text_hash", "n_sentences", "runs"]
                 )
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(frugal(run), "doc_id bigint, text_hash bigint, n_sentences bigint, runs array<struct<h:bigint,first:int,past:int>>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(frugal(run), f"doc_id {kind}, text_hash bigint, n_sentences bigint, runs array<struct<h:bigint,first:int,past:int>>")
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
@@ -92,7 +93,9 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, long_words: int =
     The first occurrence is the one with the smallest doc_id (null last), then text hash, then place.
     """
     table = materialize(sentence_runs(docs, run_words, long_words), "runs")
-    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    kind = docs.schema["doc_id"].dataType
+    # nulls come last
+    order = F.coalesce("doc_id", F.lit((1 << 63) - 1)) if isinstance(kind, T.LongType) else F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     every = table.select(order.alias("doc"), F.explode("runs.h").alias("h"))
     repeated = materialize(every.groupBy("h").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1").select("h", "first_doc"), "repeated")
     sieve = docs.sparkSession.sparkContext.broadcast(bit_sieve(repeated, "h", SIEVE_BITS))
@@ -111,7 +114,7 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, long_words: int =
                 ["doc_id", "text_hash", "h", "first", "past"],
             )
 
-    seen = table.select("doc_id", "text_hash", "runs").mapInArrow(frugal(keep), "doc_id bigint, text_hash bigint, h bigint, first int, past int").withColumn("doc", order)
+    seen = table.select("doc_id", "text_hash", "runs").mapInArrow(frugal(keep), f"doc_id {kind.simpleString()}, text_hash bigint, h bigint, first int, past int").withColumn("doc", order)
     met = materialize(seen.join(repeated, "h"), "met")
     # where in its first document a run stands first
     # a table of its own, so that the join below can split a run that very many texts share
@@ -131,11 +134,12 @@ def drop_repeats(docs: DataFrame, run_words: int = RUN_WORDS, long_words: int =
     added = ["n_sentences", "n_removed", "n_removed_words"]
     docs = docs.drop(*added)
     fields = docs.schema.fields
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = keyed.withColumn("text_hash", F.xxhash64("text"))
-    spans = repeated_runs(keyed, run_words, long_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    own_id, own_text, own_spans = free_names(docs, "id_", "hash_", "spans_")
+    spans = repeated_runs(keyed, run_words, long_words).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_text), F.col("spans").alias(own_spans))
     own_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (own_hash == F.col("_hash")), "left").drop("_id", "_hash")
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(own_id)) & (own_hash == F.col(own_text)), "left").drop(own_id, own_text)
     schema = T.StructType([*fields, *[T.StructField(x, T.LongType()) for x in added]])
     text_at = [f.name for f in fields].index("text")
 
