@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize, require
@@ -27,7 +27,11 @@ from .components import connected_components
 UNIVERSE_BITS = 20
 BANDS = 32
 ROWS = 4  # a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32, below 1e-7
+#: Bounds of a block that is compared in one task: members and shingles of each side.
 BLOCK = 256
+BLOCK_ITEMS = 1 << 20
+#: Members of a bucket that share a join key; larger buckets are spread over several.
+SLOT = 512
 _CHUNK = 2048
 
 
@@ -72,7 +76,7 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch], shingle: int):
 
 
 def signatures(docs: DataFrame, shingle: int = 2, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands): set_a and set_b together identify the set."""
+    """(doc_id, n_shingles, key, bands): the set's hash, null if it is empty, stands for the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values, bounds in _shingle_batches(batches, shingle):
@@ -84,26 +88,36 @@ def signatures(docs: DataFrame, shingle: int = 2, bands: int = BANDS, rows: int
                 for r in range(rows):
                     h = mix(h ^ signature[:, b * rows + r].astype(np.uint64)) + np.uint64(r)
                 keys[:, b] = h
-            totals = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(s)), dtype=np.uint64)]) for s in (11, 97)]
-            a, b = (t[bounds[1:]] - t[bounds[:-1]] for t in totals)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                batch.column("doc_id"), pa.array(np.diff(bounds)), *_set_sums(values, bounds),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64))),
             ], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.mapInArrow(frugal(run), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = docs.mapInArrow(frugal(run), f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    return signed.select("doc_id", "n_shingles", _key().alias("key"), "bands")
+
+
+def _set_sums(values: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Two sums of hashes of each set; together with its size they identify it."""
+    totals = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(s)), dtype=np.uint64)]) for s in (11, 97)]
+    return [pa.array((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64)) for t in totals]
+
+
+def _key() -> Column:
+    return F.when(F.col("n_shingles") > 0, F.xxhash64("set_a", "set_b", "n_shingles"))
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 2) -> DataFrame:
-    """(doc_id, items): the full shingle set of each row."""
+    """(key, items): the full shingle set of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values, bounds in _shingle_batches(batches, shingle):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))], ["doc_id", "items"]
-            )
+            items = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(bounds)), *_set_sums(values, bounds), items], ["n_shingles", "set_a", "set_b", "items"])
 
-    return docs.mapInArrow(frugal(run), "doc_id bigint, items array<bigint>")
+    sets = docs.mapInArrow(frugal(run), "n_shingles bigint, set_a bigint, set_b bigint, items array<bigint>")
+    return sets.select(_key().alias("key"), "items")
 
 
 def _block_links(percent: int):
@@ -111,7 +125,7 @@ def _block_links(percent: int):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
-        doc, comp = table["doc"].to_numpy(), table["component"].to_numpy()
+        node, comp = table["node"].combine_chunks(), table["component"].to_numpy()
         items = table["items"].combine_chunks()
         flat, cut = items.flatten().to_numpy(), np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy())])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -128,8 +142,8 @@ def _block_links(percent: int):
             hit = np.flatnonzero(linked)
             if len(hit):
                 _, one = np.unique(comp[right[hit]], return_index=True)
-                found += [(doc[x], doc[right[h]]) for h in hit[one]]
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+                found += [(x, right[h]) for h in hit[one]]
+        return pa.table({side: node.take(pa.array([f[i] for f in found], pa.int64())) for i, side in enumerate("ab")})
 
     return run
 
@@ -140,61 +154,72 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, bands:
     Texts are linked when 100 * shared shingles >= ``percent`` * all their shingles; component_id is the
     smallest doc_id that links reach.  Null and empty texts have no shingles and stay alone.  Rows with a null
     doc_id cannot be named in a link: they keep a null component and are kept.  Repeated rows with one doc_id
-    count as one text each and share its component.  An empty table gives an empty table.
+    share its component; rows with one doc_id and different texts are different texts, each with its own links.
+    doc_id may have any type with an order.  An empty table gives an empty table.
     """
     require(docs, ["doc_id", "text"])
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     signed = materialize(signatures(docs, shingle, bands, rows), "signatures")
-    named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    # equal sets are one text from here on, named by its smallest doc_id
-    distinct = named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    distinct = materialize(distinct, "sets")
-    reps = named.join(distinct.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    placed = reps.select(F.col("doc_id").alias("doc"), "n_shingles", F.explode("bands").alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = materialize(placed.join(sizes, "bucket"), "buckets")
+    named = signed.where("doc_id IS NOT NULL AND key IS NOT NULL")
+    # equal sets are one text from here on; a node is its smallest doc_id and the hash of the set
+    distinct = materialize(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "sets")
+    reps = named.join(distinct.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
+    placed = reps.select(F.col("key").alias("doc"), F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("items")).where("members > 1")
+    slots = F.ceil(F.col("members") / SLOT).cast("int")
+    shared = materialize(placed.join(sizes, "bucket").withColumn("slot", F.pmod(F.xxhash64("doc"), slots).cast("int")), "buckets")
+
+    def spread(buckets: DataFrame) -> DataFrame:
+        """One row of each bucket for every slot of its members, so that no large bucket meets in one task."""
+        return buckets.withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1)))
+
     degree = shared.groupBy("doc").agg(F.sum("members").alias("degree"))
     ranked = shared.join(degree, "doc")
-    centre = ranked.groupBy("bucket").agg(F.max_by(F.struct(F.col("doc").alias("centre"), F.col("n_shingles").alias("centre_n")), F.struct("degree", -F.col("doc"))).alias("c")).select("bucket", "c.*")
+    chosen = F.max_by(F.struct(F.col("doc").alias("centre"), F.col("rep").alias("centre_rep"), F.col("n_shingles").alias("centre_n"), "members"), F.struct("degree", -F.col("doc")))
+    centre = materialize(ranked.groupBy("bucket").agg(chosen.alias("c")).select("bucket", "c.*"), "centres")
     smaller, larger = F.least("n_shingles", "centre_n"), F.greatest("n_shingles", "centre_n")
-    pairs = shared.join(centre, "bucket").where((F.col("doc") != F.col("centre")) & (100 * smaller >= percent * larger)).select("doc", "centre").distinct()
-    pairs = materialize(pairs, "pairs")
-    # full sets only of texts that share a bucket; one row for each doc_id
-    wanted = shared.select("doc").distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi")
-    sets = materialize(shingle_sets(texts, shingle).dropDuplicates(["doc_id"]), "shingles")
-    one = sets.select(F.col("doc_id").alias("doc"), F.col("items").alias("x"))
-    two = sets.select(F.col("doc_id").alias("centre"), F.col("items").alias("y"))
+    near = shared.drop("members").join(spread(centre), ["bucket", "slot"]).where((F.col("doc") != F.col("centre")) & (100 * smaller >= percent * larger))
+    pairs = materialize(near.select("doc", "rep", "centre", "centre_rep").distinct(), "pairs")
+    # full sets only of texts that share a bucket
+    wanted = shared.select("doc", "rep").distinct()
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text")
+    sets = shingle_sets(texts, shingle).join(wanted.select(F.col("doc").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    sets = materialize(sets, "shingles")
+    one = sets.select(F.col("key").alias("doc"), F.col("items").alias("x"))
+    two = sets.select(F.col("key").alias("centre"), F.col("items").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    links = pairs.join(one, "doc").join(two, "centre").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("doc").alias("a"), F.col("centre").alias("b"))
-    links = materialize(links, "links")
+    linked = pairs.join(one, "doc").join(two, "centre").where(100 * common >= percent * (F.size("x") + F.size("y") - common))
+    node = lambda rep, key: F.struct(F.col(rep).alias("doc_id"), F.col(key).alias("key"))
+    links = materialize(linked.select(node("rep", "doc").alias("a"), node("centre_rep", "centre").alias("b")), "links")
     labels = connected_components(links)
 
     # buckets whose members are still apart: the centre's component against the rest, in bounded blocks
-    def labelled(df: DataFrame, by: DataFrame) -> DataFrame:
-        return df.join(by, df["doc"] == by["node"], "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
-
-    open_members = labelled(shared.where("members > 2"), labels)
-    main = open_members.join(centre.select("bucket", "centre"), "bucket").where("doc = centre").select("bucket", F.col("component").alias("main"))
-    members = materialize(open_members.join(main, "bucket").select("bucket", "doc", "members", "component", (F.col("component") != F.col("main")).alias("apart")), "members")
-    small = members.where("apart").groupBy("bucket").agg(F.count("*").alias("n_apart"))
-    both = members.join(small, "bucket")
-    n_left = F.ceil(F.col("n_apart") / BLOCK).cast("int")
-    n_right = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.xxhash64("doc")
-    left = both.where("apart").select("bucket", "doc", "component", F.lit(0).alias("side"), F.pmod(mine, n_left).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_right - 1)).alias("j"))
-    right = both.select("bucket", "doc", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), n_left - 1)).alias("i"), F.pmod(mine, n_right).cast("int").alias("j"))
-    work = left.union(right)
-    rest = sets.select(F.col("doc_id").alias("doc"), "items")
-    more = materialize(work.join(rest, "doc").groupBy("bucket", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint"), "more-links")
+    def labelled(rows: DataFrame, doc: str) -> DataFrame:
+        by = labels.select(F.col("node.key").alias("node_key"), F.col("component.key").alias("component"))
+        return rows.join(by, F.col(doc) == F.col("node_key"), "left").withColumn("component", F.coalesce("component", doc)).drop("node_key")
+
+    open_members = labelled(shared.where("members > 2"), "doc")
+    main = labelled(centre.where("members > 2").select("bucket", "centre", "members"), "centre").select("bucket", "members", F.col("component").alias("main"))
+    members = open_members.join(spread(main).drop("members"), ["bucket", "slot"])
+    members = materialize(members.withColumn("apart", F.col("component") != F.col("main")).drop("main"), "members")
+    small = members.where("apart").groupBy("bucket").agg(F.count("*").alias("n_apart"), F.sum("n_shingles").alias("items_apart"), F.max("members").alias("members"))
+    both = members.join(spread(small).drop("members"), ["bucket", "slot"])
+    parts = lambda n, items: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(items) / BLOCK_ITEMS)).cast("int")
+    n_left, n_right, mine = parts("n_apart", "items_apart"), parts("members", "items"), F.xxhash64("doc")
+    kept = ["bucket", "doc", "rep", "component"]
+    left = both.where("apart").select(*kept, F.lit(0).alias("side"), F.pmod(mine, n_left).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_right - 1)).alias("j"))
+    right = both.select(*kept, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), n_left - 1)).alias("i"), F.pmod(mine, n_right).cast("int").alias("j"))
+    work = left.union(right).join(sets.select(F.col("key").alias("doc"), "items"), "doc")
+    work = work.select("bucket", "i", "j", "side", "component", "items", node("rep", "doc").alias("node"))
+    pair = f"struct<doc_id:{kind},key:bigint>"
+    more = materialize(work.groupBy("bucket", "i", "j").applyInArrow(_block_links(percent), f"a {pair}, b {pair}"), "more-links")
     if not more.isEmpty():
         labels = connected_components(links.union(more))
-    labels = labels.select(F.col("node").alias("rep"), "component")
 
-    named_sets = distinct.join(labels, "rep", "left").select(
-        F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("component_id")
-    )
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b")
-    joined = out.join(named_sets, (out["set_a"] == F.col("_a")) & (out["set_b"] == F.col("_b")) & (out["n_shingles"] == F.col("_n")) & out["doc_id"].isNotNull(), "left")
+    # of two components that hold one doc_id with different texts each keeps its own smallest doc_id
+    named_sets = distinct.join(labels.select(F.col("node.key").alias("key"), F.col("component.doc_id").alias("smallest")), "key", "left")
+    named_sets = named_sets.select(F.col("key").alias("set_key"), F.coalesce("smallest", "rep").alias("component_id"))
+    joined = signed.select("doc_id", "n_shingles", "key").join(named_sets, (F.col("key") == F.col("set_key")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

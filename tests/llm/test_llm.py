@@ -48,6 +48,30 @@ def test_near_duplicates_match_brute_force(spark, odd):
     assert all(got[i].component_id == root(i) and got[i].n_shingles == len(sets[i]) and got[i].kept == (root(i) == i) for i in sets)
 
 
+def test_ids_of_any_type_and_clashing_columns(spark, odd):
+    """String ids, one id with two texts, a null id, and columns with the names that operators use inside."""
+    clash = "id_ string, hash_ string, spans_ string, dirty_key string, text_key string, rep string, key string, component string, topic_ string, tokens_ string, probability_ string, source_ string, lang_ string, text_ string, words_ string, lines_ string, host_ string"
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    passage = " ".join(f"p{i}" for i in range(30)) + ". " + " ".join(f"q{i}" for i in range(25)) + "."
+    texts = [("x1", a), ("x1", b), ("x2", a + " more"), ("x0", b + " more"), (None, a), ("x3", passage), ("x4", "Before.\n" + passage), (None, passage), ("x5", None)]
+    rows = [(i, t, "en", "s", *["clash"] * (clash.count(",") + 1)) for i, t in texts]
+    docs = spark.createDataFrame(rows, f"doc_id string, text string, lang string, source string, {clash}")
+    got = sorted((r.doc_id or "", r.component_id or "", r.kept) for r in neardup.near_duplicates(docs).collect())
+    # the smaller component of an id with two texts is that of its own text
+    assert got == sorted([("x1", "x1", True), ("x1", "x0", False), ("x2", "x1", False), ("x0", "x0", True), ("", "", True), ("x3", "x3", True), ("x4", "x3", False), ("", "", True), ("x5", "x5", True)])
+    items = spark.createDataFrame([("i", "a3 a4 a5 a6 a7 a8 a9 a10 a11 a12")], "item_id string, text string")
+    clean = decontaminate.drop_contaminated(docs, items)
+    assert clean.columns == docs.columns and sorted(r.doc_id or "" for r in clean.collect()) == ["", "x0", "x1", "x3", "x4", "x5"]
+    cut = substring.drop_repeats(docs)
+    assert cut.columns[: len(docs.columns)] == docs.columns and sorted((r.doc_id or "", r.n_removed) for r in cut.collect() if r.n_removed) == [("", 1), ("", 2), ("x4", 2)]
+    assert mixing.sample_mixture(docs).columns == docs.columns and mixing.mix_sources(docs).count() == len(rows)
+    judged = quality.apply_quality_rules(docs)
+    assert set(docs.columns) - {"text"} < set(judged.columns) and judged.count() == len(rows)
+    assert {r.doc_id for r in tokens.count_tokens(docs).collect()} == {i for i, _ in texts}
+    assert langid.identify(docs, langid.train(docs)).columns == [*docs.columns, "lang_pred", "score"]
+    assert set(pii.redact_pii(docs).columns) == set(docs.columns)
+
+
 def test_token_counts(spark, odd):
     import public_tokenizers
     import sentencepiece
