@@ -204,8 +204,8 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, order: i
     return model
 
 
-def identify(docs: DataFrame, model: PPM | None) -> DataFrame:
-    """``docs`` with lang_pred and score added, in one pass; the prediction sees the whole text and nothing else.
+def identify(docs: DataFrame, model: PPM | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with lang_pred and score (``names``) added, in one pass; the prediction sees the whole text and nothing else.
 
     score is the chance of the language when the mean code lengths per byte, ten times sharpened, are read as
     log odds.  A null text or one without any letter gives ``und`` with score 0, as does any text without a model (no
@@ -213,9 +213,9 @@ def identify(docs: DataFrame, model: PPM | None) -> DataFrame:
     empty table.
     """
     require(docs, ["text"])
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = shared.value
@@ -225,15 +225,15 @@ def identify(docs: DataFrame, model: PPM | None) -> DataFrame:
                 part = batch.slice(start, end - start)
                 letter = _has_letter(part.column(at), data, offsets)
                 if ppm is None:
-                    names, score = [UNDETERMINED] * (end - start), np.zeros(end - start)
+                    found, score = [UNDETERMINED] * (end - start), np.zeros(end - start)
                 else:
                     bits = ppm.bits(data, offsets)
                     mean = bits / np.maximum(1, np.diff(offsets))[:, None]
                     odds = np.exp2(-10.0 * (mean - mean.min(axis=1, keepdims=True)))
                     best = bits.argmin(axis=1)
                     score = np.where(letter, 1.0 / odds.sum(axis=1), 0.0)
-                    names = [ppm.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letter, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
+                    found = [ppm.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letter, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score)], [*part.schema.names, *names])
 
     return docs.mapInArrow(frugal(run), schema)
 
