@@ -19,8 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     names; an empty table gives an empty table.  Without any labelled text all documents go.
     """
     pred, score = free_names(docs, "lang_pred", "score")
-    read = docs.select(F.struct("*").alias("row"), "text")
-    found = langid.identify(read, langid.train(docs)).select("row.*", F.col("lang_pred").alias(pred), F.col("score").alias(score))
+    found = langid.identify(docs, langid.train(docs), (pred, score))
     kept = found.where((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", pred)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -28,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one with the smallest doc_id.
 
-    Documents with a null doc_id, and those without words, stay; repeated rows of the kept document stay; other
-    columns stay as they are, whatever their names; an empty table gives an empty table.
+    Documents with a null doc_id, and those without words, stay; repeated rows of the kept document stay, and a
+    doc_id with several texts goes if one of them does; other columns stay as they are, whatever their names; an empty table gives an empty table.
     """
     (gone_id,) = free_names(docs, "gone_id")
     # a table of its own: its size is known before the join, so that few ids are broadcast and no text is shuffled
