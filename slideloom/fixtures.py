@@ -8,10 +8,9 @@ NAME = "p.p_name || CASE WHEN e.vec_id % 4 = 0 THEN '' ELSE ' v' || CAST(e.vec_i
 VIEWS: dict[str, str] = {
     "slides_fx": f"SELECT e.vec_id, 'd' || CAST(e.vec_id % 8 AS STRING) || '/' || {NAME} AS file_path, {NAME} AS file_name, "
     "CAST(FLOOR(e.vec_id / 80.0) AS INT) + 1 AS slide_number, e.embedding FROM embeddings e JOIN part p ON p.p_partkey = e.vec_id % 80",
-    "queries_fx": "SELECT vec_id AS query_id, embedding AS query_vec FROM embeddings WHERE vec_id < 5",
-    "queries_all_fx": "SELECT vec_id AS query_id, embedding AS query_vec FROM embeddings WHERE vec_id % 100 = 0",
+    "queries_fx": "SELECT vec_id AS query_id, embedding AS query_vec FROM embeddings WHERE vec_id % 100 = 0",
     "hits_fx": "SELECT l_orderkey % 5 AS query_id, 'd' || CAST(l_orderkey % 20 AS STRING) || '/f' || CAST(l_orderkey AS STRING) || '.pptx' AS file_path, "
-    "l_linenumber AS slide_number, l_extendedprice AS score FROM lineitem",
+    "l_linenumber AS slide_number, l_extendedprice AS score, l_partkey AS ref FROM lineitem",
     "mapping_fx": "SELECT 'd' || CAST(o_custkey % 50 AS STRING) || '/f' || CAST(o_orderkey % 3000 AS STRING) || '.xlsx' AS path, "
     "o_orderdate AS mtime, o_orderstatus <> 'P' AS file_exists, o_orderkey AS input_order FROM orders",
     "catalog_fx": "SELECT source || '/' || lang || '/doc' || CAST(doc_id AS STRING) || CASE doc_id % 8 WHEN 0 THEN '.pptx' WHEN 1 THEN '.PPTX' WHEN 2 THEN '.xlsx' "
@@ -24,7 +23,7 @@ VIEWS: dict[str, str] = {
     "cells_fx": "SELECT 'wb' || CAST(l_suppkey AS STRING) || '.xlsx' AS workbook, l_returnflag AS sheet, CAST(l_orderkey % 200 AS INT) + 1 AS row_no, "
     "l_linenumber AS col_no, CAST(l_quantity AS INT) AS v FROM lineitem",
 }
-_TABLES = {"slides_fx": ("embeddings", "part"), "queries_fx": ("embeddings",), "queries_all_fx": ("embeddings",), "hits_fx": ("lineitem",), "mapping_fx": ("orders",), "catalog_fx": ("documents",), "file_events_fx": ("events",), "query_log_fx": ("events",), "cells_fx": ("lineitem",)}
+_TABLES = {"slides_fx": ("embeddings", "part"), "queries_fx": ("embeddings",), "hits_fx": ("lineitem",), "mapping_fx": ("orders",), "catalog_fx": ("documents",), "file_events_fx": ("events",), "query_log_fx": ("events",), "cells_fx": ("lineitem",)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

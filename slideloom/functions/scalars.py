@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 DOCUMENT_EXTENSIONS = ("xlsx", "xls", "pptx", "ppt", "pdf", "docx", "doc")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp")
-#: Ignored parts of paths (fixed values), matched anywhere.
-IGNORED = ("node_modules", ".git", ".DS_Store", "Thumbs.db", ".tmp", ".temp", "~$", ".swp", ".cache", "dist", "build", "coverage", ".env", "bin", "obj")
+#: Ignored paths (fixed values): hidden parts, names anywhere in the path, endings.
+IGNORED = (
+    r"(^|[/\\])\.", "node_modules", r"\.git", r"\.vs", r"\.vscode", "bin", "obj", "Debug", "Release", r"\.tmp\z", r"~\$", r"\.lock\z", r"\.log\z", r"Thumbs\.db\z", r"\.DS_Store\z",
+)
 
 
 def clean_path(path: Column) -> Column:
@@ -63,8 +65,7 @@ def classify_document(path: Column, strict_case: bool = False) -> Column:
 
 
 def drop_ignored(df: DataFrame, path: str = "path") -> DataFrame:
-    pattern = "|".join("\\Q" + x + "\\E" for x in IGNORED)
-    return df.where(~F.col(path).rlike(pattern))
+    return df.where(~F.col(path).rlike("|".join(IGNORED)))
 
 
 def add_slide_identity(df: DataFrame) -> DataFrame:
@@ -115,14 +116,18 @@ def shape_hits(df: DataFrame) -> DataFrame:
     })
 
 
+_VERSION = r"(?i)[\s_-]?v(\d+)\z"
+
+
 def name_base(name: Column) -> Column:
-    """A file name without .pptx and its version suffix."""
-    return F.regexp_replace(F.regexp_replace(name, r"(?i)\.pptx\z", ""), r"(?i)[\s_-]?v\d+\z", "")
+    """A file name without .pptx; what is before a version suffix, trimmed, if it has one."""
+    bare = F.regexp_replace(name, r"(?i)\.pptx\z", "")
+    return F.when(bare.rlike(_VERSION), F.regexp_replace(F.regexp_replace(bare, _VERSION, ""), r"(?U)^\s+|\s+\z", "")).otherwise(bare)
 
 
 def name_version(name: Column) -> Column:
     """The version number of a file name, or null."""
-    found = F.regexp_extract(F.regexp_replace(name, r"(?i)\.pptx\z", ""), r"(?i)[\s_-]?v(\d+)\z", 1)
+    found = F.regexp_extract(F.regexp_replace(name, r"(?i)\.pptx\z", ""), _VERSION, 1)
     return F.when(found != "", found)
 
 
@@ -133,8 +138,11 @@ def name_similarity(a: Column, b: Column) -> Column:
 
 def same_presentation(a: Column, b: Column) -> Column:
     """Whether two file names are versions of one presentation."""
-    x, y = F.lower(name_base(a)), F.lower(name_base(b))
-    va, vb = name_version(a).isNotNull(), name_version(b).isNotNull()
+    return same_base(F.lower(name_base(a)), name_version(a).isNotNull(), F.lower(name_base(b)), name_version(b).isNotNull())
+
+
+def same_base(x: Column, va: Column, y: Column, vb: Column) -> Column:
+    """:func:`same_presentation` of lower-case bases and whether they have versions."""
     s = name_similarity(x, y)
     return F.when(va & vb, s > 0.8).when(va | vb, s > 0.9).otherwise(x == y)
 

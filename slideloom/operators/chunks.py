@@ -89,10 +89,10 @@ def file_versions(versions: DataFrame, path: str) -> DataFrame:
 
 
 def limit_chunks(chunks: DataFrame, n: int = 10, order: str = "chunk_index") -> DataFrame:
-    """The first ``n`` chunks of each question, numbered from 0; a missing score is 1.0."""
+    """The first ``n`` chunks of each question, numbered from 0; a missing score, or 0, is 1.0."""
     w = Window.partitionBy("question").orderBy(order)
     first = chunks.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
-    return first.withColumns({"chunk_index": (F.col("_n") - 1).cast("long"), "score": F.coalesce("score", F.lit(1.0))}).drop("_n")
+    return first.withColumns({"chunk_index": (F.col("_n") - 1).cast("long"), "score": F.when(F.col("score") != 0, F.col("score")).otherwise(1.0)}).drop("_n")
 
 
 def apply_edits(edits: DataFrame, ids: DataFrame, action: str) -> tuple[DataFrame, DataFrame]:
@@ -105,6 +105,13 @@ def apply_edits(edits: DataFrame, ids: DataFrame, action: str) -> tuple[DataFram
     return changed, named.join(pending, "edit_id", "left_anti")
 
 
+def edit_counts(edits: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row: how many of the named ``ids`` :func:`apply_edits` changes, and how many fail."""
+    named = ids.select("edit_id").distinct()
+    pending = edits.where("status = 'pending'").select("edit_id").distinct().withColumn("_ok", F.lit(1))
+    return named.join(pending, "edit_id", "left").agg(F.count("_ok").alias("changed"), (F.count("*") - F.count("_ok")).alias("failed"))
+
+
 def replay_lru(log: DataFrame, memory: int = 1000, disk: int = 5000) -> DataFrame:
     """(event_id, tenant, outcome) of a query log (event_id, ts, tenant, query): memory, disk or miss.
 

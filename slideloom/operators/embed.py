@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import time
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from slideloom.functions import scalars
 from slideloom.operators import search
@@ -23,11 +23,13 @@ def hashed_ngrams(texts: list[str], dim: int = DIM) -> list[list[float]]:
     """A deterministic embedder for tests and offline runs: signed counts of hashed character trigrams, of length 1."""
     out = []
     for text in texts:
-        data = f" {' '.join(text.lower().split())} ".encode()
+        data = np.frombuffer(f" {' '.join(text.lower().split())} ".encode(), np.uint8).astype(np.uint32)
         v = np.zeros(dim)
-        for i in range(len(data) - 2):
-            h = zlib.crc32(data[i : i + 3])
-            v[h % dim] += 1 if h & 0x80000000 else -1
+        for at in range(0, len(data) - 2, 1 << 20):  # a very long text in stretches
+            part = data[at : at + (1 << 20) + 2]
+            h = (part[:-2] << 16 | part[1:-1] << 8 | part[2:]) * np.uint32(0x9E3779B1)
+            h ^= h >> 15
+            v += np.bincount((h >> 1) % dim, weights=np.where(h & 1, 1.0, -1.0), minlength=dim)
         n = np.linalg.norm(v)
         out.append((v / n if n else v).tolist())
     return out
@@ -107,16 +109,48 @@ def score_pairs(hits: DataFrame, scorer: Callable[[list[str], list[str]], list[f
     return hits.withColumn("rerank_score", score("query", "slide_text"))
 
 
-def search_pipeline(slides: DataFrame, queries: DataFrame, cache: DataFrame, embedder: Embedder = hashed_ngrams, top_k: int = 25) -> tuple[DataFrame, DataFrame]:
-    """(hits with presentation_name, new cache): blank queries go, cached vectors are used, missing ones are embedded,
-    then come search, de-duplication and grouping.  total_found is the number of rows before de-duplication."""
+def rerank_hits(hits: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], top_k: int) -> DataFrame:
+    """Hits (query_id, query, slide_text, score, rank) re-ranked by a caller's function: rerank_score, original_score, rerank_rank.
+
+    score becomes 0.6 * rerank_score + 0.4 * original_score, and the ``top_k`` by rerank_score stay.  A query any of
+    whose hits could not be scored keeps its hits as they were, with null rerank_score and rerank_rank.
+    """
+    scored = written(score_pairs(hits, scorer), "scored")  # the scorer is asked once
+    query = Window.partitionBy("query_id")
+    failed = F.max(F.col("rerank_score").isNull()).over(query)
+    nth = F.row_number().over(query.orderBy(F.desc("rerank_score"), "rank"))
+    judged = scored.withColumns({"_failed": failed, "_nth": nth}).where(F.col("_failed") | (F.col("_nth") <= top_k))
+    fine = ~F.col("_failed")
+    return judged.withColumns({
+        "original_score": F.col("score"), "score": F.when(fine, 0.6 * F.col("rerank_score") + 0.4 * F.col("score")).otherwise(F.col("score")),
+        "rerank_rank": F.when(fine, F.col("_nth")), "rerank_score": F.when(fine, F.col("rerank_score")),
+    }).drop("_failed", "_nth")
+
+
+def search_pipeline(
+    slides: DataFrame, queries: DataFrame, cache: DataFrame, embedder: Embedder = hashed_ngrams, top_k: int = 25, file_filter: str | None = None,
+    images: DataFrame | None = None, scorer: Callable[[list[str], list[str]], list[float]] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, new cache, stats) of queries (query_id, query).
+
+    Blank queries go, cached vectors are used, missing ones are embedded once; then come search (in one file if
+    ``file_filter`` names it), the ``images`` (image_path, image_base64) of slides with an image_path, re-ranking if
+    there is a ``scorer`` (slides need slide_text), de-duplication and grouping: hits carry presentation_name and
+    group_rank.  stats has query_id, total_found (hits before de-duplication), cached and used_reranker.
+    """
     asked = scalars.drop_blank_queries(queries).withColumn("query_hash", scalars.query_hash(F.col("query")))
-    misses = asked.join(cache.select("query_hash"), "query_hash", "left_anti")
-    cache = written(embed_queries(misses, cache, embedder), "cache")
+    held = cache.select("query_hash").distinct().withColumn("_held", F.lit(True))
+    asked = asked.join(held, "query_hash", "left").withColumn("cached", F.coalesce("_held", F.lit(False))).drop("_held")
+    cache = written(embed_queries(asked.where("NOT cached"), cache, embedder), "cache")
     vectors = asked.join(cache, "query_hash").select("query_id", F.col("embedding").alias("query_vec"))
-    found = search.search_slides(slides, vectors, top_k, keys=("file_path", "file_name", "slide_number"))
-    found = written(found, "hits")
+    keys = ("file_path", "file_name", "slide_number", *[c for c in ("image_path", "slide_text") if c in slides.columns])
+    found = written(search.search_slides(slides, vectors, top_k, file_filter, keys=keys), "hits")
+    if images is not None:
+        found = search.attach_images(found, images)
+    if scorer is not None:
+        found = rerank_hits(found.join(asked.select("query_id", "query"), "query_id"), scorer, top_k).drop("query")
     totals = found.groupBy("query_id").agg(F.count("*").alias("total_found"))
-    best = found.groupBy("query_id", "file_path", "file_name", "slide_number").agg(F.max("score").alias("score"))
-    names = search.group_presentations(found)
-    return best.join(names, ["query_id", "file_name"]).join(totals, "query_id"), cache
+    stats = asked.select("query_id", "cached").join(totals, "query_id", "left").select(
+        "query_id", F.coalesce("total_found", F.lit(0)).alias("total_found"), "cached", F.lit(scorer is not None).alias("used_reranker")
+    )
+    return search.assign_presentations(search.dedupe_hits(found)), cache, stats

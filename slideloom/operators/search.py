@@ -6,7 +6,6 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -108,9 +107,14 @@ def rerank(hits: DataFrame, scores: DataFrame, top_k: int, keys: tuple[str, ...]
     return ranked.withColumn("score", 0.6 * F.col("rerank_score") + 0.4 * F.col("original_score"))
 
 
-def dedupe_hits(hits: DataFrame) -> DataFrame:
-    """The best hit of each (query_id, file_path, slide_number); partial maxima are taken before the shuffle."""
-    return hits.groupBy("query_id", "file_path", "slide_number").agg(F.max("score").alias("score"))
+def dedupe_hits(hits: DataFrame, order: str | None = None) -> DataFrame:
+    """The best hit of each (query_id, file_path, slide_number), with all its columns.
+
+    Of equal scores the first seen stays: the first by ``order``, a column, or by rank if there is one.
+    """
+    order = order or ("rank" if "rank" in hits.columns else None)
+    w = Window.partitionBy("query_id", "file_path", "slide_number").orderBy(F.desc("score"), *([order] if order else []))
+    return hits.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
 def top_hits(hits: DataFrame, k: int) -> DataFrame:
@@ -121,40 +125,44 @@ def attach_images(hits: DataFrame, images: DataFrame) -> DataFrame:
     return hits.join(images.select("image_path", "image_base64"), "image_path", "left").withColumn("image_base64", F.coalesce("image_base64", F.lit("")))
 
 
+def presentation_names(hits: DataFrame) -> DataFrame:
+    """(query_id, file_name, presentation_name, group_rank): the group of each file name among one query's hits.
+
+    Names go in order of their best score; each joins the first group whose first name is a version of the same
+    presentation, or begins one.  The names of one query, at most as many as its hits, are folded in one array.
+    """
+    best = hits.groupBy("query_id", F.coalesce("file_name", F.lit("")).alias("file_name")).agg(F.max("score").alias("best"))
+    name = F.col("file_name")
+    base = scalars.name_base(name)
+    item = F.struct((-F.coalesce("best", F.lit(float("-inf")))).alias("at"), name, F.lower(base).alias("low"), scalars.name_version(name).isNotNull().alias("versioned"), base.alias("base"))
+    listed = best.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("names"))
+    none = F.array().cast("array<struct<file_name:string,low:string,versioned:boolean,title:string,at:int,leads:boolean>>")
+
+    def place(done, x):
+        leaders = F.filter(done, lambda d: d["leads"])
+        mine = F.get(F.filter(leaders, lambda d: scalars.same_base(x["low"], x["versioned"], d["low"], d["versioned"])), F.lit(0))
+        return F.concat(done, F.array(F.struct(
+            x["file_name"].alias("file_name"), x["low"].alias("low"), x["versioned"].alias("versioned"), F.coalesce(mine["title"], x["base"]).alias("title"),
+            F.coalesce(mine["at"], F.size(leaders)).alias("at"), mine.isNull().alias("leads"),
+        )))
+
+    folded = listed.select("query_id", F.explode(F.aggregate("names", none, place)).alias("g"))
+    return folded.select("query_id", F.col("g.file_name").alias("file_name"), F.col("g.title").alias("presentation_name"), F.col("g.at").alias("group_rank"))
+
+
+def assign_presentations(hits: DataFrame) -> DataFrame:
+    """Hits with presentation_name and group_rank (0 for the group with the best hit); a missing file name is ''."""
+    return hits.withColumn("file_name", F.coalesce("file_name", F.lit(""))).join(presentation_names(hits), ["query_id", "file_name"])
+
+
 def group_presentations(hits: DataFrame) -> DataFrame:
-    """(query_id, presentation_name, file_name): the group of each file name; leaders go in score order.
+    """(query_id, group_rank, presentation_name, versions, slides): one row for each group of a query's hits.
 
-    Groups depend on the names of one query's hits only, at most top_k of them.
+    versions are the distinct ones in the order of strings, v1 for names without; slides are whole hits, the best first.
     """
-    names = hits.groupBy("query_id", "file_name").agg(F.max("score").alias("best"))
-    names = names.withColumns({"base": scalars.name_base(F.col("file_name")), "versioned": scalars.name_version(F.col("file_name")).isNotNull()})
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["best", "file_name"], ascending=[False, True])
-        leaders: list[tuple[str, bool, str]] = []
-        out = []
-        for name, base, versioned in zip(pdf["file_name"], pdf["base"], pdf["versioned"], strict=True):
-            low = base.lower()
-            for other, other_versioned, title in leaders:
-                if low == other or (versioned or other_versioned) and _similarity(low, other) > (0.8 if versioned and other_versioned else 0.9):
-                    break
-            else:
-                title = base
-                leaders.append((low, versioned, base))
-            out.append((title, name))
-        return pd.DataFrame({"query_id": pdf["query_id"].to_numpy(), "presentation_name": [x[0] for x in out], "file_name": [x[1] for x in out]})
-
-    kind = hits.schema["query_id"].dataType.simpleString()
-    return names.groupBy("query_id").applyInPandas(lead, f"query_id {kind}, presentation_name string, file_name string")
-
-
-def _similarity(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    longest = max(len(a), len(b))
-    return (longest - row[-1]) / longest
+    rest = [c for c in hits.columns if c != "query_id"]
+    version = F.coalesce(F.concat(F.lit("v"), scalars.name_version(F.col("file_name"))), F.lit("v1"))
+    slide = F.struct((-F.col("score")).alias("_at"), *rest)
+    grouped = assign_presentations(hits).groupBy("query_id", "group_rank", "presentation_name")
+    rows = grouped.agg(F.array_sort(F.collect_set(version)).alias("versions"), F.array_sort(F.collect_list(slide)).alias("_slides"))
+    return rows.withColumn("slides", F.transform("_slides", lambda x: F.struct(*[x[c].alias(c) for c in rest]))).drop("_slides")

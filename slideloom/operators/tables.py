@@ -69,6 +69,13 @@ def register_folders(known: DataFrame, new: DataFrame) -> DataFrame:
     return known.select("path").union(new.select("path")).distinct()
 
 
+def refused_folders(known: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, refused): how many of the ``new`` paths are exact duplicates, of a known path or of each other."""
+    old = known.select("path").distinct().withColumn("_old", F.lit(1))
+    counted = new.groupBy("path").agg(F.count("*").alias("_n")).join(old, "path", "left")
+    return counted.select("path", (F.col("_n") - F.when(F.col("_old").isNull(), 1).otherwise(0)).alias("refused")).where("refused > 0")
+
+
 def corpus_catalog(decks: DataFrame, images: DataFrame) -> DataFrame:
     return decks.withColumn("kind", F.lit("deck")).unionByName(images.withColumn("kind", F.lit("image")))
 
@@ -115,6 +122,15 @@ def cache_stats(log: DataFrame) -> DataFrame:
     return log.agg(hits.alias("hits"), (total - hits).alias("misses"), total.alias("total"), F.when(total > 0, F.round(hits * 100.0 / total, 1)).otherwise(F.lit(0.0)).alias("hit_rate"))
 
 
+def cache_report(log: DataFrame, entries: DataFrame) -> DataFrame:
+    """Counters of a log of accesses (outcome: memory, disk or miss) and of the entries on disk (bytes); every miss is saved."""
+    count = lambda x: F.count(F.when(F.col("outcome") == x, 1))
+    counted = log.agg(count("memory").alias("memory_hits"), count("disk").alias("disk_hits"), count("miss").alias("misses"), F.count("*").alias("total_queries"))
+    rate = F.when(F.col("total_queries") > 0, F.round((F.col("memory_hits") + F.col("disk_hits")) * 100.0 / F.col("total_queries"), 1)).otherwise(0.0)
+    size = entries.agg(F.count("*").alias("disk_entries"), F.round(F.coalesce(F.sum("bytes"), F.lit(0)) / 1048576, 2).alias("disk_size_mb"))
+    return counted.withColumns({"cache_saves": F.col("misses"), "hit_rate_percent": rate}).join(F.broadcast(size))  # one row each
+
+
 def lookup_cached(queries: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queries.join(cache, "query_hash"), queries.join(cache, "query_hash", "left_anti")
 
@@ -125,9 +141,14 @@ def first_accesses(log: DataFrame) -> DataFrame:
     return log.withColumn("query_hash", scalars.query_hash(F.col("query"))).withColumn("hit", F.row_number().over(w) > 1)
 
 
-def evict_lru(cache: DataFrame, max_entries: int = 1000, key: str = "query_hash") -> tuple[DataFrame, DataFrame]:
-    kept = cache.orderBy(F.desc("last_access"), key).limit(max_entries)
-    return kept, cache.join(kept.select(key), key, "left_anti")
+def evict_lru(cache: DataFrame, max_entries: int = 1000, key: str = "query_hash", by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, evicted): the ``max_entries`` latest entries by last_access, of each value of ``by`` or of all."""
+    if by is None:
+        kept = cache.orderBy(F.desc("last_access"), key).limit(max_entries)
+        return kept, cache.join(kept.select(key), key, "left_anti")
+    w = Window.partitionBy(by).orderBy(F.desc("last_access"), key)
+    ranked = cache.withColumn("_n", F.row_number().over(w))
+    return ranked.where(F.col("_n") <= max_entries).drop("_n"), ranked.where(F.col("_n") > max_entries).drop("_n")
 
 
 # -- chunks ---------------------------------------------------------------------------------------------------
@@ -193,6 +214,12 @@ def assign_batches(df: DataFrame, order: str, size: int = 75, by: str | None = N
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
 
 
+def batch_calls(df: DataFrame, size: int = 75, by: str | None = None) -> DataFrame:
+    """Rows and calls (batches of :func:`assign_batches`) of each value of ``by`` or of all."""
+    size = 75 if size < 1 else min(size, 1000)
+    return df.groupBy(*([by] if by else [])).agg(F.count("*").alias("rows"), F.ceil(F.count("*") / size).alias("calls"))
+
+
 # -- chat logs --------------------------------------------------------------------------------------------------
 
 def coalesce_turns(messages: DataFrame) -> DataFrame:
@@ -205,8 +232,11 @@ def coalesce_turns(messages: DataFrame) -> DataFrame:
 
 
 def close_custom_events(messages: DataFrame) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return messages.withColumn("done", (F.col("role") == "custom_event") & F.coalesce(F.lead("role").over(w).isin("assistant", "custom_event"), F.lit(False)))
+    """Messages with done: a custom event that an assistant message or another custom event follows directly.  Empty assistant messages do not count."""
+    after = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = (F.col("role") != "assistant") | (F.coalesce("text", F.lit("")) != "")
+    following = F.last(F.when(counts, F.col("role")), ignorenulls=True).over(after)
+    return messages.withColumn("done", (F.col("role") == "custom_event") & F.coalesce(following.isin("assistant", "custom_event"), F.lit(False)))
 
 
 # -- event tables (batch twins of the streams) ---------------------------------------------------------------------
@@ -225,6 +255,12 @@ def event_windows(events: DataFrame, size: str, slide: str | None = None) -> Dat
 
 
 def queue_batch(events: DataFrame) -> DataFrame:
-    """The waiting work after a table of events: the latest add or change of every supported path, if no unlink followed."""
-    last = events.where(scalars.is_supported_document(F.col("path"))).groupBy("path").agg(F.max_by(F.struct("event_id", "ts", "type"), F.struct("ts", "event_id")).alias("e"))
-    return last.select("path", "e.*").where("type IN ('add', 'change')")
+    """The waiting work after a table of events: the latest add or change of every supported path, if neither an unlink of
+    the path nor an unlinkDir of a folder above it followed."""
+    last = events.where(scalars.is_supported_document(F.col("path")) & F.col("type").isin("add", "change", "unlink")).groupBy("path")
+    waiting = last.agg(F.max_by(F.struct("event_id", "ts", "type"), F.struct("ts", "event_id")).alias("e")).select("path", "e.*").where("type <> 'unlink'")
+    removed = events.where("type = 'unlinkDir'").groupBy(F.col("path").alias("folder")).agg(F.max(F.struct("ts", "event_id")).alias("removed"))
+    parts = F.split("path", "/")
+    above = waiting.select("path", F.struct("ts", "event_id").alias("since"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("folder"))
+    gone = above.where("folder <> path").join(removed, "folder").where("removed > since").select("path").distinct()
+    return waiting.join(gone, "path", "left_anti")

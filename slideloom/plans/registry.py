@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
 from pyspark.sql import functions as F
 
 from slideloom.fixtures import view, with_views
@@ -12,7 +16,8 @@ from slideloom.sources.shared import scratch_path
 
 _EXT = "lower(regexp_extract(path, '[.]([^./]+)$', 1))"
 _VERSION = "regexp_extract(regexp_replace(file_name, '(?i)[.]pptx$', ''), '(?i)[ _-]?v([0-9]+)$', 1)"
-_BASE = "regexp_replace(regexp_replace(file_name, '(?i)[.]pptx$', ''), '(?i)[ _-]?v[0-9]+$', '')"
+_BARE = "regexp_replace(file_name, '(?i)[.]pptx$', '')"
+_BASE = f"CASE WHEN {_VERSION} <> '' THEN trim(regexp_replace({_BARE}, '(?i)[ _-]?v[0-9]+$', '')) ELSE {_BARE} END"
 _PARENT = "CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END"
 _NORM = "trim(regexp_replace(lower(query), '\\s+', ' ', 'g'))"
 _NEWEST = (
@@ -26,19 +31,81 @@ def _t(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
-def _search(s, d, asked="queries_fx"):
-    hits = search.search_slides(view(s, d, "slides_fx"), view(s, d, asked), 10, keys=("file_path", "slide_number", "vec_id"))
+def _search(s, d):
+    hits = search.search_slides(view(s, d, "slides_fx"), view(s, d, "queries_fx"), 10, keys=("file_path", "slide_number", "vec_id"))
     return search.dedupe_hits(hits).select("query_id", "file_path", "slide_number", F.round("score", 6).alias("score"))
 
 
-def _grouped(s, d, asked="queries_fx"):
-    return search.group_presentations(search.search_slides(view(s, d, "slides_fx"), view(s, d, asked), 25, keys=("file_path", "file_name", "slide_number", "vec_id")))
+def _grouped(s, d):
+    hits = search.search_slides(view(s, d, "slides_fx"), view(s, d, "queries_fx"), 25, keys=("file_path", "file_name", "slide_number", "vec_id"))
+    return search.group_presentations(search.dedupe_hits(hits).withColumn("score", F.round("score", 6)))
+
+
+def _best(s, d):
+    """Distinct hits without the columns beside their key and score."""
+    return search.dedupe_hits(view(s, d, "hits_fx")).drop("ref")
+
+
+def _path_variants(s, d):
+    """Paths with hidden parts, ignored and merely similar names and endings."""
+    n, path = F.length("path") % 7, F.col("path")
+    put = lambda x: F.concat(F.lit(x), path)
+    return _catalog(s, d).select(
+        "length", F.when(n == 0, put(".hidden/")).when(n == 1, put("dist/")).when(n == 2, F.concat(path, F.lit(".log"))).when(n == 3, F.concat(path, F.lit(".log.pptx")))
+        .when(n == 4, put("Release/")).when(n == 5, put("release/a.b/")).otherwise(path).alias("path"),
+    )
+
+
+_PATH_VARIANTS = """v AS (SELECT length, CASE length(path) % 7 WHEN 0 THEN '.hidden/' || path WHEN 1 THEN 'dist/' || path WHEN 2 THEN path || '.log' WHEN 3 THEN path || '.log.pptx'
+    WHEN 4 THEN 'Release/' || path WHEN 5 THEN 'release/a.b/' || path ELSE path END AS path FROM catalog_fx)"""
+_FOLDER_EVENTS = "e AS (SELECT path, ts, event_id, CASE WHEN type = 'addDir' AND event_id % 400 < 9 THEN 'unlinkDir' ELSE type END AS type FROM file_events_fx)"
+
+
+def _folder_events(s, d):
+    """Events some of which remove folders."""
+    c = F.col
+    return view(s, d, "file_events_fx").withColumn("type", F.when((c("type") == "addDir") & (c("event_id") % 400 < 9), "unlinkDir").otherwise(c("type")))
+
+
+def _spaced_names(s, d):
+    return view(s, d, "slides_fx").select("vec_id", F.regexp_replace("file_name", " v2", "  v2").alias("file_name"))
+
+
+def _name_pairs(s, d):
+    c, n = F.col, F.col("p_partkey") % 4
+    other = F.when(n == 0, F.concat(F.expr("substring(p_name, 3)"), F.lit(" v2.pptx"))).when(n == 1, F.concat(F.expr("substring(p_name, 2)"), F.lit(".pptx")))
+    other = other.when(n == 2, F.concat(F.upper("p_name"), F.lit(".PPTX"))).otherwise(F.concat("p_type", F.lit(" v3.pptx")))
+    first = F.when(n == 2, F.concat("p_name", F.lit(".pptx"))).otherwise(F.concat("p_name", F.lit("  v1.pptx")))
+    return _t(s, d, "part").select("p_partkey", S.same_presentation(first, other).alias("same"))
 
 
-def _chunk_hits(s, d, asked="queries_fx"):
+def _png_pages(s, d):
+    """Pages behind the header of a PNG image, every third one without."""
+    c = F.col
+    size = lambda x: F.unhex(F.lpad(F.hex(x), 8, "0"))
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), size(c("page_id") + 1), size(c("page_id") % 100 + 1), F.encode("html", "utf-8"))
+    return _t(s, d, "pages").select("page_id", F.when(c("page_id") % 3 == 0, F.encode("html", "utf-8")).otherwise(png).alias("content"))
+
+
+def _outcomes(s, d):
+    log = _logged(s, d).select(F.when(~F.col("hit"), "miss").when(F.col("event_id") % 2 == 0, "disk").otherwise("memory").alias("outcome"))
+    return tables.cache_report(log, _logged(s, d).where("NOT hit").select(F.length("query").alias("bytes")))
+
+
+def _length_score(queries, texts_):
+    return [len(t) % 97 / 97 for t in texts_]
+
+
+def _reranked(s, d):
+    hits = search.search_slides(view(s, d, "slides_fx"), view(s, d, "queries_fx"), 25, keys=("file_path", "slide_number", "vec_id"))
+    out = embed.rerank_hits(hits.withColumns({"query": F.lit("q"), "slide_text": F.col("file_path")}), _length_score, 10)
+    return out.select("query_id", "vec_id", F.col("rerank_rank").cast("long").alias("rerank_rank"), F.round("score", 5).alias("score"))
+
+
+def _chunk_hits(s, d):
     c = F.col
     pool = _t(s, d, "embeddings").select(c("vec_id").alias("chunk_id"), F.concat(F.lit("wb"), (c("vec_id") % 5).cast("string")).alias("workbook"), c("vec_id").cast("string").alias("text"), "embedding")
-    return chunks.search_chunks(pool, view(s, d, asked), "wb3", 5, "text").select("query_id", "chunk_id", "workbook", "text", F.round("score", 6).alias("score"))
+    return chunks.search_chunks(pool, view(s, d, "queries_fx"), "wb3", 5, "text").select("query_id", "chunk_id", "workbook", "text", F.round("score", 6).alias("score"))
 
 
 def _catalog(s, d):
@@ -46,7 +113,7 @@ def _catalog(s, d):
 
 
 def _scores(s, d):
-    hits = search.dedupe_hits(view(s, d, "hits_fx"))
+    hits = _best(s, d)
     return hits, hits.where("slide_number % 2 = 0").withColumn("rerank_score", F.col("slide_number") * 1000.0 - F.length("file_path"))
 
 
@@ -70,8 +137,8 @@ def _queries():
         "search_slides": (_search, """WITH n AS (SELECT q.query_id, s.file_path, s.slide_number, s.vec_id, list_cosine_similarity(s.embedding::DOUBLE[], q.query_vec::DOUBLE[]) AS sc
             FROM slides_fx s CROSS JOIN queries_fx q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, file_path, slide_number, vec_id) AS rk FROM n)
             SELECT query_id, file_path, slide_number, round(max(sc), 6) AS score FROM r WHERE rk <= 10 GROUP BY ALL"""),
-        "dedupe_hits": (lambda s, d: search.dedupe_hits(view(s, d, "hits_fx")), "SELECT query_id, file_path, slide_number, max(score) AS score FROM hits_fx GROUP BY ALL"),
-        "top_hits": (lambda s, d: search.top_hits(search.dedupe_hits(view(s, d, "hits_fx")), 25), "SELECT query_id, file_path, slide_number, max(score) AS score FROM hits_fx GROUP BY ALL ORDER BY score DESC, 1, 2, 3 LIMIT 25"),
+        "dedupe_hits": (lambda s, d: search.dedupe_hits(view(s, d, "hits_fx"), "ref"), "SELECT * FROM hits_fx QUALIFY row_number() OVER (PARTITION BY query_id, file_path, slide_number ORDER BY score DESC, ref) = 1"),
+        "top_hits": (lambda s, d: search.top_hits(_best(s, d), 25), "SELECT query_id, file_path, slide_number, max(score) AS score FROM hits_fx GROUP BY ALL ORDER BY score DESC, 1, 2, 3 LIMIT 25"),
         "rerank": (_rerank, """WITH h AS (SELECT query_id, file_path, slide_number, max(score) AS score FROM hits_fx GROUP BY ALL), r AS (SELECT *, slide_number * 1000.0 - length(file_path) AS rr FROM h WHERE slide_number % 2 = 0),
             k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rr DESC, file_path, slide_number) AS rk FROM r) SELECT query_id, file_path, slide_number, rk AS rerank_rank, round(0.6 * rr + 0.4 * score, 4) AS score FROM k WHERE rk <= 10"""),
         "shape_hits": (lambda s, d: S.shape_hits(view(s, d, "hits_fx").withColumn("score", c("score") / 1e6)).select("query_id", "file_path", "slide_number", "score_text"), "SELECT query_id, file_path, slide_number, printf('%.1f%%', score / 1e6 * 100) AS score_text FROM hits_fx"),
@@ -83,7 +150,7 @@ def _queries():
         "clean_path": (lambda s, d: _t(s, d, "pages").select("page_id", S.clean_path(F.concat(F.lit(" '"), F.regexp_replace("url", "^https?:", ""), F.lit("/./' "))).alias("path")), "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?:', ''), '/+', '/', 'g'), '/$', '') AS path FROM pages"),
         "is_supported_document": (lambda s, d: _catalog(s, d).where(S.is_supported_document(c("path"))), f"SELECT path, length FROM catalog_fx WHERE {_EXT} IN ('xlsx','xls','pptx','ppt','pdf','docx','doc')"),
         "classify_document": (lambda s, d: _catalog(s, d).select("path", S.classify_document(c("path")).alias("kind")), f"SELECT path, CASE WHEN {_EXT} IN ('xlsx','xls') THEN 'excel' WHEN {_EXT} IN ('pptx','ppt') THEN 'powerpoint' WHEN {_EXT} = 'pdf' THEN 'pdf' WHEN {_EXT} IN ('docx','doc') THEN 'word' END AS kind FROM catalog_fx"),
-        "drop_ignored": (lambda s, d: S.drop_ignored(_catalog(s, d)), "SELECT path, length FROM catalog_fx WHERE NOT regexp_matches(path, 'node_modules|[.]git|[.]DS_Store|Thumbs[.]db|[.]tmp|[.]temp|~[$]|[.]swp|[.]cache|dist|build|coverage|[.]env|bin|obj')"),
+        "drop_ignored": (lambda s, d: S.drop_ignored(_path_variants(s, d)), f"WITH {_PATH_VARIANTS} SELECT * FROM v WHERE NOT regexp_matches(path, '(^|[/\\\\])[.]|node_modules|[.]git|[.]vs|[.]vscode|bin|obj|Debug|Release|[.]tmp$|~[$]|[.]lock$|[.]log$|Thumbs[.]db$|[.]DS_Store$')"),
         "find_files": (lambda s, d: S.find_files(_catalog(s, d), "DOC1"), "SELECT path, length FROM catalog_fx WHERE lower(split_part(path, '/', -1)) LIKE '%.xlsx' AND lower(split_part(path, '/', -1)) LIKE '%doc1%'"),
         "corpus_catalog": (lambda s, d: tables.corpus_catalog(_catalog(s, d).where(F.lower("path").endswith(".pptx")), tables.scan_images(_catalog(s, d))), f"SELECT path, length, 'deck' AS kind FROM catalog_fx WHERE lower(path) LIKE '%.pptx' UNION ALL SELECT path, length, 'image' FROM catalog_fx WHERE {_EXT} IN ('jpg','jpeg','png','webp') AND length > 0"),
         "directory_breakdown": (lambda s, d: tables.directory_breakdown(_catalog(s, d)), f"WITH g AS (SELECT {_PARENT} AS dir, count(*) AS files FROM catalog_fx GROUP BY 1) SELECT dir, files, (SELECT greatest(count(*) - 10, 0) FROM g) AS left_out FROM g ORDER BY dir LIMIT 10"),
@@ -96,7 +163,9 @@ def _queries():
         "delete_by_file": (lambda s, d: tables.delete_by_file(view(s, d, "slides_fx"), view(s, d, "slides_fx").where("vec_id % 7 = 0")).select("vec_id"), "SELECT vec_id FROM slides_fx WHERE file_path NOT IN (SELECT file_path FROM slides_fx WHERE vec_id % 7 = 0)"),
         "delete_by_folder": (lambda s, d: tables.delete_by_folder(view(s, d, "slides_fx"), view(s, d, "slides_fx").where("vec_id < 3").select(F.regexp_extract("file_path", "^([^/]*)", 1).alias("folder"))).select("vec_id"), "SELECT vec_id FROM slides_fx WHERE split_part(file_path, '/', 1) NOT IN (SELECT split_part(file_path, '/', 1) FROM slides_fx WHERE vec_id < 3)"),
         "folder_stats": (lambda s, d: tables.folder_stats(view(s, d, "slides_fx")), f"SELECT split_part(file_path, '/', 1) AS folder, file_name, CASE WHEN {_VERSION} = '' THEN '1' ELSE {_VERSION} END AS version, count(*) AS slides, grouping(folder, file_name, version) AS level FROM slides_fx GROUP BY ROLLUP (folder, file_name, version)"),
-        "name_version": (lambda s, d: view(s, d, "slides_fx").select("vec_id", S.name_base(c("file_name")).alias("base"), S.name_version(c("file_name")).alias("version")), f"SELECT vec_id, {_BASE} AS base, nullif({_VERSION}, '') AS version FROM slides_fx"),
+        "name_version": (lambda s, d: _spaced_names(s, d).select("vec_id", S.name_base(c("file_name")).alias("base"), S.name_version(c("file_name")).alias("version")), f"SELECT vec_id, {_BASE} AS base, nullif({_VERSION}, '') AS version FROM (SELECT vec_id, replace(file_name, ' v2', '  v2') AS file_name FROM slides_fx)"),
+        "same_presentation": (_name_pairs, """WITH n AS (SELECT p_partkey, p_partkey % 4 AS k, lower(p_name) AS a, lower(CASE p_partkey % 4 WHEN 0 THEN trim(substr(p_name, 3)) WHEN 1 THEN substr(p_name, 2) WHEN 2 THEN p_name ELSE p_type END) AS b FROM part),
+            m AS (SELECT *, (greatest(length(a), length(b)) - levenshtein(a, b)) / greatest(length(a), length(b)) AS x FROM n) SELECT p_partkey, CASE k WHEN 1 THEN x > 0.9 WHEN 2 THEN a = b ELSE x > 0.8 END AS same FROM m"""),
         "name_similarity": (lambda s, d: _t(s, d, "part").select("p_partkey", F.round(S.name_similarity(c("p_name"), c("p_type")), 6).alias("similarity")), "SELECT p_partkey, round((greatest(length(p_name), length(p_type)) - levenshtein(p_name, p_type)) / greatest(length(p_name), length(p_type)), 6) AS similarity FROM part"),
         "keep_newest_per_name": (lambda s, d: tables.keep_newest(view(s, d, "mapping_fx").withColumn("name", S.base_name(c("path"))), "name")[0].select("path", "input_order"), "WITH " + _NEWEST.format(by="split_part(path, '/', -1)")),
         "keep_newest_per_dir": (lambda s, d: tables.keep_newest(view(s, d, "mapping_fx").withColumn("dir", S.parent(c("path"))), "dir")[0].select("path", "input_order"), "WITH " + _NEWEST.format(by="split_part(path, '/', 1)")),
@@ -116,14 +185,17 @@ def _queries():
         "assign_batches": (lambda s, d: tables.assign_batches(view(s, d, "cells_fx").select("workbook", "row_no", "col_no", "v", "sheet").distinct().withColumn("k", F.concat_ws(":", "sheet", "row_no", "col_no", "v")), "k", 75, "workbook").select("workbook", "k", "batch"), "WITH x AS (SELECT DISTINCT workbook, sheet || ':' || row_no || ':' || col_no || ':' || v AS k FROM cells_fx) SELECT workbook, k, (row_number() OVER (PARTITION BY workbook ORDER BY k) - 1) // 75 AS batch FROM x"),
         "coalesce_turns": (lambda s, d: tables.coalesce_turns(_messages(s, d)), """WITH f AS (SELECT * FROM conversations WHERE role <> 'assistant' OR coalesce(text, '') <> ''), g AS (SELECT *, CASE WHEN role <> 'assistant' OR coalesce(lag(role) OVER w, '') <> 'assistant' THEN 1 ELSE 0 END AS b FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
             r AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM g) SELECT conv_id, min(turn) AS turn, min(role) AS role, string_agg(text, '' ORDER BY turn) AS text FROM r GROUP BY conv_id, run"""),
-        "close_custom_events": (lambda s, d: tables.close_custom_events(_messages(s, d).withColumn("role", F.when(c("turn") % 4 == 2, "custom_event").otherwise(c("role")))).select("conv_id", "turn", "done"), "WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN 'custom_event' ELSE role END AS role FROM conversations) SELECT conv_id, turn, role = 'custom_event' AND coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn) IN ('assistant', 'custom_event'), false) AS done FROM m"),
+        "close_custom_events": (lambda s, d: tables.close_custom_events(_messages(s, d).withColumns({"role": F.when(c("turn") % 4 == 2, "custom_event").otherwise(c("role")), "text": F.when(c("conv_id") % 3 > 0, c("text")).otherwise("")})).select("conv_id", "turn", "done"), """WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN 'custom_event' ELSE role END AS role, CASE WHEN conv_id % 3 > 0 THEN coalesce(text, '') ELSE '' END AS text FROM conversations),
+            k AS (SELECT conv_id, turn, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM m WHERE role <> 'assistant' OR text <> '') SELECT m.conv_id, m.turn, role = 'custom_event' AND coalesce(after IN ('assistant', 'custom_event'), false) AS done FROM m LEFT JOIN k ON m.conv_id = k.conv_id AND m.turn = k.turn"""),
         "non_ascii_report": (lambda s, d: S.non_ascii_report(_t(s, d, "documents"), "doc_id", "text").drop("line"), """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), c AS (SELECT doc_id, line_no, unnest(string_split(line, '')) AS char, generate_subscripts(string_split(line, ''), 1) AS column_no FROM l)
             SELECT doc_id, line_no, column_no, char, 'U+' || lpad(lower(hex(unicode(char)::BIGINT)), 4, '0') AS code FROM c WHERE unicode(char) > 127"""),
         "event_to_update": (lambda s, d: S.event_to_update(view(s, d, "file_events_fx")).select("event_id", "action", "name", "is_dir"), "SELECT event_id, CASE WHEN type IN ('add','addDir') THEN 'add' WHEN type IN ('unlink','unlinkDir') THEN 'remove' ELSE 'change' END AS action, split_part(path, '/', -1) AS name, type IN ('addDir','unlinkDir') AS is_dir FROM file_events_fx"),
         "should_auto_process": (lambda s, d: S.should_auto_process(view(s, d, "file_events_fx")).select("event_id"), f"SELECT event_id FROM file_events_fx WHERE type IN ('add','change') AND {_EXT} IN ('xlsx','xls','pptx','ppt','pdf','docx','doc')"),
         "debounce_events": (lambda s, d: tables.debounce_batch(view(s, d, "file_events_fx"), "6 hours").select("event_id"), "WITH n AS (SELECT event_id, ts, lead(ts) OVER (PARTITION BY path ORDER BY ts, event_id) AS nx FROM file_events_fx) SELECT event_id FROM n WHERE nx IS NULL OR nx > ts + INTERVAL 6 HOURS"),
         "event_windows": (lambda s, d: tables.event_windows(view(s, d, "file_events_fx"), "1 day"), "SELECT date_trunc('day', ts) AS start, type, count(*) AS n FROM file_events_fx GROUP BY ALL"),
-        "process_queue": (lambda s, d: tables.queue_batch(view(s, d, "file_events_fx")).select("path", "event_id", "type"), f"WITH l AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS k FROM file_events_fx WHERE {_EXT} IN ('xlsx','xls','pptx','ppt','pdf','docx','doc')) SELECT path, event_id, type FROM l WHERE k = 1 AND type IN ('add','change')"),
+        "event_windows_sliding": (lambda s, d: tables.event_windows(view(s, d, "file_events_fx"), "2 days", "1 day"), "SELECT start, type, count(*) AS n FROM (SELECT type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM file_events_fx) GROUP BY ALL"),
+        "process_queue": (lambda s, d: tables.queue_batch(_folder_events(s, d)).select("path", "event_id", "type"), f"""WITH {_FOLDER_EVENTS}, l AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS k FROM e WHERE {_EXT} IN ('xlsx','xls','pptx','ppt','pdf','docx','doc'))
+            SELECT path, event_id, type FROM l WHERE k = 1 AND type IN ('add','change') AND NOT EXISTS (SELECT 1 FROM e WHERE e.type = 'unlinkDir' AND (e.ts, e.event_id) > (l.ts, l.event_id) AND starts_with(l.path, e.path || '/'))"""),
     }
 
 
@@ -173,9 +245,28 @@ def _versions(s, d, create):
     return chunks.store_versions(_store(s, d).where("row_no <= 50 AND version = 1"), _store(s, d).where("workbook <> 'wb1.xlsx'"), create)
 
 
-def _edits(s, d):
+def _deck(text):
+    """A deck with one slide for each line of a text."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i, line in enumerate(text.split("\n"), 1):
+            z.writestr(f"ppt/slides/slide{i}.xml", f'<p:sld xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>{escape(line)}</a:t></a:r></a:p></p:sld>')
+    return out.getvalue()
+
+
+def _decks(s, d):
+    pack = F.pandas_udf(lambda texts: texts.map(_deck), "binary")
+    docs = _t(s, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\x00-\x08\x0B-\x1F]"))  # what XML cannot hold
+    return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pptx")).alias("path"), pack("text").alias("content"))
+
+
+def _edit_tables(s, d):
     edits = _t(s, d, "orders").select(F.col("o_orderkey").alias("edit_id"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("accepted").alias("status"))
-    return chunks.apply_edits(edits, _t(s, d, "lineitem").where("l_linenumber = 1 AND l_quantity < 25").select((F.col("l_orderkey") + F.col("l_suppkey") % 2 * 100000000).alias("edit_id")), "reject")
+    return edits, _t(s, d, "lineitem").where("l_linenumber = 1 AND l_quantity < 25").select((F.col("l_orderkey") + F.col("l_suppkey") % 2 * 100000000).alias("edit_id"))
+
+
+def _edits(s, d):
+    return chunks.apply_edits(*_edit_tables(s, d), "reject")
 
 
 def _stored(s, d):
@@ -196,7 +287,21 @@ def _asked(s, d):
 def _more():
     c = F.col
     return {
-        "scan_decks": (lambda s, d: files.scan_decks(s, d, "*.parquet").select(S.base_name(c("path")).alias("name"), "length"), None),
+        "rerank_hits": (_reranked, """WITH n AS (SELECT q.query_id, s.file_path, s.slide_number, s.vec_id, list_cosine_similarity(s.embedding::DOUBLE[], q.query_vec::DOUBLE[]) AS sc FROM slides_fx s CROSS JOIN queries_fx q),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, file_path, slide_number, vec_id) AS rk, length(file_path) % 97 / 97 AS rr FROM n QUALIFY rk <= 25)
+            SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rr DESC, rk) AS rerank_rank, round(0.6 * rr + 0.4 * sc, 5) AS score FROM r QUALIFY rerank_rank <= 10"""),
+        "validate_vectors_rejected": (lambda s, d: S.validate_vectors(_t(s, d, "embeddings").select("vec_id", F.when(c("vec_id") % 5 == 0, F.slice("embedding", 1, 3)).when(c("vec_id") % 7 > 0, c("embedding")).alias("embedding")), 64)[1].select("vec_id", "reason"), "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'dimension' ELSE 'missing' END AS reason FROM embeddings WHERE vec_id % 5 = 0 OR vec_id % 7 = 0"),
+        "keep_newest_removed": (lambda s, d: tables.keep_newest(view(s, d, "mapping_fx").withColumn("name", S.base_name(c("path"))), "name")[1].select("path", "input_order"), "WITH " + _NEWEST.format(by="split_part(path, '/', -1)").replace("WHERE n = 1 OR (file_exists AND path = best)", "WHERE n > 1 AND NOT (file_exists AND path IS NOT DISTINCT FROM best)")),
+        "run_summary_failed": (lambda s, d: chunks.run_summary(_t(s, d, "documents").select(c("doc_id").alias("file"), (F.length("text") > 500).alias("ok"), F.lit(3).alias("slides")))[1], "SELECT doc_id AS file FROM documents WHERE NOT coalesce(length(text) > 500, false)"),
+        "drop_blank_queries": (lambda s, d: S.drop_blank_queries(view(s, d, "query_log_fx").withColumn("query", F.when(c("event_id") % 5 == 0, " \t ").otherwise(c("query")))).select("event_id"), "SELECT event_id FROM query_log_fx WHERE event_id % 5 <> 0"),
+        "check_image_headers": (lambda s, d: files.check_image_headers(_png_pages(s, d))[0], "SELECT page_id, 'PNG' AS format, (page_id + 1)::INT AS width, (page_id % 100 + 1)::INT AS height FROM pages WHERE page_id % 3 <> 0"),
+        "cache_report": (_outcomes, f"WITH h AS (SELECT event_id, query, row_number() OVER (PARTITION BY tenant, {_NORM} ORDER BY ts, event_id) > 1 AS hit FROM query_log_fx) SELECT count(*) FILTER (hit AND event_id % 2 = 1) AS memory_hits, count(*) FILTER (hit AND event_id % 2 = 0) AS disk_hits, count(*) FILTER (NOT hit) AS misses, count(*) AS total_queries, count(*) FILTER (NOT hit) AS cache_saves, round(count(*) FILTER (hit) * 100.0 / count(*), 1) AS hit_rate_percent, count(*) FILTER (NOT hit) AS disk_entries, round(sum(length(query)) FILTER (NOT hit) / 1048576, 2) AS disk_size_mb FROM h"),
+        "evict_lru_per_tenant": (lambda s, d: tables.evict_lru(view(s, d, "query_log_fx").select("event_id", "tenant", c("ts").alias("last_access")), 3, "event_id", "tenant")[1].select("event_id"), "SELECT event_id FROM query_log_fx QUALIFY row_number() OVER (PARTITION BY tenant ORDER BY ts DESC, event_id) > 3"),
+        "batch_calls": (lambda s, d: tables.batch_calls(view(s, d, "cells_fx"), 75, "workbook"), "SELECT workbook, count(*) AS rows, ceil(count(*) / 75)::BIGINT AS calls FROM cells_fx GROUP BY ALL"),
+        "refused_folders": (lambda s, d: tables.refused_folders(_catalog(s, d).select(S.parent(c("path")).alias("path")).where("length(path) % 2 = 0"), _catalog(s, d).select(S.parent(c("path")).alias("path"))), f"WITH p AS (SELECT {_PARENT} AS path FROM catalog_fx) SELECT path, count(*) - CASE WHEN length(path) % 2 = 0 THEN 0 ELSE 1 END AS refused FROM p GROUP BY path HAVING refused > 0"),
+        "edit_counts": (lambda s, d: chunks.edit_counts(*_edit_tables(s, d)), "WITH n AS (SELECT DISTINCT l_orderkey + l_suppkey % 2 * 100000000 AS edit_id FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 25) SELECT count(*) FILTER (edit_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')) AS changed, count(*) FILTER (edit_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')) AS failed FROM n"),
+        "embed_queries": (lambda s, d: embed.embed_queries(view(s, d, "query_log_fx"), s.createDataFrame([], "query_hash string, embedding array<float>")).select("query_hash", F.size("embedding").alias("dim")), f"SELECT DISTINCT sha256({_NORM}) AS query_hash, 64 AS dim FROM query_log_fx"),
+        "explode_deck_slides": (lambda s, d: files.explode_deck_slides(_decks(s, d))[0].select("file_path", "slide_number", "text"), "SELECT doc_id || '.pptx' AS file_path, generate_subscripts(string_split(text, chr(10)), 1)::INT AS slide_number, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x00-\x08\x0B-\x1F]')"),
         "load_image_records": (lambda s, d: files.load_image_records(_pages(s, d)).select("page_id", "image_base64", "source_type"), "SELECT page_id, base64(encode(html)) AS image_base64, 'image_file' AS source_type FROM pages"),
         "file_manifest": (lambda s, d: files.file_manifest(_pages(s, d), 256).select("page_id", "sha", "bytes"), "SELECT page_id, sha256(html) AS sha, octet_length(encode(html)) AS bytes FROM pages"),
         "read_slides": (_stored, "WITH a AS (SELECT *, vec_id % 2 = 0 AS late FROM slides_fx WHERE vec_id % 3 = 0 OR vec_id % 2 = 0), l AS (SELECT DISTINCT file_path, slide_number FROM a WHERE late) SELECT vec_id, file_path, slide_number FROM a WHERE late UNION ALL SELECT vec_id, file_path, slide_number FROM a WHERE NOT late AND (file_path, slide_number) NOT IN (SELECT (file_path, slide_number) FROM l)"),
@@ -205,7 +310,7 @@ def _more():
         "parse_cell_specs": (lambda s, d: texts.parse_cell_specs(_cell_lines(s, d))[0].select("workbook", "sheet", "cell", c("attrs")["v"].alias("v"), c("attrs")["bold"].alias("bold")), "SELECT workbook, sheet, chr(64 + col_no) || row_no AS cell, v::VARCHAR AS v, CASE WHEN v > 25 THEN 'yes' ELSE 'no' END AS bold FROM cells_fx WHERE v <> 7"),
         "parse_cell_specs_rejected": (lambda s, d: texts.parse_cell_specs(_cell_lines(s, d))[1], "SELECT workbook, 1 AS line_no, 'no cell here' AS line FROM cells_fx WHERE v = 7"),
         "decode_sse": (_answers, "SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS answer FROM conversations GROUP BY conv_id"),
-        "attach_images": (lambda s, d: search.attach_images(search.dedupe_hits(view(s, d, "hits_fx")).withColumn("image_path", c("file_path")), view(s, d, "hits_fx").where("slide_number = 1").select(c("file_path").alias("image_path"), F.md5("file_path").alias("image_base64")).distinct()).select("query_id", "file_path", "slide_number", "image_base64"),
+        "attach_images": (lambda s, d: search.attach_images(_best(s, d).withColumn("image_path", c("file_path")), view(s, d, "hits_fx").where("slide_number = 1").select(c("file_path").alias("image_path"), F.md5("file_path").alias("image_base64")).distinct()).select("query_id", "file_path", "slide_number", "image_base64"),
             "SELECT DISTINCT query_id, file_path, slide_number, CASE WHEN file_path IN (SELECT file_path FROM hits_fx WHERE slide_number = 1) THEN md5(file_path) ELSE '' END AS image_base64 FROM hits_fx"),
         "zip_chunks": (lambda s, d: chunks.zip_chunks(_lines(s, d), _lines(s, d).where("idx % 2 = 0").select("doc_id", "idx", F.concat("chunk", F.lit("!")).alias("text"))).select("doc_id", "idx", F.length("text").alias("n")), """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx, unnest(string_split(text, chr(10))) AS chunk FROM documents)
             SELECT doc_id, idx, CASE WHEN idx % 2 = 0 THEN length(chunk) + 1 ELSE 0 END AS n FROM l"""),
@@ -227,7 +332,7 @@ def _more():
         "replace_versions": (lambda s, d: _versions(s, d, False), """WITH s AS (SELECT workbook, col_no AS version, sheet, row_no FROM cells_fx), o AS (SELECT * FROM s WHERE workbook <> 'wb1.xlsx'), l AS (SELECT workbook, max(version) AS v FROM o GROUP BY 1), n AS (SELECT s.workbook, coalesce(v, 1) AS version, sheet, row_no FROM s LEFT JOIN l USING (workbook) WHERE row_no <= 50 AND version = 1)
             SELECT * FROM o WHERE (workbook, version) NOT IN (SELECT (workbook, version) FROM n) UNION ALL SELECT * FROM n"""),
         "file_versions": (lambda s, d: chunks.file_versions(_t(s, d, "lineitem").selectExpr("CONCAT('f', l_suppkey, '.xlsx') AS path", "l_orderkey * 10 + l_linenumber AS version_number", "l_quantity AS content"), "f3.xlsx"), "SELECT 'f3.xlsx' AS path, l_orderkey * 10 + l_linenumber AS version_number FROM lineitem WHERE l_suppkey = 3"),
-        "limit_chunks": (lambda s, d: chunks.limit_chunks(search.dedupe_hits(view(s, d, "hits_fx")).selectExpr("file_path AS question", "slide_number + 7 AS chunk_index", "CASE WHEN slide_number > 2 THEN score END AS score"), 3), "SELECT file_path AS question, row_number() OVER w - 1 AS chunk_index, CASE WHEN slide_number > 2 THEN score ELSE 1.0 END AS score FROM (SELECT file_path, slide_number, max(score) AS score FROM hits_fx GROUP BY ALL) WINDOW w AS (PARTITION BY file_path ORDER BY slide_number) QUALIFY row_number() OVER w <= 3"),
+        "limit_chunks": (lambda s, d: chunks.limit_chunks(_best(s, d).selectExpr("file_path AS question", "slide_number + 7 AS chunk_index", "CASE WHEN slide_number > 2 THEN score WHEN slide_number = 2 THEN 0 END AS score"), 3), "SELECT file_path AS question, row_number() OVER w - 1 AS chunk_index, CASE WHEN slide_number > 2 THEN score ELSE 1.0 END AS score FROM (SELECT file_path, slide_number, max(score) AS score FROM hits_fx GROUP BY ALL) WINDOW w AS (PARTITION BY file_path ORDER BY slide_number) QUALIFY row_number() OVER w <= 3"),
         "apply_edits": (lambda s, d: _edits(s, d)[0], "SELECT o_orderkey AS edit_id, CASE WHEN o_orderstatus <> 'P' THEN 'accepted' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 25 AND l_suppkey % 2 = 0) THEN 'rejected' ELSE 'pending' END AS status FROM orders"),
         "apply_edits_failed": (lambda s, d: _edits(s, d)[1], "SELECT DISTINCT l_orderkey + l_suppkey % 2 * 100000000 AS edit_id FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 25 AND l_orderkey + l_suppkey % 2 * 100000000 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')"),
         "pack_by_tokens": (lambda s, d: texts.pack_by_tokens(_t(s, d, "documents"), "doc_id", max_tokens=200), """WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, (length(unnest(string_split(text, chr(10)))) + 3) // 4 AS tokens FROM documents),
@@ -235,7 +340,7 @@ def _more():
             SELECT doc_id, line_no, chunk, tokens FROM p"""),
         "replay_lru": (lambda s, d: chunks.replay_lru(view(s, d, "query_log_fx"), 2, 100).select("event_id", "outcome"), f"""WITH a AS (SELECT event_id, tenant, {_NORM} AS q, row_number() OVER (PARTITION BY tenant ORDER BY ts, event_id) AS n FROM query_log_fx), b AS (SELECT *, lag(n) OVER (PARTITION BY tenant, q ORDER BY n) AS prev FROM a),
             c AS (SELECT b.event_id, any_value(b.prev) AS prev, count(DISTINCT x.q) AS between_them FROM b LEFT JOIN a x ON x.tenant = b.tenant AND x.n > b.prev AND x.n < b.n GROUP BY b.event_id) SELECT event_id, CASE WHEN prev IS NULL THEN 'miss' WHEN between_them < 2 THEN 'memory' ELSE 'disk' END AS outcome FROM c"""),
-        "live_tree": (lambda s, d: chunks.live_paths(view(s, d, "file_events_fx").withColumn("type", F.when((c("type") == "addDir") & (c("event_id") % 400 < 9), "unlinkDir").otherwise(c("type")))), """WITH e AS (SELECT path, ts, event_id, CASE WHEN type = 'addDir' AND event_id % 400 < 9 THEN 'unlinkDir' ELSE type END AS type FROM file_events_fx), l AS (SELECT path, max(ts) AS ts, arg_max(type, ts) AS type FROM e GROUP BY path)
+        "live_tree": (lambda s, d: chunks.live_paths(_folder_events(s, d)), f"""WITH {_FOLDER_EVENTS}, l AS (SELECT path, max(ts) AS ts, arg_max(type, ts) AS type FROM e GROUP BY path)
             SELECT path FROM l WHERE type NOT IN ('unlink', 'unlinkDir') AND NOT EXISTS (SELECT 1 FROM e WHERE e.type = 'unlinkDir' AND e.ts > l.ts AND starts_with(l.path, e.path || '/'))"""),
         "embed_chunks": (lambda s, d: embed.embed_chunks(_t(s, d, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length")), "SELECT doc_id, 64 AS dim, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS length FROM documents"),
         "normalize_vectors": (lambda s, d: embed.normalize_vectors(_t(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * 3).alias("embedding"))).select("vec_id", F.round(F.get("embedding", F.lit(0)), 6).alias("first")), "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first FROM embeddings"),
@@ -252,17 +357,8 @@ def _more():
     }
 
 
-def _every_query():
-    """The searches with as many queries as the tables are large: every hundredth vector."""
-    known, asked = _queries() | _more(), "queries_all_fx"
-    return {
-        f"{name}_all": (lambda s, d, run=run: run(s, d, asked), sql and sql.replace("queries_fx", asked))
-        for name, (run, sql) in known.items() if name in ("search_slides", "group_presentations", "search_chunks")
-    }
-
-
 def _registered():
-    return _queries() | _more() | _every_query()
+    return _queries() | _more()
 
 
 def queries() -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,9 +36,47 @@ def window_counts(events: DataFrame, size: str, slide: str | None = None, late:
 
 
 def process_queue(events: DataFrame, delay: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
-    """The work that is released: the last add or change of a supported path, once nothing has followed for ``delay``; an unlink takes it back."""
-    supported = events.where(scalars.is_supported_document(F.col("path")))
-    return debounce_events(supported, delay, late).where("type IN ('add', 'change')")
+    """(path, ts, type, event_id) of the work that is released: the last add or change of a supported path once ``delay`` has passed.
+
+    A newer event takes its place, an unlink of the path or an unlinkDir of a folder above takes it back.  Events
+    of a top folder are one state, the paths that wait; each is dropped when it is released.
+    """
+    wait = int(pd.Timedelta(delay).total_seconds() * 1000)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
+        out: list[list] = []
+
+        def release(now: int) -> None:
+            for path in [p for p, (ts, _, _) in waiting.items() if ts + wait <= now]:
+                out.append([path, *waiting.pop(path)])
+
+        rows = sorted((row.ms, row.event_id, row.type, row.path, row.supported) for frame in frames for row in frame.itertuples())
+        for ts, number, kind, path, supported in rows:
+            release(ts)
+            if kind == "unlinkDir":
+                for below in [p for p in waiting if p.startswith(path + "/")]:
+                    del waiting[below]
+            elif kind == "unlink":
+                waiting.pop(path, None)
+            elif supported and kind in ("add", "change"):
+                waiting[path] = [int(ts), kind, int(number)]
+        watermark = state.getCurrentWatermarkMs()
+        release(watermark)
+        if waiting:
+            state.update((json.dumps(waiting),))
+            state.setTimeoutTimestamp(max(watermark + 1, min(ts for ts, _, _ in waiting.values()) + wait))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["path", "ms", "type", "event_id"])
+
+    path = F.col("path")
+    keyed = events.withWatermark("ts", late).select(
+        F.when(F.contains(path, F.lit("/")) | (F.col("type") == "unlinkDir"), F.substring_index(path, "/", 1)).otherwise("").alias("top"),
+        "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", "type", "path", scalars.is_supported_document(path).alias("supported"),
+    )
+    out = keyed.groupBy("top").applyInPandasWithState(run, "path string, ms long, type string, event_id long", "waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("path", F.timestamp_millis("ms").alias("ts"), "type", "event_id")
 
 
 def cache_stats_stream(log: DataFrame) -> DataFrame:
@@ -45,28 +84,68 @@ def cache_stats_stream(log: DataFrame) -> DataFrame:
     return tables.cache_stats(log)
 
 
-def settle_writes(polls: DataFrame, stable: str = "100 milliseconds", late: str = "10 minutes") -> DataFrame:
+def settle_writes(polls: DataFrame, stable: str = "100 milliseconds", late: str = "10 minutes", keep: str = "1 hour") -> DataFrame:
     """(path, size, ts): a file once its size (path, size, ts) has stayed the same for ``stable``; again only after it has changed.
 
-    Polls of a path are taken in order of event time; the state of a path is its last size and since when.
+    Polls of a path are taken in order of event time; a file that gets no further poll settles when the watermark
+    has passed.  The state of a path is its last size and since when; it is dropped ``keep`` after the file has settled.
     """
-    gap = pd.Timedelta(stable)
+    gap, hold = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (stable, keep))
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         size, since, told = state.get if state.exists else (None, None, False)
+        watermark = state.getCurrentWatermarkMs()
         out = []
-        for row in pd.concat(list(frames)).sort_values("ts").itertuples():
-            ts = pd.Timestamp(row.ts)
-            if size is None or row.size_ != size:
-                size, since, told = int(row.size_), ts, False
-            elif not told and ts - pd.Timestamp(since) >= gap:
+        if state.hasTimedOut:
+            if told:
+                state.remove()
+                return
+            out.append((key[0], size, since + gap))
+            told = True
+        for ts, now in sorted((row.ms, row.bytes) for frame in frames for row in frame.itertuples()):
+            if now != size:
+                size, since, told = int(now), int(ts), False
+            elif not told and ts - since >= gap:
                 told = True
-                out.append((key[0], size, ts))
+                out.append((key[0], size, int(ts)))
         state.update((size, since, told))
-        yield pd.DataFrame(out, columns=["path", "size", "ts"])
+        state.setTimeoutTimestamp(max(watermark + 1, since + (hold if told else gap)))
+        yield pd.DataFrame(out, columns=["path", "size", "ms"])
+
+    rows = polls.withWatermark("ts", late).select("path", F.col("size").cast("long").alias("bytes"), "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    out = rows.groupBy("path").applyInPandasWithState(run, "path string, size long, ms long", "size long, since long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("path", "size", F.timestamp_millis("ms").alias("ts"))
+
+
+def live_tree_stream(events: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Keeps what :func:`slideloom.operators.chunks.live_paths` needs of a stream of events in ``store``: the last event of each
+    path and the last removal of each folder, batch by batch.  ``live_paths`` of the store's rows is the tree so far."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        last = F.max_by(F.struct("type", "ts", "event_id"), F.struct("ts", "event_id")).alias("e")
+        kept = batch.groupBy("path", F.col("type") == "unlinkDir").agg(last).select("path", "e.*")
+        kept.write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={number}")
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_files(spark: SparkSession, folder: str, store: str, checkpoint: str, embedder: embed.Embedder = embed.hashed_ngrams, glob: str = "*.pptx") -> StreamingQuery:
+    """Indexes the decks below ``folder``, new ones as they come: slides are taken out, embedded and added to ``store``.
+
+    Slides and decks that fail go to ``store``-failures and the stream goes on; a batch that is replayed replaces
+    itself.  For files that are gone, :func:`slideloom.sources.files.delete_slides`.
+    """
+    decks = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    decks = decks.option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+
+    def add(batch: DataFrame, number: int) -> None:
+        slides, failures = files.explode_deck_slides(batch)
+        good, failed = embed.embed_slides(slides, embedder, text="text")
+        files.write_slides(good, store, number)
+        failures = failures.unionByName(failed.select("file_path", "slide_number", F.lit("no vector").alias("error")))
+        files.write_slides(failures, f"{store.rstrip('/')}-failures", number)
 
-    rows = polls.withWatermark("ts", late).select("path", F.col("size").cast("long").alias("size_"), "ts")
-    return rows.groupBy("path").applyInPandasWithState(run, "path string, size long, ts timestamp", "size long, since timestamp, told boolean", "append", GroupStateTimeout.NoTimeout)
+    return decks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def index_stream(slides: DataFrame, store: str, checkpoint: str, embedder: embed.Embedder = embed.hashed_ngrams, text: str = "slide_text") -> StreamingQuery:

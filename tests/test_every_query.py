@@ -12,11 +12,11 @@ def test_searches_ask_every_hundredth_vector_in_passes(spark, tmp_path, monkeypa
     spark.createDataFrame([(i, f"part {i}") for i in range(80)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     scores = rows[::100].astype(np.float32).astype(float) @ rows.astype(np.float32).astype(float).T
     run = registry.queries()
-    hits = run["search_chunks_all"](spark, str(tmp_path)).collect()
+    hits = run["search_chunks"](spark, str(tmp_path)).collect()
     pool = np.arange(3, 1200, 5)
     assert {(r.query_id, r.chunk_id) for r in hits} == {(q * 100, int(k)) for q in range(12) for k in pool[np.argsort(-scores[q, pool])[:5]]}
-    found = run["search_slides_all"](spark, str(tmp_path)).collect()
+    found = run["search_slides"](spark, str(tmp_path)).collect()
     best = {q * 100: round(float(scores[q].max()), 4) for q in range(12)}
     assert {q: round(max(r.score for r in found if r.query_id == q), 4) for q in best} == best
-    groups = run["group_presentations_all"](spark, str(tmp_path)).collect()
+    groups = run["group_presentations"](spark, str(tmp_path)).collect()
     assert {r.query_id for r in groups} == set(best)

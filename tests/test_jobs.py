@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from slideloom.operators import ann, names, search, tables
 
 
 def test_names_and_versions(spark):
-    rows = [("Deck_v2.pptx", "Deck", "2"), ("Deck V10.PPTX", "Deck", "10"), ("nov12.pptx", "no", "12"), ("plain.pptx", "plain", None), ("v7.pptx", "", "7")]
+    rows = [("Deck_v2.pptx", "Deck", "2"), ("Deck  v2.pptx", "Deck", "2"), ("a - v3.pptx", "a -", "3"), (" x .pptx", " x ", None), ("Deck V10.PPTX", "Deck", "10"), ("nov12.pptx", "no", "12"), ("plain.pptx", "plain", None), ("v7.pptx", "", "7")]
     df = spark.createDataFrame(rows, "name string, base string, version string")
     out = df.select("base", "version", S.name_base(F.col("name")).alias("b"), S.name_version(F.col("name")).alias("v")).collect()
     assert all(r.base == r.b and r.version == r.v for r in out)
@@ -93,3 +94,45 @@ def test_empty_chunks_and_markdown(spark):
     assert tables.chunk_rows(cells).count() == 2
     out = tables.compress_chunks(cells.where("row_no < 3"), ("workbook", "sheet"), ("row_no", "col_no"), "v", markdown=("row_no",)).first()
     assert out.markdown == "| row_no | v |\n| - | - |\n| 1 | a\\|b |\n| 2 | c d |" and out.text == "a|b | c\nd"
+
+
+def test_groups_match_a_plain_fold(spark):
+    rng = random.Random(8)
+    words = ["Budget", "Budgets", "Budget plan", "Roadmap", "Roadmaps", "Team"]
+    rows = []
+    for q in range(6):
+        for i in range(25):
+            name = rng.choice(words) + rng.choice(["", " v1", " v2", "_v10", " V3"]) + ".pptx"
+            rows.append((q, f"d{i}/{name}", name, i, rng.random()))
+    df = spark.createDataFrame(rows, "query_id int, file_path string, file_name string, slide_number int, score double")
+    level = lambda a, b: S.name_similarity(F.lit(a), F.lit(b))
+    bases = sorted({w.lower() for w in words})
+    pairs = [(a, b) for a in bases for b in bases]
+    near = dict(zip(pairs, spark.range(1).select(*[level(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first(), strict=True))
+    got = {(r.query_id, r.group_rank): r for r in search.group_presentations(df).collect()}
+    seen = 0
+    for q in range(6):
+        groups = []
+        for _, path, name, number, score in sorted((r for r in rows if r[0] == q), key=lambda r: -r[4]):
+            m = re.fullmatch(r"(.*?)(?:[ _-]?[vV](\d+))?\.pptx", name)
+            base, version = m[1].strip() if m[2] else m[1], m[2]
+            for g in groups:
+                limit = 0.8 if version and g["version"] else 0.9
+                if near[base.lower(), g["base"].lower()] > limit if version or g["version"] else base.lower() == g["base"].lower():
+                    break
+            else:
+                g = {"base": base, "version": version, "slides": [], "versions": set()}
+                groups.append(g)
+            g["slides"].append((path, number, score))
+            g["versions"].add(f"v{version or 1}")
+        for rank, g in enumerate(groups):
+            r = got[q, rank]
+            assert (r.presentation_name, r.versions, [(x.file_path, x.slide_number, x.score) for x in r.slides]) == (g["base"], sorted(g["versions"]), g["slides"])
+            seen += 1
+    assert seen == len(got)
+
+
+def test_ignored_paths(spark):
+    paths = ["report.log", "report.log.pptx", ".hidden/x.pptx", "a/.x", "dist/x.pptx", "cabin.pptx", "a.tmp", "a.tmp.pptx", "Release/x", "release/x", "~$x.pptx", "a/b.lock", "x/Thumbs.db"]
+    kept = {r.path for r in S.drop_ignored(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert kept == {"report.log.pptx", "dist/x.pptx", "a.tmp.pptx", "release/x"}

@@ -102,9 +102,17 @@ def test_pipeline_uses_the_cache(spark):
     slides, _ = embed.embed_slides(spark.createDataFrame([("d/Deck v1.pptx", "Deck v1.pptx", 1, "blue whale"), ("d/Deck v2.pptx", "Deck v2.pptx", 1, "red fox")], "file_path string, file_name string, slide_number int, slide_text string"))
     queries = spark.createDataFrame([(1, " RED  fox"), (2, "  "), (3, "red fox")], "query_id long, query string")
     empty = spark.createDataFrame([], "query_hash string, embedding array<float>")
-    hits, cache = embed.search_pipeline(slides, queries, empty, top_k=1)
-    assert sorted((r.query_id, r.file_name, round(r.score, 5), r.total_found) for r in hits.collect()) == [(1, "Deck v2.pptx", 1.0, 1), (3, "Deck v2.pptx", 1.0, 1)]
-    assert cache.count() == 1
+    hits, cache, stats = embed.search_pipeline(slides, queries, empty, top_k=1)
+    assert sorted((r.query_id, r.file_name, round(r.score, 5), r.presentation_name, r.group_rank) for r in hits.collect()) == [(1, "Deck v2.pptx", 1.0, "Deck", 0), (3, "Deck v2.pptx", 1.0, "Deck", 0)]
+    assert cache.count() == 1 and sorted(map(tuple, stats.collect())) == [(1, 1, False, False), (3, 1, False, False)]
+    images = spark.createDataFrame([("p2", "aW1n")], "image_path string, image_base64 string")
+    shown = slides.withColumn("image_path", F.concat(F.lit("p"), F.substring("file_name", 7, 1)))
+    full, _, stats = embed.search_pipeline(shown, queries, cache, top_k=2, images=images, scorer=lambda q, t: [float(len(x)) for x in t])
+    got = sorted((r.query_id, r.file_name, r.image_base64, r.rerank_rank) for r in full.collect())
+    assert got == [(q, *x) for q in (1, 3) for x in (("Deck v1.pptx", "", 1), ("Deck v2.pptx", "aW1n", 2))]
+    assert sorted(map(tuple, stats.collect())) == [(1, 2, True, True), (3, 2, True, True)]
+    one, _, _ = embed.search_pipeline(shown, queries, cache, file_filter="Deck v1.pptx", scorer=lambda q, t: 1 / 0)
+    assert sorted((r.query_id, r.file_name, r.rerank_score) for r in one.collect()) == [(1, "Deck v1.pptx", None), (3, "Deck v1.pptx", None)]
 
     def never(batch):
         raise AssertionError
@@ -133,3 +141,18 @@ def test_upsert_twice_is_once(spark):
     once = tables.upsert(df.limit(0), df, 1)
     assert sorted(map(str, once.collect())) == sorted(map(str, tables.upsert(once, df, 1).collect())) and once.count() == 2
     assert search.dedupe_hits(df.selectExpr("1 AS query_id", "file_path", "slide_number", "vec_id AS score")).count() == 2
+
+
+def test_a_store_takes_upserts_deletes_and_compaction(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = [(f"d{i % 3}/f{i}.pptx", 1, i, [1.0, float(i)]) for i in range(9)] + [("d0/f0.pptx", 1, 99, [1.0]), ("d0/f0.pptx", 1, 98, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "file_path string, slide_number int, seen int, embedding array<double>")
+    files.upsert_slides(spark, df, store, 2, 0, "seen")
+    assert files.read_slides(spark, store).count() == 9 and files.read_slides(spark, store).where("seen = 98").count() == 1
+    files.upsert_slides(spark, df.where("seen < 3").withColumn("seen", F.col("seen") + 200), store, 2, 1, "seen")
+    assert files.read_slides(spark, store).count() == 9 and files.read_slides(spark, store).where("seen >= 200").count() == 3
+    gone = files.delete_slides(spark, store, spark.createDataFrame([("d0/f3.pptx",)], "file_path string"), spark.createDataFrame([("d1",)], "folder string"))
+    assert gone == 4 and files.read_slides(spark, store).count() == 5
+    assert spark.read.parquet(store).count() == 5
+    files.upsert_slides(spark, df.where("seen = 4"), store, 2, 2, "seen")
+    assert files.read_slides(spark, store).count() == 6

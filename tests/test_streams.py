@@ -2,7 +2,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from slideloom.operators import tables
+from slideloom.operators import chunks, tables
+from slideloom.plans import registry
 from slideloom.sources import files
 from slideloom.streaming import events as stream
 
@@ -34,8 +35,10 @@ def test_debounce_and_queue(spark, tmp_path):
     # the batch twin leaves a gap of exactly 500 ms merged as well
     batch = tables.debounce_batch(spark.read.parquet(folder).where("path NOT LIKE '%node%' AND event_id < 99"))
     assert sorted(r.event_id for r in batch.collect()) == [3, 4, 5, 6]
+    more = [(20, at(10_000), "add", "d/e/a.pptx"), (21, at(10_500), "unlinkDir", "d/e"), (22, at(10_000), "add", "d/eb.pptx"), (23, at(10_000), "change", "d/c.pptx"), (24, at(13_000), "change", "d/c.pptx")]
+    source(spark, tmp_path, more, stream.SCHEMA)
     queue = drain(stream.process_queue(stream.read_file_events(spark, folder)), "queue", tmp_path)
-    assert sorted(r.event_id for r in queue) == [3]
+    assert sorted(r.event_id for r in queue) == [3, 22, 23, 24]
 
 
 def test_windows_equal_the_batch(spark, tmp_path):
@@ -58,6 +61,10 @@ def test_a_file_settles_once(spark, tmp_path):
     folder = source(spark, tmp_path, rows, schema)
     got = drain(stream.settle_writes(spark.readStream.schema(schema).parquet(folder)), "settled", tmp_path)
     assert sorted((r.path, r.size, r.ts) for r in got) == [("a", 20, at(160)), ("a", 30, at(500))]
+    # a far later poll lets the watermark pass: the file without further polls settles by its timer
+    source(spark, tmp_path, [("z", 1, START + timedelta(days=2))], schema)
+    got = drain(stream.settle_writes(spark.readStream.schema(schema).parquet(folder)), "settled2", tmp_path)
+    assert sorted((r.path, r.size, r.ts) for r in got) == [("a", 20, at(160)), ("a", 30, at(500)), ("b", 2, at(600))]
 
 
 def test_indexing_a_stream_is_safe_to_repeat(spark, tmp_path):
@@ -68,3 +75,28 @@ def test_indexing_a_stream_is_safe_to_repeat(spark, tmp_path):
         stream.index_stream(spark.readStream.schema(schema).parquet(folder), store, str(tmp_path / f"ck{k}")).awaitTermination(120)
         got = files.read_slides(spark, store)
         assert got.count() == 2 and got.where(F.size("embedding") == 64).count() == 2
+
+
+def test_the_tree_of_a_stream(spark, tmp_path):
+    rows = [(1, at(0), "add", "d/x"), (2, at(1), "unlinkDir", "d"), (3, at(2), "add", "d/y"), (4, at(0), "add", "e/z"), (5, at(3), "unlink", "e/z")]
+    folder = source(spark, tmp_path, rows, stream.SCHEMA)
+    store = str(tmp_path / "tree")
+    stream.live_tree_stream(spark.readStream.schema(stream.SCHEMA).parquet(folder), store, str(tmp_path / "ck")).awaitTermination(120)
+    assert sorted(r.path for r in chunks.live_paths(spark.read.parquet(store)).collect()) == ["d/y"]
+    source(spark, tmp_path, [(6, at(5), "unlink", "d/y"), (7, at(6), "add", "e/z")], stream.SCHEMA)
+    stream.live_tree_stream(spark.readStream.schema(stream.SCHEMA).parquet(folder), store, str(tmp_path / "ck")).awaitTermination(120)
+    assert sorted(r.path for r in chunks.live_paths(spark.read.parquet(store)).collect()) == ["e/z"]
+
+
+def test_decks_are_indexed_as_they_come(spark, tmp_path):
+    folder = tmp_path / "decks"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a.pptx").write_bytes(registry._deck("one\ntwo"))
+    (folder / "bad.pptx").write_bytes(b"no deck")
+    store = str(tmp_path / "store")
+    for want in (2, 3):
+        stream.index_files(spark, str(folder), store, str(tmp_path / "ck")).awaitTermination(120)
+        got = files.read_slides(spark, store)
+        assert got.count() == want and got.where("size(embedding) <> 64").count() == 0
+        (folder / "sub" / "c.pptx").write_bytes(registry._deck("three"))
+    assert spark.read.parquet(store + "-failures").count() == 1
