@@ -20,7 +20,7 @@ NON_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 BLOCK_BYTES = 1 << 19
 #: Bytes of one text that are hashed at a time.
-STRETCH = 4 * BLOCK_BYTES
+STRETCH = BLOCK_BYTES
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
