@@ -61,20 +61,25 @@ def goals(cells: DataFrame, powers: dict[str, float], targets: dict[str, DataFra
             have = have.withColumn("target", F.pow("have", F.lit(power)))
         parts.append(have.select(F.lit(d).alias("dim"), "value", "have", "target"))
     values = materialize(functools.reduce(DataFrame.union, parts), "values")
-    sums = values.groupBy("dim").agg(
-        F.sum("target").alias("all_targets"), F.least(budget * F.sum("have"), F.sum(F.when(F.col("target") > 0, F.col("have")).otherwise(0.0))).alias("budget")
-    )
-    share = F.when(F.col("all_targets") > 0, F.col("target") / F.col("all_targets")).otherwise(0.0)
-    values = values.join(F.broadcast(sums), "dim").select("dim", "value", "have", share.alias("target"), "budget")  # one row a dimension
-    levels = sums.select("dim", F.col("budget").alias("level"))
-    full = F.col("have") <= F.col("level") * F.col("target")
+    have, target, dim = F.col("have"), F.col("target"), F.col("dim")
+    # one row for each dimension
+    sums = values.groupBy("dim").agg(F.sum("target").alias("all"), F.sum("have").alias("have"), F.sum(F.when(target > 0, have).otherwise(0.0)).alias("can")).collect()
+    all_targets = {r["dim"]: r["all"] if r["all"] > 0 else 1.0 for r in sums}
+    most = {r["dim"]: min(budget * r["have"], r["can"]) for r in sums}
+
+    def of_dim(numbers: dict[str, float]) -> Column:
+        return functools.reduce(lambda case, d: case.when(dim == d, numbers[d]), numbers, F.when(F.lit(False), 0.0))
+
+    values = values.withColumn("target", target / of_dim(all_targets))
+    level = dict(most)
     for _ in range(LEVEL_STEPS):
-        level = values.join(F.broadcast(levels), "dim").groupBy("dim").agg(
-            F.max("level").alias("level"), F.max("budget").alias("budget"), F.sum(F.when(full, F.col("have")).otherwise(0.0)).alias("given"),
-            F.sum(F.when(full, 0.0).otherwise(F.col("target"))).alias("open"),
-        )
-        levels = level.select("dim", F.when(F.col("open") > 0, (F.col("budget") - F.col("given")) / F.col("open")).otherwise(F.col("level")).alias("level"))
-    return values.join(F.broadcast(levels), "dim").select("dim", "value", "have", "target", F.least("have", F.col("level") * F.col("target")).alias("goal"))
+        full = have <= of_dim(level) * target
+        steps = values.groupBy("dim").agg(F.sum(F.when(full, have).otherwise(0.0)).alias("given"), F.sum(F.when(full, 0.0).otherwise(target)).alias("open")).collect()
+        raised = {r["dim"]: (most[r["dim"]] - r["given"]) / r["open"] if r["open"] > 0 else level[r["dim"]] for r in steps}
+        if raised == level:
+            break
+        level = raised
+    return values.withColumn("goal", F.least("have", of_dim(level) * target))
 
 
 def rake(cells: DataFrame, wanted: DataFrame, dims: list[str], budget: float = BUDGET, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -88,33 +93,30 @@ def rake(cells: DataFrame, wanted: DataFrame, dims: list[str], budget: float = B
     tokens = F.col("tokens").cast("double")
     # a value that gives all it has keeps its cells full, whatever the others do
     start = F.when(F.col("goal") >= F.col("have"), F.lit(FULL)).when(F.col("dim") == dims[0], F.lit(float(budget))).otherwise(1.0)
-    factors = materialize(wanted.select("dim", "value", "goal", start.alias("f"), F.lit(0.0).alias("gap")), "factors")
+    start = wanted.select("dim", "value", "goal", start.alias("f"), F.lit(0.0).alias("gap"))
+    now = {d: materialize(start.where(F.col("dim") == d).drop("dim"), "factors") for d in dims}
 
-    def weighed(now: dict[str, DataFrame]) -> tuple[DataFrame, Column]:
+    def weighed() -> tuple[DataFrame, Column]:
         rows, weight = cells, F.lit(1.0)
         for d in dims:
             rows = rows.join(now[d].select(F.col("value").alias(d), F.col("f").alias(f"f_{d}")), d)
             weight = weight * F.col(f"f_{d}")
         return rows, weight
 
-    def by_dim(table: DataFrame) -> dict[str, DataFrame]:
-        return {d: table.where(F.col("dim") == d) for d in dims}
-
     for _ in range(rounds):
-        now = by_dim(factors)
         for d in dims:
-            rows, w = weighed(now)
+            rows, w = weighed()
             sums = rows.groupBy(F.col(d).alias("value")).agg(
                 F.sum(tokens * F.least(w, F.lit(1.0))).alias("reached"), F.sum(F.when(w >= 1, tokens).otherwise(0.0)).alias("full"), F.sum(F.when(w < 1, tokens * w).otherwise(0.0)).alias("open")
             )
             goal, reached, opened = F.col("goal"), F.col("reached"), F.col("open")
             step = F.when(goal < reached, goal / reached).when(opened > 0, (goal - F.col("full")) / opened).otherwise(1.0)
-            now[d] = now[d].join(sums, "value").select("dim", "value", "goal", (F.col("f") * step).alias("f"), F.abs(goal - reached).alias("gap"))
-        factors = materialize(functools.reduce(DataFrame.union, now.values()), "factors")
-        worst, whole = factors.agg(F.max("gap"), F.sum(F.when(F.col("dim") == dims[0], F.col("goal")))).first()  # one row
-        if worst is None or worst <= tolerance * whole:
+            # a small table for each step: plans stay small on the driver
+            now[d] = materialize(now[d].join(sums, "value").select("value", "goal", (F.col("f") * step).alias("f"), F.abs(goal - reached).alias("gap")), "factors")
+        gaps = functools.reduce(DataFrame.union, [now[d].agg(F.max("gap"), F.sum("goal")) for d in dims]).collect()  # one row for each dimension
+        if not gaps[0][1] or max(g[0] for g in gaps) <= tolerance * gaps[0][1]:
             break
-    rows, w = weighed(by_dim(factors))
+    rows, w = weighed()
     return rows.select(*dims, "tokens", F.least(w, F.lit(1.0)).alias("probability"))
 
 
