@@ -86,37 +86,32 @@ def rake(cells: DataFrame, wanted: DataFrame, dims: list[str], budget: float = B
     """``cells`` (dims, tokens) with probability: the product of one factor for each dimension's value, at most 1, so
     that the expected tokens of every value reach its goal in ``wanted`` (:func:`goals`).
 
-    A table of factors with one row for each value is all that changes from round to round.  A factor is raised for
-    the cells below 1 only.  Goals that cannot be met together (a value whose cells are all full) leave a gap,
-    which :func:`margin_report` shows.
+    A cell's weight is the product of the factors; a step multiplies it by the new factor of one dimension's value, so
+    that it takes one sum and one join.  Weights are raised for the cells below 1 only.  Goals that cannot be met
+    together (a value whose cells are all full) leave a gap, which :func:`margin_report` shows.
     """
-    tokens = F.col("tokens").cast("double")
+    tokens, w, reached = F.col("tokens").cast("double"), F.col("w"), F.col("reached")
     # a value that gives all it has keeps its cells full, whatever the others do
     start = F.when(F.col("goal") >= F.col("have"), F.lit(FULL)).when(F.col("dim") == dims[0], F.lit(float(budget))).otherwise(1.0)
-    start = wanted.select("dim", "value", "goal", start.alias("f"), F.lit(0.0).alias("gap"))
-    now = {d: materialize(start.where(F.col("dim") == d).drop("dim"), "factors") for d in dims}
-
-    def weighed() -> tuple[DataFrame, Column]:
-        rows, weight = cells, F.lit(1.0)
-        for d in dims:
-            rows = rows.join(now[d].select(F.col("value").alias(d), F.col("f").alias(f"f_{d}")), d)
-            weight = weight * F.col(f"f_{d}")
-        return rows, weight
-
+    wanted = wanted.select("dim", "value", "goal", start.alias("f"))
+    rows = cells.withColumn("w", F.lit(1.0))
+    for d in dims:
+        own = wanted.where(F.col("dim") == d).select(F.col("value").alias(d), F.col("goal").alias(f"goal_{d}"), "f")
+        rows = rows.join(own, d).withColumns({"w": w * F.col("f"), f"gap_{d}": F.lit(0.0)}).drop("f")
+    rows = materialize(rows, "raking")
+    whole = wanted.where(F.col("dim") == dims[0]).agg(F.sum("goal")).first()[0]  # one number
     for _ in range(rounds):
         for d in dims:
-            rows, w = weighed()
-            sums = rows.groupBy(F.col(d).alias("value")).agg(
+            goal = F.col(f"goal_{d}")
+            sums = rows.groupBy(d).agg(
                 F.sum(tokens * F.least(w, F.lit(1.0))).alias("reached"), F.sum(F.when(w >= 1, tokens).otherwise(0.0)).alias("full"), F.sum(F.when(w < 1, tokens * w).otherwise(0.0)).alias("open")
             )
-            goal, reached, opened = F.col("goal"), F.col("reached"), F.col("open")
-            step = F.when(goal < reached, goal / reached).when(opened > 0, (goal - F.col("full")) / opened).otherwise(1.0)
-            # a small table for each step: plans stay small on the driver
-            now[d] = materialize(now[d].join(sums, "value").select("value", "goal", (F.col("f") * step).alias("f"), F.abs(goal - reached).alias("gap")), "factors")
-        gaps = functools.reduce(DataFrame.union, [now[d].agg(F.max("gap"), F.sum("goal")) for d in dims]).collect()  # one row for each dimension
-        if not gaps[0][1] or max(g[0] for g in gaps) <= tolerance * gaps[0][1]:
+            step = F.when(goal < reached, goal / reached).when(F.col("open") > 0, (goal - F.col("full")) / F.col("open")).otherwise(1.0)
+            # a table for each step: plans stay small on the driver
+            rows = materialize(rows.join(sums, d).withColumns({"w": w * step, f"gap_{d}": F.abs(goal - reached)}).drop("reached", "full", "open"), "raking")
+        gap = rows.agg(F.max(F.greatest(F.lit(0.0), *[F.col(f"gap_{d}") for d in dims]))).first()[0]  # one number
+        if gap is None or gap <= tolerance * whole:
             break
-    rows, w = weighed()
     return rows.select(*dims, "tokens", F.least(w, F.lit(1.0)).alias("probability"))
 
 
