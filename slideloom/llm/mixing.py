@@ -27,6 +27,8 @@ LEVEL_STEPS = 8
 BUDGET = 0.7
 #: The factor of a value that gives all it has.
 FULL = 1e12
+#: Rows of a table of cells or values that one task takes.
+ROWS_PER_TASK = 200_000
 _NONE = "\0"
 
 
@@ -44,6 +46,11 @@ def topic_of(text: Column) -> Column:
     )
 
 
+def _tasks(table: DataFrame) -> int:
+    """Partitions for a written table of cells or values, by its size: a table that fits one task is summed and joined without a shuffle."""
+    return max(1, -(-table.count() // ROWS_PER_TASK))
+
+
 def goals(cells: DataFrame, powers: dict[str, float], targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
     """(dim, value, have, target, goal): tokens, target share and tokens to reach of every value of every dimension.
 
@@ -51,7 +58,7 @@ def goals(cells: DataFrame, powers: dict[str, float], targets: dict[str, DataFra
     that it leaves out get nothing.  goal is the target share of the budget, raised to one level for all values
     that have enough tokens, as the others only give what they have.
     """
-    parts = []
+    cells, parts = cells.coalesce(_tasks(cells)), []
     for d, power in powers.items():
         have = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").cast("double").alias("have"))
         if targets and d in targets:
@@ -61,6 +68,7 @@ def goals(cells: DataFrame, powers: dict[str, float], targets: dict[str, DataFra
             have = have.withColumn("target", F.pow("have", F.lit(power)))
         parts.append(have.select(F.lit(d).alias("dim"), "value", "have", "target"))
     values = materialize(functools.reduce(DataFrame.union, parts), "values")
+    values = values.coalesce(_tasks(values))
     have, target, dim = F.col("have"), F.col("target"), F.col("dim")
     # one row for each dimension
     sums = values.groupBy("dim").agg(F.sum("target").alias("all"), F.sum("have").alias("have"), F.sum(F.when(target > 0, have).otherwise(0.0)).alias("can")).collect()
@@ -94,11 +102,12 @@ def rake(cells: DataFrame, wanted: DataFrame, dims: list[str], budget: float = B
     # a value that gives all it has keeps its cells full, whatever the others do
     start = F.when(F.col("goal") >= F.col("have"), F.lit(FULL)).when(F.col("dim") == dims[0], F.lit(float(budget))).otherwise(1.0)
     wanted = wanted.select("dim", "value", "goal", start.alias("f"))
-    rows = cells.withColumn("w", F.lit(1.0))
+    n_tasks = _tasks(cells)
+    rows = cells.coalesce(n_tasks).withColumn("w", F.lit(1.0))
     for d in dims:
         own = wanted.where(F.col("dim") == d).select(F.col("value").alias(d), F.col("goal").alias(f"goal_{d}"), "f")
         rows = rows.join(own, d).withColumns({"w": w * F.col("f"), f"gap_{d}": F.lit(0.0)}).drop("f")
-    rows = materialize(rows, "raking")
+    rows = materialize(rows, "raking").coalesce(n_tasks)
     whole = wanted.where(F.col("dim") == dims[0]).agg(F.sum("goal")).first()[0]  # one number
     for _ in range(rounds):
         for d in dims:
@@ -108,7 +117,7 @@ def rake(cells: DataFrame, wanted: DataFrame, dims: list[str], budget: float = B
             )
             step = F.when(goal < reached, goal / reached).when(F.col("open") > 0, (goal - F.col("full")) / F.col("open")).otherwise(1.0)
             # a table for each step: plans stay small on the driver
-            rows = materialize(rows.join(sums, d).withColumns({"w": w * step, f"gap_{d}": F.abs(goal - reached)}).drop("reached", "full", "open"), "raking")
+            rows = materialize(rows.join(sums, d).withColumns({"w": w * step, f"gap_{d}": F.abs(goal - reached)}).drop("reached", "full", "open"), "raking").coalesce(n_tasks)
         gap = rows.agg(F.max(F.greatest(F.lit(0.0), *[F.col(f"gap_{d}") for d in dims]))).first()[0]  # one number
         if gap is None or gap <= tolerance * whole:
             break
