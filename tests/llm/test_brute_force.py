@@ -256,6 +256,21 @@ def test_expected_and_drawn_margins_meet_the_targets(spark):
     assert all(math.isclose(r.expected, r.goal, rel_tol=1e-3) for r in got.values())
 
 
+def test_cells_over_several_tasks_rake_alike(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(1, 30), rng.choice("abcdefg"), rng.choices(["en", "de", None], [4, 1, 1])[0], rng.choice("xyz")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    one = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    monkeypatch.setattr(mixing, "ROWS_PER_TASK", 10)
+    several = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    assert len(one) == len(several) == 600 and all(one[i].kept == r.kept and math.isclose(one[i].probability, r.probability, rel_tol=1e-9) for i, r in several.items())
+    cells = defaultdict(int)
+    for r in rows:
+        cells[r[2:]] += len(words(r[1]))
+    chance = chances(cells, mixing.POWERS, mixing.BUDGET)
+    assert all(math.isclose(one[r[0]].probability, chance[r[2:]], rel_tol=1e-9) for r in rows)
+
+
 def test_pipeline_matches_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}
