@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, license_scan, mixing, neardup, pii, quality, sql, substring, tokens
+from . import decontaminate, html_text, langid, license_scan, mixing, neardup, pii, quality, sql, substring, tokens, vector_codes
 from ._shared import read_table
 
 #: Floors of a run, in words: two or more sentences, and one sentence.  A passage pasted behind an unfinished sentence
@@ -68,6 +68,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress_vectors(read_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,10 +84,10 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_substring_dedup, op2_minhash_near_dedup, op3_token_counts, op4_mix_sources, op5_quality_rules, op6_html_text, op7_license_scan, op8_pii,
-            op9_language_id, op10_decontaminate, pipeline,
+            op9_language_id, op10_decontaminate, op11_vector_codes, pipeline,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": sql.mix_sources(), "op5_quality_rules": sql.quality_rules(), "op10_decontaminate": sql.decontaminate()}
+    return {"op4_mix_sources": sql.mix_sources(), "op5_quality_rules": sql.quality_rules(), "op10_decontaminate": sql.decontaminate(), "op11_vector_codes": sql.vector_codes()}

@@ -90,3 +90,30 @@ def decontaminate(window: int = 10) -> str:
         n AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM f) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+def vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Rounds unrolled: one table of codebook entries for each.  Vectors of the first one's length only."""
+    distance = "list_sum(list_transform(list_zip(p.s, c.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    nearest = f"SELECT id, part, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT p.id, p.part, c.e, {distance} AS d FROM p JOIN {{c}} c USING (part)) GROUP BY id, part"
+    floored = "CASE WHEN sum(x) % count(*) < 0 THEN (sum(x) - sum(x) % count(*) - count(*)) // count(*) ELSE sum(x) // count(*) END"
+    steps = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS id, * FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
+        WHERE len(v) % {parts} = 0), n AS (SELECT len(v) AS n, len(v) // {parts} AS w FROM k ORDER BY id LIMIT 1)""",
+        f"""p AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY id) AS id, vec_id, label, part, v[part * w + 1 : (part + 1) * w] AS s FROM k, n, range({parts}) r(part) WHERE len(v) = n)""",
+        f"c_0 AS MATERIALIZED (SELECT part, id - 1 AS e, s FROM p WHERE id <= {entries})",
+    ]
+    for r in range(1, rounds + 1):
+        old = f"c_{r - 1}"
+        steps.append(f"a_{r} AS MATERIALIZED ({nearest.format(c=old)})")
+        steps.append(
+            f"""m_{r} AS MATERIALIZED (SELECT part, e, list(CAST(x AS BIGINT) ORDER BY i) AS s FROM (SELECT part, e, i, {floored} AS x
+            FROM (SELECT part, e, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM p JOIN a_{r} USING (id, part)) GROUP BY part, e, i) GROUP BY part, e)"""
+        )
+        steps.append(f"c_{r} AS MATERIALIZED (SELECT part, e, coalesce(m_{r}.s, {old}.s) AS s FROM {old} LEFT JOIN m_{r} USING (part, e))")
+    last = f"c_{rounds}"
+    steps.append(f"f AS MATERIALIZED ({nearest.format(c=last)})")
+    steps.append("""o AS (SELECT any_value(p.vec_id) AS vec_id, any_value(p.label) AS label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM f JOIN p USING (id, part) GROUP BY id)""")
+    digest = f"(SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, e)) FROM {last})"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {digest} AS codebooks_sha256 FROM o"
