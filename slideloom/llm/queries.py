@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, license_scan, mixing, neardup, pii, quality, sql, substring, tokens, vector_codes
+from . import bpe, decontaminate, html_text, langid, license_scan, mixing, neardup, pii, quality, sql, substring, tokens, vector_codes
 from ._shared import read_table
 
 #: Floors of a run, in words: two or more sentences, and one sentence.  A passage pasted behind an unfinished sentence
@@ -73,6 +73,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
 
 
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_texts(read_table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+    ids = F.col("ids")
+    return encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), bpe.ids_digest(ids).alias("ids_sha256"), F.sha2(bpe.decoded(ids, "byte_bpe_50k.json"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +90,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_substring_dedup, op2_minhash_near_dedup, op3_token_counts, op4_mix_sources, op5_quality_rules, op6_html_text, op7_license_scan, op8_pii,
-            op9_language_id, op10_decontaminate, op11_vector_codes, pipeline,
+            op9_language_id, op10_decontaminate, op11_vector_codes, op12_bpe_codec, pipeline,
         )
     }
 

@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from slideloom.llm import vector_codes
+from slideloom.llm import bpe, vector_codes
 
 VECTORS = "vec_id long, embedding array<float>, label int, v string, code string, error string, own string"
 
@@ -79,3 +80,41 @@ def test_limb_products_are_exact():
         assert len(x) > 1 and all(np.abs(m).max() <= 1 << bits for m in x + y)
         assert vector_codes.exact_products(x, y, bits).tolist() == [[sum(int(p) * int(q) for p, q in zip(r, s, strict=True)) for s in b] for r in a]
     assert all(w * 4 ** vector_codes.limb_bits(w) <= 1 << 53 for w in range(1, 5000))
+
+
+DOCS = "doc_id long, text string, block string, ids string, word string, row string"
+BPE = "byte_bpe_50k.json"
+
+
+def odd_texts(seed, n):
+    """Texts of the pieces that the vocabulary's rules treat in their own ways, and of any characters."""
+    rng = random.Random(seed)
+    parts = ["'s", "'ll", "'", "s", "ve", " ", "  ", "\n", "\t", "a", "Word", " word", "é", "1", "٣", "½", "!", "<|endoftext|>", "<|", "|>", " ", "　", "中文", "😀", "​"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randrange(15))) for _ in range(n)]
+    made += ["".join(chr(c) for c in (rng.randrange(0x110000) for _ in range(rng.randrange(9))) if not 0xD800 <= c < 0xE000) for _ in range(n)]
+    prose = [" ".join(rng.choice(["tree", "house", "river", f"w{rng.randrange(10**6)}"]) for _ in range(60)) for _ in range(n)]
+    return [None, "", " ", *made, *prose, *prose[:5]]
+
+
+SMALL = bpe.Sizes(frequent=2, sent_words=40, held_words=500, block=300, stretch=1000, packed=50)
+
+
+@pytest.mark.parametrize("sizes", [bpe.Sizes(), SMALL])
+def test_encoding_and_decoding_equal_the_library(spark, sizes):
+    texts = odd_texts(2, 150) + ["so on and on " * 40_000, "x" * 300_000, "'s" * 1000, "-" * 300 + " end"] + ["-" * 300] * 6
+    rows = [(i if i % 50 else None, t, *"clash"[:4]) for i, t in enumerate(texts)]
+    got = bpe.encode_texts(spark.createDataFrame(rows, DOCS), BPE, sizes).withColumns({"text": bpe.decoded(F.col("ids")), "sha": bpe.ids_digest(F.col("ids"))}).collect()
+    known = bpe.tokenizer(BPE)
+    want = [known.encode(t or "", add_special_tokens=False).ids for t in texts]
+    as_bytes = lambda ids: hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert sorted((str(r.doc_id), r.ids, r.text, r.sha) for r in got) == sorted((str(row[0]), ids, known.decode(ids, skip_special_tokens=False), as_bytes(ids)) for row, ids in zip(rows, want, strict=True))
+    assert all((t or "") == known.decode(ids, skip_special_tokens=False) for t, ids in zip(texts, want, strict=True))
+
+
+def test_no_documents_and_ids_that_make_no_text(spark):
+    assert bpe.encode_texts(spark.createDataFrame([], DOCS)).collect() == []
+    rows = [(0, None), (1, []), (2, [50256, 447]), (3, [-1, 99_999_999, 64]), (4, [None, 64]), (5, [94, 95, 96, 188])]
+    df = spark.createDataFrame(rows, "doc_id int, ids array<int>").coalesce(1)
+    known = bpe.tokenizer(BPE)
+    got = [r.text for r in df.select("doc_id", bpe.decoded(F.col("ids")).alias("text")).orderBy("doc_id").collect()]
+    assert got == [None, ""] + [known.decode([x for x in ids if x is not None and 0 <= x < 50257], skip_special_tokens=False) for _, ids in rows[2:]]
