@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, license_scan, mixing, neardup, pii, quality, sql, substring, tokens, vector_codes
-from ._shared import read_table
+from . import bpe, decontaminate, fill_middle, html_text, langid, license_scan, mixing, neardup, pii, quality, sql, substring, tokens, vector_codes
+from ._shared import materialize, read_table
 
 #: Floors of a run, in words: two or more sentences, and one sentence.  A passage pasted behind an unfinished sentence
 #: loses its first sentence and its last may be short, so they lie well below the 50 words of a passage.
@@ -79,6 +79,13 @@ def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), bpe.ids_digest(ids).alias("ids_sha256"), F.sha2(bpe.decoded(ids, "byte_bpe_50k.json"), 256).alias("decoded_sha256"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = materialize(fill_middle.frame_store(read_table(spark, sf_dir, "documents")), "frames")
+    made = fill_middle.fill_in_middle(store, seed="1", percent=90, suffix_first=20)
+    made = made.withColumn("sha", fill_middle.digests(F.col("frames"), F.col("sizes"), F.col("form")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.col("sha.output").alias("output_sha256"), F.col("sha.restored").alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,10 +97,10 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_substring_dedup, op2_minhash_near_dedup, op3_token_counts, op4_mix_sources, op5_quality_rules, op6_html_text, op7_license_scan, op8_pii,
-            op9_language_id, op10_decontaminate, op11_vector_codes, op12_bpe_codec, pipeline,
+            op9_language_id, op10_decontaminate, op11_vector_codes, op12_bpe_codec, op13_fill_middle, pipeline,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": sql.mix_sources(), "op5_quality_rules": sql.quality_rules(), "op10_decontaminate": sql.decontaminate(), "op11_vector_codes": sql.vector_codes()}
+    return {"op4_mix_sources": sql.mix_sources(), "op5_quality_rules": sql.quality_rules(), "op10_decontaminate": sql.decontaminate(), "op11_vector_codes": sql.vector_codes(), "op13_fill_middle": sql.fill_middle()}

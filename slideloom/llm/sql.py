@@ -117,3 +117,20 @@ def vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int
     steps.append("""o AS (SELECT any_value(p.vec_id) AS vec_id, any_value(p.label) AS label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM f JOIN p USING (id, part) GROUP BY id)""")
     digest = f"(SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, e)) FROM {last})"
     return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {digest} AS codebooks_sha256 FROM o"
+
+
+def fill_middle(seed: str = "1", percent: int = 90, suffix_first: int = 20) -> str:
+    """Units as lists; the original is rebuilt from the output by the places of its markers."""
+    h = ", ".join(f"CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), {8 * i + 1}, 8) AS UBIGINT) AS h{i + 1}" for i in range(4))
+    plain = f"n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {percent}"
+    between = lambda a, b: f"substr(output, instr(output, '{a}') + 3, instr(output, '{b}') - instr(output, '{a}') - 3)"
+    after = "substr(output, instr(output, '<M>') + 3)"
+    return f"""WITH u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, {h} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST(least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS BIGINT) AS b FROM u),
+    s AS (SELECT doc_id, text, n, CASE WHEN {plain} THEN 'plain' WHEN h4 % 100 < {suffix_first} THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c),
+    o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM s)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+        sha256(output) AS output_sha256,
+        sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN {between('<P>', '<S>')} || {after} || {between('<S>', '<M>')} ELSE {between('<P>', '<M>')} || {after} || {between('<S>', '<P>')} END) AS restored_sha256
+    FROM o"""

@@ -3,12 +3,13 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slideloom.llm import bpe, vector_codes
+from slideloom.llm import bpe, fill_middle, vector_codes
 
 VECTORS = "vec_id long, embedding array<float>, label int, v string, code string, error string, own string"
 
@@ -118,3 +119,35 @@ def test_no_documents_and_ids_that_make_no_text(spark):
     known = bpe.tokenizer(BPE)
     got = [r.text for r in df.select("doc_id", bpe.decoded(F.col("ids")).alias("text")).orderBy("doc_id").collect()]
     assert got == [None, ""] + [known.decode([x for x in ids if x is not None and 0 <= x < 50257], skip_special_tokens=False) for _, ids in rows[2:]]
+
+
+def plain_middle(doc_id, text, percent=90, suffix_first=20):
+    """(n, form, prefix chars, middle chars, output) by the rules, on whole texts."""
+    text = text or ""
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", text, re.S)
+    sha = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(sha[8 * i : 8 * i + 8], 16) for i in range(4)]
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= percent:
+        return len(units), "plain", None, None, text
+    prefix, middle, suffix = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    spm = h[3] % 100 < suffix_first
+    return len(units), "spm" if spm else "psm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}" if spm else f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+@pytest.mark.parametrize("frame_bytes", [5, 64, fill_middle.FRAME_BYTES])
+def test_fill_in_middle_equals_whole_texts(spark, frame_bytes):
+    texts = odd_texts(4, 60) + ["a" * 500 + "é" * 300 + "中", "one <P> marker", "<S", "M>", "<<M>", "x" * 300_000 if frame_bytes > 100 else "x" * 700, "ab cd. " * 20_000 if frame_bytes > 100 else "ab cd. " * 90]
+    rows = [(i if i % 40 else None, t, *"clas") for i, t in enumerate(texts)] * 2
+    store = fill_middle.frame_store(spark.createDataFrame(rows, DOCS), frame_bytes)
+    f, s, form = F.col("frames"), F.col("sizes"), F.col("form")
+    got = fill_middle.fill_in_middle(store, frame_bytes=frame_bytes).withColumns({"output": fill_middle.text_of(f, s), "back": fill_middle.original_of(f, s, form), "sha": fill_middle.digests(f, s, form)}).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(str(i), *plain_middle(i, t), t or "", sha(plain_middle(i, t)[4]), sha(t or "")) for i, t, *_ in rows]
+    assert sorted(map(str, want)) == sorted(str((str(r.doc_id), r.n, r.form, r.prefix_chars, r.middle_chars, r.output, r.back, r.sha.output, r.sha.restored)) for r in got)
+    assert {w[2] for w in want} == {"plain", "psm", "spm"}
+    assert all(max(r.sizes, default=0) <= max(2 * frame_bytes, frame_bytes + 8) and len(r.frames) == len(r.sizes) for r in got)
+
+
+def test_frames_of_no_documents(spark):
+    assert fill_middle.fill_in_middle(fill_middle.frame_store(spark.createDataFrame([], DOCS))).collect() == []
