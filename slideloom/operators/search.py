@@ -113,8 +113,11 @@ def dedupe_hits(hits: DataFrame, order: str | None = None) -> DataFrame:
     Of equal scores the first seen stays: the first by ``order``, a column, or by rank if there is one.
     """
     order = order or ("rank" if "rank" in hits.columns else None)
-    w = Window.partitionBy("query_id", "file_path", "slide_number").orderBy(F.desc("score"), *([order] if order else []))
-    return hits.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    keys = ("query_id", "file_path", "slide_number")
+    rest = [c for c in hits.columns if c not in keys]
+    first = F.struct(F.col("score").isNull(), -F.col("score"), *([order] if order else []))
+    best = hits.groupBy(*keys).agg(F.min_by(F.struct(*rest), first).alias("_row"))  # minima are taken in every task before the shuffle
+    return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in hits.columns])
 
 
 def top_hits(hits: DataFrame, k: int) -> DataFrame:

@@ -38,12 +38,16 @@ def delete_by_file(store: DataFrame, paths: DataFrame) -> DataFrame:
     return store.join(paths.select("file_path").distinct(), "file_path", "left_anti")
 
 
-def delete_by_folder(store: DataFrame, folders: DataFrame) -> DataFrame:
-    """Rows outside all of (folder): each path meets the folders by its ancestors, an equi-join however many folders there are."""
+def paths_below(store: DataFrame, folders: DataFrame) -> DataFrame:
+    """The file_path values that are one of (folder) or below it: each path meets the folders by its ancestors, an equi-join however many folders there are."""
     parts = F.split("file_path", "/")
     ancestors = store.select("file_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("folder"))
-    gone = ancestors.join(folders.select("folder").distinct(), "folder", "left_semi").select("file_path").distinct()
-    return store.join(gone, "file_path", "left_anti")
+    return ancestors.join(folders.select("folder").distinct(), "folder", "left_semi").select("file_path").distinct()
+
+
+def delete_by_folder(store: DataFrame, folders: DataFrame) -> DataFrame:
+    """Rows outside all of (folder)."""
+    return store.join(paths_below(store, folders), "file_path", "left_anti")
 
 
 def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -89,13 +93,19 @@ def directory_breakdown(files: DataFrame, n: int = 10) -> DataFrame:
 
 # -- stores and statistics -----------------------------------------------------------------------------------
 
+def last_of(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
+    """The row of each key with the greatest ``order``, whole; maxima are taken in every task before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in rows.columns])
+
+
 def upsert(store: DataFrame, new: DataFrame, dim: int, keys: tuple[str, ...] = ("file_path", "slide_number"), order: str = "vec_id", mode: str = "replace") -> DataFrame:
     """The store with ``new`` rows of the right dimension; the last row of a key (by ``order``) wins; mode append keeps all."""
     good, _ = scalars.validate_vectors(new, dim)
     if mode == "append":
         return store.unionByName(good)
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    last = good.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    last = last_of(good, keys, order)
     return store.join(last.select(*keys), list(keys), "left_anti").unionByName(last)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slideloom.fixtures import view, with_views
 from slideloom.functions import scalars as S
 from slideloom.operators import ann, chunks, embed, names, search, tables, texts
-from slideloom.sources import files
+from slideloom.sources import files, slide_store
 from slideloom.sources.shared import scratch_path
 
 _EXT = "lower(regexp_extract(path, '[.]([^./]+)$', 1))"
@@ -269,11 +269,33 @@ def _edits(s, d):
     return chunks.apply_edits(*_edit_tables(s, d), "reject")
 
 
+def _store_with_deletes(s, d):
+    """All slides, then every third again with another number, less the files and the folder that go; a part of the history is compacted away."""
+    path, slides = scratch_path(s, "slides"), view(s, d, "slides_fx")
+    slide_store.upsert_slides(s, slides, path, 64, 0, "vec_id")
+    later = slides.where("vec_id % 3 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000_000)
+    slide_store.upsert_slides(s, later, path, 64, 1, "vec_id")
+    slide_store.delete_slides(s, path, slides.where("vec_id % 7 = 0").select("file_path"), s.createDataFrame([("d5",)], "folder string"))
+    slide_store.compact_slides(s, path)
+    slide_store.upsert_slides(s, slides.where("vec_id % 5 = 0"), path, 64, 2, "vec_id")
+    return slide_store.read_slides(s, path).select("vec_id", "file_path", "slide_number", F.col("embedding")[0].alias("first"))
+
+
+_STORE_WITH_DELETES = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY file_path, slide_number ORDER BY vec_id DESC) AS n FROM slides_fx),
+    b AS (SELECT *, row_number() OVER (PARTITION BY file_path, slide_number ORDER BY vec_id DESC) AS n FROM slides_fx WHERE vec_id % 3 = 0),
+    c AS (SELECT *, row_number() OVER (PARTITION BY file_path, slide_number ORDER BY vec_id DESC) AS n FROM slides_fx WHERE vec_id % 5 = 0),
+    s1 AS (SELECT vec_id + 1000000000 AS vec_id, file_path, slide_number, embedding FROM b WHERE n = 1 UNION ALL
+        SELECT vec_id, file_path, slide_number, embedding FROM a WHERE n = 1 AND (file_path, slide_number) NOT IN (SELECT (file_path, slide_number) FROM b)),
+    s2 AS (SELECT * FROM s1 WHERE file_path NOT LIKE 'd5/%' AND file_path NOT IN (SELECT file_path FROM slides_fx WHERE vec_id % 7 = 0))
+    SELECT vec_id, file_path, slide_number, embedding[1] AS first FROM c WHERE n = 1 UNION ALL
+    SELECT vec_id, file_path, slide_number, embedding[1] FROM s2 WHERE (file_path, slide_number) NOT IN (SELECT (file_path, slide_number) FROM c)"""
+
+
 def _stored(s, d):
     store, slides = scratch_path(s, "slides"), view(s, d, "slides_fx")
-    files.write_slides(slides.where("vec_id % 3 = 0"), store, 0)
-    files.write_slides(slides.where("vec_id % 2 = 0"), store, 1)
-    return files.read_slides(s, store).select("vec_id", "file_path", "slide_number")
+    slide_store.write_slides(slides.where("vec_id % 3 = 0"), store, 0)
+    slide_store.write_slides(slides.where("vec_id % 2 = 0"), store, 1)
+    return slide_store.read_slides(s, store).select("vec_id", "file_path", "slide_number")
 
 
 def _asked(s, d):
@@ -304,6 +326,7 @@ def _more():
         "explode_deck_slides": (lambda s, d: files.explode_deck_slides(_decks(s, d))[0].select("file_path", "slide_number", "text"), "SELECT doc_id || '.pptx' AS file_path, generate_subscripts(string_split(text, chr(10)), 1)::INT AS slide_number, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x00-\x08\x0B-\x1F]')"),
         "load_image_records": (lambda s, d: files.load_image_records(_pages(s, d)).select("page_id", "image_base64", "source_type"), "SELECT page_id, base64(encode(html)) AS image_base64, 'image_file' AS source_type FROM pages"),
         "file_manifest": (lambda s, d: files.file_manifest(_pages(s, d), 256).select("page_id", "sha", "bytes"), "SELECT page_id, sha256(html) AS sha, octet_length(encode(html)) AS bytes FROM pages"),
+        "slide_store": (_store_with_deletes, _STORE_WITH_DELETES),
         "read_slides": (_stored, "WITH a AS (SELECT *, vec_id % 2 = 0 AS late FROM slides_fx WHERE vec_id % 3 = 0 OR vec_id % 2 = 0), l AS (SELECT DISTINCT file_path, slide_number FROM a WHERE late) SELECT vec_id, file_path, slide_number FROM a WHERE late UNION ALL SELECT vec_id, file_path, slide_number FROM a WHERE NOT late AND (file_path, slide_number) NOT IN (SELECT (file_path, slide_number) FROM l)"),
         "relative_age": (lambda s, d: _t(s, d, "events").select("event_id", S.relative_age(c("ts"), c("ts") + F.expr("make_dt_interval(0, 0, CAST(user_id * 97 AS INT), 0)")).alias("age")), """WITH m AS (SELECT event_id, ts, user_id * 97 AS m FROM events)
             SELECT event_id, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' WHEN m < 10080 THEN (m // 1440) || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS age FROM m"""),

@@ -1,4 +1,4 @@
-"""Files as tables: listings, manifests, image records and headers, slides of decks, and the slide store."""
+"""Files as tables: listings, manifests, image records and headers, and slides of decks."""
 
 from __future__ import annotations
 
@@ -12,11 +12,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from slideloom.functions import scalars
-from slideloom.operators import tables
-from slideloom.sources.shared import written
 
 SLIDE_SCHEMA = "file_path string, file_name string, slide_number int, text string, error string"
 
@@ -106,58 +103,3 @@ def explode_deck_slides(decks: DataFrame, extractor: Callable[[bytes], Iterator]
 
     out = decks.select("path", "content").mapInPandas(run, SLIDE_SCHEMA)
     return out.where("error IS NULL").drop("error"), out.where("error IS NOT NULL").select("file_path", "slide_number", "error")
-
-
-# -- the store -------------------------------------------------------------------------------------------------
-
-def write_slides(slides: DataFrame, store: str, batch: int) -> None:
-    """Writes ``slides`` as batch ``batch`` of ``store``.  A batch that is written again replaces itself, so that a replay is harmless."""
-    slides.drop("batch").write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={batch}")
-
-
-def read_slides(spark: SparkSession, store: str, keys: tuple[str, ...] = ("file_path", "slide_number")) -> DataFrame:
-    """The store's rows; of a key that is in several batches, the rows of the latest."""
-    rows = spark.read.parquet(store)
-    latest = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return rows.join(latest, [*keys, "batch"], "left_semi").drop("batch")
-
-
-def upsert_slides(spark: SparkSession, new: DataFrame, store: str, dim: int, batch: int, order: str, vector: str = "embedding") -> None:
-    """Adds ``new`` rows with vectors of ``dim`` numbers to ``store`` as batch ``batch``; the last row of a key by ``order`` wins, within
-    the batch here and over all batches in :func:`read_slides`."""
-    good, _ = scalars.validate_vectors(new, dim, vector)
-    w = Window.partitionBy("file_path", "slide_number").orderBy(F.desc(order))
-    write_slides(good.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth"), store, batch)
-
-
-def delete_slides(spark: SparkSession, store: str, paths: DataFrame | None = None, folders: DataFrame | None = None) -> int:
-    """Deletes the slides of files (file_path) and below folders (folder) and compacts the store; the number of slides deleted."""
-    before = read_slides(spark, store)
-    after = before
-    if paths is not None:
-        after = tables.delete_by_file(after, paths)
-    if folders is not None:
-        after = tables.delete_by_folder(after, folders)
-    gone = before.count() - after.count()
-    compact_slides(spark, store, after)
-    return gone
-
-
-def compact_slides(spark: SparkSession, store: str, rows: DataFrame | None = None) -> None:
-    """Rewrites the store as one batch of its live rows, or of ``rows``, under its latest number.
-
-    The rows are written next to the store before the old batches are replaced.
-    """
-    latest = spark.read.parquet(store).agg(F.max("batch")).first()[0] or 0  # one row
-    live = written((read_slides(spark, store) if rows is None else rows).withColumn("batch", F.lit(latest)), "compacted")
-    if live.isEmpty():
-        clear_slides(spark, store)
-    else:
-        live.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch").parquet(store)
-
-
-def clear_slides(spark: SparkSession, store: str) -> None:
-    """Leaves an empty store of the same columns."""
-    schema = spark.read.parquet(store).drop("batch").schema
-    spark.createDataFrame([], schema).withColumn("batch", F.lit(0)).write.mode("overwrite").partitionBy("batch").parquet(store)
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch=0")

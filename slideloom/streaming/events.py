@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from slideloom.functions import scalars
 from slideloom.operators import embed, tables
-from slideloom.sources import files
+from slideloom.sources import files, slide_store
 
 SCHEMA = "event_id bigint, ts timestamp, type string, path string"
 
@@ -133,7 +133,7 @@ def index_files(spark: SparkSession, folder: str, store: str, checkpoint: str, e
     """Indexes the decks below ``folder``, new ones as they come: slides are taken out, embedded and added to ``store``.
 
     Slides and decks that fail go to ``store``-failures and the stream goes on; a batch that is replayed replaces
-    itself.  For files that are gone, :func:`slideloom.sources.files.delete_slides`.
+    itself.  For files that are gone, :func:`slideloom.sources.slide_store.delete_slides`.
     """
     decks = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     decks = decks.option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
@@ -141,9 +141,9 @@ def index_files(spark: SparkSession, folder: str, store: str, checkpoint: str, e
     def add(batch: DataFrame, number: int) -> None:
         slides, failures = files.explode_deck_slides(batch)
         good, failed = embed.embed_slides(slides, embedder, text="text")
-        files.write_slides(good, store, number)
+        slide_store.write_slides(good, store, number)
         failures = failures.unionByName(failed.select("file_path", "slide_number", F.lit("no vector").alias("error")))
-        files.write_slides(failures, f"{store.rstrip('/')}-failures", number)
+        slide_store.write_slides(failures, f"{store.rstrip('/')}-failures", number)
 
     return decks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -151,14 +151,14 @@ def index_files(spark: SparkSession, folder: str, store: str, checkpoint: str, e
 def index_stream(slides: DataFrame, store: str, checkpoint: str, embedder: embed.Embedder = embed.hashed_ngrams, text: str = "slide_text") -> StreamingQuery:
     """Embeds a stream of slides and adds each micro-batch to ``store``; slides that fail go to ``store``-failures.
 
-    A batch is written under its own number, so that a replay replaces it; :func:`slideloom.sources.files.read_slides` takes the latest row of a key.
+    A batch is written under its own number, so that a replay replaces it; :func:`slideloom.sources.slide_store.read_slides` takes the latest row of a key.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         w = Window.partitionBy("file_path", "slide_number").orderBy(F.desc(text))
         once = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
         good, failed = embed.embed_slides(once, embedder, text=text)
-        files.write_slides(good, store, number)
-        files.write_slides(failed, f"{store.rstrip('/')}-failures", number)
+        slide_store.write_slides(good, store, number)
+        slide_store.write_slides(failed, f"{store.rstrip('/')}-failures", number)
 
     return slides.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,11 +2,12 @@ import io
 import struct
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from slideloom.functions import scalars
 from slideloom.operators import chunks, embed, search, tables, texts
-from slideloom.sources import files
+from slideloom.sources import files, slide_store
 
 
 def deck(*slides):
@@ -48,12 +49,12 @@ def test_base64_has_no_line_breaks(spark):
 def test_store_takes_the_latest_and_replays(spark, tmp_path):
     store = str(tmp_path / "store")
     df = lambda *rows: spark.createDataFrame(list(rows), "file_path string, slide_number int, v int")
-    files.write_slides(df(("a", 1, 1), ("a", 2, 1)), store, 0)
+    slide_store.write_slides(df(("a", 1, 1), ("a", 2, 1)), store, 0)
     for _ in range(2):
-        files.write_slides(df(("a", 2, 2)), store, 1)
-    assert sorted(tuple(r) for r in files.read_slides(spark, store).collect()) == [("a", 1, 1), ("a", 2, 2)]
-    files.clear_slides(spark, store)
-    assert files.read_slides(spark, store).count() == 0 and files.read_slides(spark, store).columns == ["file_path", "slide_number", "v"]
+        slide_store.write_slides(df(("a", 2, 2)), store, 1)
+    assert sorted(tuple(r) for r in slide_store.read_slides(spark, store).collect()) == [("a", 1, 1), ("a", 2, 2)]
+    slide_store.clear_slides(spark, store)
+    assert slide_store.read_slides(spark, store).count() == 0 and slide_store.read_slides(spark, store).columns == ["file_path", "slide_number", "v"]
 
 
 def test_cell_specs(spark):
@@ -147,12 +148,59 @@ def test_a_store_takes_upserts_deletes_and_compaction(spark, tmp_path):
     store = str(tmp_path / "store")
     rows = [(f"d{i % 3}/f{i}.pptx", 1, i, [1.0, float(i)]) for i in range(9)] + [("d0/f0.pptx", 1, 99, [1.0]), ("d0/f0.pptx", 1, 98, [2.0, 2.0])]
     df = spark.createDataFrame(rows, "file_path string, slide_number int, seen int, embedding array<double>")
-    files.upsert_slides(spark, df, store, 2, 0, "seen")
-    assert files.read_slides(spark, store).count() == 9 and files.read_slides(spark, store).where("seen = 98").count() == 1
-    files.upsert_slides(spark, df.where("seen < 3").withColumn("seen", F.col("seen") + 200), store, 2, 1, "seen")
-    assert files.read_slides(spark, store).count() == 9 and files.read_slides(spark, store).where("seen >= 200").count() == 3
-    gone = files.delete_slides(spark, store, spark.createDataFrame([("d0/f3.pptx",)], "file_path string"), spark.createDataFrame([("d1",)], "folder string"))
-    assert gone == 4 and files.read_slides(spark, store).count() == 5
-    assert spark.read.parquet(store).count() == 5
-    files.upsert_slides(spark, df.where("seen = 4"), store, 2, 2, "seen")
-    assert files.read_slides(spark, store).count() == 6
+    slide_store.upsert_slides(spark, df, store, 2, 0, "seen")
+    assert slide_store.read_slides(spark, store).count() == 9 and slide_store.read_slides(spark, store).where("seen = 98").count() == 1
+    slide_store.upsert_slides(spark, df.where("seen < 3").withColumn("seen", F.col("seen") + 200), store, 2, 1, "seen")
+    assert slide_store.read_slides(spark, store).count() == 9 and slide_store.read_slides(spark, store).where("seen >= 200").count() == 3
+    gone = slide_store.delete_slides(spark, store, spark.createDataFrame([("d0/f3.pptx",)], "file_path string"), spark.createDataFrame([("d1",)], "folder string"))
+    assert gone == 4 and slide_store.read_slides(spark, store).count() == 5
+    assert slide_store.compact_slides(spark, store) > 0 and slide_store.compact_slides(spark, store) == 0
+    assert slide_store.vacuum_store(spark, store, keep=1) > 0
+    assert slide_store.read_slides(spark, store).count() == 5
+    slide_store.upsert_slides(spark, df.where("seen = 4"), store, 2, 2, "seen")
+    assert slide_store.read_slides(spark, store).count() == 6
+
+
+def test_a_killed_commit_or_compaction_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    df = spark.createDataFrame([(f"d{i % 3}/f{i}.pptx", 1, i, [1.0]) for i in range(40)], "file_path string, slide_number int, seen int, embedding array<double>")
+    state = lambda: sorted((r.file_path, r.seen) for r in slide_store.read_slides(spark, path).collect())
+    publish = slide_store._publish
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(slide_store, "_publish", killed)
+    with pytest.raises(KeyboardInterrupt):
+        slide_store.upsert_slides(spark, df, path, 1, 0, "seen")
+    assert slide_store.read_manifest(spark, path) is None
+    monkeypatch.setattr(slide_store, "_publish", publish)
+    slide_store.upsert_slides(spark, df, path, 1, 0, "seen")
+    slide_store.upsert_slides(spark, df.where("seen < 5").withColumn("seen", F.col("seen") + 100), path, 1, 1, "seen")
+    before = state()
+    reader = slide_store.read_slides(spark, path)
+    monkeypatch.setattr(slide_store, "_publish", killed)
+    for job in (lambda: slide_store.compact_slides(spark, path), lambda: slide_store.delete_slides(spark, path, df), lambda: slide_store.upsert_slides(spark, df, path, 1, 2, "seen")):
+        with pytest.raises(KeyboardInterrupt):
+            job()
+        assert state() == before
+    monkeypatch.setattr(slide_store, "_publish", publish)
+    slide_store.compact_slides(spark, path)
+    assert state() == before == sorted((r.file_path, r.seen) for r in reader.collect())  # the old files are still there
+    assert slide_store.vacuum_store(spark, path, keep=1) >= 4 and state() == before
+    assert "Exchange" not in slide_store.read_slides(spark, path)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deletes_touch_only_their_buckets(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = spark.createDataFrame([(f"d/f{i}.pptx", s, i) for i in range(60) for s in (1, 2)], "file_path string, slide_number int, v int")
+    slide_store.write_slides(df, path, 0)
+    old = slide_store.read_manifest(spark, path)
+    assert slide_store.delete_slides(spark, path, df.where("v = 7")) == 2
+    new = slide_store.read_manifest(spark, path)
+    assert len(new["live"]) == len(old["live"]) + 1 and new["live"][: len(old["live"])] == old["live"]
+    slide_store.write_slides(df.where("v = 7 AND slide_number = 2"), path, 1)
+    assert slide_store.read_slides(spark, path).count() == 119 and slide_store.compact_slides(spark, path) == 1
+    slide_store.write_slides(df.withColumn("v", F.lit(-1)), path, 1)  # a replay
+    assert slide_store.read_slides(spark, path).where("v < 0").count() == 0
+    assert slide_store.delete_slides(spark, path, folders=spark.createDataFrame([("d",)], "folder string")) == 119 and slide_store.read_slides(spark, path).count() == 0

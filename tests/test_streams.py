@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from slideloom.operators import chunks, tables
 from slideloom.plans import registry
-from slideloom.sources import files
+from slideloom.sources import slide_store
 from slideloom.streaming import events as stream
 
 START = datetime(2024, 1, 1)
@@ -73,7 +73,7 @@ def test_indexing_a_stream_is_safe_to_repeat(spark, tmp_path):
     store = str(tmp_path / "store")
     for k in range(2):
         stream.index_stream(spark.readStream.schema(schema).parquet(folder), store, str(tmp_path / f"ck{k}")).awaitTermination(120)
-        got = files.read_slides(spark, store)
+        got = slide_store.read_slides(spark, store)
         assert got.count() == 2 and got.where(F.size("embedding") == 64).count() == 2
 
 
@@ -96,7 +96,7 @@ def test_decks_are_indexed_as_they_come(spark, tmp_path):
     store = str(tmp_path / "store")
     for want in (2, 3):
         stream.index_files(spark, str(folder), store, str(tmp_path / "ck")).awaitTermination(120)
-        got = files.read_slides(spark, store)
+        got = slide_store.read_slides(spark, store)
         assert got.count() == want and got.where("size(embedding) <> 64").count() == 0
         (folder / "sub" / "c.pptx").write_bytes(registry._deck("three"))
-    assert spark.read.parquet(store + "-failures").count() == 1
+    assert slide_store.read_slides(spark, store + "-failures").count() == 1
