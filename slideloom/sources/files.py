@@ -1,4 +1,4 @@
-"""Files as tables: listings, manifests, image records and headers, and slides of decks."""
+"""Files as tables: manifests, image records and headers, and slides of decks."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slideloom.functions import scalars
@@ -18,12 +18,6 @@ from slideloom.functions import scalars
 SLIDE_SCHEMA = "file_path string, file_name string, slide_number int, text string, error string"
 
 
-def scan_decks(spark: SparkSession, root: str, glob: str = "*.pptx") -> DataFrame:
-    """(path, length, mtime) of all files below ``root`` whose names match ``glob``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select("path", "length", F.col("modificationTime").alias("mtime"))
-
-
 def load_image_records(files: DataFrame) -> DataFrame:
     """Files (path, content) with image_base64 (no line breaks), file_name and source_type in place of content."""
     text = F.translate(F.base64("content"), "\r\n", "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slideloom.functions import scalars
 from slideloom.operators import chunks, embed, search, tables, texts
-from slideloom.sources import files, slide_store
+from slideloom.sources import files, slide_store, watch
 
 
 def deck(*slides):
@@ -23,7 +23,7 @@ def test_decks_become_slides(spark, tmp_path):
     (tmp_path / "sub" / "a.pptx").write_bytes(deck("One", "broken", "Three"))
     (tmp_path / "bad.pptx").write_bytes(b"no zip")
     (tmp_path / "c.txt").write_bytes(b"x")
-    found = files.scan_decks(spark, str(tmp_path))
+    found = watch.scan_decks(spark, str(tmp_path))
     assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["a.pptx", "bad.pptx"]
     decks = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pptx").load(str(tmp_path))
     slides, failures = files.explode_deck_slides(decks)
@@ -204,3 +204,17 @@ def test_deletes_touch_only_their_buckets(spark, tmp_path):
     slide_store.write_slides(df.withColumn("v", F.lit(-1)), path, 1)  # a replay
     assert slide_store.read_slides(spark, path).where("v < 0").count() == 0
     assert slide_store.delete_slides(spark, path, folders=spark.createDataFrame([("d",)], "folder string")) == 119 and slide_store.read_slides(spark, path).count() == 0
+
+
+def test_listings_have_all_names(spark, tmp_path):
+    for name in ("_x.pptx", "_folder/a.pptx", "_folder/deep/.b.pptx", "c.PPTX", "c.pptx.tmp", "many/1/2/3/d.pptx"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(deck("One") if name.endswith("x") else b"abc")
+    found = watch.scan_decks(spark, str(tmp_path)).collect()
+    assert sorted(r.path.removeprefix(f"{tmp_path}/") for r in found) == ["_folder/a.pptx", "_folder/deep/.b.pptx", "_x.pptx", "many/1/2/3/d.pptx"] and all(r.length > 0 and r.mtime for r in found)
+    assert watch.scan_folder(spark, str(tmp_path)).where("is_directory").count() == 6
+    listed = watch.scan_decks(spark, str(tmp_path)).union(spark.createDataFrame([(f"{tmp_path}/none.pptx", 1, None)], "path string, length bigint, mtime timestamp"))
+    read = watch.with_contents(listed)
+    slides, failures = files.explode_deck_slides(read.where("error IS NULL"))
+    assert sorted(r.file_name for r in slides.collect()) == [".b.pptx", "_x.pptx", "a.pptx", "d.pptx"] and failures.count() == 0
+    assert [r.error.split(":")[0] for r in read.where("error IS NOT NULL").collect()] == ["FileNotFoundError"]

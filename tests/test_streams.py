@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from slideloom.operators import chunks, tables
 from slideloom.plans import registry
-from slideloom.sources import slide_store
+from slideloom.sources import slide_store, watch
 from slideloom.streaming import events as stream
 
 START = datetime(2024, 1, 1)
@@ -100,3 +100,33 @@ def test_decks_are_indexed_as_they_come(spark, tmp_path):
         assert got.count() == want and got.where("size(embedding) <> 64").count() == 0
         (folder / "sub" / "c.pptx").write_bytes(registry._deck("three"))
     assert slide_store.read_slides(spark, store + "-failures").count() == 1
+
+
+def test_changes_of_a_folder_become_events(spark, tmp_path):
+    root, state = tmp_path / "root", tmp_path / "listings"
+    (root / "old").mkdir(parents=True)
+    (root / "old" / "a.pptx").write_bytes(b"1")
+    (root / "b.pptx").write_bytes(b"1")
+
+    def run(name, initial=False):
+        stream_of = watch.watch_folder(spark, str(root), f"{state}-{name}", initial)
+        stream_of.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"ck-{name}")).trigger(availableNow=True).start().awaitTermination(120)
+        rows = spark.read.schema(watch.EVENT_SCHEMA).parquet(str(tmp_path / name)).orderBy("event_id").collect()
+        return [(r.type, r.path) for r in rows]
+
+    assert run("out") == []
+    (root / "new" / "_deep").mkdir(parents=True)
+    (root / "new" / "_deep" / "_c.pptx").write_bytes(b"12")
+    (root / "new" / "node_modules").mkdir()
+    (root / "b.pptx").write_bytes(b"123")
+    (root / "old" / "a.pptx").unlink()
+    first = [("unlink", "old/a.pptx"), ("change", "b.pptx"), ("addDir", "new"), ("addDir", "new/_deep"), ("add", "new/_deep/_c.pptx")]
+    assert run("out") == first
+    assert run("out") == first  # nothing has changed
+    (root / "old").rmdir()
+    (root / "new" / "_deep" / "_c.pptx").unlink()
+    (root / "new" / "_deep").rmdir()
+    (root / "new" / "_deep").write_bytes(b"now a file")
+    assert run("out") == [*first, ("unlinkDir", "old"), ("unlink", "new/_deep/_c.pptx"), ("unlinkDir", "new/_deep"), ("add", "new/_deep")]
+    assert run("all", initial=True) == [("add", "b.pptx"), ("addDir", "new"), ("add", "new/_deep")]
+    assert len(list(tmp_path.joinpath("listings-out").iterdir())) <= 3
