@@ -252,25 +252,31 @@ class _Sent:
 def _numbered(batches: Iterator[pa.RecordBatch], splitter: Splitter, sent: _Sent) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, pa.Array, np.ndarray]]:
     """Blocks of rows: key, rows, the row of each word, the block's distinct other words, and the number of each word.
 
-    The number of a word in the table is its place there; other words are numbered on in the order in which they appear.
+    The number of a word in the table is its place there; other words are numbered on.
     The key comes from the block's first row number and its content.
     """
     for batch in slices(batches, limit=splitter.sizes.stretch):
-        for start, end, data, offsets in blocks(batch.column("text"), splitter.sizes.block):
+        numbers, rows, dictionaries, size = [], [], [], 0
+        for words, row in splitter.words(*utf8(batch.column("text"))):
+            coded = words.dictionary_encode()
+            place = pc.fill_null(pc.index_in(coded.dictionary, value_set=sent.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.where(place < 0, -1 - size - np.arange(len(place)), place)  # others by their place in the dictionaries, below zero
+            numbers.append(place[coded.indices.to_numpy(zero_copy_only=False)])
+            rows.append(row)
+            dictionaries.append(coded.dictionary)
+            size += len(place)
+        if not rows:
+            numbers, rows, dictionaries = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.large_string())]
+        number, row, dictionary = np.concatenate(numbers), np.concatenate(rows), pa.concat_arrays(dictionaries)
+        for start, end, _, _ in blocks(batch.column("text"), splitter.sizes.block):
             part = batch.slice(start, end - start)
-            numbers, rows, others = [], [], []
-            for words, row in splitter.words(data, offsets):
-                coded = words.dictionary_encode()
-                place = pc.fill_null(pc.index_in(coded.dictionary, value_set=sent.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                rare = np.flatnonzero(place < 0)
-                place[rare] = len(sent) + sum(map(len, others)) + np.arange(len(rare))
-                others.append(coded.dictionary.take(pa.array(rare)))
-                numbers.append(place[coded.indices.to_numpy(zero_copy_only=False)])
-                rows.append(row)
-            number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-            sums = np.cumsum(mix(number.astype(np.uint64)), dtype=np.uint64)
-            seal = (sums[-1] if len(sums) else np.uint64(0)) + np.uint64(part.column("row")[0].as_py())
-            yield int(mix(np.array([seal]))[:1].view(np.int64)[0]), part, np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.concat_arrays(others) if others else pa.array([], pa.large_string()), number
+            first, past = np.searchsorted(row, [start, end])
+            own = number[first:past].copy()
+            other = np.flatnonzero(own < 0)
+            codes, k = np.unique(-1 - own[other], return_inverse=True)
+            own[other] = len(sent) + k
+            seal = np.cumsum(mix(own.astype(np.uint64)), dtype=np.uint64)[-1:].sum(dtype=np.uint64) + np.uint64(part.column("row")[0].as_py())
+            yield int(mix(np.array([seal], np.uint64)).view(np.int64)[0]), part, row[first:past] - start, dictionary.take(pa.array(codes)), own
 
 
 def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limits: Sizes = Sizes()) -> DataFrame:
@@ -356,8 +362,11 @@ def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limits:
                     raise RuntimeError("the documents came in another order when they were read again; write them as a table first")
                 own_sizes, own_firsts = np.zeros(n_others, np.int64), np.zeros(n_others, np.int64)
                 own_sizes[k], own_firsts[k] = sizes, np.cumsum(sizes) - sizes
-                size = np.concatenate([sent.sizes, own_sizes])[number]
-                first = np.concatenate([sent.firsts, own_firsts + len(sent.ids)])[number]
+                is_sent = number < len(sent)
+                size, first = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+                size[is_sent], first[is_sent] = sent.sizes[number[is_sent]], sent.firsts[number[is_sent]]
+                other = number[~is_sent] - len(sent)
+                size[~is_sent], first[~is_sent] = own_sizes[other], own_firsts[other] + len(sent.ids)
                 past = np.cumsum(size)
                 all_ids = np.concatenate([sent.ids, ids])[np.repeat(first - (past - size), size) + np.arange(int(size.sum()))]
                 edges = np.append(0, past)[bounds]
