@@ -6,7 +6,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -149,12 +149,32 @@ def replay_lru(log: DataFrame, memory: int = 1000, disk: int = 5000) -> DataFram
     return log.repartition("tenant").sortWithinPartitions("tenant", "ts", "event_id").mapInPandas(run, f"event_id {kinds['event_id']}, tenant {kinds['tenant']}, outcome string")
 
 
-def live_paths(events: DataFrame) -> DataFrame:
-    """Paths that exist after a table of events (path, type, ts, event_id): the last event of the path is no unlink, and no folder above it was removed later."""
+def _above(path: str) -> Column:
+    """The folders above a path."""
+    parts = F.split(path, "/")
+    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/")), lambda f: (f != F.col(path)) & (f != ""))
+
+
+def _alive(events: DataFrame) -> DataFrame:
+    """(path, since, type) of the paths of :func:`live_paths`."""
     last = events.groupBy("path").agg(F.max_by(F.struct("ts", "event_id", "type"), F.struct("ts", "event_id")).alias("e"))
-    alive = last.where("e.type NOT IN ('unlink', 'unlinkDir')").select("path", F.struct("e.ts", "e.event_id").alias("since"))
+    alive = last.where("e.type NOT IN ('unlink', 'unlinkDir')").select("path", F.struct("e.ts", "e.event_id").alias("since"), "e.type")
     removed = events.where("type = 'unlinkDir'").groupBy(F.col("path").alias("folder")).agg(F.max(F.struct("ts", "event_id")).alias("removed"))
-    parts = F.split("path", "/")
-    above = alive.select("path", "since", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("folder"))
-    gone = above.where("folder <> path").join(removed, "folder").where("removed > since").select("path").distinct()
-    return alive.join(gone, "path", "left_anti").select("path")
+    gone = alive.select("path", "since", F.explode(_above("path")).alias("folder")).join(removed, "folder").where("removed > since").select("path").distinct()
+    return alive.join(gone, "path", "left_anti")
+
+
+def live_paths(events: DataFrame) -> DataFrame:
+    """Paths that exist after a table of events (path, type, ts, event_id): the last event of the path is no unlink, and no folder above it was removed later."""
+    return _alive(events).select("path")
+
+
+def live_tree(events: DataFrame) -> DataFrame:
+    """(path, is_directory) of the tree after a table of events: the paths of :func:`live_paths` whose folders above are all live folders.
+
+    A path below an absent folder is not in the tree.  In which order the events come makes no difference.
+    """
+    alive = _alive(events).select("path", (F.col("type") == "addDir").alias("is_directory"))
+    folders = alive.where("is_directory").select(F.col("path").alias("folder"))
+    lost = alive.select("path", F.explode(_above("path")).alias("folder")).join(folders, "folder", "left_anti").select("path").distinct()
+    return alive.join(lost, "path", "left_anti")

@@ -52,6 +52,25 @@ def _tried(embedder: Embedder, texts: list[str], waits: tuple[float, ...]) -> li
     return [_tried(embedder, [t], ())[0] for t in texts]
 
 
+class Paced:
+    """A caller's function that is called at most ``per_minute`` / ``tasks`` times a minute in each task: a service's limit that ``tasks`` tasks share."""
+
+    def __init__(self, call: Callable, per_minute: float, tasks: int) -> None:
+        self.call, self.gap, self.next = call, 60.0 * tasks / per_minute, 0.0
+
+    def __call__(self, *args):
+        now = time.monotonic()
+        if now < self.next:
+            time.sleep(self.next - now)
+        self.next = max(now, self.next) + self.gap
+        return self.call(*args)
+
+
+def paced(df: DataFrame, embedder: Embedder, per_minute: float | None, tasks: int) -> tuple[DataFrame, Embedder]:
+    """Rows in ``tasks`` partitions and an embedder that keeps all of these together to ``per_minute`` calls a minute; None is no limit."""
+    return (df, embedder) if per_minute is None else (df.repartition(tasks), Paced(embedder, per_minute, tasks))
+
+
 def _embedded(df: DataFrame, text: str, embedder: Embedder, batch_size: int, waits: tuple[float, ...]) -> DataFrame:
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -13,6 +13,7 @@ from slideloom.functions import scalars as S
 from slideloom.operators import ann, chunks, embed, names, search, tables, texts
 from slideloom.sources import files, slide_store
 from slideloom.sources.shared import scratch_path
+from slideloom.streaming import events
 
 _EXT = "lower(regexp_extract(path, '[.]([^./]+)$', 1))"
 _VERSION = "regexp_extract(regexp_replace(file_name, '(?i)[.]pptx$', ''), '(?i)[ _-]?v([0-9]+)$', 1)"
@@ -67,6 +68,15 @@ def _folder_events(s, d):
     return view(s, d, "file_events_fx").withColumn("type", F.when((c("type") == "addDir") & (c("event_id") % 400 < 9), "unlinkDir").otherwise(c("type")))
 
 
+_LIVE_TREE = f"""WITH {_FOLDER_EVENTS}, r AS (SELECT path AS folder, max((ts, event_id)) AS removed FROM e WHERE type = 'unlinkDir' GROUP BY path),
+    l AS (SELECT path, max((ts, event_id)) AS since, arg_max(type, (ts, event_id)) AS type FROM e GROUP BY path),
+    a AS (SELECT path, type FROM l WHERE type NOT IN ('unlink', 'unlinkDir') AND NOT EXISTS (SELECT 1 FROM r WHERE starts_with(l.path, r.folder || '/') AND r.removed > l.since))
+    SELECT path, type = 'addDir' AS is_directory FROM a WHERE NOT contains(path, '/') OR EXISTS (SELECT 1 FROM a b WHERE b.type = 'addDir' AND b.path = split_part(a.path, '/', 1))"""
+_RELEASED = f"""WITH {_FOLDER_EVENTS} SELECT w.path, w.event_id, w.type FROM e w WHERE w.type IN ('add', 'change') AND {_EXT.replace('path', 'w.path')} IN ('xlsx','xls','pptx','ppt','pdf','docx','doc')
+    AND NOT EXISTS (SELECT 1 FROM e b WHERE b.ts >= w.ts AND b.ts < w.ts + INTERVAL 6 HOURS AND (b.ts > w.ts OR b.event_id > w.event_id)
+        AND ((b.path = w.path AND b.type IN ('add', 'change', 'unlink')) OR (b.type = 'unlinkDir' AND starts_with(w.path, b.path || '/'))))"""
+
+
 def _spaced_names(s, d):
     return view(s, d, "slides_fx").select("vec_id", F.regexp_replace("file_name", " v2", "  v2").alias("file_name"))
 
@@ -363,6 +373,8 @@ def _more():
             SELECT doc_id, line_no, chunk, tokens FROM p"""),
         "replay_lru": (lambda s, d: chunks.replay_lru(view(s, d, "query_log_fx"), 2, 100).select("event_id", "outcome"), f"""WITH a AS (SELECT event_id, tenant, {_NORM} AS q, row_number() OVER (PARTITION BY tenant ORDER BY ts, event_id) AS n FROM query_log_fx), b AS (SELECT *, lag(n) OVER (PARTITION BY tenant, q ORDER BY n) AS prev FROM a),
             c AS (SELECT b.event_id, any_value(b.prev) AS prev, count(DISTINCT x.q) AS between_them FROM b LEFT JOIN a x ON x.tenant = b.tenant AND x.n > b.prev AND x.n < b.n GROUP BY b.event_id) SELECT event_id, CASE WHEN prev IS NULL THEN 'miss' WHEN between_them < 2 THEN 'memory' ELSE 'disk' END AS outcome FROM c"""),
+        "live_tree_with_parents": (lambda s, d: chunks.live_tree(_folder_events(s, d)), _LIVE_TREE),
+        "released_work": (lambda s, d: events.process_queue(_folder_events(s, d), "6 hours").select("path", "event_id", "type"), _RELEASED),
         "live_tree": (lambda s, d: chunks.live_paths(_folder_events(s, d)), f"""WITH {_FOLDER_EVENTS}, l AS (SELECT path, max(ts) AS ts, arg_max(type, ts) AS type FROM e GROUP BY path)
             SELECT path FROM l WHERE type NOT IN ('unlink', 'unlinkDir') AND NOT EXISTS (SELECT 1 FROM e WHERE e.type = 'unlinkDir' AND e.ts > l.ts AND starts_with(l.path, e.path || '/'))"""),
         "embed_chunks": (lambda s, d: embed.embed_chunks(_t(s, d, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length")), "SELECT doc_id, 64 AS dim, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS length FROM documents"),

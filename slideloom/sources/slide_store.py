@@ -85,8 +85,10 @@ def _rows(spark: SparkSession, store: str, manifest: dict, live: list[list]) ->
 
 def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of each key's latest commit that no later delete of its file follows; duplicates inside a commit stay."""
-    deletes = rows.where(_DELETED).groupBy("file_path").agg(F.max(_SEQ).alias("_gone"))
-    newest = rows.where(f"NOT {_DELETED}").groupBy(*keys).agg(F.max(_SEQ).alias(_SEQ))
+    rest = [k for k in keys if k != "file_path"]
+    one = F.coalesce(*[F.col(k).isNotNull() for k in rest[:1]], F.lit(False)) & F.col(_DELETED)  # a delete of one key, not of a file
+    deletes = rows.where(F.col(_DELETED) & ~one).groupBy("file_path").agg(F.max(_SEQ).alias("_gone"))
+    newest = rows.where(~F.col(_DELETED) | one).groupBy(*keys).agg(F.max(_SEQ).alias(_SEQ), F.max_by(_DELETED, _SEQ).alias("_off")).where("NOT _off").drop("_off")
     same = F.col("k.file_path").eqNullSafe(F.col("d.file_path"))
     kept = newest.alias("k").join(deletes.alias("d"), same, "left").where(f"_gone IS NULL OR _gone < {_SEQ}").select(*[f"k.{k}" for k in keys], _SEQ).alias("k")
     on = [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in (*keys, _SEQ)]
@@ -184,6 +186,18 @@ def delete_slides(spark: SparkSession, store: str, paths: DataFrame | None = Non
     return count
 
 
+def delete_keys(keys: DataFrame, store: str, writer: str, batch: int) -> None:
+    """Deletes the rows of (file_path, slide_number), both not null, as batch ``batch`` of ``writer``; a replay is skipped."""
+    spark = keys.sparkSession
+    manifest = _required(spark, store)
+    if manifest["writers"].get(writer, -1) >= batch:
+        return
+    names = T.StructType.fromJson(manifest["schema"])
+    marks = keys.where(" AND ".join(f"{k} IS NOT NULL" for k in manifest["keys"])).distinct()
+    marks = marks.select(*[F.col(f.name) if f.name in manifest["keys"] else F.lit(None).cast(f.dataType).alias(f.name) for f in names])
+    _commit(marks, store, manifest, writer, batch, True, KEYS, BUCKETS)
+
+
 def compact_slides(spark: SparkSession, store: str) -> int:
     """Rewrites the live rows of buckets with several parts or deletes as one part each; the number of buckets rewritten."""
     manifest = _required(spark, store)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import fnmatch
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.window import Window
 
 from slideloom.functions import scalars
-from slideloom.operators import embed, tables
-from slideloom.sources import files, slide_store
+from slideloom.operators import chunks, embed, tables
+from slideloom.sources import files, slide_store, watch
+from slideloom.sources.shared import written
 
+#: Keys over which the work that waits below one folder is spread.
+SALTS = 16
 SCHEMA = "event_id bigint, ts timestamp, type string, path string"
 
 
@@ -36,47 +38,29 @@ def window_counts(events: DataFrame, size: str, slide: str | None = None, late:
 
 
 def process_queue(events: DataFrame, delay: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
-    """(path, ts, type, event_id) of the work that is released: the last add or change of a supported path once ``delay`` has passed.
+    """(path, ts, type, event_id) of the work that is released: adds and changes of supported paths that nothing takes back within ``delay``.
 
-    A newer event takes its place, an unlink of the path or an unlinkDir of a folder above takes it back.  Events
-    of a top folder are one state, the paths that wait; each is dropped when it is released.
+    A later add, change or unlink of the path takes it back, and so does an unlinkDir of a folder above.  All of these are
+    one join by key and time: work waits under its path and under each folder above, what takes it back comes under its
+    own path.  State is the work and the events of the last ``delay`` and ``late``, spread by path; waiting under a
+    common folder is spread over SALTS keys, and the few folder removals are sent to each.  A batch table gives the same rows at once.
     """
-    wait = int(pd.Timedelta(delay).total_seconds() * 1000)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
-        out: list[list] = []
-
-        def release(now: int) -> None:
-            for path in [p for p, (ts, _, _) in waiting.items() if ts + wait <= now]:
-                out.append([path, *waiting.pop(path)])
-
-        rows = sorted((row.ms, row.event_id, row.type, row.path, row.supported) for frame in frames for row in frame.itertuples())
-        for ts, number, kind, path, supported in rows:
-            release(ts)
-            if kind == "unlinkDir":
-                for below in [p for p in waiting if p.startswith(path + "/")]:
-                    del waiting[below]
-            elif kind == "unlink":
-                waiting.pop(path, None)
-            elif supported and kind in ("add", "change"):
-                waiting[path] = [int(ts), kind, int(number)]
-        watermark = state.getCurrentWatermarkMs()
-        release(watermark)
-        if waiting:
-            state.update((json.dumps(waiting),))
-            state.setTimeoutTimestamp(max(watermark + 1, min(ts for ts, _, _ in waiting.values()) + wait))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["path", "ms", "type", "event_id"])
-
-    path = F.col("path")
-    keyed = events.withWatermark("ts", late).select(
-        F.when(F.contains(path, F.lit("/")) | (F.col("type") == "unlinkDir"), F.substring_index(path, "/", 1)).otherwise("").alias("top"),
-        "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", "type", "path", scalars.is_supported_document(path).alias("supported"),
-    )
-    out = keyed.groupBy("top").applyInPandasWithState(run, "path string, ms long, type string, event_id long", "waiting string", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("path", F.timestamp_millis("ms").alias("ts"), "type", "event_id")
+    events = events.withWatermark("ts", late)
+    path, salt = F.col("path"), F.pmod(F.xxhash64("path"), F.lit(SALTS))
+    parts = F.split("path", "/")
+    above = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/")), lambda f: f != path)
+    own_key = F.struct(F.lit(False).alias("folder"), path.alias("name"), F.lit(0).cast("long").alias("salt"))
+    keys = F.concat(F.array(own_key), F.transform(above, lambda f: F.struct(F.lit(True).alias("folder"), f.alias("name"), salt.alias("salt"))))
+    work = events.where(scalars.is_supported_document(path) & F.col("type").isin("add", "change"))
+    work = work.select("path", "ts", "type", "event_id", F.explode(keys).alias("key")).alias("w")
+    everywhere = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.struct(F.lit(True).alias("folder"), path.alias("name"), i.cast("long").alias("salt")))
+    takes_back = F.when(F.col("type") == "unlinkDir", everywhere).when((F.col("type") == "unlink") | scalars.is_supported_document(path), F.array(own_key))
+    back = events.where(F.col("type").isin("add", "change", "unlink", "unlinkDir"))
+    back = back.select(F.col("ts").alias("back_ts"), F.col("event_id").alias("back_id"), F.explode(takes_back).alias("back_key")).alias("b")
+    same = (F.col("key.folder") == F.col("back_key.folder")) & (F.col("key.name") == F.col("back_key.name")) & (F.col("key.salt") == F.col("back_key.salt"))
+    soon = (F.col("back_ts") >= F.col("ts")) & (F.col("back_ts") < F.col("ts") + F.expr(f"INTERVAL {delay}")) & ((F.col("back_ts") > F.col("ts")) | (F.col("back_id") > F.col("event_id")))
+    judged = work.join(back, same & soon, "left").groupBy("path", "ts", "type", "event_id").agg(F.count("back_id").alias("taken"))
+    return judged.where("taken = 0").drop("taken")
 
 
 def cache_stats_stream(log: DataFrame) -> DataFrame:
@@ -117,48 +101,151 @@ def settle_writes(polls: DataFrame, stable: str = "100 milliseconds", late: str
     return out.select("path", "size", F.timestamp_millis("ms").alias("ts"))
 
 
-def live_tree_stream(events: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Keeps what :func:`slideloom.operators.chunks.live_paths` needs of a stream of events in ``store``: the last event of each
-    path and the last removal of each folder, batch by batch.  ``live_paths`` of the store's rows is the tree so far."""
+def _tree_events(state: DataFrame) -> DataFrame:
+    """The state of a tree as events: the last one of each path, and the last removal of each folder."""
+    removed = state.where("removed IS NOT NULL").select("file_path", F.lit("unlinkDir").alias("type"), "removed.ts", "removed.event_id")
+    return state.select("file_path", "type", "ts", "event_id").union(removed).withColumnRenamed("file_path", "path")
+
+
+def read_live_tree(spark: SparkSession, store: str) -> DataFrame:
+    """(path, is_directory) of the tree that :func:`live_tree_stream` keeps in ``store``."""
+    return chunks.live_tree(_tree_events(slide_store.read_slides(spark, store)))
+
+
+def live_tree_stream(events: DataFrame, store: str, checkpoint: str, late: str = "10 minutes", tidy_every: int = 10) -> StreamingQuery:
+    """Keeps a tree of folders and files in ``store`` from a stream of events: :func:`read_live_tree` is the tree so far.
+
+    The store has one row for each path: its last event and its last removal as a folder.  Both are maxima, so the order in which events
+    come makes no difference.  A batch reads and writes the rows of its own paths and, if it removes folders, deletes the rows below
+    them.  Every ``tidy_every`` batches what is older than ``late`` goes: marks of removals, and paths whose folders have not
+    come; so the store is bounded by the live paths, and a late event is taken rightly within ``late``.
+    """
+    spark = events.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
-        last = F.max_by(F.struct("type", "ts", "event_id"), F.struct("ts", "event_id")).alias("e")
-        kept = batch.groupBy("path", F.col("type") == "unlinkDir").agg(last).select("path", "e.*")
-        kept.write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={number}")
+        stamp = F.struct("ts", "event_id")
+        new = batch.groupBy(F.col("path").alias("file_path")).agg(F.max_by(F.struct("type", "ts", "event_id"), stamp).alias("e"), F.max(F.when(F.col("type") == "unlinkDir", stamp)).alias("removed"))
+        new = written(new.select("file_path", "e.*", "removed"), "tree-events")
+        if new.isEmpty():
+            return
+        known = slide_store.read_manifest(spark, store) is not None
+        merged = new
+        if known:
+            old = slide_store.read_slides(spark, store).join(new.select("file_path"), "file_path", "left_semi")
+            both = new.unionByName(old).groupBy("file_path").agg(F.max_by(F.struct("type", "ts", "event_id"), stamp).alias("e"), F.max("removed").alias("removed"))
+            merged = both.select("file_path", "e.*", "removed")
+        slide_store.write_slides(merged, store, 2 * number, checkpoint, keys=("file_path",))
+        removed = new.where("removed IS NOT NULL").select(F.col("file_path").alias("folder"), F.col("removed").alias("last_removed"))
+        gone = []
+        if not removed.isEmpty():
+            rows = slide_store.read_slides(spark, store).select("file_path", "type", stamp.alias("since"))
+            below = rows.select("file_path", "since", F.explode(chunks._above("file_path")).alias("folder")).join(removed, "folder").where("last_removed > since")
+            gone.append(below.select("file_path"))
+        tidy = number % tidy_every == tidy_every - 1
+        if tidy:
+            rows = slide_store.read_slides(spark, store)
+            horizon = rows.agg((F.max("ts") - F.expr(f"INTERVAL {late}")).alias("h")).first()["h"]  # one time
+            shown = chunks.live_tree(_tree_events(rows)).select(F.col("path").alias("file_path"))
+            gone.append(rows.where((F.col("ts") < F.lit(horizon)) & (F.col("removed").isNull() | (F.col("removed.ts") < F.lit(horizon)))).select("file_path").join(shown, "file_path", "left_anti"))
+        if gone:
+            slide_store.delete_slides(spark, store, gone[0] if len(gone) == 1 else gone[0].union(gone[1]), writer=checkpoint, batch=2 * number + 1)
+        if tidy:
+            slide_store.compact_slides(spark, store)
 
     return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_batch(
+    spark: SparkSession, number: int, slides: DataFrame, store: str, writer: str, embedder: embed.Embedder = embed.hashed_ngrams, text: str = "slide_text", files_gone: DataFrame | None = None,
+    folders_gone: DataFrame | None = None, calls_per_minute: float | None = None, tasks: int = 8, batch_size: int = 75, attempts: int = 5, waits: tuple[float, ...] = (0.0, 60.0, 600.0),
+) -> None:
+    """One batch of changes to ``store``: files (file_path) and folders (folder) that are gone are deleted, then ``slides``, one row a key, are embedded and added.
+
+    Rows that cannot be embedded go to ``store``-failures with the number of attempts and the time from which a later batch
+    tries them again, ``waits`` seconds on; after ``attempts`` tries due is null and they stay there.  A row that
+    is written anew, deleted or indexed leaves the failures.  All tasks together make at most ``calls_per_minute`` calls of
+    the embedder.  Each write is a batch of ``writer`` in its store, so that a replay goes on where it broke off.
+    """
+    keys, failures = ["file_path", "slide_number"], f"{store.rstrip('/')}-failures"
+    schema = slides.schema
+    known = slide_store.read_manifest(spark, failures) is not None
+    has_store = slide_store.read_manifest(spark, store) is not None
+    for at in (store,) * has_store + (failures,) * known:
+        if files_gone is not None or folders_gone is not None:
+            slide_store.delete_slides(spark, at, files_gone, folders_gone, f"{writer}:deletes", number)
+    todo = slides.withColumn("attempts", F.lit(0))
+    if known:
+        old = slide_store.read_slides(spark, failures).where("due <= current_timestamp()").join(slides.select(*keys), keys, "left_anti")
+        todo = todo.unionByName(old.select(*schema.names, "attempts"))
+    todo, paced = embed.paced(written(todo, "to-embed"), embedder, calls_per_minute, tasks)
+    good, failed = embed.embed_slides(todo, paced, batch_size, (), text)
+    slide_store.write_slides(good.drop("attempts"), store, number, f"{writer}:slides")
+    wait = F.element_at(F.array(*[F.lit(float(w)) for w in waits]), F.least(F.col("attempts"), F.lit(len(waits))))
+    tried = failed.withColumn("attempts", F.col("attempts") + 1)
+    due = F.when(F.col("attempts") < attempts, F.timestamp_seconds(F.unix_micros(F.current_timestamp()) / 1e6 + wait))
+    slide_store.write_slides(tried.withColumns({"due": due, "error": F.lit("no vector")}), failures, number, f"{writer}:slides")
+    if known:
+        slide_store.delete_keys(good.select(*keys), failures, f"{writer}:done", number)
+
+
 def index_files(spark: SparkSession, folder: str, store: str, checkpoint: str, embedder: embed.Embedder = embed.hashed_ngrams, glob: str = "*.pptx") -> StreamingQuery:
     """Indexes the decks below ``folder``, new ones as they come: slides are taken out, embedded and added to ``store``.
 
-    Slides and decks that fail go to ``store``-failures and the stream goes on; a batch that is replayed replaces
-    itself.  For files that are gone, :func:`slideloom.sources.slide_store.delete_slides`.
+    Decks that cannot be read go to ``store``-unread, slides without a vector to ``store``-failures (:func:`index_batch`), and the stream
+    goes on.  For folders whose files change and go, :func:`index_folder`.
     """
     decks = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     decks = decks.option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
 
     def add(batch: DataFrame, number: int) -> None:
         slides, failures = files.explode_deck_slides(batch)
-        good, failed = embed.embed_slides(slides, embedder, text="text")
-        slide_store.write_slides(good, store, number)
-        failures = failures.unionByName(failed.select("file_path", "slide_number", F.lit("no vector").alias("error")))
-        slide_store.write_slides(failures, f"{store.rstrip('/')}-failures", number)
+        index_batch(spark, number, slides, store, checkpoint, embedder, "text")
+        slide_store.write_slides(failures, f"{store.rstrip('/')}-unread", number, checkpoint)
 
     return decks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_stream(slides: DataFrame, store: str, checkpoint: str, embedder: embed.Embedder = embed.hashed_ngrams, text: str = "slide_text") -> StreamingQuery:
-    """Embeds a stream of slides and adds each micro-batch to ``store``; slides that fail go to ``store``-failures.
+def index_folder(
+    spark: SparkSession, root: str, state: str, store: str, checkpoint: str, embedder: embed.Embedder = embed.hashed_ngrams, glob: str = "*.pptx", initial: bool = True, **options,
+) -> StreamingQuery:
+    """Keeps ``store`` in step with the decks below ``root``: new and changed decks are indexed, and slides of files and folders that go are deleted.
+
+    Events come from :func:`slideloom.sources.watch.watch_folder` with its folder ``state``; paths are relative to ``root``.  A changed deck's old slides go
+    first.  Decks that cannot be read go to ``store``-unread; ``options`` are those of :func:`index_batch`.
+    """
+    name = scalars.base_name(F.col("path"))
+
+    def add(batch: DataFrame, number: int) -> None:
+        last = written(tables.last_of(batch, ("path",), "ts", "event_id"), "changes")
+        gone = last.where("type IN ('unlink', 'change')").select(F.col("path").alias("file_path"))
+        folders = last.where("type = 'unlinkDir'").select(F.col("path").alias("folder"))
+        decks = last.where(F.col("type").isin("add", "change") & name.rlike(fnmatch.translate(glob)))
+        read = watch.with_contents(decks.select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path")))
+        read = written(read.withColumn("path", F.substring("path", len(root.rstrip("/")) + 2, 1 << 30)), "contents")
+        slides, failures = files.explode_deck_slides(read.where("error IS NULL"))
+        index_batch(spark, number, slides, store, checkpoint, embedder, "text", gone, folders, **options)
+        lost = read.where("error IS NOT NULL").select(F.col("path").alias("file_path"), F.lit(None).cast("int").alias("slide_number"), "error")
+        slide_store.write_slides(failures.union(lost), f"{store.rstrip('/')}-unread", number, checkpoint)
+
+    events = watch.watch_folder(spark, root, state, initial)
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_stream(slides: DataFrame, store: str, checkpoint: str, embedder: embed.Embedder = embed.hashed_ngrams, text: str = "slide_text", order: str | None = None, **options) -> StreamingQuery:
+    """Embeds a stream of slides (file_path, slide_number, ``text``) and adds each micro-batch to ``store``, the last row of a key by ``order`` (by text if there is none).
 
-    A batch is written under its own number, so that a replay replaces it; :func:`slideloom.sources.slide_store.read_slides` takes the latest row of a key.
+    With a column ``change``, rows with "delete" delete their file and rows with "delete_folder" the folder file_path; those of a batch come before its
+    slides.  ``options`` are those of :func:`index_batch`; :func:`slideloom.sources.slide_store.read_slides` is the index.
     """
+    spark = slides.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
-        w = Window.partitionBy("file_path", "slide_number").orderBy(F.desc(text))
-        once = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-        good, failed = embed.embed_slides(once, embedder, text=text)
-        slide_store.write_slides(good, store, number)
-        slide_store.write_slides(failed, f"{store.rstrip('/')}-failures", number)
+        gone = folders = None
+        if "change" in batch.columns:
+            gone = batch.where("change = 'delete'").select("file_path").distinct()
+            folders = batch.where("change = 'delete_folder'").select(F.col("file_path").alias("folder")).distinct()
+            batch = batch.where("change IS NULL OR change NOT IN ('delete', 'delete_folder')").drop("change")
+        once = tables.last_of(batch, ("file_path", "slide_number"), order or text)
+        index_batch(spark, number, once, store, checkpoint, embedder, text, gone, folders, **options)
 
     return slides.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
