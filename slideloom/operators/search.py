@@ -16,8 +16,11 @@ from pyspark.sql.window import Window
 from slideloom.functions import scalars
 from slideloom.sources.shared import written
 
-#: About as many query vectors are scored in one pass over the slides; more queries take more passes.
+#: Query vectors that one pass over the slides takes with it, in bytes; more queries take more passes.
+QUERY_BYTES = 1 << 26
+#: Queries and slides that a task scores at a time.
 QUERY_BLOCK = 2048
+SLIDE_BLOCK = 4096
 
 
 def search_slides(
@@ -25,10 +28,11 @@ def search_slides(
 ) -> DataFrame:
     """Top ``top_k`` slides by cosine for each of (query_id, query_vec): query_id, ``keys``, score, rank.
 
-    Queries are taken in blocks of about QUERY_BLOCK, each block in a pass of its own over the slides whose hits
-    are written before the next begins: the driver and the tasks hold one block, however many queries there are.
-    Every task keeps its own top rows, ties by ``keys`` included, so only top_k rows per query and batch are shuffled.  Vectors of another
-    length than the query's are not scored; zero vectors score 0.
+    A pass over the slides takes QUERY_BYTES of query vectors with it (100 000 of 64 numbers), and scores blocks of
+    slides against blocks of queries.  Every task keeps the ``top_k`` best scores of each query so far: what falls below
+    this floor is not given out, and a block of slides that cannot reach it, by its centre and radius, is not scored.  So a
+    few multiples of top_k rows per query and task are shuffled, ties by ``keys`` included.  Queries beyond one pass are written
+    and taken pass by pass.  Vectors of another length than the query's are not scored; zero vectors score 0.
     """
     spark = slides.sparkSession
     if file_filter is not None:
@@ -37,44 +41,65 @@ def search_slides(
     fields = [slides.schema[k] for k in keys]
     id_field = queries.schema["query_id"]
     schema = T.StructType([T.StructField("query_id", id_field.dataType), *fields, T.StructField("score", T.DoubleType())])
+    names, query_block, slide_block = schema.fieldNames(), QUERY_BLOCK, SLIDE_BLOCK
 
-    def kernel(ids: pa.Array, matrix: np.ndarray):
+    def kernel(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_size = []
+            for ids, matrix in shared.value:
+                by_size.append((ids, matrix, np.full((len(matrix), top_k), -np.inf)))
             for batch in batches:
-                column = batch.column("_v")
-                ok = np.asarray(column.value_lengths().fill_null(-1)) == matrix.shape[1]
-                part = batch.filter(pa.array(ok))
-                if not part.num_rows:
-                    continue
-                part = _in_order(part, keys)
-                v = part.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                norm = np.linalg.norm(v, axis=1, keepdims=True)
-                scores = matrix @ np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).T
-                q, s = _top(scores, top_k)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), *[part.column(k).take(pa.array(s)) for k in keys], pa.array(scores[q, s])], schema.fieldNames())
+                sizes = np.asarray(batch.column("_v").value_lengths().fill_null(-1))
+                for ids, matrix, best in by_size:
+                    fitting = batch.filter(pa.array(sizes == matrix.shape[1]))
+                    for start in range(0, fitting.num_rows, slide_block):
+                        part = _in_order(fitting.slice(start, slide_block), keys)
+                        v = part.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                        norm = np.linalg.norm(v, axis=1, keepdims=True)
+                        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+                        centre = v.mean(axis=0)
+                        reach = float(np.linalg.norm(v - centre, axis=1).max()) + 1e-9
+                        may = np.flatnonzero(matrix @ centre + reach >= best[:, 0])
+                        for at in range(0, len(may), query_block):
+                            asked = may[at : at + query_block]
+                            scores = matrix[asked] @ v.T
+                            q, s = _top(scores, top_k, best[asked, 0])
+                            if len(q):
+                                best[asked] = _raised(best[asked], q, scores[q, s])
+                                yield pa.RecordBatch.from_arrays([ids.take(pa.array(asked[q])), *[part.column(k).take(pa.array(s)) for k in keys], pa.array(scores[q, s])], names)
 
         return run
 
     asked = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec")).where("query_vec IS NOT NULL")
 
     def scored(table: pa.Table) -> DataFrame:
-        """The hits of one bounded table of queries."""
-        out = spark.createDataFrame([], schema)
-        sizes = np.asarray(table["query_vec"].combine_chunks().value_lengths()) if table.num_rows else np.zeros(0)
+        """The hits of one bounded table of queries, in one pass."""
+        if not table.num_rows:
+            return spark.createDataFrame([], schema)
+        sizes, taken = np.asarray(table["query_vec"].combine_chunks().value_lengths()), []
         for size in sorted(set(sizes.tolist())):
             block = table.filter(pa.array(sizes == size)).combine_chunks()
             matrix = block["query_vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, -1)
             norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-            matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-            out = out.unionByName(slides.mapInArrow(kernel(block["query_id"].combine_chunks(), matrix), schema))
-        return out
+            taken.append((block["query_id"].combine_chunks(), np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)))
+        return slides.mapInArrow(kernel(spark.sparkContext.broadcast(taken)), schema)
 
-    blocks = -(-asked.count() // QUERY_BLOCK)
-    if blocks <= 1:
+    size = asked.agg(F.sum(F.size("query_vec").cast("long") * 8 + 64)).first()[0] or 0
+    passes = -(-size // QUERY_BYTES)
+    if passes <= 1:
         return _best(scored(asked.toArrow()), top_k, keys)
-    asked = written(asked, "queries")  # each pass reads its own block
-    passes = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow() for b in range(blocks))
-    return functools.reduce(DataFrame.unionByName, (written(_best(scored(p), top_k, keys), "hits") for p in passes))
+    asked = written(asked, "queries")  # each pass reads its own part
+    tables = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == b).toArrow() for b in range(passes))
+    return functools.reduce(DataFrame.unionByName, (written(_best(scored(p), top_k, keys), "hits") for p in tables))
+
+
+def _raised(best: np.ndarray, q: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The best scores of each query, smallest first, with new ``scores`` of the queries ``q`` (sorted) among them."""
+    k = best.shape[1]
+    counts = np.bincount(q, minlength=len(best))
+    new = np.full((len(best), int(counts.max())), -np.inf)
+    new[q, np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)] = scores
+    return np.sort(np.concatenate([best, new], axis=1), axis=1)[:, -k:]
 
 
 def _in_order(part: pa.RecordBatch | pa.Table, keys: tuple[str, ...]) -> pa.RecordBatch | pa.Table:
@@ -82,14 +107,18 @@ def _in_order(part: pa.RecordBatch | pa.Table, keys: tuple[str, ...]) -> pa.Reco
     return part.take(pc.sort_indices(part.select(list(keys)), sort_keys=[(k, "ascending") for k in keys], null_placement="at_start"))
 
 
-def _top(scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the ``top_k`` best of each line; of equal scores at the border the first ones, so that copies of a vector cannot pile up."""
+def _top(scores: np.ndarray, top_k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``top_k`` best of each line that reach ``least``; of equal scores at the border the first ones, so that copies of a vector cannot pile up."""
+    reach = np.ones_like(scores, bool) if least is None else scores >= least[:, None] - 2e-9
     if scores.shape[1] <= top_k:
-        return np.nonzero(np.ones_like(scores, bool))
-    rounded = np.round(scores, 9)
-    floor = np.partition(rounded, -top_k, axis=1)[:, -top_k, None]
-    above, tied = rounded > floor, rounded == floor
-    return np.nonzero(above | tied & (np.cumsum(tied, axis=1) <= top_k - above.sum(axis=1, keepdims=True)))
+        return np.nonzero(reach)
+    many = np.flatnonzero(reach.sum(axis=1) > top_k)
+    if len(many):
+        rounded = np.round(scores[many], 9)
+        floor = np.partition(rounded, -top_k, axis=1)[:, -top_k, None]
+        above, tied = rounded > floor, rounded == floor
+        reach[many] &= above | tied & (np.cumsum(tied, axis=1) <= top_k - above.sum(axis=1, keepdims=True))
+    return np.nonzero(reach)
 
 
 def _best(out: DataFrame, top_k: int, keys: tuple[str, ...]) -> DataFrame:
