@@ -157,8 +157,16 @@ def relative_age(ts: Column, now: Column) -> Column:
 
 
 def non_ascii_report(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each character above U+007F; lines without any are dropped before they are split."""
-    lines = df.select(F.col(key), F.posexplode(F.split(text, "\n")).alias("line_at", "line")).where(F.col("line").rlike(r"[^\x00-\x7F]"))
+    """One row for each character above U+007F; lines without any are dropped before they are split.
+
+    A text of bytes that are no UTF-8 gives one row instead, with char "Could not decode file" and no places.  A binary column is taken as UTF-8.
+    """
+    given = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    good = F.coalesce(F.is_valid_utf8("_text"), F.lit(True))
+    lines = given.where(good).select(key, F.posexplode(F.split("_text", "\n")).alias("line_at", "line")).where(F.col("line").rlike(r"[^\x00-\x7F]"))
     chars = lines.select(key, (F.col("line_at") + 1).alias("line_no"), "line", F.posexplode(F.split("line", "")).alias("char_at", "char")).where(F.col("char").rlike(r"[^\x00-\x7F]"))
     code = F.lower(F.lpad(F.hex(F.ascii("char")), 4, "0"))
-    return chars.select(key, "line_no", (F.col("char_at") + 1).alias("column_no"), "char", F.concat(F.lit("U+"), code).alias("code"), F.trim("line").alias("line"))
+    found = chars.select(key, "line_no", (F.col("char_at") + 1).alias("column_no"), "char", F.concat(F.lit("U+"), code).alias("code"), F.trim("line").alias("line"))
+    none = F.lit(None).cast("int")
+    broken = given.where(~good).select(key, none.alias("line_no"), none.alias("column_no"), F.lit("Could not decode file").alias("char"), F.lit("").alias("code"), F.lit("").alias("line"))
+    return found.union(broken)

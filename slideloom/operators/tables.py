@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slideloom.functions import scalars
+from slideloom.sources.shared import written
 
 
 # -- catalogues and mappings ---------------------------------------------------------------------------------
@@ -120,9 +121,9 @@ def storage_stats(files: DataFrame, n_vectors: int) -> DataFrame:
 
 
 def folder_stats(slides: DataFrame) -> DataFrame:
-    """Slides by folder, file and version with sub-totals."""
+    """Slides by folder, file and version with the sub-totals of all combinations of these; level has a bit for each that is left out."""
     named = slides.select(scalars.parent(F.col("file_path")).alias("folder"), "file_name", F.coalesce(scalars.name_version(F.col("file_name")), F.lit("1")).alias("version"))
-    return named.rollup("folder", "file_name", "version").agg(F.count("*").alias("slides"), F.grouping_id().alias("level"))
+    return named.cube("folder", "file_name", "version").agg(F.count("*").alias("slides"), F.grouping_id().alias("level"))
 
 
 def cache_stats(log: DataFrame) -> DataFrame:
@@ -217,11 +218,29 @@ def _markdown_cell(text: Column) -> Column:
     return F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*[\r\n]+\s*", " "), F.lit("|"), F.lit("\\|"))
 
 
+def row_numbers(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the row's number from 0 in the order of ``order``; rows are sorted over all tasks, no task sees all of them.
+
+    Rows go by ranges of ``order`` into sorted partitions, which are written; the driver adds up the sizes of these, one number each.
+    """
+    spot = 1 << 33  # rows of a partition, as monotonically_increasing_id counts them
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = written(df.repartitionByRange(ranges, order).sortWithinPartitions(order).withColumn("_spot", F.monotonically_increasing_id()), "numbered")
+    part = F.floor(F.col("_spot") / spot).cast("int")
+    before, starts = 0, []
+    for r in ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect():  # as many rows as partitions
+        starts.append((r["_part"], before))
+        before += r["n"]
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    return ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.pmod("_spot", F.lit(spot))).drop("_part", "_start", "_spot")
+
+
 def assign_batches(df: DataFrame, order: str, size: int = 75, by: str | None = None) -> DataFrame:
     """``batch`` numbers in order; a size below 1 means 75, one above 1000 means 1000.  ``by`` numbers each group on its own."""
     size = 75 if size < 1 else min(size, 1000)
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    if by is None:
+        return row_numbers(df, order, "_n").withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")
+    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
 
 
 def batch_calls(df: DataFrame, size: int = 75, by: str | None = None) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,25 +61,34 @@ def merge_timeline(messages: DataFrame, events: DataFrame) -> DataFrame:
     return both.orderBy("at_ms", "kind", "text")
 
 
+#: Lines that are folded together before their chunks are put behind those of the lines before.
+FOLDED_LINES = 256
+
+
 def pack_by_tokens(df: DataFrame, key: str, text: str = "text", max_tokens: int = 18000) -> DataFrame:
     """(key, line_no, chunk, tokens): lines packed in order into chunks of at most ``max_tokens``; a longer line is a chunk of its own.
 
-    A line's tokens are a quarter of its characters, rounded up.  Each text is folded on its own.
+    A line's tokens are a quarter of its characters, rounded up.  A text is one row and is folded where it is, its lines in stretches, so
+    that long texts take time in proportion; a null text has no lines.
     """
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k, body in zip(frame["k"], frame["body"], strict=True):
-                if body is None:
-                    continue
-                need = [-(-len(x) // 4) for x in body.split("\n")]
-                chunk, used, held, chunks = 0, 0, 0, []
-                for n in need:
-                    if held and used + n > max_tokens:
-                        chunk, used, held = chunk + 1, 0, 0
-                    used, held = used + n, held + 1
-                    chunks.append(chunk)
-                yield pd.DataFrame({"k": k, "line_no": range(1, len(need) + 1), "chunk": chunks, "tokens": need})
-
-    return df.select(F.col(key).alias("k"), F.col(text).alias("body")).mapInPandas(run, f"k {kind}, line_no long, chunk long, tokens long").withColumnRenamed("k", key)
+    # a column of its own, so that lambdas do not split the text again
+    split = df.where(F.col(text).isNotNull()).select(F.col(key), F.transform(F.split(text, "\n"), lambda x: F.ceil(F.length(x) / 4)).alias("_tokens"))
+    tokens = F.col("_tokens")
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / FOLDED_LINES).cast("int")), lambda i: F.slice(tokens, i * FOLDED_LINES + 1, F.lit(FOLDED_LINES)))
+    named = lambda used, held, chunk, out: F.struct(used.alias("used"), held.alias("held"), chunk.alias("chunk"), out.alias("out"))
+    none = F.array().cast("array<bigint>")
+
+    def line(state: Column, n: Column) -> Column:
+        full = state["held"] & (state["used"] + n > max_tokens)
+        chunk = state["chunk"] + full.cast("long")
+        return named(F.when(full, n).otherwise(state["used"] + n), F.lit(True), chunk, F.concat(state["out"], F.array(chunk)))
+
+    def stretch(state: Column, ns: Column) -> Column:
+        own = F.aggregate(ns, named(state["used"], state["held"], state["chunk"], none), line)
+        # a list of one, so that the fold is done once
+        return F.get(F.transform(F.array(own), lambda x: named(x["used"], x["held"], x["chunk"], F.concat(state["out"], F.array(x["out"])))), F.lit(0))
+
+    start = named(F.lit(0).cast("long"), F.lit(False), F.lit(0).cast("long"), F.array().cast("array<array<bigint>>"))
+    packed = split.select(key, "_tokens", F.flatten(F.aggregate(stretches, start, stretch)["out"]).alias("_chunks"))
+    lines = packed.select(key, F.posexplode(F.arrays_zip("_chunks", "_tokens")).alias("_at", "_line"))
+    return lines.select(key, (F.col("_at") + 1).cast("long").alias("line_no"), F.col("_line._chunks").alias("chunk"), F.col("_line._tokens").alias("tokens"))

@@ -77,6 +77,57 @@ _RELEASED = f"""WITH {_FOLDER_EVENTS} SELECT w.path, w.event_id, w.type FROM e w
         AND ((b.path = w.path AND b.type IN ('add', 'change', 'unlink')) OR (b.type = 'unlinkDir' AND starts_with(w.path, b.path || '/'))))"""
 
 
+def _polls(s, d):
+    """Sizes of files by time, each size for a while."""
+    return _t(s, d, "events").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.floor(F.col("event_id") / 2500).alias("size"), "ts")
+
+
+_SETTLED = """WITH p AS (SELECT 'f' || user_id AS path, event_id // 2500 AS size, ts FROM events), a AS (SELECT *, coalesce((lag(size) OVER w <> size)::INT, 1) AS fresh FROM p WINDOW w AS (PARTITION BY path ORDER BY ts, size)),
+    b AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, size) AS run FROM a), c AS (SELECT *, min(ts) OVER (PARTITION BY path, run) AS since, max(run) OVER (PARTITION BY path) AS last_run FROM b),
+    e AS (SELECT path, size, coalesce(min(ts) FILTER (ts >= since + INTERVAL 12 HOURS), CASE WHEN any_value(run) = any_value(last_run) THEN any_value(since) + INTERVAL 12 HOURS END) AS ts FROM c GROUP BY path, size, run)
+    SELECT * FROM e WHERE ts IS NOT NULL"""
+
+
+def _broken_report(s, d):
+    """Texts as bytes, every seventh with a byte that is no UTF-8 behind it."""
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = _t(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat(body, F.unhex(F.lit("FF")))).otherwise(body).alias("content"))
+    return S.non_ascii_report(docs, "doc_id", "content").groupBy("doc_id", "char").agg(F.count("*").alias("n"), F.count("line_no").alias("placed"))
+
+
+_BROKEN_REPORT = """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS char FROM documents WHERE doc_id % 7 <> 0)
+    SELECT doc_id, char, count(*) AS n, count(*) AS placed FROM c WHERE unicode(char) > 127 GROUP BY ALL UNION ALL SELECT doc_id, 'Could not decode file', 1, 0 FROM documents WHERE doc_id % 7 = 0"""
+
+
+def _vector_rows(embedded, key):
+    """(key, dim, value) of the numbers of vectors that are not zero."""
+    return embedded.select(key, F.posexplode("embedding").alias("dim", "value")).where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 5))
+
+
+def _trigram_sql(texts, key):
+    """The vectors of the built-in embedder of ASCII texts ``t`` in integer arithmetic."""
+    return f"""WITH t AS ({texts}), s AS (SELECT {key}, ' ' || trim(regexp_replace(t, '\\s+', ' ', 'g')) || ' ' AS s FROM t), g AS (SELECT {key}, s, unnest(generate_series(1, length(s) - 2)) AS i FROM s),
+    h AS (SELECT {key}, ((unicode(s[i]) * 65536 + unicode(s[i + 1]) * 256 + unicode(s[i + 2]))::BIGINT * 2654435761) % 4294967296 AS h FROM g), x AS (SELECT {key}, xor(h, h >> 15) AS h FROM h),
+    v AS (SELECT {key}, ((h >> 1) % 64)::INT AS dim, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS n FROM x GROUP BY ALL), l AS (SELECT {key}, sqrt(sum(n * n)) AS l FROM v GROUP BY 1)
+    SELECT {key}, dim, round((n / l)::FLOAT::DOUBLE, 5) AS value FROM v JOIN l USING ({key}) WHERE n <> 0"""
+
+
+def _pipeline_stats(s, d):
+    """What the search pipeline tells of its queries: half of them cached, one file asked, images attached and hits re-ranked by their length of text."""
+    c = F.col
+    slides, _ = embed.embed_slides(view(s, d, "catalog_fx").select(c("path").alias("file_path"), S.base_name(c("path")).alias("file_name"), F.lit(1).alias("slide_number"), c("path").alias("slide_text"), c("path").alias("image_path")), text="file_path")
+    asked = view(s, d, "query_log_fx").select(c("event_id").alias("query_id"), F.concat_ws(" ", c("query"), (F.floor(c("event_id") / 100) % 50).cast("string")).alias("query"))
+    log = asked.where("floor(query_id / 100) % 50 < 25")
+    cache = embed.embed_queries(log, s.createDataFrame([], "query_hash string, embedding array<float>"))
+    images = view(s, d, "catalog_fx").select(c("path").alias("image_path"), F.base64(c("path").cast("binary")).alias("image_base64"))
+    hits, cache, stats = embed.search_pipeline(slides, asked.where("query_id % 100 = 0"), cache, top_k=3, images=images, scorer=lambda q, t: [float(len(x)) for x in t])
+    shown = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.sum((F.col("image_base64") != "").cast("int")).alias("images"), F.count("rerank_score").alias("ranked"), F.min("group_rank").alias("first_group"))
+    return stats.join(shown, "query_id")
+
+
+_PIPELINE_STATS = """SELECT event_id AS query_id, 3 AS total_found, (event_id // 100) % 50 < 25 AS cached, true AS used_reranker, 3 AS hits, 3 AS images, 3 AS ranked, 0 AS first_group FROM events WHERE event_id % 100 = 0"""
+
+
 def _spaced_names(s, d):
     return view(s, d, "slides_fx").select("vec_id", F.regexp_replace("file_name", " v2", "  v2").alias("file_name"))
 
@@ -172,7 +223,7 @@ def _queries():
             SELECT vec_id, file_path, slide_number FROM l UNION ALL SELECT vec_id, file_path, slide_number FROM slides_fx s WHERE vec_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM l WHERE l.file_path = s.file_path AND l.slide_number = s.slide_number)"""),
         "delete_by_file": (lambda s, d: tables.delete_by_file(view(s, d, "slides_fx"), view(s, d, "slides_fx").where("vec_id % 7 = 0")).select("vec_id"), "SELECT vec_id FROM slides_fx WHERE file_path NOT IN (SELECT file_path FROM slides_fx WHERE vec_id % 7 = 0)"),
         "delete_by_folder": (lambda s, d: tables.delete_by_folder(view(s, d, "slides_fx"), view(s, d, "slides_fx").where("vec_id < 3").select(F.regexp_extract("file_path", "^([^/]*)", 1).alias("folder"))).select("vec_id"), "SELECT vec_id FROM slides_fx WHERE split_part(file_path, '/', 1) NOT IN (SELECT split_part(file_path, '/', 1) FROM slides_fx WHERE vec_id < 3)"),
-        "folder_stats": (lambda s, d: tables.folder_stats(view(s, d, "slides_fx")), f"SELECT split_part(file_path, '/', 1) AS folder, file_name, CASE WHEN {_VERSION} = '' THEN '1' ELSE {_VERSION} END AS version, count(*) AS slides, grouping(folder, file_name, version) AS level FROM slides_fx GROUP BY ROLLUP (folder, file_name, version)"),
+        "folder_stats": (lambda s, d: tables.folder_stats(view(s, d, "slides_fx")), f"SELECT split_part(file_path, '/', 1) AS folder, file_name, CASE WHEN {_VERSION} = '' THEN '1' ELSE {_VERSION} END AS version, count(*) AS slides, grouping(folder, file_name, version) AS level FROM slides_fx GROUP BY CUBE (folder, file_name, version)"),
         "name_version": (lambda s, d: _spaced_names(s, d).select("vec_id", S.name_base(c("file_name")).alias("base"), S.name_version(c("file_name")).alias("version")), f"SELECT vec_id, {_BASE} AS base, nullif({_VERSION}, '') AS version FROM (SELECT vec_id, replace(file_name, ' v2', '  v2') AS file_name FROM slides_fx)"),
         "same_presentation": (_name_pairs, """WITH n AS (SELECT p_partkey, p_partkey % 4 AS k, lower(p_name) AS a, lower(CASE p_partkey % 4 WHEN 0 THEN trim(substr(p_name, 3)) WHEN 1 THEN substr(p_name, 2) WHEN 2 THEN p_name ELSE p_type END) AS b FROM part),
             m AS (SELECT *, (greatest(length(a), length(b)) - levenshtein(a, b)) / greatest(length(a), length(b)) AS x FROM n) SELECT p_partkey, CASE k WHEN 1 THEN x > 0.9 WHEN 2 THEN a = b ELSE x > 0.8 END AS same FROM m"""),
@@ -373,6 +424,12 @@ def _more():
             SELECT doc_id, line_no, chunk, tokens FROM p"""),
         "replay_lru": (lambda s, d: chunks.replay_lru(view(s, d, "query_log_fx"), 2, 100).select("event_id", "outcome"), f"""WITH a AS (SELECT event_id, tenant, {_NORM} AS q, row_number() OVER (PARTITION BY tenant ORDER BY ts, event_id) AS n FROM query_log_fx), b AS (SELECT *, lag(n) OVER (PARTITION BY tenant, q ORDER BY n) AS prev FROM a),
             c AS (SELECT b.event_id, any_value(b.prev) AS prev, count(DISTINCT x.q) AS between_them FROM b LEFT JOIN a x ON x.tenant = b.tenant AND x.n > b.prev AND x.n < b.n GROUP BY b.event_id) SELECT event_id, CASE WHEN prev IS NULL THEN 'miss' WHEN between_them < 2 THEN 'memory' ELSE 'disk' END AS outcome FROM c"""),
+        "settle_writes": (lambda s, d: events.settle_batch(_polls(s, d), "12 hours"), _SETTLED),
+        "assign_batches_all": (lambda s, d: tables.assign_batches(view(s, d, "hits_fx").select(F.format_string("%012.2f-%s-%d", "score", "file_path", "slide_number").alias("k")), "k", 100), "SELECT k, (row_number() OVER (ORDER BY k) - 1) // 100 AS batch FROM (SELECT printf('%012.2f-%s-%d', score, file_path, slide_number) AS k FROM hits_fx)"),
+        "non_ascii_errors": (_broken_report, _BROKEN_REPORT),
+        "embed_slides": (lambda s, d: _vector_rows(embed.embed_slides(view(s, d, "catalog_fx").select("path"), text="path")[0], "path"), _trigram_sql("SELECT path, lower(path) AS t FROM catalog_fx", "path")),
+        "embed_query_vectors": (lambda s, d: _vector_rows(embed.embed_queries(view(s, d, "query_log_fx"), s.createDataFrame([], "query_hash string, embedding array<float>")), "query_hash"), _trigram_sql(f"SELECT DISTINCT sha256({_NORM}) AS query_hash, {_NORM} AS t FROM query_log_fx", "query_hash")),
+        "search_pipeline_stats": (_pipeline_stats, _PIPELINE_STATS),
         "live_tree_with_parents": (lambda s, d: chunks.live_tree(_folder_events(s, d)), _LIVE_TREE),
         "released_work": (lambda s, d: events.process_queue(_folder_events(s, d), "6 hours").select("path", "event_id", "type"), _RELEASED),
         "live_tree": (lambda s, d: chunks.live_paths(_folder_events(s, d)), f"""WITH {_FOLDER_EVENTS}, l AS (SELECT path, max(ts) AS ts, arg_max(type, ts) AS type FROM e GROUP BY path)

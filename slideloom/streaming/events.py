@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from slideloom.functions import scalars
 from slideloom.operators import chunks, embed, tables
@@ -112,6 +113,19 @@ def read_live_tree(spark: SparkSession, store: str) -> DataFrame:
     return chunks.live_tree(_tree_events(slide_store.read_slides(spark, store)))
 
 
+def settle_batch(polls: DataFrame, stable: str = "100 milliseconds") -> DataFrame:
+    """(path, size, ts) of a table of polls (path, size, ts), as :func:`settle_writes` has it of one batch: each time a file keeps its size for
+    ``stable``, at the first poll that shows it; a file's last size needs no further poll.  Polls of a path at one time are ordered by size."""
+    w = Window.partitionBy("path").orderBy("ts", "size")
+    gap = F.expr(f"INTERVAL {stable}")
+    changed = F.coalesce((F.lag("size").over(w) != F.col("size")).cast("int"), F.lit(1))
+    runs = polls.withColumn("_new", changed).withColumn("_run", F.sum("_new").over(w)).withColumn("_last", F.max("_run").over(Window.partitionBy("path")))
+    since = F.min("ts").over(Window.partitionBy("path", "_run"))
+    ended = runs.withColumn("_since", since).groupBy("path", "size", "_run", "_last", "_since").agg(F.min(F.when(F.col("ts") >= F.col("_since") + gap, F.col("ts"))).alias("_shown"))
+    at = F.coalesce("_shown", F.when(F.col("_run") == F.col("_last"), F.col("_since") + gap))
+    return ended.select("path", "size", at.alias("ts")).where("ts IS NOT NULL")
+
+
 def live_tree_stream(events: DataFrame, store: str, checkpoint: str, late: str = "10 minutes", tidy_every: int = 10) -> StreamingQuery:
     """Keeps a tree of folders and files in ``store`` from a stream of events: :func:`read_live_tree` is the tree so far.
 

@@ -1,4 +1,5 @@
 import io
+import random
 import struct
 import zipfile
 
@@ -218,3 +219,46 @@ def test_listings_have_all_names(spark, tmp_path):
     slides, failures = files.explode_deck_slides(read.where("error IS NULL"))
     assert sorted(r.file_name for r in slides.collect()) == [".b.pptx", "_x.pptx", "a.pptx", "d.pptx"] and failures.count() == 0
     assert [r.error.split(":")[0] for r in read.where("error IS NOT NULL").collect()] == ["FileNotFoundError"]
+
+
+def plain_packing(text, limit):
+    chunk, used, held, out = 0, 0, 0, []
+    for line in text.split("\n"):
+        n = -(-len(line) // 4)
+        if held and used + n > limit:
+            chunk, used, held = chunk + 1, 0, 0
+        used, held = used + n, held + 1
+        out.append((chunk, n))
+    return out
+
+
+def test_long_texts_are_packed_without_python(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join("x" * rng.choice([0, 1, 3, 8, 30, 500]) for _ in range(n))) for i, n in enumerate((1, 255, 256, 257, 5000, 60_000))]
+    for limit in (1, 18_000):
+        df = texts.pack_by_tokens(spark.createDataFrame(rows, "id long, text string"), "id", max_tokens=limit)
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and "Pandas" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {}
+        for r in df.orderBy("id", "line_no").collect():
+            got.setdefault(r.id, []).append((r.chunk, r.tokens))
+        assert got == {i: plain_packing(t, limit) for i, t in rows}
+
+
+def test_rows_are_numbered_over_all_tasks(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(50) if rng.random() < 0.5 else 7, i) for i in range(5000)] + [(None, -1)]
+    df = tables.assign_batches(spark.createDataFrame(rows, "k int, v int").repartition(6), "k", 100)
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    got = df.collect()
+    order = [r.k for r in sorted(got, key=lambda r: r.batch)]
+    assert sorted(r.v for r in got) == sorted(v for _, v in rows) and [r.batch for r in got if r.k is None] == [0]
+    counts = {b: sum(r.batch == b for r in got) for b in range(51)}
+    assert all(counts[b] == 100 for b in range(50)) and counts[50] == 1
+    assert all(max(r.k or 0 for r in got if r.batch == b) <= min(r.k or 0 for r in got if r.batch == b + 1) for b in range(50)) and len(order) == 5001
+    assert tables.assign_batches(spark.createDataFrame([], "k int"), "k").count() == 0
+
+
+def test_broken_bytes_are_rows(spark):
+    df = spark.createDataFrame([(1, "aé\nü".encode()), (2, b"ok \xff\xc3\xa9"), (3, None), (4, b"plain")], "id int, content binary")
+    got = [tuple(r) for r in scalars.non_ascii_report(df, "id", "content").orderBy("id", "line_no").collect()]
+    assert got == [(1, 1, 2, "é", "U+00e9", "aé"), (1, 2, 1, "ü", "U+00fc", "ü"), (2, None, None, "Could not decode file", "", "")]

@@ -67,6 +67,8 @@ def test_a_file_settles_once(spark, tmp_path):
     source(spark, tmp_path, [("z", 1, START + timedelta(days=2))], schema)
     got = drain(stream.settle_writes(spark.readStream.schema(schema).parquet(folder)), "settled2", tmp_path)
     assert sorted((r.path, r.size, r.ts) for r in got) == [("a", 20, at(160)), ("a", 30, at(500)), ("b", 2, at(600))]
+    batch = stream.settle_batch(spark.createDataFrame(rows, schema))
+    assert sorted((r.path, r.size, r.ts) for r in batch.collect()) == [("a", 20, at(160)), ("a", 30, at(500)), ("b", 2, at(600))]
 
 
 def test_indexing_a_stream_is_safe_to_repeat(spark, tmp_path):
