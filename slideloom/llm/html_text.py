@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,12 +41,22 @@ _WITHIN = frozenset("button select object canvas audio video map svg noscript te
 DROPPED_NAMES = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "aside footer header masthead cookie cookies consent notice popup modal newsletter subscribe share sharing social comment comments "
-    "disqus reply replies related recommended widget toolbar search login complementary contentinfo".split()
+    "disqus reply replies related recommended widget toolbar search login complementary contentinfo commentlist respond disclaimer signup paywall "
+    "gdpr copyright skyscraper leaderboard".split()
 )
+#: Of these, the ones that name the head of a page or of an article: inside an article or main a part that holds a heading stays.
+_HEADS = frozenset("banner header masthead".split())
+#: Of these, the ones that say nothing as the first word of a longer name (search-results, header-image).
+_WEAK = _HEADS | frozenset("menu search login social share reply widget related recommended copyright".split())
 #: Parts of longer names that say a page has, or does not have, such a part (has-sidebar, no-comments).
 _ABOUT = frozenset("has have with without no not hide hidden show is".split())
 #: Last words of names that only say where or in which form such a part is (sidebar-left, share-buttons).
-_FORMS = frozenset("left right top bottom bar box area list links link items item buttons button icons icon slot unit block widget widgets".split())
+_FORMS = frozenset(
+    "left right top bottom bar box area list links link items item buttons button icons icon slot unit block widget widgets section container wrapper wrap inner outer "
+    "holder app root panel group zone region row col column message messages thread body form posts stories articles content main primary secondary".split()
+)
+#: First words of names that only say who uses them (js-comments, site-footer).
+_PREFIXES = frozenset("js c u l m o is site page global wp block the".split())
 #: Dropped by their element alone, wherever the text is.
 _NEVER = _WITHIN | {"head", "option"}
 BLOCKS = frozenset(
@@ -62,10 +73,13 @@ _HOLDER = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "
 
 
 class _Block:
-    __slots__ = ("chars", "children", "density", "dropped", "inline", "link_chars", "link_tags", "name", "parent", "parts", "sum", "tags")
+    __slots__ = ("chars", "children", "density", "dropped", "holder", "inline", "link_chars", "link_tags", "name", "parent", "parts", "sum", "tags")
 
-    def __init__(self, name: str, parent: _Block | None, dropped: bool):
-        self.name, self.parent, self.dropped = name, parent, dropped  # dropped: by its own element or names, until _settle
+    def __init__(self, name: str, parent: _Block | None, dropped: bool | str):
+        self.name, self.parent, self.dropped = name, parent, dropped  # dropped: by its own element or names ("head": by one of _HEADS), until _settle
+        # the outermost article around the block, itself included, or, without an article, the outermost main
+        above = parent.holder if parent is not None else None
+        self.holder: _Block | None = above if above is not None and (above.name == "article" or name != "article") else self if name in ("article", "main") else above
         self.parts: list[str | _Block] = []  # text and blocks in page order
         self.children: list[_Block] = []
         self.inline: list[tuple[int, int, int, int]] = []  # characters, tags, link characters, link tags in each inline child
@@ -79,13 +93,25 @@ def parse(page: str) -> _Block:
     here, links = root, 0
     # inline elements that are open in ``here``, with its counts where they began
     opened: list[tuple[str, int, int, int, int]] = []
+    # how many blocks, and inline elements, of each name are open: an end tag without any costs nothing
+    blocks, inlines = Counter(), Counter()
 
     def close(to: int = 0) -> None:
         if not to and opened:
             _, c, t, lc, lt = opened[0]
             here.inline.append((here.chars - c, here.tags - t, here.link_chars - lc, here.link_tags - lt))
+        inlines.subtract(x[0] for x in opened[to:])
         del opened[to:]
 
+    def leave(up: _Block) -> None:
+        """Ends ``here`` and all blocks up to ``up``."""
+        nonlocal here
+        while here is not up:
+            blocks[here.name] -= 1
+            here = here.parent
+        blocks[up.name] -= 1
+        here = up.parent
+
     for m in _TOKEN.finditer(page):
         text = m.group(5)
         if text is not None:
@@ -106,16 +132,15 @@ def parse(page: str) -> _Block:
             if name == "br":
                 here.parts.append(" ")
             elif name not in BLOCKS:
-                at = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == name), None)
-                if at is not None:
-                    close(at)
-            elif name not in ("html", "body"):
+                if inlines[name]:
+                    close(next(i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == name))
+            elif name not in ("html", "body") and blocks[name]:
                 up = here
-                while up is not root and up.name != name:
+                while up.name != name:
                     up = up.parent
-                if up is not root:
-                    close()
-                    here, links = up.parent, 0
+                close()
+                leave(up)
+                links = 0
             continue
         if name in ("html", "body") or name == "head" and here is not root:
             continue
@@ -128,23 +153,29 @@ def parse(page: str) -> _Block:
                 links += 1
             if name not in _VOID:
                 opened.append((name, here.chars, here.tags, here.link_chars, here.link_tags))
+                inlines[name] += 1
             continue
         close()
         if here.name == "head" and name not in ("head",):
-            here = here.parent  # a body without a start tag
+            leave(here)  # a body without a start tag
         if name in _CLOSES_P and here.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (here.name == "p" or name[0] == "h"):
-            here, links = here.parent, 0
+            leave(here)
+            links = 0
         for other in _ITEM.get(name, ()):
+            if not blocks[other]:
+                continue
             up, stop = here, _HOLDER[name]
             while up is not root and up.name != other and up.name not in stop:
                 up = up.parent
             if up.name == other and up is not root:
-                here, links = up.parent, 0
+                leave(up)
+                links = 0
                 break
         block = _Block(name, here, name in DROPPED or _is_dropped(name, m.group(4), here))
         here.parts.append(block)
         if name not in _VOID and not m.group(4).endswith("/"):
             here = block
+            blocks[name] += 1
     close()
     _settle(root)
     return root
@@ -159,48 +190,49 @@ def _settle(root: _Block) -> None:
     for block in order:
         order.extend(p for p in block.parts if not isinstance(p, str))
     plain = {id(b): 0 if b.name in _NEVER else b.chars - b.link_chars for b in order}
-    around = set()
+    around, headed = set(), set()
     for block in reversed(order[1:]):
         up = block.parent
         if block.name not in _NEVER:
             plain[id(up)] += plain[id(block)]
         if block.name in ("article", "main") or id(block) in around:
             around.add(id(up))
+        if block.name in ("h1", "h2") or id(block) in headed:
+            headed.add(id(up))
     most = plain[id(root)] / 2
     for block in order[1:]:
         if block.dropped and block.name not in _NEVER:
             by_name = block.name == "form" or block.name not in DROPPED
-            block.dropped = not (id(block) in around or by_name and plain[id(block)] > most)
+            head = block.dropped == "head" and block.holder is not None and id(block) in headed
+            block.dropped = not (id(block) in around or head or by_name and plain[id(block)] > most)
         block.dropped = block.dropped or block.parent.dropped
         if not block.dropped:
             block.parent.children.append(block)
 
 
-def _marks(name: str) -> bool:
-    """Whether a class, id or role name marks a part that is never main text."""
+def _marks(name: str) -> str | None:
+    """The word by which a class, id or role name marks a part that is never main text: the whole name, its last word before words of form, or its first."""
     if name in DROPPED_NAMES:
-        return True
+        return name
     parts = [p for p in re.split("[_-]+", name) if p]
     if any(p in _ABOUT for p in parts):
-        return False
+        return None
+    while len(parts) > 1 and parts[0] in _PREFIXES:
+        parts.pop(0)
     while len(parts) > 1 and parts[-1] in _FORMS and parts[-1] not in DROPPED_NAMES:
         parts.pop()
-    return bool(parts) and parts[-1] in DROPPED_NAMES
+    if not parts:
+        return None
+    return parts[-1] if parts[-1] in DROPPED_NAMES else parts[0] if parts[0] in DROPPED_NAMES - _WEAK else None
 
 
-def _is_dropped(name: str, attributes: str, parent: _Block) -> bool:
-    if name == "header":  # a page header; inside an article it holds the title
-        up = parent
-        while up is not None and up.name not in ("article", "main"):
-            up = up.parent
-        if up is None:
-            return True
+def _is_dropped(name: str, attributes: str, parent: _Block) -> bool | str:
+    if name == "header" and parent.holder is None:  # a page header; inside an article it holds the title
+        return True
     if not attributes or name in ("article", "main"):
         return False
-    for m in _NAMES.finditer(attributes):
-        if any(map(_marks, (m.group(1) or m.group(2) or m.group(3) or "").lower().split())):
-            return True
-    return False
+    found = [word for m in _NAMES.finditer(attributes) for x in (m.group(1) or m.group(2) or m.group(3) or "").lower().split() if (word := _marks(x))]
+    return "head" if found and all(word in _HEADS for word in found) else bool(found)
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, body_share: float) -> float:
@@ -281,16 +313,6 @@ def _marked(root: _Block) -> list[_Block]:
     return out
 
 
-def _container(block: _Block) -> _Block | None:
-    """The outermost article around a block or, without an article, the outermost main."""
-    found: dict[str, _Block] = {}
-    up: _Block | None = block
-    while up is not None:
-        found[up.name] = up
-        up = up.parent
-    return found.get("article") or found.get("main")
-
-
 def _linked(block: _Block) -> bool:
     """Whether most characters of a block are in links; those of headings do not count as such."""
     links, queue = block.link_chars, [block]
@@ -325,7 +347,7 @@ def content_blocks(root: _Block) -> list[_Block | str]:
         return list(marked)
     ids, whole, loose, path = {id(b) for b in marked}, set(), set(), set()
     for block in marked:
-        holder = _container(block)
+        holder = block.holder
         if holder is None:
             loose.add(id(block))
         else:
