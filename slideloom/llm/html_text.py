@@ -51,10 +51,12 @@ _WEAK = _HEADS | frozenset("menu search login social share reply widget related
 #: Parts of longer names that say a page has, or does not have, such a part (has-sidebar, no-comments).
 _ABOUT = frozenset("has have with without no not hide hidden show is".split())
 #: Last words of names that only say where or in which form such a part is (sidebar-left, share-buttons).
-_FORMS = frozenset(
-    "left right top bottom bar box area list links link items item buttons button icons icon slot unit block widget widgets section container wrapper wrap inner outer "
-    "holder app root panel group zone region row col column message messages thread body form posts stories articles content main primary secondary".split()
+_FORMS = frozenset("left right top bottom bar box area list links link items item buttons button icons icon slot unit block widget widgets".split())
+#: The same of longer names that do not begin with a word for main text (comments-section, but not content-sidebar-wrap).
+_WRAPS = _FORMS | frozenset(
+    "section container wrapper wrap inner outer holder app root panel group zone region row col column message messages thread body form posts stories articles content main primary secondary".split()
 )
+_CONTENT = frozenset("content main article post entry story body text".split())
 #: First words of names that only say who uses them (js-comments, site-footer).
 _PREFIXES = frozenset("js c u l m o is site page global wp block the".split())
 #: Dropped by their element alone, wherever the text is.
@@ -219,10 +221,11 @@ def _marks(name: str) -> str | None:
         return None
     while len(parts) > 1 and parts[0] in _PREFIXES:
         parts.pop(0)
-    while len(parts) > 1 and parts[-1] in _FORMS and parts[-1] not in DROPPED_NAMES:
-        parts.pop()
     if not parts:
         return None
+    forms = _FORMS if parts[0] in _CONTENT else _WRAPS
+    while len(parts) > 1 and parts[-1] in forms and parts[-1] not in DROPPED_NAMES:
+        parts.pop()
     return parts[-1] if parts[-1] in DROPPED_NAMES else parts[0] if parts[0] in DROPPED_NAMES - _WEAK else None
 
 

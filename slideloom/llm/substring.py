@@ -1,8 +1,10 @@
 """Removal of repeated passages by sliding sentence spans.
 
-Every short run of consecutive sentences is hashed: for each sentence the shortest run that begins with it
-and the shortest that ends with it, long enough to be more than a phrase.  Hashes are joined over the whole
-corpus; sentences that lie in a run which has occurred before are removed.
+A sentence goes if it lies in a run of consecutive sentences that has occurred before.  Runs count from two sentences and a
+floor of words on; a single sentence counts from a higher floor on, an addition to the method for passages without a full stop.
+For each sentence the shortest such run that begins with it and the shortest that ends with it are hashed and joined over the
+whole corpus: a longer repeated run is covered by these, and each of them stands first no later than it does, so the
+sentences that go are the same as with all runs.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from pyspark.sql import types as T
 from ._shared import bit_sieve, free_names, materialize, require, sieve_has
 from ._words import SPACES, blocks, frugal, row_of, sequence_hashes, words
 
-#: A run has at least two sentences with RUN_WORDS words, or LONG_WORDS words.
-RUN_WORDS = 25
-LONG_WORDS = 50
+#: Floors of words: of a run of two or more sentences, and of a single one.  Without a floor (0) each pair of one-word sentences
+#: that occurs twice by chance goes.  A passage of 50 words pasted behind an unfinished sentence loses its first
+#: sentence and its last may be short, so the floors lie well below that.
+RUN_WORDS = 12
+LONG_WORDS = 25
 SIEVE_BITS = 1 << 24
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True

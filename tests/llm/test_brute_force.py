@@ -42,29 +42,25 @@ def sentences(text):
     return out
 
 
-def shortest_runs(s):
-    """All shortest runs that begin or end with a sentence: two sentences with 25 words or more, or any with 50."""
-    n, found = len(s), set()
-    fits = lambda a, b: (size := sum(map(len, s[a:b]))) >= 50 or b - a >= 2 and size >= 25
-    for a in range(n):
-        found |= {next(((a, b) for b in range(a + 1, n + 1) if fits(a, b)), None), next(((b, a + 1) for b in range(a, -1, -1) if fits(b, a + 1)), None)}
-    return found - {None}
+def all_runs(s, run_words, long_words):
+    """Every run of two or more sentences with enough words, and every single sentence with enough."""
+    sizes = [len(x) for x in s]
+    return [(a, b) for a in range(len(s)) for b in range(a + 1, len(s) + 1) if sum(sizes[a:b]) >= (run_words if b - a > 1 else long_words)]
 
 
-def test_repeats_match_brute_force(spark):
+@pytest.mark.parametrize("floors", [(substring.RUN_WORDS, substring.LONG_WORDS), (0, 10**6), (25, 50)])
+def test_repeats_match_brute_force(spark, floors):
     rng = random.Random(4)
-    pool = [" ".join(rng.choices([f"w{i}" for i in range(60)], k=rng.choice([3, 8, 14, 20, 55]))) + rng.choice([".", "!", "?", "\n"]) for _ in range(14)]
+    pool = [" ".join(rng.choices([f"w{i}" for i in range(60)], k=rng.choice([1, 3, 8, 14, 20, 55]))) + rng.choice([".", "!", "?", "\n"]) for _ in range(16)]
     texts = [" ".join(rng.choices(pool, k=rng.randrange(1, 9))) for _ in range(40)] + [None, "", "one", " ".join(pool[:6] * 3)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r for r in substring.drop_repeats(docs).collect()}
-    seen, removed = set(), defaultdict(set)
+    got = {r.doc_id: r for r in (substring.drop_repeats(docs) if floors[0] == substring.RUN_WORDS else substring.drop_repeats(docs, *floors)).collect()}
+    seen, removed = {}, defaultdict(set)
     for i, t in enumerate(texts):
         s = sentences(t)
-        for a, b in sorted(shortest_runs(s)):
-            key = tuple(sum(s[a:b], []))
-            if key in seen:
+        for a, b in sorted(all_runs(s, *floors)):  # the first place of each run, then all that are not the first
+            if seen.setdefault(tuple(sum(s[a:b], [])), (i, a)) != (i, a):
                 removed[i] |= set(range(a, b))
-            seen.add(key)
     for i, t in enumerate(texts):
         s = sentences(t)
         assert (got[i].n_sentences, got[i].n_removed, got[i].n_removed_words) == (len(s), len(removed[i]), sum(len(s[k]) for k in removed[i])), i
