@@ -2,8 +2,10 @@
 
 Of every ``window`` consecutive k-word grams the smallest hash is kept (the rightmost of equal ones), for
 texts and benchmark items alike.  A span of ``window + k - 1`` words that both share has the same grams on
-both sides, so both keep the same one: every shared span of that many words meets in a join on fingerprints.
-Each meeting is extended word by word to both sides; only extensions of a whole span count.
+both sides, so both keep the same one.  Such a span has half of its other words at least before or behind the gram, so
+the kept gram with as many neighbours on one side is the fingerprint: every shared span meets in a join on
+one of the two sides, and a common phrase of ``k`` words alone meets nothing.  Each meeting is extended word
+by word to both sides; only extensions of a whole span count.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ SPAN = 10
 GRAM = 4
 #: The filter that keeps most texts out of the join has this many bits, whatever the benchmark's size.
 FILTER_BITS = 1 << 26
-#: Fingerprints of the benchmark are broadcast up to this many rows (about 250 bytes each).
-BROADCAST_ROWS = 100_000
+#: Fingerprints of the benchmark are broadcast up to this size.
+BROADCAST_BYTES = 24 << 20
+#: Kinds of fingerprints: a kept gram with its neighbours before, or behind; whole items of m words have span + m.
+BEFORE, BEHIND = 1, 2
 
 
 def _winnow(hashes: np.ndarray, bounds: np.ndarray, k: int, window: int) -> np.ndarray:
@@ -63,14 +67,17 @@ def _list_of(values: np.ndarray) -> pa.ListArray:
 
 
 def _seeds(hashes: np.ndarray, bounds: np.ndarray, span: int, k: int, short: tuple[int, ...], item_side: bool):
-    """(word position, gram length, fingerprint) of a block.
+    """(word position of the gram, kind, fingerprint) of a block.
 
     ``short`` holds the lengths below ``span`` of whole items: an item side gives one gram of the whole
     item, a text side gives all its grams of these lengths.
     """
-    places = _winnow(hashes, bounds, k, span - k + 1)
-    values = grams(hashes, k)[places] if len(places) else np.zeros(0, np.uint64)
-    found = [(places, np.full(len(places), k), values)]
+    places, beside = _winnow(hashes, bounds, k, span - k + 1), (span - k + 1) // 2
+    longer, found = grams(hashes, k + beside), []
+    first, past = (bounds[row_of(bounds)[places]], bounds[row_of(bounds)[places] + 1]) if len(places) else (places, places)
+    for kind, start, fits in ((BEFORE, places - beside, places - beside >= first), (BEHIND, places, places + k + beside <= past)):
+        at = start[fits]
+        found.append((places[fits], np.full(len(at), kind), longer[at] ^ np.uint64(kind) if len(at) else np.zeros(0, np.uint64)))
     row, counts = row_of(bounds), np.diff(bounds)
     for m in short if not item_side else [int(m) for m in np.unique(counts) if 0 < m < span]:
         all_m = grams(hashes, m)
@@ -84,7 +91,7 @@ def _seeds(hashes: np.ndarray, bounds: np.ndarray, span: int, k: int, short: tup
 
 
 def benchmark_fingerprints(items: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """(item_id, h, kind, around): kept grams of every item with the words around them.  ``kind`` is k, or span + m for a whole item of m words."""
+    """(item_id, h, kind, around): fingerprints of every item with the words around the grams.  ``kind`` is BEFORE or BEHIND, or span + m for a whole item of m words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +109,7 @@ def benchmark_fingerprints(items: DataFrame, span: int = SPAN, k: int = GRAM) ->
     return items.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), f"item_id {kind}, h bigint, kind int, around array<bigint>")
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM, broadcast_rows: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated.
 
     A text word is hit if it lies in an occurrence of ``span`` consecutive words of an item, or of a whole
@@ -114,14 +121,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: i
     return _judged(docs.select("doc_id", "text"), "doc_id", items, span, k, broadcast_rows)
 
 
-def _judged(docs: DataFrame, key: str, items: DataFrame, span: int = SPAN, k: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """:func:`find_contamination` of (key, text), with ``key`` in place of doc_id."""
+def _meetings(docs: DataFrame, key: str, items: DataFrame, span: int, k: int, broadcast_rows: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, meetings of their fingerprints with those of items, items of each context): a context is the words around a gram, and
+    items that have the same ones are extended together."""
     require(items, ["item_id", "text"])
-    prints = materialize(benchmark_fingerprints(items, span, k), "fingerprints")
+    prints = materialize(benchmark_fingerprints(items, span, k).withColumn("context", F.xxhash64("around")), "fingerprints")
     short = tuple(sorted(r[0] - span for r in prints.where(F.col("kind") > span).select("kind").distinct().collect()))  # fewer than ``span`` lengths
-    item_type = items.schema["item_id"].dataType.simpleString()
-    # items with the same words around a gram are extended together
-    theirs = materialize(prints.groupBy("h", "kind", F.col("around").alias("item_around")).agg(F.collect_set("item_id").alias("item_ids")), "contexts")
+    members = prints.select("context", "item_id").distinct()
+    theirs = materialize(prints.groupBy("h", "kind", "context").agg(F.first("around").alias("item_around")), "contexts")
+    if broadcast_rows is None:
+        broadcast_rows = BROADCAST_BYTES // (8 * (2 * span - k) + 80)  # rows of one size
     n_prints = theirs.count()
     sieve = docs.sparkSession.sparkContext.broadcast(bit_sieve(prints, "h", FILTER_BITS))
 
@@ -160,6 +169,14 @@ def _judged(docs: DataFrame, key: str, items: DataFrame, span: int = SPAN, k: in
         theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = seeds.withColumn("salt", F.pmod("row", F.lit(salts)).cast("int")).join(theirs, ["h", "kind", "salt"])
 
+    return scanned, met, members
+
+
+def _judged(docs: DataFrame, key: str, items: DataFrame, span: int = SPAN, k: int = GRAM, broadcast_rows: int | None = None) -> DataFrame:
+    """:func:`find_contamination` of (key, text), with ``key`` in place of doc_id."""
+    scanned, met, members = _meetings(docs, key, items, span, k, broadcast_rows)
+    item_type = items.schema["item_id"].dataType.simpleString()
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 * span - k
         for batch in batches:
@@ -177,14 +194,16 @@ def _judged(docs: DataFrame, key: str, items: DataFrame, span: int = SPAN, k: in
             start = np.where(whole, at, at - left)
             keep = pa.array(good)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").filter(keep), batch.column("item_ids").filter(keep), pa.array(start[good]), pa.array((start + length)[good])],
-                ["row", "item_ids", "first", "past"],
+                [batch.column("row").filter(keep), batch.column("context").filter(keep), pa.array(start[good]), pa.array((start + length)[good])],
+                ["row", "context", "first", "past"],
             )
 
-    spans = met.select("row", "at", "kind", "around", "item_ids", "item_around").mapInArrow(frugal(extend), f"row bigint, item_ids array<{item_type}>, first bigint, past bigint")
+    spans = materialize(met.select("row", "at", "kind", "around", "context", "item_around").mapInArrow(frugal(extend), "row bigint, context bigint, first bigint, past bigint"), "spans")
+    of_row = spans.select("row", "context").distinct().join(members, "context").groupBy(F.col("row").alias("items_row")).agg(F.collect_set("item_id").alias("items"))
     hits = (
         spans.groupBy("row")
-        .agg(F.collect_set(F.struct("first", "past")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("items"))
+        .agg(F.collect_set(F.struct("first", "past")).alias("spans"))
+        .join(of_row, F.col("row") == F.col("items_row"))
         .select(
             F.col("row").alias("hit_row"), "items",
             F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["past"] - 1))))).cast("long").alias("hit"),

@@ -106,6 +106,21 @@ def test_contamination_matches_brute_force(spark, broadcast_rows):
         assert (got[d].n_words, got[d].n_hit, list(got[d]["items"])) == (len(w), len(hit), sorted(found))
 
 
+def test_a_phrase_that_many_items_and_texts_have_meets_nothing(spark):
+    rng = random.Random(12)
+
+    def prose(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    phrase = "which of the following"
+    items = [f"{prose(rng.randrange(3, 12))} {phrase} {prose(rng.randrange(3, 12))}" for _ in range(10_000)]
+    texts = [f"{prose(rng.randrange(3, 20))} {phrase} {prose(rng.randrange(3, 20))}" for _ in range(10_000)] + [f"{prose(5)} {items[7]} {prose(5)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert decontaminate._meetings(docs, "doc_id", bench, decontaminate.SPAN, decontaminate.GRAM, None)[1].count() < 100
+    assert [(r.doc_id, list(r["items"])) for r in decontaminate.find_contamination(docs, bench).where("contaminated").collect()] == [(10_000, [7])]
+
+
 def test_repeated_passage_goes_from_later_documents(spark):
     passage = " ".join(f"p{i}" for i in range(30)) + ". " + " ".join(f"q{i}" for i in range(25)) + "."
     texts = [f"Own words here.\n{passage}\nEnd one.", f"Other start.\n{passage}\nEnd two.", "Clean text.", None, ""]
