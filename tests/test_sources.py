@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from slideloom.functions import scalars
 from slideloom.operators import chunks, embed, search, tables, texts
+from slideloom.operators import names as names_module
 from slideloom.sources import files, slide_store, watch
 
 
@@ -262,3 +263,33 @@ def test_broken_bytes_are_rows(spark):
     df = spark.createDataFrame([(1, "aé\nü".encode()), (2, b"ok \xff\xc3\xa9"), (3, None), (4, b"plain")], "id int, content binary")
     got = [tuple(r) for r in scalars.non_ascii_report(df, "id", "content").orderBy("id", "line_no").collect()]
     assert got == [(1, 1, 2, "é", "U+00e9", "aé"), (1, 2, 1, "ü", "U+00fc", "ü"), (2, None, None, "Could not decode file", "", "")]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+def test_a_common_word_brings_no_product_of_names(spark):
+    rng = random.Random(3)
+    rest = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    names = [f"quarterly{rest(12)}" for _ in range(300)] + [rest(rng.randrange(6, 24)) for _ in range(300)]
+    for x in rng.sample(names, 120):  # near copies
+        x = list(x)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(x))
+            x[at : at + rng.randrange(2)] = rng.choice(["", "z"])
+        names.append("".join(x))
+    names = sorted(set(names))
+    df = spark.createDataFrame([(f"{x} v1.pptx",) for x in names], "file_name string")
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if abs(len(a) - len(b)) < 6 and 1 - edits(a, b) / max(len(a), len(b)) > 0.8}
+    compared = {}
+    for common in (10**9, 500):
+        got = {(r.base_a, r.base_b) for r in names_module.similar_name_pairs(df, common=common).collect()}
+        assert got == want and len(want) > 60
+        compared[common] = names_module.candidate_pairs(names_module._bases(df, "file_name"), common).count()
+    assert compared[10**9] > 40_000 and compared[500] < compared[10**9] / 10, compared
