@@ -39,4 +39,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """SQL with the views it names as common table expressions."""
     used = [f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in sql]
-    return f"WITH {', '.join(used)}{', ' if sql.lstrip().upper().startswith('WITH ') else ' '}{sql.lstrip()[5:] if sql.lstrip().upper().startswith('WITH ') else sql}" if used else sql
+    if not used:
+        return sql
+    body = sql.lstrip()
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{', '.join(used)}, {body[len(head) :]}"
+    return f"WITH {', '.join(used)} {body}"

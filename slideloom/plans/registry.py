@@ -42,6 +42,25 @@ def _grouped(s, d):
     return search.group_presentations(search.dedupe_hits(hits).withColumn("score", F.round("score", 6)))
 
 
+def _group_names(s, d):
+    hits = search.search_slides(view(s, d, "slides_fx"), view(s, d, "queries_fx"), 25, keys=("file_path", "file_name", "slide_number", "vec_id"))
+    return search.presentation_names(search.dedupe_hits(hits).withColumn("score", F.round("score", 6)))
+
+
+_SAME = """(CASE WHEN x.v AND d.v THEN {s} > 0.8 WHEN x.v OR d.v THEN {s} > 0.9 ELSE x.low = d.low END)""".format(
+    s="(CASE WHEN greatest(length(x.low), length(d.low)) = 0 THEN 1.0 ELSE (greatest(length(x.low), length(d.low)) - levenshtein(x.low, d.low))::DOUBLE / greatest(length(x.low), length(d.low)) END)"
+)
+_GROUP_NAMES = f"""WITH RECURSIVE n AS (SELECT q.query_id, s.file_path, s.file_name, s.slide_number, s.vec_id, list_cosine_similarity(s.embedding::DOUBLE[], q.query_vec::DOUBLE[]) AS sc FROM slides_fx s CROSS JOIN queries_fx q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, file_path, file_name, slide_number, vec_id) AS rk FROM n),
+    b AS (SELECT query_id, file_name, max(round(sc, 6)) AS best FROM r WHERE rk <= 25 GROUP BY ALL),
+    o AS (SELECT query_id, file_name, lower({_BASE}) AS low, {_VERSION} <> '' AS v, {_BASE} AS base, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, file_name) AS i FROM b),
+    f AS (SELECT query_id, 0::BIGINT AS i, CAST([] AS STRUCT(low VARCHAR, v BOOLEAN, title VARCHAR)[]) AS leaders, NULL::VARCHAR AS file_name, NULL::VARCHAR AS presentation_name, NULL::BIGINT AS group_rank FROM (SELECT DISTINCT query_id FROM o)
+        UNION ALL SELECT x.query_id, x.i, CASE WHEN x.at IS NULL THEN list_append(x.leaders, struct_pack(low := x.low, v := x.v, title := x.base)) ELSE x.leaders END, x.file_name,
+            CASE WHEN x.at IS NULL THEN x.base ELSE x.leaders[x.at].title END, CASE WHEN x.at IS NULL THEN len(x.leaders) ELSE x.at - 1 END
+        FROM (SELECT x.*, list_position(list_transform(x.leaders, lambda d: {_SAME}), true) AS at FROM (SELECT o.*, f.leaders FROM f JOIN o ON o.query_id = f.query_id AND o.i = f.i + 1) x) x)
+    SELECT query_id, file_name, presentation_name, group_rank::INT AS group_rank FROM f WHERE i > 0"""
+
+
 def _best(s, d):
     """Distinct hits without the columns beside their key and score."""
     return search.dedupe_hits(view(s, d, "hits_fx")).drop("ref")
@@ -430,6 +449,7 @@ def _more():
         "embed_slides": (lambda s, d: _vector_rows(embed.embed_slides(view(s, d, "catalog_fx").select("path"), text="path")[0], "path"), _trigram_sql("SELECT path, lower(path) AS t FROM catalog_fx", "path")),
         "embed_query_vectors": (lambda s, d: _vector_rows(embed.embed_queries(view(s, d, "query_log_fx"), s.createDataFrame([], "query_hash string, embedding array<float>")), "query_hash"), _trigram_sql(f"SELECT DISTINCT sha256({_NORM}) AS query_hash, {_NORM} AS t FROM query_log_fx", "query_hash")),
         "search_pipeline_stats": (_pipeline_stats, _PIPELINE_STATS),
+        "presentation_names": (_group_names, _GROUP_NAMES),
         "live_tree_with_parents": (lambda s, d: chunks.live_tree(_folder_events(s, d)), _LIVE_TREE),
         "released_work": (lambda s, d: events.process_queue(_folder_events(s, d), "6 hours").select("path", "event_id", "type"), _RELEASED),
         "live_tree": (lambda s, d: chunks.live_paths(_folder_events(s, d)), f"""WITH {_FOLDER_EVENTS}, l AS (SELECT path, max(ts) AS ts, arg_max(type, ts) AS type FROM e GROUP BY path)
