@@ -26,6 +26,8 @@ _WORD = re.compile(r"[A-Za-z0-9]+(?:[.'-][A-Za-z0-9]+)*")
 TEMPLATES: dict[str, str] = license_texts.TEXTS | license_texts.NOTICES
 #: A template counts as present from this share of its words.
 MIN_COVERAGE = 0.8
+#: A template of fewer words counts only as a whole, its words in order with one other between at most: some of a few common words are met anywhere.
+WHOLE_WORDS = 10
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
@@ -101,7 +103,7 @@ def _around(words: list[str], template: list[str], i: int, p: int, low: int, hig
         left = patience(words[a:i], template[:p])
         right = patience(words[i + 1 : b], template[p + 1 :])
         aligned = [(a + x, y) for x, y in left] + [(i, p)] + [(i + 1 + x, p + 1 + y) for x, y in right]
-        aligned = _dense(aligned, 2 * size)  # aligned words far from the rest are chance
+        aligned = _dense(aligned, size + 1 if size < WHOLE_WORDS else 2 * size)  # aligned words far from the rest are chance
         if len(aligned) >= need and (not best or _worth(aligned) > _worth(best)):
             best = aligned
             if len(best) == size:
@@ -120,7 +122,7 @@ def _copies(words: list[str], template: list[str], rare: set[str], min_coverage:
         if w in rare:
             places.setdefault(w, []).append(p)
     hits = [i for i, w in enumerate(words) if w in places]
-    need = min_coverage * len(template) - 1e-9
+    need = (len(template) if len(template) < WHOLE_WORDS else min_coverage * len(template)) - 1e-9
     out = []
     parts = [(0, len(words))]
     while parts:
@@ -191,8 +193,11 @@ def _dense(aligned: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """``docs`` without text, with licenses: array<struct<license, coverage, first, past>> in text order (code points).
 
-    Row by row and with no shuffle.  Null and empty texts have no licenses; an existing licenses column is
-    replaced; repeated rows get equal results; templates without words never match.
+    Row by row and with no shuffle.  A find has ``min_coverage`` of the template's words, or all of them if it has fewer than WHOLE_WORDS,
+    within twice the template's length: a copy with more words put in than that is found only in the parts that
+    fit.  Null and empty texts have no licenses; an existing licenses column is replaced; repeated rows get equal
+    results; templates without words never match; a text of any length is read whole, in time in proportion to its
+    places of rare words.
     """
     require(docs, ["text"])
     docs = docs.drop("licenses")

@@ -114,3 +114,54 @@ def test_very_many_candidates_take_linear_time():
     base = pii.base_spans(text)
     extra = pii.extra_candidates(text, base)
     assert len(extra) > 40_000 and all(a[1] <= a[2] for a in extra)
+
+
+def plain_alignment(text, template):
+    """The most words of the template that appear in order in the text."""
+    best = [0] * (len(template) + 1)
+    for w in text:
+        for j in range(len(template), 0, -1):
+            if template[j - 1] == w:
+                best[j] = max(best[j], max(best[:j]) + 1)
+    return max(best)
+
+
+def test_alignments_are_in_order_and_near_the_longest():
+    rng = random.Random(11)
+    for _ in range(300):
+        template = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 25))]
+        text = [w if rng.random() > 0.15 else f"x{rng.randrange(9)}" for w in template for _ in range(rng.choice([1, 1, 1, 0, 2]))]
+        aligned = license_scan.patience(text, template)
+        assert all(text[i] == template[j] for i, j in aligned)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(aligned, aligned[1:], strict=False))
+        assert len(aligned) <= plain_alignment(text, template)
+        once = list(dict.fromkeys(template))  # distinct words: anchors are all that can be aligned
+        kept = [w for w in once if rng.random() > 0.2]
+        assert len(license_scan.patience(kept, once)) == plain_alignment(kept, once) == len(kept)
+
+
+def test_short_notices_need_all_words_in_order(spark):
+    rng = random.Random(7)
+    short = {n: t for n, t in license_scan.TEMPLATES.items() if len(license_scan.words_of(t)) < license_scan.WHOLE_WORDS}
+    assert short
+    texts, want = [], []
+    for name, t in short.items():
+        words = [w for w, _, _ in license_scan.words_of(t)]
+        if len(words) > 2:
+            shuffled = list(words)
+            while shuffled == words:
+                rng.shuffle(shuffled)
+            texts.append(" ; ".join(" ".join(shuffled) for _ in range(20)) if len(set(words)) > 2 else "none")
+            want.append(None)
+        texts.append(f"Some words before. {t} And some behind.")
+        want.append(name)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.scan_licenses(docs).collect():
+        found = [x.license for x in r.licenses]
+        own = [w for w, _, _ in license_scan.words_of(texts[r.doc_id])]
+        if want[r.doc_id] is None:  # whatever is found stands there in order, with one word between at most
+            for n in set(found):
+                t = [w for w, _, _ in license_scan.words_of(license_scan.TEMPLATES[n])]
+                assert any(plain_alignment(own[i : i + len(t) + 1], t) == len(t) for i in range(len(own)))
+        else:
+            assert found and all(x.coverage == 1.0 for x in r.licenses if x.license == want[r.doc_id])
