@@ -173,7 +173,7 @@ def candidates(index: DataFrame, model: Model, asked: DataFrame, margin: float,
 
 
 def search_ann(
-    slides: DataFrame, queries: DataFrame, top_k: int = 25, recall: float = 0.95, dim: int | None = None, keys: tuple[str, ...] = ("file_path", "slide_number"), vector: str = "embedding", survivors: int = 16
+    slides: DataFrame, queries: DataFrame, top_k: int = 25, recall: float = 0.95, dim: int | None = None, keys: tuple[str, ...] = ("file_path", "slide_number"), vector: str = "embedding", survivors: int = 32
 ) -> DataFrame:
     """:func:`search.search_slides` with about ``recall`` of its hits: query_id, ``keys``, score, rank.
 
