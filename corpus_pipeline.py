@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest doc_id.
+    """Keeps one document of each group of near duplicates, the one with the smallest doc_id: five words a shingle, a similarity of 0.8.
 
     Documents with a null doc_id, and those without words, stay; repeated rows of the kept document stay, and a
     doc_id with several texts goes if one of them does; other columns stay as they are, whatever their names; an empty table gives an empty table.
