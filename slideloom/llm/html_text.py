@@ -435,7 +435,8 @@ def main_text(page: str | None) -> str:
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` with ``column`` replaced by text and n_chars, row by row and with no shuffle.
 
-    A null or empty page gives an empty text; repeated rows are kept; existing text and n_chars columns are replaced.
+    A null or empty page gives an empty text; repeated rows are kept; existing text and n_chars columns are replaced.  A page
+    of any length is read whole as one tree, in time in proportion to its length however deep it is.
     """
     require(pages, [column])
     pages = pages.drop(*[c for c in ("text", "n_chars") if c != column])

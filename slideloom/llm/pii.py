@@ -306,7 +306,7 @@ def detect_pii(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
 
     spans are kind:start:end in code points, the end exclusive, by kind and place.  Null and empty texts have no
     spans; repeated rows are read each; existing columns of the added names are replaced; an empty table gives an
-    empty table.
+    empty table; a text of any length is read whole, in time in proportion to its length.
     """
     require(docs, ["text"])
     if weights is None:
