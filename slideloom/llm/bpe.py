@@ -39,7 +39,7 @@ class Sizes(NamedTuple):
     held_words: int = 1_000_000
     #: Bytes of text in a block, whose words' numbers are kept together, and in a stretch, which is split at once.
     block: int = 1 << 18
-    stretch: int = 1 << 22
+    stretch: int = 1 << 21
     #: Ids that a task gathers before it packs them by block.
     packed: int = 200_000
 
