@@ -1,6 +1,8 @@
 from decimal import ROUND_HALF_UP, Decimal
 
+from slideloom.fixtures import view
 from slideloom.functions import scalars
+from slideloom.plans import registry
 
 
 def test_score_texts_are_rounded_as_exact_values(spark):
@@ -9,3 +11,18 @@ def test_score_texts_are_rounded_as_exact_values(spark):
     want = [f"{Decimal((s or 0.0) * 100).quantize(Decimal('0.1'), ROUND_HALF_UP)}%" for s in scores]
     assert [r.score_text for r in sorted(got, key=lambda r: r.slide_number)] == want
     assert want[:6] == ["3.0%", "1.1%", "4.3%", "1.3%", "-1.3%", "2.3%"]
+
+
+def test_upserts_replace_and_insert_slides(spark):
+    folder = "/root/testdata/sf0.001"
+    slides = view(spark, folder, "slides_fx")
+    ids = {r.vec_id for r in slides.select("vec_id").collect()}
+    for name in ("upsert_slides", "read_slides"):
+        rows = registry.queries()[name](spark, folder).collect()
+        kept, replaced = {r.vec_id for r in rows if r.vec_id in ids}, ids - {r.vec_id for r in rows}
+        assert kept and replaced and len([r for r in rows if r.file_path.startswith("new/")]) > 0
+        # what stays is what did not come again
+        assert replaced == {i for i in ids if i % 2 == 0} and kept == ids - replaced, name
+        if name == "upsert_slides":  # each key that came is one row
+            came = [(r.file_path, r.slide_number) for r in rows if r.vec_id not in ids]
+            assert len(came) == len(set(came))
