@@ -10,12 +10,16 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slideloom.functions import scalars
 
 SLIDE_SCHEMA = "file_path string, file_name string, slide_number int, text string, error string"
+#: Slides, and bytes of their text, that a task gives on at a time.
+SLIDES_OUT = 10_000
+SLIDE_BYTES = 1 << 23
 
 
 def load_image_records(files: DataFrame) -> DataFrame:
@@ -79,21 +83,41 @@ def deck_texts(content: bytes) -> Iterator[tuple[int, str | None, str | None]]:
             except (ElementTree.ParseError, zipfile.BadZipFile, KeyError) as e:
                 yield number, None, str(e)
                 continue
-            yield number, "\n".join("".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")) for p in tree.iter() if p.tag.endswith("}p")), None
+            yield number, "\n".join("".join([t.text or "" for t in p.iter() if t.tag.endswith("}t")]) for p in tree.iter() if p.tag.endswith("}p")), None
 
 
 def explode_deck_slides(decks: DataFrame, extractor: Callable[[bytes], Iterator] = deck_texts) -> tuple[DataFrame, DataFrame]:
-    """(slides, failures) of decks (path, content): a bad slide or a bad deck is a row of failures, the others stay."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                name = (path or "").replace("\\", "/").rsplit("/", 1)[-1]
-                try:
-                    rows = [(path, name, n, text, error) for n, text, error in extractor(content)]
-                except Exception as e:  # any extractor may be passed in
-                    rows = [(path, name, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=["file_path", "file_name", "slide_number", "text", "error"]).astype({"slide_number": "Int32"})
-
-    out = decks.select("path", "content").mapInPandas(run, SLIDE_SCHEMA)
+    """(slides, failures) of decks (path, content): a bad slide or a bad deck is a row of failures, the others stay.
+
+    Slides of many small decks go on together, about SLIDES_OUT at a time or SLIDE_BYTES of text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decks = ((path.as_py(), content.as_py()) for batch in batches for path, content in zip(batch.column("path"), batch.column("content"), strict=True))
+        return _slide_batches(decks, extractor)
+
+    out = decks.select("path", "content").mapInArrow(run, SLIDE_SCHEMA)
     return out.where("error IS NULL").drop("error"), out.where("error IS NOT NULL").select("file_path", "slide_number", "error")
+
+
+def _slide_batches(decks: Iterator[tuple[str, bytes]], extractor: Callable[[bytes], Iterator], rows_out: int = SLIDES_OUT, bytes_out: int = SLIDE_BYTES) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for path, content in decks:
+        name = (path or "").replace("\\", "/").rsplit("/", 1)[-1]
+        try:
+            own = [(path, name, n, text, error) for n, text, error in extractor(content)]
+        except Exception as e:  # any extractor may be passed in
+            own = [(path, name, None, None, f"{type(e).__name__}: {e}")]
+        rows += own
+        size += sum(len(r[3] or "") for r in own)
+        if len(rows) >= rows_out or size >= bytes_out:
+            yield _slide_batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _slide_batch(rows)
+
+
+def _slide_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file_path", "file_name", "slide_number", "text", "error"])

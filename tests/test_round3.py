@@ -1,8 +1,11 @@
 from decimal import ROUND_HALF_UP, Decimal
 
+from pyspark.sql import functions as F
+
 from slideloom.fixtures import view
 from slideloom.functions import scalars
 from slideloom.plans import registry
+from slideloom.sources import files
 
 
 def test_score_texts_are_rounded_as_exact_values(spark):
@@ -26,3 +29,24 @@ def test_upserts_replace_and_insert_slides(spark):
         if name == "upsert_slides":  # each key that came is one row
             came = [(r.file_path, r.slide_number) for r in rows if r.vec_id not in ids]
             assert len(came) == len(set(came))
+
+
+def test_slides_of_many_small_decks_go_on_together(spark):
+    """The time of many small decks is that of their slides, without a table for each deck."""
+    decks = spark.range(0, 25_000, 1, 2).select(F.concat(F.lit("d\\"), F.col("id").cast("string")).alias("path"), F.col("id").cast("string").cast("binary").alias("content"))
+
+    def parts(content):
+        n = int(content)
+        if n % 5 == 0:
+            raise ValueError("bad")
+        yield 1, f"first {n}", None
+        yield 2, None, "broken" if n % 5 == 1 else None
+
+    slides, failures = files.explode_deck_slides(decks, parts)
+    rows = slides.collect()
+    assert len(rows) == 15_000 * 2 + 5_000 and {r.text for r in rows if r.slide_number == 1} == {f"first {n}" for n in range(25_000) if n % 5}
+    assert all(r.file_name == r.file_path[2:] for r in rows) and all(r.text is None for r in rows if r.slide_number == 2)
+    assert sorted({(r.slide_number, r.error) for r in failures.collect()}, key=str) == [(2, "broken"), (None, "ValueError: bad")] and failures.count() == 10_000
+    # what goes on at a time is a bounded number of whole slides
+    sizes = [b.num_rows for b in files._slide_batches(iter([("p", b"x")] * 25), lambda c: iter([(i, "y" * 10, None) for i in range(4)]), rows_out=10)]
+    assert sizes == [12] * 8 + [4]
