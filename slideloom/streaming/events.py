@@ -6,7 +6,7 @@ import fnmatch
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,20 +38,49 @@ def window_counts(events: DataFrame, size: str, slide: str | None = None, late:
     return tables.event_windows(events.withWatermark("ts", late), size, slide)
 
 
+def _folders_above(path: Column) -> Column:
+    parts = F.split(path, "/")
+    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/")), lambda f: f != path)
+
+
+def _released(events: DataFrame, delay: str) -> DataFrame:
+    """:func:`process_queue` of a table, by sorts: its time does not grow with how many events share a key and a time, as a join's does.
+
+    Work is released if the next event that takes it back comes after ``delay``.  That event is looked up by path and, for folders
+    above, by folder and stretch of time: a removal stands in its own stretch of length ``delay`` and in the one before, under each
+    of SALTS keys, so that no folder is one task's.  Events of one time are in order of event_id.
+    """
+    path, row = F.col("path"), ["path", "ts", "type", "event_id"]
+    supported, unlinks = scalars.is_supported_document(path), F.col("type") == "unlink"
+    is_work = supported & F.col("type").isin("add", "change")
+    none = F.lit(None)
+    own = events.where(is_work | unlinks).select(*row, path.alias("_key"), none.cast(events.schema["ts"].dataType).alias("_stretch"), none.cast("long").alias("_salt"), is_work.alias("_work"), F.lit(True).alias("_back"))
+    placed = events.where(is_work | (F.col("type") == "unlinkDir")).withColumns({"_stretch": F.window("ts", delay)["start"], "_work": is_work})
+    keys, stretches, salts = F.explode(_folders_above(path)), F.explode(F.array(F.col("_stretch"), F.col("_stretch") - F.expr(f"INTERVAL {delay}"))), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    waiting = placed.where("_work").select(*row, keys.alias("_key"), "_stretch", F.pmod(F.xxhash64("path"), F.lit(SALTS)).alias("_salt"), F.lit(True).alias("_work"), F.lit(False).alias("_back"))
+    removed = placed.where("NOT _work").select(*row, path.alias("_key"), stretches.alias("_stretch")).select(*row, "_key", "_stretch", salts.alias("_salt"), F.lit(False).alias("_work"), F.lit(True).alias("_back"))
+    by_key = Window.partitionBy("_key", "_stretch", "_salt")
+    ranked = own.union(waiting).union(removed).withColumn("_nth", F.dense_rank().over(by_key.orderBy(F.desc("ts"), F.desc("event_id"))))
+    following = F.min(F.when(F.col("_back"), F.col("ts"))).over(by_key.orderBy("_nth").rangeBetween(Window.unboundedPreceding, -1))
+    taken = F.coalesce(following < F.col("ts") + F.expr(f"INTERVAL {delay}"), F.lit(False))
+    return ranked.withColumn("_taken", taken).where("_work").groupBy(*row).agg(F.max("_taken").alias("_taken")).where("NOT _taken").drop("_taken")
+
+
 def process_queue(events: DataFrame, delay: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
     """(path, ts, type, event_id) of the work that is released: adds and changes of supported paths that nothing takes back within ``delay``.
 
     A later add, change or unlink of the path takes it back, and so does an unlinkDir of a folder above.  All of these are
     one join by key and time: work waits under its path and under each folder above, what takes it back comes under its
     own path.  State is the work and the events of the last ``delay`` and ``late``, spread by path; waiting under a
-    common folder is spread over SALTS keys, and the few folder removals are sent to each.  A batch table gives the same rows at once.
+    common folder is spread over SALTS keys, and the few folder removals are sent to each.  A batch table gives the same rows at
+    once, by :func:`_released`.
     """
+    if not events.isStreaming:
+        return _released(events, delay)
     events = events.withWatermark("ts", late)
     path, salt = F.col("path"), F.pmod(F.xxhash64("path"), F.lit(SALTS))
-    parts = F.split("path", "/")
-    above = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/")), lambda f: f != path)
     own_key = F.struct(F.lit(False).alias("folder"), path.alias("name"), F.lit(0).cast("long").alias("salt"))
-    keys = F.concat(F.array(own_key), F.transform(above, lambda f: F.struct(F.lit(True).alias("folder"), f.alias("name"), salt.alias("salt"))))
+    keys = F.concat(F.array(own_key), F.transform(_folders_above(path), lambda f: F.struct(F.lit(True).alias("folder"), f.alias("name"), salt.alias("salt"))))
     work = events.where(scalars.is_supported_document(path) & F.col("type").isin("add", "change"))
     work = work.select("path", "ts", "type", "event_id", F.explode(keys).alias("key")).alias("w")
     everywhere = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.struct(F.lit(True).alias("folder"), path.alias("name"), i.cast("long").alias("salt")))

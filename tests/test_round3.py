@@ -1,3 +1,4 @@
+from datetime import datetime, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from slideloom.fixtures import view
 from slideloom.functions import scalars
 from slideloom.plans import registry
 from slideloom.sources import files
+from slideloom.streaming import events
 
 
 def test_score_texts_are_rounded_as_exact_values(spark):
@@ -50,3 +52,21 @@ def test_slides_of_many_small_decks_go_on_together(spark):
     # what goes on at a time is a bounded number of whole slides
     sizes = [b.num_rows for b in files._slide_batches(iter([("p", b"x")] * 25), lambda c: iter([(i, "y" * 10, None) for i in range(4)]), rows_out=10)]
     assert sizes == [12] * 8 + [4]
+
+
+def test_released_work_of_a_table_has_no_join(spark, capsys):
+    """Work and removals that share a folder and a time do not meet in pairs."""
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=i % 3600), "add" if i % 3 else "change", f"d/f{i % 500}.pptx") for i in range(0, 4000, 5)]
+    rows += [(10_000 + i, start + timedelta(seconds=60 * i + 7), "unlinkDir", "d") for i in range(50)]
+    rows += [(20_000, start, "add", "d/same.pptx"), (20_001, start, "change", "d/same.pptx"), (20_001, start, "change", "d/other.pptx"), (20_002, None, "add", "d/none.pptx"), (20_003, start + timedelta(seconds=3599), "add", "e/x.txt")]
+    for ts in ("timestamp", "timestamp_ntz"):
+        queue = events.process_queue(spark.createDataFrame(rows, f"event_id long, ts {ts}, type string, path string"), "20 seconds")
+        taken = lambda w: any(
+            b[1] is not None and w[1] is not None and w[1:2] + w[:1] < b[1:2] + b[:1] and b[1] < w[1] + timedelta(seconds=20) and (b[3] == w[3] or b[2] == "unlinkDir" and w[3].startswith(b[3] + "/"))
+            for b in rows
+        )
+        assert sorted(r.event_id for r in queue.collect()) == sorted(w[0] for w in rows if w[2] in ("add", "change") and w[3].endswith(".pptx") and not taken(w))
+    capsys.readouterr()
+    queue.explain()
+    assert "Join" not in capsys.readouterr().out
