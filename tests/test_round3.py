@@ -1,10 +1,13 @@
+import tracemalloc
 from datetime import datetime, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from slideloom.fixtures import view
 from slideloom.functions import scalars
+from slideloom.operators import search
 from slideloom.plans import registry
 from slideloom.sources import files
 from slideloom.streaming import events
@@ -70,3 +73,13 @@ def test_released_work_of_a_table_has_no_join(spark, capsys):
     capsys.readouterr()
     queue.explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_blocks_of_scores_stay_small():
+    scores = np.random.default_rng(1).normal(size=(search.QUERY_BLOCK, search.SLIDE_BLOCK))
+    tracemalloc.start()
+    q, _ = search._top(scores, 10, np.full(len(scores), -np.inf))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(q) == 10 * search.QUERY_BLOCK
+    assert scores.nbytes + peak < 100e6
