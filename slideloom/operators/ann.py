@@ -32,6 +32,8 @@ ENTRIES = 256
 #: Rows and queries that one task scores at a time.
 ROW_BLOCK = 16_384
 ASK_BLOCK = 1024
+#: Queries of a block whose scores are held at once.
+ASK_SLICE = 64
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -124,6 +126,13 @@ def build_index(slides: DataFrame, dim: int, keys: tuple[str, ...] = ("file_path
     return written(numbered.mapInArrow(coded, schema), "index"), model
 
 
+def _best_rows(asked: np.ndarray, rows: np.ndarray, survivors: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries (counted from ``at``) and of their ``survivors`` best rows, and the scores."""
+    scores = asked @ rows.T
+    q, s = search._top(scores, survivors)
+    return q + at, s, scores[q, s]
+
+
 def candidates(index: DataFrame, model: Model, asked: DataFrame, margin: float, survivors: int) -> DataFrame:
     """(query_id, _id) of the ``survivors`` rows of each of (query_id, _v) that score best by their codes.
 
@@ -162,9 +171,10 @@ def candidates(index: DataFrame, model: Model, asked: DataFrame, margin: float,
             return pa.Table.from_pylist([], pa.schema([ask.schema.field("query_id"), ("_id", pa.int64()), ("_near", pa.float64())]))
         codes = np.frombuffer(b"".join(here["_code"].to_pylist()), np.uint8).reshape(here.num_rows, -1)
         rows = model.decode(here["_list"].to_numpy(), codes)
-        scores = unit(_matrix(ask["_v"], dim)) @ rows.T
-        q, s = search._top(scores, survivors)
-        return pa.table([ask["query_id"].take(pa.array(q)), here["_id"].take(pa.array(s)), pa.array(scores[q, s])], names=found.fieldNames())
+        own = unit(_matrix(ask["_v"], dim))
+        best = [_best_rows(own[at : at + ASK_SLICE], rows, survivors, at) for at in range(0, len(own), ASK_SLICE)]
+        q, s, near_by = (np.concatenate([b[i] for b in best]) for i in range(3))
+        return pa.table([ask["query_id"].take(pa.array(q)), here["_id"].take(pa.array(s)), pa.array(near_by)], names=found.fieldNames())
 
     where = ["_list", "_i", "_j"]
     scored = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(score, found)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slideloom.fixtures import view
 from slideloom.functions import scalars
-from slideloom.operators import search
+from slideloom.operators import ann, search
 from slideloom.plans import registry
 from slideloom.sources import files
 from slideloom.streaming import events
@@ -83,3 +83,15 @@ def test_blocks_of_scores_stay_small():
     tracemalloc.stop()
     assert len(q) == 10 * search.QUERY_BLOCK
     assert scores.nbytes + peak < 100e6
+
+
+def test_a_full_block_of_codes_is_scored_in_little_memory():
+    rng = np.random.default_rng(2)
+    asked, rows = rng.normal(size=(ann.ASK_SLICE, 64)), rng.normal(size=(ann.ROW_BLOCK, 64))
+    tracemalloc.start()
+    q, s, scores = ann._best_rows(asked, rows, 320, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and len(q) == 320 * len(asked) and q.min() == 1000
+    first = asked[0] @ rows.T
+    assert set(s[q == 1000]) == set(np.argsort(-first)[:320]) and np.allclose(scores[q == 1000], first[s[q == 1000]])
