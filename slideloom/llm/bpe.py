@@ -37,6 +37,8 @@ class Sizes(NamedTuple):
     long_word: int = 256
     #: Distinct words that a task holds before it gives out the frequent ones and begins anew.
     held_words: int = 1_000_000
+    #: Distinct words of stretches that wait until they are added to those.
+    merged: int = 300_000
     #: Bytes of text in a block, whose words' numbers are kept together, and in a stretch, which is split at once.
     block: int = 1 << 18
     stretch: int = 1 << 21
@@ -190,9 +192,15 @@ def _frequent_words(split: Callable[[], Splitter]) -> Callable[[Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        waiting: list[pa.Table] = []
+        rows = 0
         splitter = split()
         sizes = splitter.sizes
 
+        def merged() -> pa.Table:
+            tables = waiting if held is None else [held, *waiting]
+            return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
             often = table.filter(pc.and_(pc.greater_equal(table["n"], sizes.frequent), pc.less_equal(pc.binary_length(table["word"]), sizes.long_word)))
             yield from often.cast(pa.schema([("word", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=50_000)
@@ -201,12 +209,15 @@ def _frequent_words(split: Callable[[], Splitter]) -> Callable[[Iterator[pa.Reco
             for words, _ in splitter.words(*utf8(batch.column("text"))):
                 seen = pc.value_counts(words)
                 now = pa.table({"word": seen.field("values"), "n": seen.field("counts")})
-                held = now if held is None else pa.concat_tables([held, now]).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
-                if held.num_rows > sizes.held_words:
-                    yield from flush(held)
-                    held = None
-        if held is not None:
-            yield from flush(held)
+                waiting.append(now)
+                rows += now.num_rows
+                if rows > sizes.merged:
+                    held, waiting, rows = merged(), [], 0
+                    if held.num_rows > sizes.held_words:
+                        yield from flush(held)
+                        held = None
+        if held is not None or waiting:
+            yield from flush(merged())
 
     return run
 

@@ -3,10 +3,12 @@ from datetime import datetime, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from slideloom.fixtures import view
 from slideloom.functions import scalars
+from slideloom.llm import bpe
 from slideloom.operators import ann, search
 from slideloom.plans import registry
 from slideloom.sources import files
@@ -95,3 +97,15 @@ def test_a_full_block_of_codes_is_scored_in_little_memory():
     assert peak < 100e6 and len(q) == 320 * len(asked) and q.min() == 1000
     first = asked[0] @ rows.T
     assert set(s[q == 1000]) == set(np.argsort(-first)[:320]) and np.allclose(scores[q == 1000], first[s[q == 1000]])
+
+
+def test_word_counts_do_not_depend_on_when_they_are_merged():
+    classes = bpe.character_classes("byte_bpe_50k.json")
+    texts = [" ".join(f"w{i % 7}" for i in range(n, n + 40)) for n in range(30)]
+    batches = [pa.record_batch({"text": pa.array(texts[i : i + 3])}) for i in range(0, 30, 3)]
+    got = []
+    for merged in (1, 25, 10**6):
+        out = bpe._frequent_words(lambda m=merged: bpe.Splitter(classes, None, bpe.Sizes(merged=m)))(iter(batches))
+        rows = [r for b in out for r in b.to_pylist()]
+        got.append(sorted((r["word"], r["n"]) for r in rows))
+    assert got[0] == got[1] == got[2] and sum(n for _, n in got[0]) > 1000
